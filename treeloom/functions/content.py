@@ -1,18 +1,14 @@
 """Per-file content inspection (ops 17-21, 26).
 
 Order is semantic: size gate -> content signature / control bytes on the first
-8 KiB -> UTF-16 with a byte-order mark -> strict UTF-8. All of it is JVM
-expressions except strict UTF-16 decoding, which Spark's ``decode`` cannot do
-without raising; that one runs as an Arrow-batched pandas UDF whose input is
-null for every row without a UTF-16 BOM.
+8 KiB -> UTF-16 with a byte-order mark -> strict UTF-8. All of it is JVM expressions;
+strict UTF-16 is validated before ``decode`` (which raises on bad input).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import constants as K
 from .quantities import format_bytes
@@ -50,18 +46,57 @@ def looks_binary(prefix: Column) -> Column:
     )
 
 
+_HEAD_BYTES = 16  # signatures at offsets below this are checked on the hex of the first 16 bytes
+_TAR_OFFSET = 257
+
+
+def _sql_lit(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(v)
+
+
+_CACHE: dict[str, Column] = {}
+
+
+def _signature_table() -> Column:
+    """Constant array<struct<parts, mime, ext>>; parts = array<struct<src, pos, hex>>.
+
+    Written as one SQL literal (one round trip to the JVM, folded to a constant).
+    """
+    if "sig" not in _CACHE:
+        entries = []
+        for _name, parts, mime, ext in K.SIGNATURES:
+            ps = []
+            for offset, hexbytes in parts:
+                if offset + len(hexbytes) // 2 <= _HEAD_BYTES:
+                    src, pos = 0, 2 * offset + 1
+                else:
+                    src, pos = 1, 2 * (offset - _TAR_OFFSET) + 1
+                ps.append(f"named_struct('src', {src}, 'pos', {pos}, 'hex', {_sql_lit(hexbytes.upper())})")
+            entries.append(
+                f"named_struct('parts', array({', '.join(ps)}), 'mime', {_sql_lit(mime)}, 'ext', {_sql_lit(ext)})"
+            )
+        _CACHE["sig"] = F.expr("array(" + ", ".join(entries) + ")")
+    return _CACHE["sig"]
+
+
 def signature(prefix: Column) -> Column:
-    """struct(mime, ext) of the first matching content signature, else null."""
-    out = None
-    for _name, parts, mime, ext in K.SIGNATURES:
-        cond = None
-        for offset, hexbytes in parts:
-            magic = bytes.fromhex(hexbytes)
-            c = F.substring(prefix, offset + 1, len(magic)) == F.lit(bytearray(magic))
-            cond = c if cond is None else cond & c
-        value = F.struct(F.lit(mime).alias("mime"), F.lit(ext).alias("ext"))
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out
+    """struct(mime, ext) of the first matching content signature, else null.
+
+    One higher-order ``filter`` over a constant table instead of a CASE chain,
+    so generated code stays small however many signatures there are.
+    """
+    head = F.hex(F.substring(prefix, 1, _HEAD_BYTES))
+    tail = F.hex(F.substring(prefix, _TAR_OFFSET + 1, 8))
+
+    def part_ok(p):
+        src = F.when(p["src"] == 0, head).otherwise(tail)
+        return F.substr(src, p["pos"], F.length(p["hex"])) == p["hex"]
+
+    hits = F.filter(_signature_table(), lambda s: F.forall(s["parts"], part_ok))
+    first = F.try_element_at(hits, F.lit(1))
+    return F.when(first.isNotNull(), F.struct(first["mime"].alias("mime"), first["ext"].alias("ext")))
 
 
 def is_textual_mime(mime: Column) -> Column:
@@ -85,10 +120,10 @@ def file_extension(name: Column) -> Column:
 
 
 def _extension_map() -> Column:
-    pairs = []
-    for ext, mime in K.EXTENSION_MIMES:
-        pairs += [F.lit(ext), F.lit(mime)]
-    return F.create_map(*pairs)
+    if "ext" not in _CACHE:
+        pairs = ", ".join(f"{_sql_lit(e)}, {_sql_lit(m)}" for e, m in K.EXTENSION_MIMES)
+        _CACHE["ext"] = F.expr(f"map({pairs})")
+    return _CACHE["ext"]
 
 
 def detect_metadata(name: Column, prefix: Column, size: Column) -> Column:
@@ -137,29 +172,29 @@ def format_metadata(meta: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def decode_utf16_strict(content: pd.Series) -> pd.Series:
-    """UTF-16 text behind a byte-order mark; null when the body is odd or has a bad surrogate."""
-
-    def one(b):
-        if b is None:
-            return None
-        b = bytes(b)
-        if b[:2] == b"\xff\xfe":
-            codec = "utf-16-le"
-        elif b[:2] == b"\xfe\xff":
-            codec = "utf-16-be"
-        else:
-            return None
-        body = b[2:]
-        if len(body) % 2:
-            return None
-        try:
-            return body.decode(codec, errors="strict")
-        except UnicodeDecodeError:
-            return None
-
-    return content.map(one)
+def utf16_text(content: Column) -> Column:
+    """Strict UTF-16 text behind a byte-order mark, else null (odd body or unpaired surrogate).
+
+    JVM-only: each code unit's high byte marks it H (D8-DB), L (DC-DF) or '.';
+    after removing adjacent 'HL' pairs no H or L may remain. Only then is the
+    body decoded, so ``decode`` never meets malformed input. Evaluated inside the
+    BOM branch of a CASE, so rows without a BOM pay nothing.
+    """
+    le = F.substring(content, 1, 2) == F.lit(_BOM_LE)
+    body = F.substr(content, F.lit(3), F.octet_length(content))
+    hx = F.hex(body)
+    units = (F.octet_length(content) - 2) / 2
+    hi_pos = F.when(le, F.lit(3)).otherwise(F.lit(1))
+
+    def cls(i):
+        hb = F.substr(hx, i * 4 + hi_pos, F.lit(2))
+        return F.when((hb >= "D8") & (hb <= "DB"), "H").when((hb >= "DC") & (hb <= "DF"), "L").otherwise(".")
+
+    marks = F.array_join(F.transform(F.sequence(F.lit(0), units.cast("int") - 1), cls), "")
+    left = F.replace(marks, F.lit("HL"), F.lit(""))
+    ok = (F.octet_length(content) % 2 == 0) & ~left.contains("H") & ~left.contains("L")
+    text = F.when(le, F.decode(body, "UTF-16LE")).otherwise(F.decode(body, "UTF-16BE"))
+    return F.when(has_utf16_bom(content) & ok, text)
 
 
 def marker_text(kind: Column, text: Column, meta: Column, limit: Column, error: Column) -> Column:

@@ -41,11 +41,7 @@ def inspect_files(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: b
     bom = C.has_utf16_bom(content)
     as_string = content.cast("string")
     df = files.filter(~F.col("is_dir"))
-    if utf16:
-        df = df.withColumn("__u16", C.decode_utf16_strict(F.when(bom & ~oversize, content)))
-        u16 = F.col("__u16")
-    else:
-        u16 = F.lit(None).cast("string")
+    u16 = C.utf16_text(content) if utf16 else F.lit(None).cast("string")
     kind = (
         F.when(F.col("error").isNotNull(), F.lit("error"))
         .when(oversize, F.lit("too_large"))
@@ -61,7 +57,7 @@ def inspect_files(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: b
         C.detect_metadata(F.element_at("path", -1), prefix, size),
     )
     limit = F.when(F.col("kind") == "too_large", F.lit(max_size).cast("bigint"))
-    keep = [c for c in df.columns if c not in ("content", "__u16", "kind")]
+    keep = [c for c in df.columns if c not in ("content", "kind")]
     return df.select(*keep, "kind", text.alias("text"), meta.alias("meta"), limit.alias("limit"))
 
 

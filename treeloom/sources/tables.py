@@ -59,6 +59,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def balance(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than task slots (e.g. one large row group).
+
+    Large inputs already arrive in many splits and are left alone; only a
+    narrow, already-projected frame is redistributed, round-robin.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def doc_dir(doc_id: Column) -> Column:
     m = (doc_id % 10).cast("int")
     return (
@@ -98,6 +108,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> (root, path, rel, text, doc_id): one file per document, perturbed by doc_id % 8."""
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     did = F.col("doc_id")
+    d = balance(d)
     return d.select(
         F.col("source").alias("root"),
         F.array(F.col("lang"), doc_dir(did), doc_name(did)).alias("path"),
@@ -114,7 +125,7 @@ def doc_files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages -> (root = host, path = non-empty url path parts, text = html)."""
-    p = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    p = balance(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     upath = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
     return p.select(
