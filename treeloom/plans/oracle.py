@@ -126,6 +126,7 @@ def sql() -> dict[str, str]:
         f"SELECT root, rel, {S.single_line('text')} AS single_line FROM insp WHERE kind = 'text'"
     )
     o["project_stats"] = project_stats_sql()
+    o.update(sql2())
     return o
 
 
@@ -150,3 +151,322 @@ FROM (SELECT root, 1 AS f, 0 AS d, CASE WHEN kind = 'text' THEN {S.line_count('t
       UNION ALL
       SELECT root, 0, 1, 0, 0 FROM nodes WHERE is_dir)
 GROUP BY root"""
+
+
+# ---------------------------------------------------------------------------
+# batch 2
+# ---------------------------------------------------------------------------
+
+NLc = "chr(10)"
+
+
+def meta_ctes() -> list[str]:
+    return [
+        "srcs AS (SELECT DISTINCT source AS root, CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) AS n FROM documents)",
+        """meta AS (SELECT root, CASE WHEN n % 2 = 0 THEN 'main' END AS branch, sha1(root) AS commit_hash,
+  CASE WHEN n % 3 = 0 THEN 'https://git.example.com/origin/' || root || '.git'
+       WHEN n % 3 = 1 THEN 'https://git.example.com/mirror/' || root || '.git' END AS remote_url FROM srcs)""",
+    ]
+
+
+def display_name(root: str = "root") -> str:
+    last = f"string_split(regexp_replace({root}, '/+$', ''), '/')[-1]"
+    return f"(CASE WHEN {last} IN ('', '.', '..') THEN {root} ELSE {last} END)"
+
+
+def tree_ctes(nodes: str = "nodes") -> list[str]:
+    """CTEs ending in trees(root, tree) for the nodes CTE `nodes` (root, path, is_dir)."""
+    return [
+        f"""marked AS (SELECT *, name = max(name) OVER (PARTITION BY root, path[1:len(path) - 1]) AS is_last
+  FROM (SELECT root, path, is_dir, path[len(path)] AS name FROM {nodes}))""",
+        "anc AS (SELECT root, path, unnest(range(1, len(path))) AS k FROM marked)",
+        """pref AS (SELECT a.root, a.path, string_agg(CASE WHEN m.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.k) AS prefix
+  FROM anc a JOIN marked m ON m.root = a.root AND m.path = a.path[1:a.k] GROUP BY a.root, a.path)""",
+        f"""tlines AS (SELECT m.root, m.path, coalesce(p.prefix, '') || CASE WHEN m.is_last THEN '└── ' ELSE '├── ' END
+  || m.name || CASE WHEN m.is_dir THEN '/' ELSE '' END || {NLc} AS line
+  FROM marked m LEFT JOIN pref p ON p.root = m.root AND p.path = m.path)""",
+        f"trees AS (SELECT root, {display_name()} || '/' || {NLc} || string_agg(line, '' ORDER BY path) AS tree FROM tlines GROUP BY root)",
+    ]
+
+
+def _header_expr() -> str:
+    fc = S.format_count
+    return (
+        f"'# Project Statistics' || {NLc} || '- Files: ' || {fc('files')} || {NLc} || '- Directories: ' || {fc('dirs')} || {NLc}"
+        f" || '- Total lines: ' || {fc('lines')} || {NLc} || '- Total size: ' || {S.format_size('size')} || {NLc}"
+        f" || coalesce('- Git branch: ' || branch || {NLc}, '') || coalesce('- Git commit: ' || commit_hash || {NLc}, '')"
+        f" || coalesce('- Git remote: ' || remote_url || {NLc}, '') || {NLc}"
+    )
+
+
+def _shown_insp_ctes() -> list[str]:
+    return kept_doc_ctes() + [_insp("kept"), f"shown AS (SELECT *, {_marker('text')} AS shown FROM insp)"]
+
+
+def _stats_cte() -> str:
+    return f"""st AS (SELECT r.root,
+  (SELECT CAST(count(*) AS BIGINT) FROM shown s WHERE s.root = r.root) AS files,
+  (SELECT CAST(count(*) AS BIGINT) FROM nodes n WHERE n.root = r.root AND n.is_dir) AS dirs,
+  (SELECT CAST(coalesce(sum(CASE WHEN kind = 'text' THEN {S.line_count('shown')} ELSE 0 END), 0) AS BIGINT) FROM shown s WHERE s.root = r.root) AS lines,
+  (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM shown s WHERE s.root = r.root) AS size
+  FROM (SELECT root FROM nodes UNION SELECT root FROM kept) r)"""
+
+
+def _doc_sql(mode: str) -> str:
+    ctes = _shown_insp_ctes() + tree_ctes("nodes") + meta_ctes() + [_stats_cte()]
+    fence_t = S.fence("t.tree")
+    structure = f"'# Project Structure' || {NLc} || {NLc} || {fence_t} || {NLc} || t.tree || {fence_t} || {NLc}"
+    fs = S.fence("shown")
+    md_block = f"{NLc} || '## ' || rel || {NLc} || {NLc} || {fs} || {NLc} || shown || {NLc} || {fs} || {NLc}"
+    raw_block = f"'==== ' || rel || ' ====' || {NLc} || shown || CASE WHEN ends_with(shown, {NLc}) THEN '' ELSE {NLc} END"
+    if mode == "raw":
+        ctes.append(f"body AS (SELECT root, string_agg({raw_block}, {NLc} ORDER BY path) AS body FROM shown GROUP BY root)")
+        doc = "coalesce(b.body, '')"
+    else:
+        ctes.append(f"body AS (SELECT root, string_agg({md_block}, '' ORDER BY path) AS body FROM shown GROUP BY root)")
+        if mode == "structure":
+            doc = f"{_header_expr()} || {structure}"
+        else:
+            doc = f"{_header_expr()} || {structure} || {NLc} || '# File Contents' || {NLc} || coalesce(b.body, '')"
+    return S.with_views(*ctes) + f"""SELECT st.root, {doc} AS document
+FROM st LEFT JOIN meta USING (root) LEFT JOIN trees t ON t.root = st.root LEFT JOIN body b ON b.root = st.root"""
+
+
+def _secret_lines_ctes() -> list[str]:
+    sd = "sd AS (SELECT source AS root, [lang, 'doc' || doc_id || '.txt'] AS path, text FROM documents)"
+    return [
+        sd,
+        _insp("sd"),
+        f"""sl AS (SELECT root, path, rel, regexp_replace(l, '\\r\\z', '') AS l, line FROM (
+  SELECT root, path, rel, unnest(string_split(text, {NLc})) AS l,
+         CAST(generate_subscripts(string_split(text, {NLc}), 1) AS BIGINT) AS line
+  FROM insp WHERE kind = 'text'))""",
+    ]
+
+
+def _secret_hits() -> str:
+    from ..operators.secrets import SECRET_RULES
+
+    parts = [
+        f"SELECT root, path, rel, line, {i} AS rule, {S.q(k)} AS kind FROM sl WHERE regexp_matches(l, {S.q(rx)})"
+        for i, (k, rx) in enumerate(SECRET_RULES)
+    ]
+    return "hits AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+def _gitignore_sql() -> str:
+    from ..operators.ignore import parse_gitignore_line
+
+    rows = []
+    for d, name, text in Qy.GITIGNORE_FILES:
+        prio = 2 if name == ".ignore" else 1
+        for i, line in enumerate(text.split("\n")):
+            r = parse_gitignore_line(line)
+            if r:
+                dl = "[" + ", ".join(S.q(x) for x in d) + "]::VARCHAR[]"
+                rows.append(f"({dl}, {prio}, {i + 1}, {S.q(r[0])}, {str(r[1]).lower()}, {str(r[2]).lower()})")
+    ctes = kept_doc_ctes() + [
+        "ign(dir, prio, line_no, regex, negated, dir_only) AS (VALUES " + ", ".join(rows) + ")",
+        """hits AS (SELECT n.root, n.path, r.negated, len(r.dir) AS dl, r.prio, r.line_no FROM nodes n
+  JOIN ign r ON len(r.dir) < len(n.path) AND n.path[1:len(r.dir)] = r.dir
+  WHERE regexp_matches(array_to_string(n.path[len(r.dir) + 1:len(n.path)], '/'), r.regex) AND (NOT r.dir_only OR n.is_dir))""",
+        "win AS (SELECT root, path, arg_max(negated, (dl, prio, line_no)) AS negated FROM hits GROUP BY root, path)",
+        "ignored AS (SELECT root, path FROM win WHERE NOT negated)",
+    ]
+    return S.with_views(*ctes) + """SELECT b.root, b.rel, b.is_dir FROM nodes b
+WHERE NOT EXISTS (SELECT 1 FROM ignored i WHERE i.root = b.root AND len(i.path) <= len(b.path) AND b.path[1:len(i.path)] = i.path)"""
+
+
+def _layers_cte() -> list[str]:
+    f = ["max_size", "max_chars", "head", "tail", "from_end", "structure", "reverse", "raw", "no_content", "tokens",
+         "no_secret_scan"]
+    types = {"max_size": "BIGINT", "max_chars": "BIGINT", "head": "BIGINT", "tail": "BIGINT"}
+
+    def layer(name, rank, **kw):
+        cols = ", ".join(f"CAST({kw.get(c, 'NULL')} AS {types.get(c, 'BOOLEAN')}) AS {c}" for c in f)
+        return f"SELECT root, {rank} AS rank, {cols} FROM srcs"
+
+    layers = " UNION ALL ".join(
+        [
+            layer("default", 0, max_size="1048576"),
+            layer("local", 1, max_chars="CASE WHEN n % 2 = 0 THEN n * 1000 + 500 END",
+                  head="CASE WHEN n % 4 = 1 THEN 10 END", reverse="CASE WHEN n % 5 = 1 THEN true END"),
+            layer("global", 2, tail="CASE WHEN n % 3 = 0 THEN 5 END", structure="CASE WHEN n % 6 = 0 THEN true END",
+                  max_size="CASE WHEN n % 4 = 2 THEN 2000 END"),
+            layer("explicit", 3, raw="CASE WHEN n % 5 = 0 THEN true END",
+                  max_size="CASE WHEN n % 5 = 0 THEN 1048576 END", from_end="CASE WHEN n % 7 = 0 THEN true END",
+                  no_secret_scan="CASE WHEN n % 9 = 4 THEN true END", tokens="CASE WHEN n % 8 = 3 THEN true END",
+                  no_content="CASE WHEN n % 3 = 1 THEN true END"),
+        ]
+    )
+    scal = ["max_size", "max_chars", "from_end", "no_content", "tokens", "no_secret_scan"]
+    aggs = ", ".join(f"arg_max({c}, rank) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in scal)
+    res = f"""resolved AS (SELECT root, max_size, max_chars, lg.head AS head, lg.tail AS tail,
+  coalesce(from_end, false) AS from_end, coalesce(mg.structure, false) AS structure, coalesce(mg.reverse, false) AS reverse,
+  coalesce(mg.raw, false) AS raw, coalesce(no_content, false) AS no_content, coalesce(tokens, false) AS tokens,
+  coalesce(no_secret_scan, false) AS no_secret_scan
+  FROM (SELECT root, {aggs},
+    arg_max({{'head': head, 'tail': tail}}, rank) FILTER (WHERE head IS NOT NULL OR tail IS NOT NULL) AS lg,
+    arg_max({{'structure': structure, 'reverse': reverse, 'raw': raw}}, rank)
+      FILTER (WHERE structure IS NOT NULL OR reverse IS NOT NULL OR raw IS NOT NULL) AS mg
+    FROM layers GROUP BY root))"""
+    return [meta_ctes()[0], f"layers AS ({layers})", res]
+
+
+def _nb_ctes() -> list[str]:
+    strip = "regexp_replace({t}, '\\x1b\\[[0-9;?]*[ -/]*[@-~]', '', 'g')"
+    cells = f"""cells AS (SELECT conv_id, 'conv' || conv_id AS root, 'notebooks/c' || conv_id || '.ipynb' AS rel, turn, text,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS BIGINT) AS cell_no,
+  CASE WHEN role = 'user' THEN 'markdown' ELSE 'code' END AS cell_type,
+  CASE CAST(conv_id % 4 AS INT) WHEN 0 THEN 'python' WHEN 1 THEN 'r' WHEN 2 THEN 'python' ELSE 'text' END AS lang
+  FROM conversations)"""
+    t = f"split_part(text, {NLc}, 1)"
+    st = strip.format(t=t)
+    fence = S.fence(st)
+    stream = (
+        f"{NLc} || CASE WHEN turn % 2 = 0 THEN '**Output:**' ELSE '**Standard error:**' END || {NLc} || {NLc} || {fence} || {NLc} || {st}"
+        f" || CASE WHEN ends_with({st}, {NLc}) THEN '' ELSE {NLc} END || {fence} || {NLc}"
+    )
+    ev = "substring(text, 1, 30)"
+    err = f"{NLc} || '**Error:** ValueError' || CASE WHEN {ev} <> '' THEN ': ' || {strip.format(t=ev)} ELSE '' END || {NLc}"
+    outs = f"""outs AS (SELECT root, rel, cell_no, 1 AS out_no, {stream} AS block FROM cells WHERE cell_type = 'code'
+  UNION ALL SELECT root, rel, cell_no, 2, {err} FROM cells WHERE cell_type = 'code' AND turn % 3 = 0)"""
+    fsrc = S.fence("text")
+    code = f"{NLc} || {fsrc} || lang || {NLc} || text || CASE WHEN ends_with(text, {NLc}) THEN '' ELSE {NLc} END || {fsrc} || {NLc}"
+    md = f"{NLc} || text || CASE WHEN text = '' OR ends_with(text, {NLc}) THEN '' ELSE {NLc} END"
+    rendered = f"""rcells AS (SELECT c.root, c.rel, c.cell_no, '### Cell ' || c.cell_no || ' (' || c.cell_type || ')' || {NLc}
+  || CASE WHEN c.cell_type = 'markdown' THEN {md.replace('text', 'c.text')} ELSE {code.replace('text', 'c.text').replace('lang', 'c.lang')}
+     || coalesce((SELECT string_agg(o.block, '' ORDER BY o.out_no) FROM outs o WHERE o.root = c.root AND o.cell_no = c.cell_no), '') END
+  || {NLc} AS r FROM cells c)"""
+    return [cells, outs, rendered]
+
+
+def _blueprint_file_block(indent: str, name: str) -> str:
+    lines = (
+        f"string_split(text, {NLc})[1:len(string_split(text, {NLc})) - CASE WHEN ends_with(text, {NLc}) THEN 1 ELSE 0 END]"
+    )
+    body = f"array_to_string([{indent} || '  ' || regexp_replace(l, '\\r\\z', '') || {NLc} for l in {lines}], '')"
+    meta = S.format_metadata("mime_type", "detected_by", "size", "extension")
+    return (
+        f"CASE WHEN kind = 'text' AND text = '' THEN {indent} || {name} || {NLc} "
+        f"WHEN kind = 'text' AND {S.single_line('text')} THEN {indent} || {name} || ': ' || text || {NLc} "
+        f"WHEN kind = 'text' THEN {indent} || {name} || ':|' || {NLc} || {body} || CASE WHEN ends_with(text, {NLc}) THEN {indent} || '  ' || {NLc} ELSE '' END "
+        f"WHEN kind = 'binary' THEN {indent} || {name} || ': <binary file; ' || {meta} || '>' || {NLc} "
+        f"ELSE {indent} || {name} || ': <file too large; ' || {meta} || '; limit: ' || {S.format_bytes('lim')} || '>' || {NLc} END"
+    )
+
+
+def _lossless_ctes() -> list[str]:
+    return [DOC, "lossless AS (SELECT * FROM doc_files WHERE CAST(doc_id % 8 AS INT) NOT IN (4, 5))",
+            S.closure_sql("lossless", "lnodes")]
+
+
+def _existing_ctes() -> list[str]:
+    return [
+        """ex_rows AS (SELECT d.root, CASE WHEN l.toxic = 1 THEN d.path WHEN l.quality = 1 THEN d.path ELSE d.path[1:2] END AS path,
+  l.toxic = 1 AS is_dir FROM doc_files d JOIN labels l USING (doc_id))""",
+        """existing AS (SELECT root, p AS path, bool_or(d) AS is_dir FROM (
+  SELECT root, path[1:k] AS p, (k < len(path) OR is_dir) AS d
+  FROM (SELECT root, path, is_dir, unnest(range(1, len(path) + 1)) AS k FROM ex_rows)) GROUP BY root, p)""",
+    ]
+
+
+def sql2() -> dict[str, str]:
+    o: dict[str, str] = {}
+    o["gitignore"] = _gitignore_sql()
+    o["root_ignore_file"] = S.with_views(*kept_doc_ctes(exclude=_mktree_patterns())) + "SELECT root, rel, is_dir FROM nodes"
+    o["secret_findings"] = S.with_views(*_secret_lines_ctes(), _secret_hits()) + "SELECT root, rel, line, kind FROM hits"
+    entry = f"'  ' || rel || ':' || CAST(line AS VARCHAR) || ' — ' || kind || {NLc}"
+    o["secret_report"] = S.with_views(*_secret_lines_ctes(), _secret_hits()) + f"""SELECT root, findings,
+  'Warning: ' || CAST(findings AS VARCHAR) || ' potential secret' || CASE WHEN findings = 1 THEN '' ELSE 's' END
+  || ' detected in content about to be exported:' || {NLc} || body
+  || 'Review the files or exclude them with --exclude. Use --no-secret-scan to disable this warning.' || {NLc} AS report
+FROM (SELECT root, CAST(count(*) AS BIGINT) AS findings, string_agg({entry}, '' ORDER BY path, line, rule) AS body
+      FROM hits GROUP BY root)"""
+    o["attach_repo_meta"] = S.with_views(*meta_ctes()) + "SELECT root, branch, commit_hash, remote_url FROM meta"
+    o["draw_tree"] = S.with_views(PAGE, S.closure_sql("page_files", "nodes"), *tree_ctes("nodes")) + "SELECT root, tree FROM trees"
+    o["render_structure"] = _doc_sql("structure")
+    o["render_markdown"] = _doc_sql("markdown")
+    o["render_raw"] = _doc_sql("raw")
+    o["stats_header"] = S.with_views(*_shown_insp_ctes(), *meta_ctes(), _stats_cte()) + (
+        f"SELECT st.root, {_header_expr()} AS header FROM st LEFT JOIN meta USING (root)"
+    )
+    o["resolve_options"] = S.with_views(*_layers_cte()) + (
+        "SELECT root, max_size, max_chars, head, tail, from_end, structure, reverse, raw, no_content, tokens, no_secret_scan, "
+        f"CASE WHEN head IS NOT NULL AND tail IS NOT NULL THEN {S.q('Config enables both ' + chr(39) + 'head' + chr(39) + ' and ' + chr(39) + 'tail' + chr(39) + '; choose only one')} "
+        f"WHEN from_end AND max_chars IS NULL THEN {S.q('Config enables ' + chr(39) + 'from_end' + chr(39) + ' without setting ' + chr(39) + 'max_chars' + chr(39))} "
+        f"WHEN raw AND structure THEN {S.q('Config enables both ' + chr(39) + 'raw' + chr(39) + ' and ' + chr(39) + 'structure' + chr(39) + '; choose only one output mode')} END AS error "
+        "FROM resolved"
+    )
+    o["secret_scan_policy"] = S.with_views(*_layers_cte()) + (
+        "SELECT root, NOT no_secret_scan AND NOT (tokens OR structure OR (reverse AND no_content)) AS scan FROM resolved"
+    )
+    o["render_mode"] = S.with_views(*_layers_cte()) + (
+        "SELECT root, CASE WHEN raw AND structure THEN NULL WHEN raw THEN 'raw' WHEN reverse THEN 'reverse' "
+        "WHEN structure THEN 'structure' ELSE 'markdown' END AS mode, "
+        f"CASE WHEN raw AND structure THEN {S.q('Options --raw and -s (structure with statistics) cannot be used together.')} END AS error "
+        "FROM resolved"
+    )
+    nb = _nb_ctes()
+    o["notebook_cells"] = S.with_views(nb[0]) + "SELECT root, rel, cell_no, cell_type, text AS source FROM cells"
+    o["notebook_outputs"] = S.with_views(nb[0], nb[1]) + "SELECT root, rel, CAST(cell_no AS BIGINT) AS cell_no, CAST(out_no AS BIGINT) AS out_no, block FROM outs"
+    o["notebook_render"] = S.with_views(*nb) + (
+        "SELECT root, rel, regexp_replace(string_agg(r, '' ORDER BY cell_no), '\\s+$', '') AS rendered FROM rcells GROUP BY root, rel"
+    )
+    o["notebook_language"] = S.with_views(nb[0]) + "SELECT DISTINCT root, rel, lang AS language FROM cells"
+    bp_dir = f"repeat('  ', len(path) - 1) || path[len(path)] || '/' || {NLc}"
+    o["blueprint_render"] = S.with_views(*kept_doc_ctes(), _insp("kept")) + f"""SELECT root, string_agg(block, '' ORDER BY path) AS blueprint FROM (
+  SELECT root, path, {bp_dir} AS block FROM nodes WHERE is_dir
+  UNION ALL SELECT root, path, {_blueprint_file_block("repeat('  ', len(path) - 1)", 'name')} FROM insp) GROUP BY root"""
+    o["blueprint_parse"] = S.with_views(*_lossless_ctes()) + """SELECT n.root AS blueprint_id, n.rel, n.is_dir,
+  CASE WHEN n.is_dir THEN NULL ELSE nullif(f.text, '') END AS content, CAST(NULL AS VARCHAR) AS error
+FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
+    o["blueprint_entries"] = S.with_views(*_lossless_ctes()) + f"""SELECT n.root AS blueprint_id, n.rel, n.is_dir,
+  CASE WHEN n.is_dir THEN NULL ELSE nullif(CASE WHEN n.path[1] = 'en' THEN {S.head_lines('f.text', 1)} ELSE f.text END, '') END AS content
+FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
+    o["pick_template"] = _pick_template_sql()
+    o["normalize_inline"] = (
+        "SELECT conv_id, turn, replace(replace(text, chr(10), '\\n'), '\\n', chr(10)) AS text FROM conversations"
+    )
+    o["scaffold_plan"] = S.with_views(DOC, S.closure_sql("doc_files", "wanted"), *_existing_ctes()) + """SELECT w.root, w.rel, w.is_dir,
+  e.is_dir IS NOT NULL AS exists,
+  CASE WHEN w.is_dir THEN (CASE WHEN e.is_dir IS NULL THEN 'create' WHEN e.is_dir THEN 'keep' ELSE 'create' END)
+       ELSE (CASE WHEN e.is_dir IS NOT NULL THEN 'overwrite' ELSE 'create' END) END AS action,
+  CASE WHEN w.is_dir THEN (CASE WHEN e.is_dir IS NULL THEN 'create' ELSE 'keep' END)
+       ELSE (CASE WHEN e.is_dir IS NOT NULL THEN 'overwrite' ELSE 'create' END) END AS dry_action,
+  e.is_dir IS NOT NULL AND NOT (w.is_dir AND e.is_dir) AS conflict,
+  NOT w.is_dir AND coalesce(e.is_dir, false) AS replaces_dir
+FROM wanted w LEFT JOIN existing e ON e.root = w.root AND e.path = w.path"""
+    return o
+
+
+def _mktree_patterns() -> list[str]:
+    out = []
+    for line in Qy.MKTREE_TEXT.split("\n"):
+        t = line.strip()
+        if t and not t.startswith("#"):
+            out.append(t)
+    return out
+
+
+def _pick_template_sql() -> str:
+    return """WITH srcs AS (SELECT DISTINCT source FROM documents),
+langs AS (SELECT DISTINCT lang FROM documents),
+tpl(dir, name, text, builtin) AS (
+  SELECT 'tpl', source || '.tree', 'tree of ' || source, false FROM srcs
+  UNION ALL SELECT 'tpl', source, 'names of ' || source, false FROM srcs WHERE CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 2 = 0
+  UNION ALL SELECT '', lang, 'builtin ' || lang, true FROM langs),
+req(req_id, dir, name) AS (
+  SELECT source, 'tpl', source FROM srcs UNION ALL SELECT source || '.tree', 'tpl', source || '.tree' FROM srcs
+  UNION ALL SELECT 'missing-' || source, 'tpl', 'missing-' || source FROM srcs
+  UNION ALL SELECT lang, 'tpl', lang FROM langs UNION ALL SELECT lang || '.tree', 'tpl', lang || '.tree' FROM langs),
+cand AS (
+  SELECT r.req_id, t.text, 1 AS prio, 'dir' AS source FROM req r JOIN tpl t ON NOT t.builtin AND t.dir = r.dir AND t.name = r.name
+  UNION ALL SELECT r.req_id, t.text, 2, 'dir' FROM req r JOIN tpl t ON NOT t.builtin AND t.dir = r.dir AND t.name = r.name || '.tree'
+  UNION ALL SELECT r.req_id, t.text, 3, 'builtin' FROM req r JOIN tpl t ON t.builtin AND t.name = regexp_replace(r.name, '\\.tree$', '')),
+best AS (SELECT req_id, arg_min(text, prio) AS text, arg_min(source, prio) AS source FROM cand GROUP BY req_id),
+names AS (SELECT string_agg(name, ', ' ORDER BY name) AS names FROM tpl WHERE builtin)
+SELECT r.req_id, b.text, b.source,
+  CASE WHEN b.text IS NULL THEN 'Template ''' || r.name || ''' was not found in ' || r.dir || ' or built-in templates ('
+       || (SELECT coalesce(names, 'none') FROM names) || ')' END AS error
+FROM req r LEFT JOIN best b USING (req_id)"""

@@ -212,6 +212,340 @@ def project_stats(spark, sf):
     return stats.project_stats(inspect_files(w.files), w.nodes)
 
 
+
+# --- ignore files ------------------------------------------------------------
+
+# Ignore files added to every root of doc_files (relative dir, file name, text).
+GITIGNORE_FILES = [
+    ([], ".gitignore", "# derived rules\n*.md\n!d1*.md\n/fr/public/\nd2?.PDF\nsrc-x/*.local\n"),
+    (["de"], ".gitignore", "*.local\n"),
+    (["de"], ".ignore", "!d1*.local\n"),
+]
+MKTREE_TEXT = "# derived globs\n\n*.PDF\n  src-x/  \nfr/public\n"
+
+
+def _with_extra_files(spark, sf, extra):
+    """doc_files plus the given (dir, name, text) files in every root (roots from the data)."""
+    files = _doc_files(spark, sf)
+    roots = files.select("root").distinct()
+    per_root = F.array(
+        *[F.struct(F.array(*[F.lit(x) for x in d]).cast("array<string>").alias("dir"), F.lit(n).alias("name"),
+                   F.lit(t).alias("text")) for d, n, t in extra]
+    )
+    extra_files = tables.files_from_table(
+        roots.select("root", F.explode(per_root).alias("e")).select(
+            "root", F.concat("e.dir", F.array("e.name")).alias("path"), F.col("e.text").alias("text")
+        )
+    )
+    return files.drop("doc_id").unionByName(extra_files)
+
+
+def gitignore(spark, sf):
+    files = _with_extra_files(spark, sf, GITIGNORE_FILES)
+    w = walk(files, WalkOptions())
+    return w.nodes.select("root", _rel(), "is_dir")
+
+
+def root_ignore_file(spark, sf):
+    files = _with_extra_files(spark, sf, [([], ".mktreeignore", MKTREE_TEXT)])
+    w = walk(files, WalkOptions(no_ignore=True, mktree_ignore=True))
+    return w.nodes.select("root", _rel(), "is_dir")
+
+
+# --- secrets -------------------------------------------------------------------
+
+
+def secret_findings(spark, sf):
+    from ..operators.secrets import secret_findings as find
+
+    f = find(inspect_files(tables.secret_docs(spark, sf)))
+    return f.select("root", _rel(), "line", "kind")
+
+
+def secret_report(spark, sf):
+    from ..operators.secrets import secret_findings as find
+    from ..operators.secrets import secret_report as report
+
+    return report(find(inspect_files(tables.secret_docs(spark, sf))))
+
+
+# --- repository metadata ---------------------------------------------------------
+
+
+def _meta(spark, sf):
+    from ..operators.meta import attach_repo_meta as attach
+
+    return attach(tables.repo_meta(spark, sf), tables.remotes(spark, sf))
+
+
+def attach_repo_meta(spark, sf):
+    return _meta(spark, sf)
+
+
+# --- tree and documents -----------------------------------------------------------
+
+
+def draw_tree(spark, sf):
+    return paths.draw_tree(_page_closure(spark, sf))
+
+
+def _render(spark, sf, mode):
+    from ..operators.render import render
+
+    return render(_doc_files(spark, sf), mode, meta=_meta(spark, sf)).select("root", "document")
+
+
+def render_structure(spark, sf):
+    return _render(spark, sf, "structure")
+
+
+def render_markdown(spark, sf):
+    return _render(spark, sf, "markdown")
+
+
+def render_raw(spark, sf):
+    return _render(spark, sf, "raw")
+
+
+def stats_header(spark, sf):
+    from ..operators.render import stats_header as header
+
+    files = _doc_files(spark, sf)
+    w = walk(files, WalkOptions())
+    st = stats.project_stats(inspect_files(w.files), w.nodes).join(_meta(spark, sf), "root", "left")
+    return st.select(
+        "root",
+        header(F.col("files"), F.col("dirs"), F.col("lines"), F.col("size"), None,
+               F.col("branch"), F.col("commit_hash"), F.col("remote_url")).alias("header"),
+    )
+
+
+# --- options -------------------------------------------------------------------------
+
+
+def option_layers(spark, sf):
+    """Per-root option layers derived from the source number n of each root."""
+    roots = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select(F.col("source").alias("root")).distinct()
+    n = F.regexp_extract("root", r"(\d+)$", 1).cast("int")
+    b = F.lit(None).cast("boolean")
+    i = F.lit(None).cast("bigint")
+
+    def layer(name, **kw):
+        cols = {
+            "max_size": i, "max_chars": i, "head": i, "tail": i, "from_end": b, "structure": b, "reverse": b,
+            "raw": b, "no_content": b, "tokens": b, "no_secret_scan": b, "include_hidden": b, "no_ignore": b,
+            "all": b, "exclude": F.lit(None).cast("array<string>"), "force": b, "dry_run": b,
+        }
+        cols.update(kw)
+        return roots.select("root", F.lit(name).alias("layer"), *[v.alias(k) for k, v in cols.items()])
+
+    default = layer("default", max_size=F.lit(1048576).cast("bigint"))
+    local = layer(
+        "local",
+        max_chars=F.when(n % 2 == 0, (n * 1000 + 500).cast("bigint")),
+        head=F.when(n % 4 == 1, F.lit(10).cast("bigint")),
+        reverse=F.when(n % 5 == 1, F.lit(True)),
+    )
+    glob_ = layer(
+        "global",
+        tail=F.when(n % 3 == 0, F.lit(5).cast("bigint")),
+        structure=F.when(n % 6 == 0, F.lit(True)),
+        max_size=F.when(n % 4 == 2, F.lit(2000).cast("bigint")),
+    )
+    explicit = layer(
+        "explicit",
+        raw=F.when(n % 5 == 0, F.lit(True)),
+        max_size=F.when(n % 5 == 0, F.lit(1048576).cast("bigint")),
+        from_end=F.when(n % 7 == 0, F.lit(True)),
+        no_secret_scan=F.when(n % 9 == 4, F.lit(True)),
+        tokens=F.when(n % 8 == 3, F.lit(True)),
+        no_content=F.when(n % 3 == 1, F.lit(True)),
+    )
+    return default.unionByName(local).unionByName(glob_).unionByName(explicit)
+
+
+def resolve_options(spark, sf):
+    from ..operators.options import resolve_options as resolve
+
+    r = resolve(option_layers(spark, sf))
+    return r.select("root", "max_size", "max_chars", "head", "tail", "from_end", "structure", "reverse", "raw",
+                    "no_content", "tokens", "no_secret_scan", "error")
+
+
+def secret_scan_policy(spark, sf):
+    from ..operators.options import resolve_options as resolve
+    from ..operators.options import secret_scan_policy as policy
+
+    return policy(resolve(option_layers(spark, sf)))
+
+
+def render_mode(spark, sf):
+    from ..operators.options import resolve_options as resolve
+    from ..operators.render import RAW_STRUCTURE_ERROR
+    from ..operators.render import render_mode as mode
+
+    r = resolve(option_layers(spark, sf))
+    m = mode(F.col("raw"), F.col("reverse"), F.col("structure"))
+    return r.select("root", m.alias("mode"), F.when(m.isNull(), F.lit(RAW_STRUCTURE_ERROR)).alias("error"))
+
+
+# --- notebooks --------------------------------------------------------------------------
+
+
+def _nbs(spark, sf):
+    return tables.notebooks(spark, sf)
+
+
+def notebook_cells(spark, sf):
+    from ..operators import notebook as NB
+
+    return NB.notebook_cells(_nbs(spark, sf)).select("root", _rel(), "cell_no", "cell_type", "source")
+
+
+def notebook_outputs(spark, sf):
+    from ..operators import notebook as NB
+
+    return NB.notebook_outputs(_nbs(spark, sf)).select("root", _rel(), "cell_no", "out_no", "block")
+
+
+def notebook_render(spark, sf):
+    from ..operators import notebook as NB
+
+    return NB.notebook_render(_nbs(spark, sf)).select("root", _rel(), "rendered")
+
+
+def notebook_language(spark, sf):
+    from ..operators import notebook as NB
+
+    return NB.notebook_language_of(_nbs(spark, sf)).select("root", _rel(), "language")
+
+
+# --- blueprints ---------------------------------------------------------------------------
+
+
+def _lossless(spark, sf):
+    """doc_files whose text survives a render/parse round trip (not binary, no CR)."""
+    return _doc_files(spark, sf).filter(~(F.col("doc_id") % 8).isin(4, 5))
+
+
+def _blueprint_texts(spark, sf, with_duplicates=False):
+    from ..operators.blueprint import blueprint_blocks
+
+    files = _lossless(spark, sf)
+    nodes = paths.path_closure(files)
+    blocks = blueprint_blocks(files, nodes).withColumn("part", F.lit(1))
+    if with_duplicates:
+        en = files.filter(F.element_at("path", 1) == "en")
+        blocks = blocks.unionByName(
+            blueprint_blocks(en, paths.path_closure(en), ContentOptions(head=1)).withColumn("part", F.lit(2))
+        )
+    return blocks.groupBy(F.col("root").alias("blueprint_id")).agg(
+        F.expr("listagg(block, '') WITHIN GROUP (ORDER BY part, path)").alias("text")
+    )
+
+
+def blueprint_render(spark, sf):
+    from ..operators.blueprint import blueprint_render as render_bp
+
+    files = _doc_files(spark, sf)
+    w = walk(files, WalkOptions())
+    return render_bp(w.files, w.nodes)
+
+
+def blueprint_parse(spark, sf):
+    from ..operators.blueprint import blueprint_parse as parse
+
+    p = parse(_blueprint_texts(spark, sf))
+    return p.select("blueprint_id", _rel(), "is_dir", "content", "error")
+
+
+def blueprint_entries(spark, sf):
+    from ..operators.blueprint import blueprint_entries as entries
+    from ..operators.blueprint import blueprint_parse as parse
+
+    e = entries(parse(_blueprint_texts(spark, sf, with_duplicates=True)))
+    return e.select("blueprint_id", _rel(), "is_dir", "content")
+
+
+# --- templates, inline text, scaffolding ------------------------------------------------
+
+
+def _templates(spark, sf):
+    roots = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("source", "lang")
+    sources = roots.select("source").distinct()
+    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    dotted = sources.select(F.lit("tpl").alias("dir"), F.concat("source", F.lit(".tree")).alias("name"),
+                            F.concat(F.lit("tree of "), F.col("source")).alias("text"), F.lit(False).alias("builtin"))
+    exact = sources.filter(n % 2 == 0).select(F.lit("tpl").alias("dir"), F.col("source").alias("name"),
+                                              F.concat(F.lit("names of "), F.col("source")).alias("text"), F.lit(False).alias("builtin"))
+    builtin = roots.select("lang").distinct().select(F.lit("").alias("dir"), F.col("lang").alias("name"),
+                                                     F.concat(F.lit("builtin "), F.col("lang")).alias("text"), F.lit(True).alias("builtin"))
+    return dotted.unionByName(exact).unionByName(builtin)
+
+
+def _template_requests(spark, sf):
+    roots = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("source", "lang")
+    s = roots.select(F.col("source").alias("x")).distinct()
+    l = roots.select(F.col("lang").alias("x")).distinct()
+    reqs = (
+        s.select(F.col("x").alias("name"))
+        .unionByName(s.select(F.concat("x", F.lit(".tree")).alias("name")))
+        .unionByName(s.select(F.concat(F.lit("missing-"), "x").alias("name")))
+        .unionByName(l.select(F.col("x").alias("name")))
+        .unionByName(l.select(F.concat("x", F.lit(".tree")).alias("name")))
+    )
+    return reqs.select(F.col("name").alias("req_id"), F.lit("tpl").alias("dir"), "name")
+
+
+def pick_template(spark, sf):
+    from ..operators.scaffold import pick_template as pick
+
+    return pick(_template_requests(spark, sf), _templates(spark, sf))
+
+
+def normalize_inline(spark, sf):
+    from ..operators.scaffold import normalize_inline as norm
+
+    c = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
+    inline = F.replace(F.col("text"), F.lit("\n"), F.lit("\\n"))
+    return c.select("conv_id", "turn", norm(inline).alias("text"))
+
+
+def _existing(spark, sf):
+    """Paths already on disk, derived from labels: quality 1 -> the file; toxic 1 -> a directory at the
+    file's path; quality 0 -> a file where the wanted tree has its parent directory; plus ancestors."""
+    files = _doc_files(spark, sf)
+    labels = spark.read.parquet(f"{sf.rstrip('/')}/labels.parquet")
+    j = files.join(labels, "doc_id")
+    rows = j.select(
+        "root",
+        F.when(F.col("toxic") == 1, F.col("path"))
+        .when(F.col("quality") == 1, F.col("path"))
+        .otherwise(F.slice("path", 1, 2)).alias("path"),
+        (F.col("toxic") == 1).alias("is_dir"),
+    )
+    return paths.path_closure(rows.withColumn("is_symlink", F.lit(False))).select("root", "path", "is_dir")
+
+
+def _wanted(spark, sf):
+    files = _doc_files(spark, sf)
+    nodes = paths.path_closure(files)
+    content = files.select("root", "path", F.col("content").cast("string").alias("content"))
+    return nodes.join(content, ["root", "path"], "left").select("root", "path", "is_dir", "content")
+
+
+def scaffold_plan(spark, sf):
+    from ..operators.scaffold import scaffold_plan as plan
+
+    wanted, existing = _wanted(spark, sf), _existing(spark, sf)
+    p = plan(wanted, existing, force=True)
+    dry = plan(wanted, existing, dry_run=True).select("root", "path", F.col("action").alias("dry_action"))
+    strict = plan(wanted, existing).select("root", "path", "conflict")
+    return p.join(dry, ["root", "path"]).join(strict, ["root", "path"]).select(
+        "root", _rel(), "is_dir", "exists", "action", "dry_action", "conflict", "replaces_dir"
+    )
+
+
 QUERIES = {
     "files_from_table": files_from_table,
     "path_closure": path_closure,
@@ -238,4 +572,27 @@ QUERIES = {
     "single_line": single_line,
     "project_stats": project_stats,
     "count_dirs": count_dirs,
+    "gitignore": gitignore,
+    "root_ignore_file": root_ignore_file,
+    "secret_findings": secret_findings,
+    "secret_report": secret_report,
+    "attach_repo_meta": attach_repo_meta,
+    "draw_tree": draw_tree,
+    "render_structure": render_structure,
+    "render_markdown": render_markdown,
+    "render_raw": render_raw,
+    "stats_header": stats_header,
+    "resolve_options": resolve_options,
+    "secret_scan_policy": secret_scan_policy,
+    "render_mode": render_mode,
+    "notebook_cells": notebook_cells,
+    "notebook_outputs": notebook_outputs,
+    "notebook_render": notebook_render,
+    "notebook_language": notebook_language,
+    "blueprint_render": blueprint_render,
+    "blueprint_parse": blueprint_parse,
+    "blueprint_entries": blueprint_entries,
+    "pick_template": pick_template,
+    "normalize_inline": normalize_inline,
+    "scaffold_plan": scaffold_plan,
 }

@@ -143,14 +143,36 @@ def page_files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations -> one .ipynb JSON text per conv_id (cells ordered by turn, role, text).
 
-    Built with a grouped aggregation: each conversation is one group; its turns
-    are bounded by the conversation, not by the table.
+    user turns are markdown cells, the others code cells with outputs derived
+    from their text: a stream (stdout on even turns, stderr on odd) holding the
+    first line, and for turns divisible by 3 an error whose value is the first
+    30 characters. Notebook metadata varies with conv_id % 4 (language_info,
+    kernelspec language, kernelspec name, none). Built with a grouped
+    aggregation: each conversation is one group, bounded by the conversation.
     """
-    c = _read(spark, sf_dir, "conversations")
+    c = balance(_read(spark, sf_dir, "conversations"))
+    is_code = F.col("role") != "user"
+    none_s = F.lit(None).cast("string")
+    stream = F.struct(
+        F.lit("stream").alias("output_type"),
+        F.when(F.col("turn") % 2 == 0, "stdout").otherwise("stderr").alias("name"),
+        F.array(F.substring_index(F.col("text"), "\n", 1)).alias("text"),
+        none_s.alias("ename"),
+        none_s.alias("evalue"),
+    )
+    error = F.struct(
+        F.lit("error").alias("output_type"),
+        none_s.alias("name"),
+        F.lit(None).cast("array<string>").alias("text"),
+        F.lit("ValueError").alias("ename"),
+        F.substring(F.col("text"), 1, 30).alias("evalue"),
+    )
+    outputs = F.when(is_code, F.when(F.col("turn") % 3 == 0, F.array(stream, error)).otherwise(F.array(stream)))
     cell = F.to_json(
         F.struct(
-            F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"),
+            F.when(is_code, "code").otherwise("markdown").alias("cell_type"),
             F.array(F.col("text")).alias("source"),
+            outputs.alias("outputs"),
         )
     )
     cells = F.array_join(
@@ -158,11 +180,16 @@ def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("turn", "role", "text", cell.alias("cell")))),
             lambda s: s["cell"],
         ),
-        ",",
+        ", ",
     )
-    nb = F.concat(
-        F.lit('{"metadata": {"language_info": {"name": "Python3"}}, "cells": ['), cells, F.lit("]}")
+    m = (F.col("conv_id") % 4).cast("int")
+    metadata = (
+        F.when(m == 0, F.lit('{"language_info": {"name": "Python3"}}'))
+        .when(m == 1, F.lit('{"kernelspec": {"language": "R"}}'))
+        .when(m == 2, F.lit('{"kernelspec": {"name": "ir-python-kernel"}}'))
+        .otherwise(F.lit("{}"))
     )
+    nb = F.concat(F.lit('{"metadata": '), F.first(metadata), F.lit(', "cells": ['), cells, F.lit("]}"))
     return c.groupBy("conv_id").agg(nb.alias("text")).select(
         F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("root"),
         F.array(F.lit("notebooks"), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".ipynb"))).alias("path"),
@@ -171,6 +198,24 @@ def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw documents as files: root = source, path = [lang, 'doc<id>.txt']."""
+    d = balance(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return files_from_table(
+        d.select(
+            F.col("source").alias("root"),
+            F.array("lang", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
+            "text",
+            "doc_id",
+        ),
+        keep=["doc_id"],
+    )
+
+
+def _source_num(col: str = "root") -> Column:
+    return F.regexp_extract(F.col(col), r"(\d+)$", 1).cast("int")
+
+
 def repo_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per documents.source: branch null for odd source numbers, a 40-hex commit."""
     s = _read(spark, sf_dir, "documents").select(F.col("source").alias("root")).distinct()
