@@ -538,7 +538,7 @@ def scaffold_plan(spark, sf):
     from ..operators.scaffold import scaffold_plan as plan
 
     wanted, existing = _wanted(spark, sf), _existing(spark, sf)
-    p = plan(wanted, existing, force=True)
+    p = plan(wanted, existing, force=True).drop("conflict")
     dry = plan(wanted, existing, dry_run=True).select("root", "path", F.col("action").alias("dry_action"))
     strict = plan(wanted, existing).select("root", "path", "conflict")
     return p.join(dry, ["root", "path"]).join(strict, ["root", "path"]).select(
