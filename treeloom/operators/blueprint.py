@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from ..functions import content as C
 from ..functions import quantities as Q
 from ..functions import text as TX
@@ -218,6 +219,7 @@ def blueprint_parse(blueprints: DataFrame, lenient: bool = True) -> DataFrame:
                     rows.append((bid, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=[f.name for f in PARSED_SCHEMA.fields])
 
+    ship_package(blueprints.sparkSession)
     return blueprints.select("blueprint_id", "text").mapInPandas(parse_batches, PARSED_SCHEMA)
 
 

@@ -20,6 +20,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..session import ship_package
 from pyspark.sql import types as T
 
 from . import paths
@@ -232,16 +234,17 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, include_hid
     from .joins import checked_broadcast
     from .snapshot import Walk
 
+    ship_package(files.sparkSession)
+
     nodes = w.nodes
     flagged = []
-    if git:
-        g = gitignore_rules(files)
-        if not g.isEmpty():
-            flagged.append(git_ignored(nodes, g))
-    if mktree:
-        m = mktree_rules(files)
-        if not m.isEmpty():
-            flagged.append(mktree_ignored(nodes, m))
+    # existence probes read only the path columns (content is pruned from the scan)
+    name = F.element_at("path", -1)
+    narrow = files.select("path", "is_dir").filter(~F.col("is_dir"))
+    if git and not narrow.filter(name.isin(list(SOURCE_PRIORITY))).isEmpty():
+        flagged.append(git_ignored(nodes, gitignore_rules(files)))
+    if mktree and not narrow.filter((F.size("path") == 1) & (name == MKTREE_NAME)).isEmpty():
+        flagged.append(mktree_ignored(nodes, mktree_rules(files)))
     if not flagged:
         return w
     bad = flagged[0]

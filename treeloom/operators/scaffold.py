@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..session import ship_package
 from pyspark.sql import types as T
 
 
@@ -140,6 +142,7 @@ def scaffold_write(plan: DataFrame, target: str, dry_run: bool = False) -> DataF
     are created with their parents, so row order across tasks does not matter;
     a file over a directory removes that directory first.
     """
+    ship_package(plan.sparkSession)
     bad = plan.filter(F.col("conflict")).limit(1).collect()
     if bad:
         r = bad[0]

@@ -1,8 +1,9 @@
 """Credential findings (ops 34, 35): (root, path, line, kind), never the matched value.
 
-Plan: one combined regex prefilter on each windowed text (a single pass per
-file), then only surviving texts are split into lines (``posexplode``) and
-each line is tested against every rule; matched kinds are exploded. All
+Plan: cheap guards (literal needles, two short regexes) prefilter each
+windowed text, then only surviving texts are split into lines (``posexplode``)
+and each line is tested against every rule whose guard it passes; matched
+kinds are exploded. All
 patterns are literals, compiled once per task. The patterns are written in the
 common subset of Java and RE2 regex syntax (no ``\\b``, ``.``, ``$``), so the
 same strings run in the DuckDB oracle.
@@ -42,9 +43,48 @@ SECRET_RULES = [
 
 ANY_SECRET = "|".join(f"(?:{rx})" for _k, rx in SECRET_RULES)
 
+# Cheap guards: a rule can only match where its guard does (literal needles, or a short
+# regex without a leading boundary group). Scanning whole texts with guards first is
+# ~60x cheaper than running the boundary-led patterns at every position.
+RULE_GUARDS = {
+    "private key": ["PRIVATE KEY-----"],
+    "AWS access key": ["AKIA", "ASIA"],
+    "GitHub token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"],
+    "GitLab token": ["glpat-"],
+    "OpenAI API key": ["sk-"],
+    "Google API key": ["AIza"],
+    "Stripe key": ["_live_", "_test_"],
+    "Slack token": ["xoxa-", "xoxb-", "xoxp-", "xoxo-", "xoxs-", "xoxr-"],
+    "JWT": ["eyJ"],
+    "authorization header": "(?i)authorization",
+    "credential assignment": "[:=][ \\t]*[\"']",
+}
+
+
+def _guard(t: Column, kind: str) -> Column:
+    g = RULE_GUARDS[kind]
+    if isinstance(g, str):
+        return t.rlike(g)
+    out = None
+    for needle in g:
+        c = t.contains(needle)
+        out = c if out is None else (out | c)
+    return out
+
+
+def any_guard(t: Column) -> Column:
+    out = None
+    for k, _rx in SECRET_RULES:
+        c = _guard(t, k)
+        out = c if out is None else (out | c)
+    return out
+
 
 def _kinds(line: Column) -> Column:
-    hits = [F.when(line.rlike(rx), F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind"))) for i, (k, rx) in enumerate(SECRET_RULES)]
+    hits = [
+        F.when(_guard(line, k) & line.rlike(rx), F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind")))
+        for i, (k, rx) in enumerate(SECRET_RULES)
+    ]
     return F.filter(F.array(*hits), lambda h: h.isNotNull())
 
 
@@ -52,7 +92,7 @@ def secret_findings(inspected: DataFrame, opts: ContentOptions | None = None) ->
     """(root, path, line, rule, kind) over the windowed text of text files."""
     text = windowed(F.col("text"), opts)
     cand = inspected.filter(F.col("kind") == "text").select("root", "path", text.alias("t")).filter(
-        F.col("t").rlike(ANY_SECRET)
+        any_guard(F.col("t"))
     )
     lines = cand.select("root", "path", F.posexplode(F.split("t", "\n")).alias("pos", "l")).select(
         "root", "path", (F.col("pos") + 1).alias("line"), F.regexp_replace("l", "\r\\z", "").alias("l")

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..session import ship_package
 from pyspark.sql import types as T
 
 from .joins import checked_broadcast
@@ -85,6 +87,7 @@ _RANKS_CACHE: dict[str, dict[bytes, int]] = {}
 
 def token_counts(texts: DataFrame, ranks_path: str, text_col: str = "text", keys=("root", "path")) -> DataFrame:
     """(keys..., tokens) with the rank file at ``ranks_path`` (visible to every executor)."""
+    ship_package(texts.sparkSession)
     keys = list(keys)
     exploded = texts.select(*keys, F.explode(pretokens(F.col(text_col))).alias("pt"))
     per_text = exploded.groupBy(*keys, "pt").agg(F.count("*").alias("n"))

@@ -425,6 +425,13 @@ FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
   CASE WHEN n.is_dir THEN NULL ELSE nullif(CASE WHEN n.path[1] = 'en' THEN {S.head_lines('f.text', 1)} ELSE f.text END, '') END AS content
 FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
     o["pick_template"] = _pick_template_sql()
+    o["scaffold_write"] = S.with_views(DOC, S.closure_sql("doc_files", "wanted")) + (
+        "SELECT root, rel, is_dir, 'create' AS action, true AS written FROM wanted"
+    )
+    o["scan_files"] = S.with_views(DOC, S.closure_sql("doc_files", "nodes")) + """SELECT n.root, n.rel, n.is_dir, false AS is_symlink,
+  CASE WHEN n.is_dir THEN NULL ELSE CAST(octet_length(encode(f.text)) AS BIGINT) END AS size, CAST(NULL AS VARCHAR) AS error
+FROM nodes n LEFT JOIN doc_files f ON f.root = n.root AND f.path = n.path"""
+    o["write_snapshots"] = "SELECT root, CAST(octet_length(encode(document)) AS BIGINT) AS bytes FROM (" + _doc_sql("markdown") + ")"
     o["normalize_inline"] = (
         "SELECT conv_id, turn, replace(replace(text, chr(10), '\\n'), '\\n', chr(10)) AS text FROM conversations"
     )

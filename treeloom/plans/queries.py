@@ -546,6 +546,72 @@ def scaffold_plan(spark, sf):
     )
 
 
+# --- sources and sinks that touch storage (rows-only checks) ------------------------------
+
+
+def _posix_shared(spark, *parts):
+    """A fresh folder under the shared checkpoint folder (must be mounted on every executor)."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark)
+    if base.startswith("file:"):
+        base = "/" + base[5:].lstrip("/")
+    if "://" in base:
+        raise RuntimeError(f"file-tree queries need a POSIX-mounted shared folder, got {base}")
+    path = os.path.join(base, *parts, uuid.uuid4().hex)
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def _materialise_doc_tree(spark, sf):
+    """Write the doc_files tree under a fresh shared folder (one directory per root)."""
+    from ..operators.scaffold import scaffold_plan as plan
+    from ..operators.scaffold import scaffold_write as write
+    from ..sources.filetree import scan_parent
+
+    target = _posix_shared(spark, "trees")
+    existing = scan_parent(spark, target).select("root", "path", "is_dir")
+    events = write(plan(_wanted(spark, sf), existing), target)
+    return target, events
+
+
+def scaffold_write(spark, sf):
+    """Op 52: plan against what is on disk (a fresh folder), then write; returns the write events."""
+    target, events = _materialise_doc_tree(spark, sf)
+    return events.select("root", _rel(), "is_dir", "action", "written")
+
+
+def scan_files(spark, sf):
+    """Op 1: the doc_files tree written to shared storage, walked back by the file-tree source."""
+    from ..sources.filetree import scan_parent
+
+    target, events = _materialise_doc_tree(spark, sf)
+    events.write.format("noop").mode("overwrite").save()
+    f = scan_parent(spark, target)
+    return f.select("root", _rel(), "is_dir", "is_symlink", "size", F.col("error"))
+
+
+def write_snapshots(spark, sf):
+    """Op 5: Markdown documents written one per root, read back whole."""
+    from ..sources.sinks import write_documents
+
+    target = _posix_shared(spark, "snapshots")
+    write_documents(render_markdown(spark, sf), target)
+    back = spark.read.text(target, wholetext=True)
+    return back.select("root", F.octet_length("value").cast("bigint").alias("bytes"))
+
+
+def token_count(spark, sf):
+    """Op 33 without a rank file: pre-tokens per file (the o200k_base vocabulary is not shipped)."""
+    from ..operators.tokens import pretoken_counts
+
+    i = _doc_inspected(spark, sf).filter(F.col("kind") == "text")
+    return pretoken_counts(i).select("root", _rel(), "pretokens")
+
+
 QUERIES = {
     "files_from_table": files_from_table,
     "path_closure": path_closure,
@@ -595,4 +661,8 @@ QUERIES = {
     "pick_template": pick_template,
     "normalize_inline": normalize_inline,
     "scaffold_plan": scaffold_plan,
+    "scaffold_write": scaffold_write,
+    "scan_files": scan_files,
+    "write_snapshots": write_snapshots,
+    "token_count": token_count,
 }

@@ -26,6 +26,7 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "tre
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -51,3 +52,26 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written intermediate tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``treeloom`` importable in Python workers (executors) via ``addPyFile``.
+
+    Operators with Arrow-batched Python steps (parsing blueprints, compiling
+    ignore rules, BPE, the file-tree source, the scaffold writer) call this; it
+    zips the package once per process and ships it once per SparkContext.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="treeloom-py-")
+    archive = shutil.make_archive(os.path.join(out_dir, "treeloom"), "zip", os.path.dirname(pkg_dir), "treeloom")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

@@ -8,7 +8,8 @@ becomes the ``error`` column). Files above ``max_size`` carry only their first
 8 KiB (enough for MIME detection). The paths must be on storage that every
 executor mounts.
 
-Options: ``roots`` (JSON list of directories), ``max_size`` (bytes, default 1 MiB).
+Options: ``roots`` (JSON list of directories) and/or ``parent`` (every
+subdirectory is a root), ``max_size`` (bytes, default 1 MiB).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ship_package
+
 from ..functions import constants as K
 
 SCHEMA = (
@@ -68,11 +71,19 @@ def _walk(root: str, rel: list[str], max_size: int) -> Iterator[tuple]:
 class FileTreeReader(DataSourceReader):
     def __init__(self, options):
         self.roots = json.loads(options.get("roots", "[]"))
+        self.parent = options.get("parent")
         self.max_size = int(options.get("max_size", K.DEFAULT_MAX_SIZE))
 
     def partitions(self):
         parts = []
-        for r in self.roots:
+        roots = list(self.roots)
+        if self.parent:
+            try:
+                roots += [os.path.join(self.parent, d) for d in sorted(os.listdir(self.parent))
+                          if os.path.isdir(os.path.join(self.parent, d))]
+            except OSError:
+                pass
+        for r in roots:
             try:
                 entries = sorted(os.listdir(r))
             except OSError:
@@ -103,6 +114,7 @@ class FileTreeDataSource(DataSource):
 
 
 def register(spark) -> None:
+    ship_package(spark)
     spark.dataSource.register(FileTreeDataSource)
 
 
@@ -115,3 +127,14 @@ def scan_files(spark, roots: list[str], max_size: int = K.DEFAULT_MAX_SIZE):
         .option("max_size", str(max_size))
         .load()
     )
+
+
+def scan_parent(spark, parent: str, max_size: int = K.DEFAULT_MAX_SIZE):
+    """``files`` of every subdirectory of ``parent`` (each one a root)."""
+    register(spark)
+    return (
+        spark.read.format("filetree")
+        .option("parent", os.path.abspath(parent))
+        .option("max_size", str(max_size))
+        .load()
+    )

@@ -20,13 +20,18 @@ def output_name(root_col: str = "root", suffix: str = ".md"):
 
 
 def write_documents(docs: DataFrame, target: str, mode: str = "overwrite") -> None:
-    """(root, document) -> target/root=<root>/part-*.txt, one document per root (whole text)."""
+    """(root, document) -> target/root=<root>/part-*.txt holding exactly the document.
+
+    Documents end with a newline (every mode renders one); the text sink appends
+    one after each row, so the final newline is cut before writing. Empty
+    documents produce no file.
+    """
+    body = F.expr("substring(document, 1, length(document) - 1)")
     (
-        docs.filter(F.col("document").isNotNull())
-        .select("root", "document")
+        docs.filter(F.col("document").isNotNull() & F.col("document").endswith("\n"))
+        .select("root", body.alias("value"))
         .repartition("root")
         .write.mode(mode)
-        .option("lineSep", "")
         .partitionBy("root")
         .text(target)
     )
