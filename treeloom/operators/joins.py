@@ -22,3 +22,14 @@ def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> D
     ensure_checkpoint_dir(small.sparkSession)
     frozen = small.checkpoint(eager=True)
     return F.broadcast(frozen) if frozen.count() <= max_rows else frozen
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Materialise a narrow intermediate that several branches of one plan reuse.
+
+    Written once to the shared checkpoint folder (reliable, survives executor
+    loss); the lineage is cut, so each branch reads the written rows instead of
+    recomputing (and re-shuffling) them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

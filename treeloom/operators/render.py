@@ -28,7 +28,7 @@ from ..functions import quantities as Q
 from ..functions import text as TX
 from . import paths
 from .inspect import ContentOptions, inspect_files, with_shown
-from .joins import checked_broadcast
+from .joins import checked_broadcast, freeze
 from .snapshot import WalkOptions, walk
 
 # Per-root bound (bytes) above which a document is not built as one string.
@@ -166,6 +166,8 @@ def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None
     """
     opts = opts or RenderOptions()
     w = walk(files, opts.walk)
+    # the node table (paths only) feeds bounds, tree, marks and counts: compute it once
+    w.nodes = freeze(w.nodes)
     small = _small_roots(w.files, w.nodes, opts.max_document_bytes)
     roots = w.nodes.select("root").unionByName(w.files.select("root")).distinct()
     rows = roots.join(small, "root", "left")

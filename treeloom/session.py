@@ -20,6 +20,7 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "tre
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TREELOOM_DRIVER_MEMORY", "16g"))
     )

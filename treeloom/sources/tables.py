@@ -62,11 +62,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def balance(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer partitions than task slots (e.g. one large row group).
 
-    Large inputs already arrive in many splits and are left alone; only a
-    narrow, already-projected frame is redistributed, round-robin.
+    Large inputs already arrive in many splits and are returned untouched. For a
+    small, already-projected frame the repartition is checkpointed to the shared
+    folder: a plain ``repartition`` would not help, because the optimizer pushes
+    the (expensive, per-row) filters below it into the single scan task.
     """
+    from ..session import ensure_checkpoint_dir
+
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartition(want).checkpoint(eager=True)
 
 
 def doc_dir(doc_id: Column) -> Column:
