@@ -65,3 +65,21 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 52
+
+
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no local vocabulary")
+def test_token_line_counts_whole_document(spark, files_of):
+    import re
+
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from treeloom.operators.render import render
+
+    enc = tiktoken.Encoding("local50k", pat_str=O200K_PATTERN, mergeable_ranks=load_tiktoken_bpe(VOCAB), special_tokens={})
+    f = files_of({"p": {"README.md": "# Title\n\n```\ncode\n```\n", "src/main.rs": "fn main() { println!(\"hello\"); }",
+                        "src/lib.rs": "pub fn add(a: i32) -> i32 { a }\n"}})
+    for mode in ("markdown", "structure"):
+        doc = render(f, mode, ranks_path=VOCAB).collect()[0]["document"]
+        t = int(re.search(r"- Tokens \(o200k_base\): ([\d,]+)\n", doc).group(1).replace(",", ""))
+        assert t == len(enc.encode_ordinary(doc))

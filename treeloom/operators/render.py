@@ -158,11 +158,14 @@ def _meta_cols(meta: DataFrame | None):
 
 
 def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None = None,
-           meta: DataFrame | None = None, notebooks: bool = True) -> DataFrame:
+           meta: DataFrame | None = None, notebooks: bool = True, ranks_path: str | None = None) -> DataFrame:
     """(root, document, assembled) for mode in {markdown, structure, raw}.
 
     ``meta``: optional (root, branch, commit_hash, remote_url) from
     ``operators.meta.attach_repo_meta``; roots without a row get no git lines.
+    ``ranks_path``: an o200k_base rank file on shared storage; with it the
+    statistics header carries the token line (op 41), whose count includes the
+    whole document, the line itself too.
     """
     opts = opts or RenderOptions()
     w = walk(files, opts.walk)
@@ -174,9 +177,11 @@ def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None
     if mode in ("markdown", "structure"):
         rows = rows.join(_dirs_per_root(w.nodes), "root", "left").join(_tree_per_root(w.nodes, small), "root", "left")
     if mode == "raw":
-        fa = _file_agg(_file_rows(w.files, opts.content, "raw", False), small, sep="\n")
+        blocks = _file_rows(w.files, opts.content, "raw", False)
+        fa = _file_agg(blocks, small, sep="\n")
     else:
-        fa = _file_agg(_file_rows(w.files, opts.content, "markdown", notebooks and mode == "markdown"), small)
+        blocks = _file_rows(w.files, opts.content, "markdown", notebooks and mode == "markdown")
+        fa = _file_agg(blocks, small)
     rows = rows.join(fa, "root", "left")
     if meta is not None:
         rows = rows.join(meta.select("root", "branch", "commit_hash", "remote_url"), "root", "left")
@@ -187,14 +192,60 @@ def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None
     assembled = F.coalesce(F.col("small"), F.lit(False))
     if mode == "raw":
         doc = F.coalesce(F.col("body"), F.lit(""))
-    else:
+        return rows.select("root", F.when(assembled, doc).alias("document"), assembled.alias("assembled"))
+    structure = structure_section(F.col("tree"))
+    contents = F.concat(F.lit("\n# File Contents\n"), F.coalesce(F.col("body"), F.lit("")))
+    body = structure if mode == "structure" else F.concat(structure, contents)
+    if ranks_path is None:
         header = stats_header(files_c, dirs_c, lines_c, size_c, None, b, c, r)
-        structure = structure_section(F.col("tree"))
-        if mode == "structure":
-            doc = F.concat(header, structure)
-        else:
-            doc = F.concat(header, structure, F.lit("\n# File Contents\n"), F.coalesce(F.col("body"), F.lit("")))
-    return rows.select("root", F.when(assembled, doc).alias("document"), assembled.alias("assembled"))
+        return rows.select("root", F.when(assembled, F.concat(header, body)).alias("document"), assembled.alias("assembled"))
+    from .tokens import header_fixpoint
+
+    body_tokens = _body_tokens(rows, blocks, mode, ranks_path)
+    rows = rows.join(body_tokens, "root", "left")
+    head = F.concat(
+        F.lit("# Project Statistics\n- Files: "), Q.format_count(files_c), F.lit("\n- Directories: "), Q.format_count(dirs_c),
+        F.lit("\n- Total lines: "), Q.format_count(lines_c), F.lit("\n- Total size: "), Q.format_size(size_c), F.lit("\n"),
+    )
+    tail = stats_header(F.lit(0), F.lit(0), F.lit(0), F.lit(0), None, b, c, r)
+    tail = F.regexp_replace(tail, "^(?s).*?- Total size: [^\n]*\n", "")
+    t = header_fixpoint(head, tail, F.coalesce(F.col("body_tokens"), z), ranks_path)
+    header = F.concat(head, F.lit("- Tokens (o200k_base): "), Q.format_count(t), F.lit("\n"), tail)
+    return rows.select("root", F.when(assembled, F.concat(header, body)).alias("document"), assembled.alias("assembled"))
+
+
+def _body_tokens(rows: DataFrame, blocks: DataFrame, mode: str, ranks_path: str) -> DataFrame:
+    """Tokens of everything after the header, summed over units cut right before each '## '.
+
+    Unit 0: the structure section (+ '\n# File Contents\n' and the first block's
+    leading newline); unit i: block i without its leading newline, plus the
+    next block's leading newline (none after the last block). Each cut lies on a
+    pre-token boundary, so the unit counts add up to the document's.
+    """
+    from .tokens import token_counts
+
+    structure = structure_section(F.col("tree"))
+    if mode == "structure":
+        u0 = rows.select("root", F.lit("").alias("uid"), structure.alias("text"))
+        units = u0
+    else:
+        has_files = F.coalesce(F.col("files"), F.lit(0)) > 0
+        u0 = rows.select(
+            "root", F.lit("").alias("uid"),
+            F.concat(structure, F.lit("\n# File Contents\n"), F.when(has_files, F.lit("\n")).otherwise(F.lit(""))).alias("text"),
+        )
+        last = blocks.groupBy("root").agg(F.max("path").alias("last_path"))
+        fb = blocks.join(last, "root").select(
+            "root",
+            F.array_join("path", "/").alias("uid"),
+            F.concat(
+                F.expr("substring(block, 2)"),
+                F.when(F.col("path") == F.col("last_path"), F.lit("")).otherwise(F.lit("\n")),
+            ).alias("text"),
+        )
+        units = u0.unionByName(fb)
+    per_unit = token_counts(units, ranks_path, "text", keys=("root", "uid"))
+    return per_unit.groupBy("root").agg(F.sum("tokens").cast("bigint").alias("body_tokens"))
 
 
 def render_mode(raw: Column, reverse: Column, structure: Column) -> Column:

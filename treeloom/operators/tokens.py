@@ -108,3 +108,41 @@ def token_counts(texts: DataFrame, ranks_path: str, text_col: str = "text", keys
     summed = per_text.join(encoded, "pt").groupBy(*keys).agg(F.sum(F.col("n") * F.col("tokens")).cast("bigint").alias("tokens"))
     # texts without any pre-token have 0 tokens
     return texts_keys.join(summed, keys, "left").select(*keys, F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def python_pretokens(text: str) -> list[str]:
+    import regex
+
+    return regex.findall(O200K_PATTERN, text)
+
+
+def count_text(text: str, ranks: dict[bytes, int]) -> int:
+    return sum(bpe_count(p.encode("utf-8"), ranks) for p in python_pretokens(text))
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    r = _RANKS_CACHE.get(path)
+    if r is None:
+        r = _RANKS_CACHE.setdefault(path, load_ranks(path))
+    return r
+
+
+def header_fixpoint(prefix: Column, suffix: Column, body_tokens: Column, ranks_path: str) -> Column:
+    """Token count t with t = tokens(prefix + token line(t) + suffix) + body_tokens, iterated at most
+    10 times from 0 (the header is small: one Arrow-batched call per root)."""
+
+    @F.pandas_udf(T.LongType())
+    def fix(pre: pd.Series, suf: pd.Series, body: pd.Series) -> pd.Series:
+        ranks = _ranks(ranks_path)
+        out = []
+        for p, s, b in zip(pre, suf, body):
+            t = 0
+            for _ in range(10):
+                est = count_text(f"{p}- Tokens (o200k_base): {t:,}\n{s}", ranks) + int(b)
+                if est == t:
+                    break
+                t = est
+            out.append(t)
+        return pd.Series(out, dtype="int64")
+
+    return fix(prefix, suffix, body_tokens)
