@@ -78,3 +78,11 @@ def test_mktreeignore(spark, files_of):
     f = files_of({"r": {".mktreeignore": "# c\n\n  *.tmp  \ncache/\n", "a.tmp": "x", "b.txt": "x", "cache/c.txt": "x"}})
     w = walk(f, WalkOptions(mktree_ignore=True))
     assert sorted("/".join(r["path"]) for r in w.files.collect()) == ["b.txt"]
+
+
+def test_whitelist_rescues_hidden(spark, files_of):
+    from treeloom.operators.snapshot import WalkOptions, walk
+
+    f = files_of({"r": {".gitignore": "!.github/\n!.keep\n", ".github/ci.yml": "x", ".keep": "", ".other": "x", "a.txt": "x"}})
+    w = walk(f, WalkOptions())
+    assert sorted("/".join(r["path"]) for r in w.files.collect()) == [".github/ci.yml", ".keep", "a.txt"]

@@ -195,8 +195,8 @@ def mktree_rules(files: DataFrame) -> DataFrame:
     )
 
 
-def git_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(root, path) of nodes whose winning gitignore rule is not a negation (op 12)."""
+def git_winners(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(root, path, negated) of the winning gitignore rule of every matched node (op 12)."""
     cand = nodes.select(
         "root", "path", "is_dir", F.explode(F.sequence(F.lit(0), F.size("path") - 1)).alias("k")
     ).select(
@@ -209,10 +209,14 @@ def git_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     hits = cand.join(rules, ["root", "dir"]).filter(
         F.expr("rel rlike regex") & (~F.col("dir_only") | F.col("is_dir"))
     )
-    win = hits.groupBy("root", "path").agg(
+    return hits.groupBy("root", "path").agg(
         F.max_by("negated", F.struct(F.size("dir"), "source_priority", "line_no")).alias("negated")
     )
-    return win.filter(~F.col("negated")).select("root", "path")
+
+
+def git_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(root, path) of nodes whose winning gitignore rule is not a negation."""
+    return git_winners(nodes, rules).filter(~F.col("negated")).select("root", "path")
 
 
 def mktree_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -224,35 +228,43 @@ def mktree_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.filter(hit).select("root", "path").distinct()
 
 
-def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, include_hidden: bool = False):
+def has_git_files(files: DataFrame) -> bool:
+    """Existence probe on the path columns only (content is pruned from the scan)."""
+    name = F.element_at("path", -1)
+    return not files.select("path", "is_dir").filter(~F.col("is_dir") & name.isin(list(SOURCE_PRIORITY))).isEmpty()
+
+
+def has_mktree_files(files: DataFrame) -> bool:
+    return not files.select("path", "is_dir").filter(
+        ~F.col("is_dir") & (F.size("path") == 1) & (F.element_at("path", 1) == MKTREE_NAME)
+    ).isEmpty()
+
+
+def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool = False):
     """Remove ignored nodes and their subtrees from a walk; keep files whose node survives.
 
-    Ignore files are usually absent; a cheap existence probe on the (tiny) rule
-    tables skips every rule join when there are none. Removed file paths are
-    materialised and broadcast only after their size is measured.
+    ``hide``: the hidden-name test was deferred to here — a node whose own name
+    starts with '.' is excluded unless an ignore-file rule matched it (a
+    whitelisting rule rescues it; an ignoring one excludes it anyway). Removed
+    file paths are materialised and broadcast only after their size is measured.
     """
     from .joins import checked_broadcast
     from .snapshot import Walk
 
     ship_package(files.sparkSession)
-
     nodes = w.nodes
-    flagged = []
-    # existence probes read only the path columns (content is pruned from the scan)
-    name = F.element_at("path", -1)
-    narrow = files.select("path", "is_dir").filter(~F.col("is_dir"))
-    if git and not narrow.filter(name.isin(list(SOURCE_PRIORITY))).isEmpty():
-        flagged.append(git_ignored(nodes, gitignore_rules(files)))
-    if mktree and not narrow.filter((F.size("path") == 1) & (name == MKTREE_NAME)).isEmpty():
-        flagged.append(mktree_ignored(nodes, mktree_rules(files)))
-    if not flagged:
-        return w
-    bad = flagged[0]
-    for extra in flagged[1:]:
-        bad = bad.unionByName(extra)
-    marked = nodes.join(bad.distinct().withColumn("excluded", F.lit(True)), ["root", "path"], "left").withColumn(
-        "excluded", F.coalesce("excluded", F.lit(False))
-    )
+    marked = nodes
+    excluded = F.lit(False)
+    if git:
+        win = git_winners(nodes, gitignore_rules(files))
+        marked = marked.join(win, ["root", "path"], "left")
+        own_hidden = F.element_at("path", -1).startswith(".")
+        excluded = F.coalesce(~F.col("negated"), own_hidden if hide else F.lit(False))
+    if mktree:
+        mk = mktree_ignored(nodes, mktree_rules(files)).withColumn("mk", F.lit(True))
+        marked = marked.join(mk, ["root", "path"], "left")
+        excluded = excluded | F.coalesce(F.col("mk"), F.lit(False))
+    marked = marked.withColumn("excluded", excluded).select(*nodes.columns, "excluded")
     kept_nodes = paths.prune_subtrees(marked).drop("excluded")
     removed = nodes.filter(~F.col("is_dir")).select("root", "path").join(
         kept_nodes.select("root", "path"), ["root", "path"], "left_anti"

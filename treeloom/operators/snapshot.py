@@ -17,7 +17,7 @@ class WalkOptions:
     no_ignore: bool = False
     all: bool = False
     exclude: tuple[str, ...] = field(default_factory=tuple)
-    mktree_ignore: bool = False
+    mktree_ignore: bool = True
     max_size: int = K.DEFAULT_MAX_SIZE
 
 
@@ -34,21 +34,26 @@ def walk(files: DataFrame, opts: WalkOptions | None = None) -> Walk:
     ancestor prefix (no join). Directory nodes come from the closure of all
     paths, so a directory whose files are all excluded stays as an empty one.
     Per-root ignore files (``.mktreeignore``, ``.gitignore``/``.ignore``) add
-    rule joins, see ``ignore.apply_ignore_files``.
+    rule joins, see ``ignore.apply_ignore_files``; when ignore files exist the
+    hidden-name test moves there, because a whitelisting rule rescues a hidden
+    name.
     """
+    from .ignore import apply_ignore_files, has_git_files, has_mktree_files
+
     opts = opts or WalkOptions()
     include_hidden = opts.include_hidden or opts.all
+    use_git = not (opts.no_ignore or opts.all)
+    git_present = use_git and has_git_files(files)
+    mk_present = opts.mktree_ignore and has_mktree_files(files)
+    hide_later = git_present and not include_hidden
 
     def keep(path, is_dir):
-        return rules.keep_predicate(path, is_dir, include_hidden, opts.all, list(opts.exclude))
+        return rules.keep_predicate(path, is_dir, include_hidden or hide_later, opts.all, list(opts.exclude))
 
     kept_files = files.filter(~F.col("is_dir") & keep(F.col("path"), F.lit(False)))
     nodes = paths.path_closure(files)
     nodes = nodes.filter(keep(F.col("path"), F.col("is_dir")))
     w = Walk(kept_files, nodes)
-    use_git = not (opts.no_ignore or opts.all)
-    if opts.mktree_ignore or use_git:
-        from .ignore import apply_ignore_files
-
-        w = apply_ignore_files(files, w, mktree=opts.mktree_ignore, git=use_git, include_hidden=include_hidden)
+    if git_present or mk_present:
+        w = apply_ignore_files(files, w, mktree=mk_present, git=git_present, hide=hide_later)
     return w

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def output_name(root_col: str = "root", suffix: str = ".md"):
-    """Per-root output file name; blueprints use '<root name>.tree' (see blueprint.default_output_name)."""
+def output_name(root_col: str = "root", suffix: str = ".md", fallback: str = "snapshot"):
+    """Per-root output file name '<root name><suffix>'; '<fallback><suffix>' for '', '.' or '..'."""
     trimmed = F.regexp_replace(F.col(root_col), "/+$", "")
     last = F.element_at(F.split(trimmed, "/"), -1)
-    return F.when(last.isin("", ".", "..") | last.isNull(), F.lit("ccp" + suffix)).otherwise(F.concat(last, F.lit(suffix)))
+    return F.when(last.isin("", ".", "..") | last.isNull(), F.lit(fallback + suffix)).otherwise(F.concat(last, F.lit(suffix)))
 
 
 def write_documents(docs: DataFrame, target: str, mode: str = "overwrite") -> None:
