@@ -81,12 +81,17 @@ def blueprint_blocks(files: DataFrame, nodes: DataFrame, opts: ContentOptions |
 
 
 def blueprint_render(files: DataFrame, nodes: DataFrame, opts: ContentOptions | None = None,
-                     max_size: int | None = None, no_content: bool = False) -> DataFrame:
-    """(root, blueprint): blocks concatenated in preorder per root."""
+                     max_size: int | None = None, no_content: bool = False,
+                     max_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+    """(root, blueprint): blocks concatenated in preorder per root (roots under ``max_bytes``;
+    the bound comes from file sizes and node names — cheap columns)."""
+    from .ordering import assemble
+
     blocks = blueprint_blocks(files, nodes, opts, max_size, no_content)
-    return blocks.groupBy("root").agg(
-        F.expr("listagg(block, '') WITHIN GROUP (ORDER BY path)").alias("blueprint")
-    )
+    per_file = files.select("root", (F.coalesce(F.col("size"), F.lit(0)) * 2 + 64).cast("bigint").alias("b"))
+    per_node = nodes.select("root", (F.col("depth") * 2 + F.octet_length("name") + 16).cast("bigint").alias("b"))
+    bounds = per_file.unionByName(per_node).groupBy("root").agg(F.sum("b").alias("bytes"))
+    return assemble(blocks, "root", "path", "block", "blueprint", max_bytes, bounds=bounds).select("root", "blueprint")
 
 
 def default_output_name(root: Column, fallback: str = "snapshot") -> Column:

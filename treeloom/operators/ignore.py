@@ -228,16 +228,17 @@ def mktree_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.filter(hit).select("root", "path").distinct()
 
 
-def has_git_files(files: DataFrame) -> bool:
-    """Existence probe on the path columns only (content is pruned from the scan)."""
+def ignore_files_present(files: DataFrame) -> set[str]:
+    """Which ignore-file kinds exist ('git', 'mktree'): one probe on the path columns only
+    (content is pruned from the scan); at most three distinct names come back."""
     name = F.element_at("path", -1)
-    return not files.select("path", "is_dir").filter(~F.col("is_dir") & name.isin(list(SOURCE_PRIORITY))).isEmpty()
-
-
-def has_mktree_files(files: DataFrame) -> bool:
-    return not files.select("path", "is_dir").filter(
-        ~F.col("is_dir") & (F.size("path") == 1) & (F.element_at("path", 1) == MKTREE_NAME)
-    ).isEmpty()
+    kinds = F.when(name.isin(list(SOURCE_PRIORITY)), F.lit("git")).when(
+        (F.size("path") == 1) & (name == MKTREE_NAME), F.lit("mktree")
+    )
+    found = files.select("path", "is_dir").filter(~F.col("is_dir")).select(kinds.alias("k")).filter(
+        F.col("k").isNotNull()
+    ).distinct().limit(2).collect()
+    return {r["k"] for r in found}
 
 
 def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool = False):
@@ -248,11 +249,12 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool
     whitelisting rule rescues it; an ignoring one excludes it anyway). Removed
     file paths are materialised and broadcast only after their size is measured.
     """
-    from .joins import checked_broadcast
+    from .joins import checked_broadcast, freeze
     from .snapshot import Walk
 
     ship_package(files.sparkSession)
-    nodes = w.nodes
+    # nodes feed the rule join, the prune and the removed-file set: compute them once
+    nodes = freeze(w.nodes)
     marked = nodes
     excluded = F.lit(False)
     if git:
@@ -265,7 +267,7 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool
         marked = marked.join(mk, ["root", "path"], "left")
         excluded = excluded | F.coalesce(F.col("mk"), F.lit(False))
     marked = marked.withColumn("excluded", excluded).select(*nodes.columns, "excluded")
-    kept_nodes = paths.prune_subtrees(marked).drop("excluded")
+    kept_nodes = freeze(paths.prune_subtrees(marked).drop("excluded"))
     removed = nodes.filter(~F.col("is_dir")).select("root", "path").join(
         kept_nodes.select("root", "path"), ["root", "path"], "left_anti"
     )

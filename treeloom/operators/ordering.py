@@ -59,15 +59,26 @@ def _sql_str(s: str) -> str:
 
 
 def assemble(
-    blocks: DataFrame, key: str, order: str, value: str, out: str, max_bytes: int, sep: str = ""
+    blocks: DataFrame, key: str, order: str, value: str, out: str, max_bytes: int, sep: str = "",
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
-    """Ordered concatenation per key for keys whose total stays under ``max_bytes``.
-
-    Returns (key, bytes, out); ``out`` is null for keys above the guard — write
-    those from the blocks with ``sinks.write_blocks`` (range-partitioned, in
-    order) instead of building one huge string in one task.
+    """Ordered concatenation per key, only for keys whose bound stays under ``max_bytes``.
+
+    Returns (key, bytes, out); ``out`` is null for keys above the guard (write
+    those from the blocks with ``sinks.write_blocks`` — range-partitioned, in
+    order — instead of building one huge string in one task). ``bounds``
+    (key, bytes) may be given from cheap columns; by default it is the block
+    bytes (one extra pass over the blocks' lengths). The set of small keys is
+    broadcast only after its size is measured, so blocks are not shuffled
+    before the aggregation; blocks of large keys enter it as nulls and are
+    never buffered.
     """
-    sizes = blocks.groupBy(key).agg(F.sum(F.octet_length(value)).cast("bigint").alias("bytes"))
-    small = sizes.filter(F.col("bytes") <= max_bytes).select(key)
-    body = ordered_concat(blocks.join(small, key, "left_semi"), key, order, value, out, sep)
-    return sizes.join(body, key, "left")
+    from .joins import checked_broadcast
+
+    if bounds is None:
+        bounds = blocks.groupBy(key).agg(F.sum(F.octet_length(value)).cast("bigint").alias("bytes"))
+    small = checked_broadcast(bounds.filter(F.col("bytes") <= max_bytes).select(key, F.lit(True).alias("__small")))
+    sep_sql = _sql_str(sep)
+    agg = F.expr(f"listagg(CASE WHEN __small THEN {value} END, '{sep_sql}') WITHIN GROUP (ORDER BY {order})")
+    body = blocks.join(small, key, "left").groupBy(key).agg(agg.alias(out))
+    return bounds.join(body, key, "left")

@@ -151,16 +151,28 @@ def root_display_name(root):
     return F.when(last.isin("", ".", "..") | last.isNull(), r).otherwise(last)
 
 
-def draw_tree(nodes: DataFrame, with_root: bool = True) -> DataFrame:
+DEFAULT_MAX_TREE_BYTES = 256 * 1024 * 1024
+
+
+def tree_bounds(nodes: DataFrame) -> DataFrame:
+    """(root, bytes): upper bound of the drawn tree from depth and name lengths."""
+    b = (F.col("depth") * 4 + F.octet_length("name") + 16).cast("bigint")
+    return nodes.groupBy("root").agg(F.sum(b).alias("bytes"))
+
+
+def draw_tree(nodes: DataFrame, with_root: bool = True, max_bytes: int = DEFAULT_MAX_TREE_BYTES) -> DataFrame:
     """Op 37: (root, tree) — the drawn tree, optionally headed by '<root name>/'.
 
-    The per-root string is an ordered aggregation of the distributed lines; see
-    ``render.assemble`` for the size guard on very large roots.
+    The per-root string is an ordered aggregation of the distributed lines,
+    built only for roots whose bound stays under ``max_bytes`` (null otherwise;
+    write ``tree_lines`` range-partitioned for those).
     """
-    from .ordering import ordered_concat
+    from .joins import freeze
+    from .ordering import assemble
 
+    nodes = freeze(nodes.select("root", "path", "is_dir", "name", "depth"))  # narrow; reused by lines and bounds
     lines = tree_lines(nodes)
-    drawn = ordered_concat(lines, "root", "path", "line", "tree")
+    drawn = assemble(lines, "root", "path", "line", "tree", max_bytes, bounds=tree_bounds(nodes)).select("root", "tree")
     if with_root:
         drawn = drawn.withColumn("tree", F.concat(root_display_name("root"), F.lit("/\n"), F.col("tree")))
     return drawn

@@ -102,13 +102,24 @@ def secret_findings(inspected: DataFrame, opts: ContentOptions | None = None) ->
     )
 
 
-def secret_report(findings: DataFrame) -> DataFrame:
-    """(root, findings, report): the warning text per root with findings, ordered by path, line, rule."""
+def secret_report(findings: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """(root, findings, report): the warning text per root with findings, ordered by path, line, rule.
+
+    The findings rows are the primary output; the report string is assembled for
+    roots whose entries stay under ``max_bytes`` (null above it).
+    """
+    from .ordering import assemble
+
     entry = F.concat(F.lit("  "), F.array_join("path", "/"), F.lit(":"), F.col("line").cast("string"), F.lit(" \u2014 "), F.col("kind"), F.lit("\n"))
-    agg = findings.withColumn("entry", entry).groupBy("root").agg(
-        F.count("*").cast("bigint").alias("findings"),
-        F.expr("listagg(entry, '') WITHIN GROUP (ORDER BY path, line, rule)").alias("body"),
+    from .joins import freeze
+
+    # findings are few (bounded by the credentials present): materialise once, reuse for counts and text
+    rows = freeze(findings.select("root", F.struct("path", "line", "rule").alias("ord"), entry.alias("entry")))
+    counts = rows.groupBy("root").agg(
+        F.count("*").cast("bigint").alias("findings"), F.sum(F.octet_length("entry")).cast("bigint").alias("bytes")
     )
+    body = assemble(rows, "root", "ord", "entry", "body", max_bytes, bounds=counts.select("root", "bytes"))
+    agg = counts.join(body.select("root", "body"), "root")
     head = F.concat(
         F.lit("Warning: "), F.col("findings").cast("string"), F.lit(" potential secret"),
         F.when(F.col("findings") == 1, F.lit("")).otherwise(F.lit("s")),

@@ -38,13 +38,14 @@ def walk(files: DataFrame, opts: WalkOptions | None = None) -> Walk:
     hidden-name test moves there, because a whitelisting rule rescues a hidden
     name.
     """
-    from .ignore import apply_ignore_files, has_git_files, has_mktree_files
+    from .ignore import apply_ignore_files, ignore_files_present
 
     opts = opts or WalkOptions()
     include_hidden = opts.include_hidden or opts.all
     use_git = not (opts.no_ignore or opts.all)
-    git_present = use_git and has_git_files(files)
-    mk_present = opts.mktree_ignore and has_mktree_files(files)
+    present = ignore_files_present(files) if (use_git or opts.mktree_ignore) else set()
+    git_present = use_git and "git" in present
+    mk_present = opts.mktree_ignore and "mktree" in present
     hide_later = git_present and not include_hidden
 
     def keep(path, is_dir):
