@@ -33,32 +33,46 @@ def inspect_files(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: b
     signatures and control bytes; ``content`` is dropped from the output so later
     stages never carry the raw bytes.
     """
-    content = F.col("content")
     size = F.col("size")
-    prefix = C.detection_prefix(content)
     oversize = size > F.lit(max_size)
-    binary_head = C.has_binary_signature(prefix) | C.looks_binary(prefix)
-    bom = C.has_utf16_bom(content)
-    as_string = content.cast("string")
     df = files.filter(~F.col("is_dir"))
-    u16 = C.utf16_text(content) if utf16 else F.lit(None).cast("string")
-    kind = (
-        F.when(F.col("error").isNotNull(), F.lit("error"))
-        .when(oversize, F.lit("too_large"))
-        .when(binary_head, F.lit("binary"))
-        .when(bom & u16.isNotNull(), F.lit("text"))
-        .when(F.is_valid_utf8(as_string), F.lit("text"))
-        .otherwise(F.lit("binary"))
-    )
-    df = df.withColumn("kind", kind)
-    text = F.when(F.col("kind") == "text", F.when(bom & u16.isNotNull(), u16).otherwise(as_string))
+    if "text" in files.columns:
+        # table text: no UTF-16 BOM is possible in a string; encode only the detection prefix
+        src = F.col("text")
+        prefix = F.substring(F.encode(F.substring(src, 1, K.DETECTION_BYTES), "UTF-8"), 1, K.DETECTION_BYTES)
+        binary_head = C.has_binary_signature(prefix) | C.looks_binary(prefix)
+        kind = (
+            F.when(F.col("error").isNotNull(), F.lit("error"))
+            .when(oversize, F.lit("too_large"))
+            .when(binary_head, F.lit("binary"))
+            .when(F.is_valid_utf8(src), F.lit("text"))  # a linear check, no copy
+            .otherwise(F.lit("binary"))
+        )
+        text = F.when(F.col("__kind") == "text", src)
+    else:
+        content = F.col("content")
+        prefix = C.detection_prefix(content)
+        binary_head = C.has_binary_signature(prefix) | C.looks_binary(prefix)
+        bom = C.has_utf16_bom(content)
+        as_string = content.cast("string")
+        u16 = C.utf16_text(content) if utf16 else F.lit(None).cast("string")
+        kind = (
+            F.when(F.col("error").isNotNull(), F.lit("error"))
+            .when(oversize, F.lit("too_large"))
+            .when(binary_head, F.lit("binary"))
+            .when(bom & u16.isNotNull(), F.lit("text"))
+            .when(F.is_valid_utf8(as_string), F.lit("text"))
+            .otherwise(F.lit("binary"))
+        )
+        text = F.when(F.col("__kind") == "text", F.when(bom & u16.isNotNull(), u16).otherwise(as_string))
+    df = df.withColumn("__kind", kind)
     meta = F.when(
-        F.col("kind").isin("binary", "too_large"),
+        F.col("__kind").isin("binary", "too_large"),
         C.detect_metadata(F.element_at("path", -1), prefix, size),
     )
-    limit = F.when(F.col("kind") == "too_large", F.lit(max_size).cast("bigint"))
-    keep = [c for c in df.columns if c not in ("content", "kind")]
-    return df.select(*keep, "kind", text.alias("text"), meta.alias("meta"), limit.alias("limit"))
+    limit = F.when(F.col("__kind") == "too_large", F.lit(max_size).cast("bigint"))
+    keep = [c for c in df.columns if c not in ("content", "text", "kind", "__kind")]
+    return df.select(*keep, F.col("__kind").alias("kind"), text.alias("text"), meta.alias("meta"), limit.alias("limit"))
 
 
 def windowed(text, opts: ContentOptions | None):

@@ -26,26 +26,34 @@ def files_from_table(
 
     ``path`` may be an ARRAY<STRING> of components or a '/'-separated string
     (empty components dropped). Either ``text`` (STRING) or ``content``
-    (BINARY) carries the bytes; size is their byte length.
+    (BINARY) carries the bytes; size is their byte length. From text, the
+    ``text`` column is kept next to ``content``: inspection then never copies
+    or re-validates the whole content (only the first 8 KiB are encoded).
     """
     root_c = F.col(root) if isinstance(root, str) else root
     path_c = F.col(path) if isinstance(path, str) else path
     if dict(df.select(path_c.alias("p")).dtypes)["p"] == "string":
         path_c = F.filter(F.split(path_c, "/"), lambda c: c != "")
+    t = None
     if content is not None:
         body = F.col(content) if isinstance(content, str) else content
+        size = F.octet_length(body)
     else:
         t = F.col(text) if isinstance(text, str) else text
-        body = F.encode(t, "UTF-8")
+        body = F.encode(t, "UTF-8")  # computed only where bytes are needed (pruned otherwise)
+        size = F.octet_length(t)  # bytes of the UTF-8 string, no copy
     cols = [
         root_c.cast("string").alias("root"),
         path_c.alias("path"),
         F.lit(False).alias("is_dir"),
         F.lit(False).alias("is_symlink"),
-        F.octet_length(body).cast("bigint").alias("size"),
+        size.cast("bigint").alias("size"),
         body.alias("content"),
         F.lit(None).cast("string").alias("error"),
     ]
+    if t is not None:
+        # a table's string column is valid UTF-8 already: inspection reads it directly
+        cols.append(t.alias("text"))
     cols += [F.col(k) for k in (keep or [])]
     return df.select(*cols)
 
