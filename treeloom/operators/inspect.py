@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import content as C
 from ..functions import text as TX
+from ..session import memo_columns
 
 
 @dataclass(frozen=True)
@@ -33,10 +34,19 @@ def inspect_files(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: b
     signatures and control bytes; ``content`` is dropped from the output so later
     stages never carry the raw bytes.
     """
+    df = files.filter(~F.col("is_dir"))
+    text_mode = "text" in files.columns
+    kind, text, meta, limit = memo_columns(("inspect", max_size, utf16, text_mode),
+                                           lambda: _inspect_columns(max_size, utf16, text_mode))
+    df = df.withColumn("__kind", kind)
+    keep = [c for c in df.columns if c not in ("content", "text", "kind", "__kind")]
+    return df.select(*keep, F.col("__kind").alias("kind"), text.alias("text"), meta.alias("meta"), limit.alias("limit"))
+
+
+def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
     size = F.col("size")
     oversize = size > F.lit(max_size)
-    df = files.filter(~F.col("is_dir"))
-    if "text" in files.columns:
+    if text_mode:
         # table text: no UTF-16 BOM is possible in a string; encode only the detection prefix
         src = F.col("text")
         prefix = F.substring(F.encode(F.substring(src, 1, K.DETECTION_BYTES), "UTF-8"), 1, K.DETECTION_BYTES)
@@ -65,14 +75,12 @@ def inspect_files(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: b
             .otherwise(F.lit("binary"))
         )
         text = F.when(F.col("__kind") == "text", F.when(bom & u16.isNotNull(), u16).otherwise(as_string))
-    df = df.withColumn("__kind", kind)
     meta = F.when(
         F.col("__kind").isin("binary", "too_large"),
         C.detect_metadata(F.element_at("path", -1), prefix, size),
     )
     limit = F.when(F.col("__kind") == "too_large", F.lit(max_size).cast("bigint"))
-    keep = [c for c in df.columns if c not in ("content", "text", "kind", "__kind")]
-    return df.select(*keep, F.col("__kind").alias("kind"), text.alias("text"), meta.alias("meta"), limit.alias("limit"))
+    return kind, text, meta, limit
 
 
 def windowed(text, opts: ContentOptions | None):
@@ -82,5 +90,8 @@ def windowed(text, opts: ContentOptions | None):
 
 def with_shown(inspected: DataFrame, opts: ContentOptions | None = None) -> DataFrame:
     """Adds ``shown``: the windowed text for text files, else the marker (op 26)."""
-    shown = C.marker_text(F.col("kind"), windowed(F.col("text"), opts), F.col("meta"), F.col("limit"), F.col("error"))
+    shown = memo_columns(
+        ("shown", opts or ContentOptions()),
+        lambda: C.marker_text(F.col("kind"), windowed(F.col("text"), opts), F.col("meta"), F.col("limit"), F.col("error")),
+    )
     return inspected.withColumn("shown", shown)

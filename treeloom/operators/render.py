@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantities as Q
 from ..functions import text as TX
+from ..session import memo_columns
 from . import paths
 from .inspect import ContentOptions, inspect_files, with_shown
 from .joins import checked_broadcast, freeze
@@ -135,6 +136,11 @@ def _file_agg(blocks: DataFrame, small: DataFrame, sep: str = "") -> DataFrame:
 def _file_rows(files: DataFrame, opts: ContentOptions, mode: str, notebooks: bool) -> DataFrame:
     """Per kept file: (root, path, block, lines, size)."""
     insp = with_shown(inspect_files(files), opts)
+    lines, block = memo_columns(("file_rows", opts, mode, notebooks), lambda: _file_row_columns(opts, mode, notebooks))
+    return insp.select("root", "path", block.alias("block"), lines.alias("lines"), "size")
+
+
+def _file_row_columns(opts: ContentOptions, mode: str, notebooks: bool):
     lines = F.when(F.col("kind") == "text", TX.line_count(F.col("shown"))).otherwise(F.lit(0)).cast("bigint")
     if mode == "raw":
         block = raw_block(_rel(), F.col("shown"))
@@ -148,7 +154,7 @@ def _file_rows(files: DataFrame, opts: ContentOptions, mode: str, notebooks: boo
                 is_notebook_path(F.col("path")) & (F.col("kind") == "text") & nb.isNotNull(),
                 notebook_block(_rel(), nb),
             ).otherwise(block)
-    return insp.select("root", "path", block.alias("block"), lines.alias("lines"), "size")
+    return lines, block
 
 
 def _meta_cols(meta: DataFrame | None):

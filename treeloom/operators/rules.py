@@ -280,6 +280,15 @@ def keep_predicate(
     exclude: list[str] | None = None,
 ) -> Column:
     """Combined keep test of ops 8-10 (one expression, evaluated per row)."""
+    from ..session import memo_columns
+
+    if isinstance(path, Column) and isinstance(is_dir, Column):
+        key = ("keep", str(path), str(is_dir), include_hidden, all_, tuple(exclude or ()))
+        return memo_columns(key, lambda: _keep_predicate(path, is_dir, include_hidden, all_, exclude))
+    return _keep_predicate(path, is_dir, include_hidden, all_, exclude)
+
+
+def _keep_predicate(path, is_dir, include_hidden, all_, exclude):
     rules = RuleSet.of(list(exclude or []))
     if not all_:
         rules = DEFAULT_RULES + rules

@@ -76,3 +76,21 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(out_dir, "treeloom"), "zip", os.path.dirname(pkg_dir), "treeloom")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+_COLUMN_MEMO: dict = {}
+
+
+def memo_columns(key, build):
+    """Reuse Column expressions built by ``build()`` for the active SparkContext.
+
+    Large expression trees (inspection, markers, notebook rendering, path rules)
+    cost thousands of JVM round trips to build; they only name columns, so one
+    build per application and option set serves every query.
+    """
+    active = SparkSession.getActiveSession()
+    app = active.sparkContext.applicationId if active is not None else None
+    k = (app, key)
+    if k not in _COLUMN_MEMO:
+        _COLUMN_MEMO[k] = build()
+    return _COLUMN_MEMO[k]
