@@ -46,3 +46,25 @@ def test_stats_header_text(spark):
                                  F.col("b"), F.col("c"), F.col("r"))).collect()[0][0]
     assert h == ("# Project Statistics\n- Files: 1\n- Directories: 0\n- Total lines: 1\n- Total size: 4 bytes\n"
                  "- Tokens (o200k_base): 25\n- Git branch: main\n- Git commit: " + "a" * 40 + "\n\n")
+
+
+def test_large_roots_written_in_ordered_pieces(spark, files_of, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from treeloom.sources.sinks import write_snapshots
+
+    entries = {"README.md": "```\nx\n```\n", "src/a.rs": "fn a() {}", "src/b/c.txt": "one\ntwo\n", "z.bin": b"\x00\x01"}
+    f = files_of({"p": entries, "q": {"only.txt": "q"}})
+    for mode in ("markdown", "structure", "raw"):
+        whole = {r["root"]: r["document"] for r in R.render(f, mode).collect()}
+        target = str(tmp_path / mode)
+        write_snapshots(f, target, mode, R.RenderOptions(max_document_bytes=60), partitions=3)
+        parts = sorted(glob.glob(f"{target}/pieces/part-*.parquet"))
+        text = {}
+        for part in parts:
+            for row in pq.read_table(part).to_pylist():
+                text[row["root"]] = text.get(row["root"], "") + row["text"]
+        assert text == {"p": whole["p"], "q": whole["q"]} or text == {"p": whole["p"]}
+        assert text["p"] == whole["p"]

@@ -266,3 +266,62 @@ def render_mode(raw: Column, reverse: Column, structure: Column) -> Column:
 
 
 RAW_STRUCTURE_ERROR = "Options --raw and -s (structure with statistics) cannot be used together."
+
+
+def _max_backtick_run(col: Column) -> Column:
+    runs = F.transform(F.regexp_extract_all(col, F.lit("`+"), 0), lambda r: F.length(r))
+    return F.coalesce(F.array_max(runs), F.lit(0))
+
+
+def render_parts(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None = None,
+                 meta: DataFrame | None = None, notebooks: bool = True):
+    """(documents, pieces): assembled documents of roots under the bound, and for the
+    others the ordered pieces (root, seq, path, text) whose concatenation in
+    (seq, path) order is the document — head (statistics, structure opening),
+    tree lines, structure closing, file blocks. No string larger than one file's
+    block is ever built for those roots.
+    """
+    opts = opts or RenderOptions()
+    docs = render(files, mode, opts, meta, notebooks)
+    large = checked_broadcast(docs.filter(~F.col("assembled")).select("root"))
+    w = walk(files, opts.walk)
+    nodes = freeze(w.nodes.join(large, "root", "left_semi"))
+    lfiles = w.files.join(large, "root", "left_semi")
+    empty = F.array().cast("array<string>")
+    if mode == "raw":
+        blocks = _file_rows(lfiles, opts.content, "raw", False)
+        first = blocks.groupBy("root").agg(F.min("path").alias("first"))
+        pieces = blocks.join(first, "root").select(
+            "root", F.lit(3).alias("seq"), "path",
+            F.concat(F.when(F.col("path") == F.col("first"), F.lit("")).otherwise(F.lit("\n")), F.col("block")).alias("text"),
+        )
+        return docs, pieces
+    blocks = _file_rows(lfiles, opts.content, "markdown", notebooks and mode == "markdown")
+    stats_rows = (
+        blocks.groupBy("root").agg(
+            F.count("*").cast("bigint").alias("files"), F.sum("lines").cast("bigint").alias("lines"),
+            F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size"),
+        )
+    )
+    per_root = (
+        large.join(_dirs_per_root(nodes), "root", "left")
+        .join(stats_rows, "root", "left")
+        .join(nodes.groupBy("root").agg(F.max(_max_backtick_run(F.col("name"))).alias("run")), "root", "left")
+    )
+    if meta is not None:
+        per_root = per_root.join(meta.select("root", "branch", "commit_hash", "remote_url"), "root", "left")
+    z = F.lit(0).cast("bigint")
+    b, c, r = _meta_cols(meta)
+    header = stats_header(F.coalesce("files", z), F.coalesce("dirs", z), F.coalesce("lines", z), F.coalesce("size", z), None, b, c, r)
+    name_run = _max_backtick_run(paths.root_display_name("root"))
+    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.greatest(F.coalesce("run", F.lit(0)), name_run) + 1).cast("int"))
+    head = F.concat(header, F.lit("# Project Structure\n\n"), fence, F.lit("\n"), paths.root_display_name("root"), F.lit("/\n"))
+    close = F.concat(fence, F.lit("\n"), F.lit("\n# File Contents\n") if mode == "markdown" else F.lit(""))
+    pieces = (
+        per_root.select("root", F.lit(0).alias("seq"), empty.alias("path"), head.alias("text"))
+        .unionByName(paths.tree_lines(nodes).select("root", F.lit(1).alias("seq"), "path", F.col("line").alias("text")))
+        .unionByName(per_root.select("root", F.lit(2).alias("seq"), empty.alias("path"), close.alias("text")))
+    )
+    if mode == "markdown":
+        pieces = pieces.unionByName(blocks.select("root", F.lit(3).alias("seq"), "path", F.col("block").alias("text")))
+    return docs, pieces

@@ -596,11 +596,11 @@ def scan_files(spark, sf):
 
 def write_snapshots(spark, sf):
     """Op 5: Markdown documents written one per root, read back whole."""
-    from ..sources.sinks import write_documents
+    from ..sources.sinks import write_snapshots as write
 
     target = _posix_shared(spark, "snapshots")
-    write_documents(render_markdown(spark, sf), target)
-    back = spark.read.text(target, wholetext=True)
+    write(_doc_files(spark, sf), target, "markdown", meta=_meta(spark, sf))
+    back = spark.read.text(f"{target}/documents", wholetext=True)
     return back.select("root", F.octet_length("value").cast("bigint").alias("bytes"))
 
 

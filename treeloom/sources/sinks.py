@@ -47,3 +47,23 @@ def write_blocks(blocks: DataFrame, target: str, partitions: int | None = None,
         .write.mode(mode)
         .parquet(target)
     )
+
+
+def write_snapshots(files: DataFrame, target: str, mode: str = "markdown", opts=None, meta=None,
+                    partitions: int | None = None) -> None:
+    """Op 5 end to end: documents under the bound -> ``target/documents`` (one per root);
+    larger roots -> ``target/pieces`` as (root, seq, path, text) range-partitioned by
+    (root, seq, path) and sorted inside partitions: reading the part files in name
+    order and concatenating ``text`` gives each document, and a huge root is spread
+    over many tasks and files."""
+    from ..operators.render import render_parts
+
+    docs, pieces = render_parts(files, mode, opts, meta)
+    write_documents(docs.filter(F.col("assembled")), f"{target.rstrip('/')}/documents")
+    n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    (
+        pieces.repartitionByRange(n, "root", "seq", "path")
+        .sortWithinPartitions("root", "seq", "path")
+        .write.mode("overwrite")
+        .parquet(f"{target.rstrip('/')}/pieces")
+    )
