@@ -72,7 +72,12 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out_dir = tempfile.mkdtemp(prefix="treeloom-py-")
+    base = ensure_checkpoint_dir(spark)
+    if base.startswith("file:"):
+        out_dir = os.path.join("/" + base[5:].lstrip("/"), f"treeloom-py-{key}")
+        os.makedirs(out_dir, exist_ok=True)
+    else:  # non-POSIX shared store: the archive only needs to exist on the driver, Spark ships it
+        out_dir = tempfile.mkdtemp(prefix="treeloom-py-")
     archive = shutil.make_archive(os.path.join(out_dir, "treeloom"), "zip", os.path.dirname(pkg_dir), "treeloom")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
