@@ -43,6 +43,13 @@ def inspect_files(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: b
     return df.select(*keep, F.col("__kind").alias("kind"), text.alias("text"), meta.alias("meta"), limit.alias("limit"))
 
 
+def with_kind(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: bool = True) -> DataFrame:
+    """files + ``kind`` only (all columns kept): row-wise, for selecting files by their class."""
+    text_mode = "text" in files.columns
+    kind = memo_columns(("inspect", max_size, utf16, text_mode), lambda: _inspect_columns(max_size, utf16, text_mode))[0]
+    return files.withColumn("kind", kind)
+
+
 def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
     size = F.col("size")
     oversize = size > F.lit(max_size)

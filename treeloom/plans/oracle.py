@@ -357,7 +357,9 @@ def _blueprint_file_block(indent: str, name: str) -> str:
 
 
 def _lossless_ctes() -> list[str]:
-    return [DOC, "lossless AS (SELECT * FROM doc_files WHERE CAST(doc_id % 8 AS INT) NOT IN (4, 5))",
+    return [DOC, _insp("doc_files"),
+            "lossless AS (SELECT d.* FROM doc_files d JOIN insp i ON i.root = d.root AND i.path = d.path "
+            "WHERE i.kind = 'text' AND NOT contains(d.text, chr(13)))",
             S.closure_sql("lossless", "lnodes")]
 
 

@@ -424,8 +424,14 @@ def notebook_language(spark, sf):
 
 
 def _lossless(spark, sf):
-    """doc_files whose text survives a render/parse round trip (not binary, no CR)."""
-    return _doc_files(spark, sf).filter(~(F.col("doc_id") % 8).isin(4, 5))
+    """doc_files whose text survives a render/parse round trip: text files (not binary) without CR.
+
+    Chosen by content, not by id: inspection decides binary, and a carriage
+    return is dropped by the line-based format."""
+    from ..operators.inspect import with_kind
+
+    files = _doc_files(spark, sf)
+    return with_kind(files).filter((F.col("kind") == "text") & ~F.col("text").contains("\r")).drop("kind")
 
 
 def _blueprint_texts(spark, sf, with_duplicates=False):
