@@ -68,3 +68,42 @@ def test_large_roots_written_in_ordered_pieces(spark, files_of, tmp_path):
                 text[row["root"]] = text.get(row["root"], "") + row["text"]
         assert text == {"p": whole["p"], "q": whole["q"]} or text == {"p": whole["p"]}
         assert text["p"] == whole["p"]
+
+
+def test_render_by_options_matches_static_renders(spark, files_of):
+    from treeloom.operators.blueprint import blueprint_render
+    from treeloom.operators.inspect import ContentOptions
+    from treeloom.operators.options import resolve_options
+    from treeloom.operators.snapshot import WalkOptions, walk
+
+    body = {"README.md": "one\ntwo\nthree\n", "src/main.rs": "fn main() { println!(\"hi\"); }"}
+    f = files_of({r: body for r in ("a", "b", "c", "d", "e")})
+    fields = ("max_size bigint, max_chars bigint, head bigint, tail bigint, from_end boolean, structure boolean, "
+              "reverse boolean, raw boolean, no_content boolean, tokens boolean, no_secret_scan boolean, "
+              "include_hidden boolean, no_ignore boolean, all boolean, exclude array<string>, force boolean, dry_run boolean")
+    names = [x.split()[0] for x in fields.split(", ")]
+
+    def row(root, layer, **kw):
+        return (root, layer, *[kw.get(n) for n in names])
+
+    layers = spark.createDataFrame([
+        row("a", "default", max_size=1048576), row("a", "explicit", head=1),
+        row("b", "default", max_size=1048576), row("b", "explicit", raw=True, max_chars=5, from_end=True),
+        row("c", "default", max_size=1048576), row("c", "explicit", reverse=True, no_content=True),
+        row("d", "default", max_size=20), row("d", "global", structure=True),
+        row("e", "default", max_size=1048576), row("e", "global", raw=True, structure=True),
+    ], "root string, layer string, " + fields)
+    got = {r["root"]: r for r in R.render_by_options(f, resolve_options(layers)).collect()}
+
+    def one(root, mode, copts=ContentOptions(), max_size=1048576):
+        fr = f.filter(f.root == root)
+        if mode == "reverse":
+            w = walk(fr, WalkOptions())
+            return blueprint_render(w.files, w.nodes, copts, no_content=True).collect()[0]["blueprint"]
+        return R.render(fr, mode, R.RenderOptions(walk=WalkOptions(max_size=max_size), content=copts)).collect()[0]["document"]
+
+    assert (got["a"]["mode"], got["a"]["document"]) == ("markdown", one("a", "markdown", ContentOptions(head=1)))
+    assert (got["b"]["mode"], got["b"]["document"]) == ("raw", one("b", "raw", ContentOptions(max_chars=5, from_end=True)))
+    assert (got["c"]["mode"], got["c"]["document"]) == ("reverse", one("c", "reverse"))
+    assert (got["d"]["mode"], got["d"]["document"]) == ("structure", one("d", "structure", max_size=20))
+    assert got["e"]["document"] is None and "raw" in got["e"]["error"]

@@ -21,9 +21,10 @@ class ContentOptions:
     from_end: bool = False
 
     def __post_init__(self):
-        if self.head is not None and self.tail is not None:
+        # a field may also name a column holding per-root values (see render.render_by_options)
+        if isinstance(self.head, int) and isinstance(self.tail, int):
             raise ValueError("choose only one of head and tail")
-        if self.from_end and self.max_chars is None:
+        if self.from_end is True and self.max_chars is None:
             raise ValueError("from_end requires max_chars")
 
 
@@ -52,7 +53,8 @@ def with_kind(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: bool
 
 def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
     size = F.col("size")
-    oversize = size > F.lit(max_size)
+    limit_c = F.col(max_size) if isinstance(max_size, str) else F.lit(max_size)  # per-root column or constant
+    oversize = size > limit_c
     if text_mode:
         # table text: no UTF-16 BOM is possible in a string; encode only the detection prefix
         src = F.col("text")
@@ -86,13 +88,17 @@ def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
         F.col("__kind").isin("binary", "too_large"),
         C.detect_metadata(F.element_at("path", -1), prefix, size),
     )
-    limit = F.when(F.col("__kind") == "too_large", F.lit(max_size).cast("bigint"))
+    limit = F.when(F.col("__kind") == "too_large", limit_c.cast("bigint"))
     return kind, text, meta, limit
 
 
+def _opt(v):
+    return F.col(v) if isinstance(v, str) else v
+
+
 def windowed(text, opts: ContentOptions | None):
     opts = opts or ContentOptions()
-    return TX.apply_window(text, opts.head, opts.tail, opts.max_chars, opts.from_end)
+    return TX.apply_window(text, _opt(opts.head), _opt(opts.tail), _opt(opts.max_chars), _opt(opts.from_end))
 
 
 def with_shown(inspected: DataFrame, opts: ContentOptions | None = None) -> DataFrame:

@@ -133,9 +133,9 @@ def _file_agg(blocks: DataFrame, small: DataFrame, sep: str = "") -> DataFrame:
     )
 
 
-def _file_rows(files: DataFrame, opts: ContentOptions, mode: str, notebooks: bool) -> DataFrame:
+def _file_rows(files: DataFrame, opts: ContentOptions, mode: str, notebooks: bool, max_size=None) -> DataFrame:
     """Per kept file: (root, path, block, lines, size)."""
-    insp = with_shown(inspect_files(files), opts)
+    insp = with_shown(inspect_files(files, max_size) if max_size is not None else inspect_files(files), opts)
     lines, block = memo_columns(("file_rows", opts, mode, notebooks), lambda: _file_row_columns(opts, mode, notebooks))
     return insp.select("root", "path", block.alias("block"), lines.alias("lines"), "size")
 
@@ -183,10 +183,10 @@ def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None
     if mode in ("markdown", "structure"):
         rows = rows.join(_dirs_per_root(w.nodes), "root", "left").join(_tree_per_root(w.nodes, small), "root", "left")
     if mode == "raw":
-        blocks = _file_rows(w.files, opts.content, "raw", False)
+        blocks = _file_rows(w.files, opts.content, "raw", False, opts.walk.max_size)
         fa = _file_agg(blocks, small, sep="\n")
     else:
-        blocks = _file_rows(w.files, opts.content, "markdown", notebooks and mode == "markdown")
+        blocks = _file_rows(w.files, opts.content, "markdown", notebooks and mode == "markdown", opts.walk.max_size)
         fa = _file_agg(blocks, small)
     rows = rows.join(fa, "root", "left")
     if meta is not None:
@@ -325,3 +325,60 @@ def render_parts(files: DataFrame, mode: str = "markdown", opts: RenderOptions |
     if mode == "markdown":
         pieces = pieces.unionByName(blocks.select("root", F.lit(3).alias("seq"), "path", F.col("block").alias("text")))
     return docs, pieces
+
+
+def render_by_options(files: DataFrame, resolved: DataFrame, meta: DataFrame | None = None,
+                      walk_opts: WalkOptions | None = None) -> DataFrame:
+    """Ops 42 + 50 end to end: every root rendered with its own resolved options.
+
+    ``resolved`` is ``options.resolve_options`` output. The options become
+    columns of each file row (a broadcast join, one row per root, size-checked);
+    roots are split by their mode (raw > reverse > structure > markdown) with a
+    filter per mode present and the results are unioned. Roots whose options
+    are invalid get no document and the error text. (root, mode, document, error).
+    """
+    from .blueprint import blueprint_render
+    from .options import secret_scan_policy  # noqa: F401  (same resolved rows drive the scan policy)
+
+    walk_opts = walk_opts or WalkOptions()
+    mode = render_mode(F.col("raw"), F.col("reverse"), F.col("structure"))
+    opts = resolved.select(
+        "root",
+        F.col("max_size").cast("bigint").alias("__max_size"),
+        F.col("max_chars").cast("bigint").alias("__max_chars"),
+        F.col("head").cast("bigint").alias("__head"),
+        F.col("tail").cast("bigint").alias("__tail"),
+        F.col("from_end").alias("__from_end"),
+        F.col("no_content").alias("__no_content"),
+        mode.alias("__mode"),
+        F.coalesce(F.col("error"), F.when(mode.isNull(), F.lit(RAW_STRUCTURE_ERROR))).alias("error"),
+    )
+    valid = checked_broadcast(opts.filter(F.col("error").isNull()).drop("error"))
+    f = files.join(valid, "root")
+    copts = ContentOptions(max_chars="__max_chars", head="__head", tail="__tail", from_end="__from_end")
+    ropts = RenderOptions(walk=WalkOptions(**{**walk_opts.__dict__, "max_size": "__max_size"}), content=copts)
+    present = [r["__mode"] for r in valid.select("__mode").distinct().limit(4).collect()]
+    out = None
+    for m in ("markdown", "structure", "raw", "reverse"):
+        if m not in present:
+            continue
+        fm = f.filter(F.col("__mode") == m)
+        if m == "reverse":
+            w = walk(fm, ropts.walk)
+            names = fm.select("root", "__no_content").distinct()
+            full = blueprint_render(w.files, w.nodes, copts, max_size="__max_size")
+            bare = blueprint_render(w.files, w.nodes, copts, max_size="__max_size", no_content=True)
+            doc = (
+                full.withColumnRenamed("blueprint", "full")
+                .join(bare.withColumnRenamed("blueprint", "bare"), "root")
+                .join(names, "root")
+                .select("root", F.when(F.col("__no_content"), F.col("bare")).otherwise(F.col("full")).alias("document"))
+            )
+        else:
+            doc = render(fm, m, ropts, meta).select("root", "document")
+        part = doc.select("root", F.lit(m).alias("mode"), "document", F.lit(None).cast("string").alias("error"))
+        out = part if out is None else out.unionByName(part)
+    errors = opts.filter(F.col("error").isNotNull()).select(
+        "root", F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("document"), "error"
+    )
+    return errors if out is None else out.unionByName(errors)

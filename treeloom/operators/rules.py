@@ -15,7 +15,6 @@ matching is case-sensitive.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
