@@ -88,8 +88,18 @@ def _kinds(line: Column) -> Column:
     return F.filter(F.array(*hits), lambda h: h.isNotNull())
 
 
-def secret_findings(inspected: DataFrame, opts: ContentOptions | None = None) -> DataFrame:
-    """(root, path, line, rule, kind) over the windowed text of text files."""
+def secret_findings(inspected: DataFrame, opts: ContentOptions | None = None,
+                    policy: DataFrame | None = None) -> DataFrame:
+    """(root, path, line, rule, kind) over the windowed text of text files.
+
+    ``policy``: (root, scan) from ``options.secret_scan_policy``; roots with
+    scan = false are removed first (broadcast semi join, size-checked), so their
+    text is never scanned.
+    """
+    if policy is not None:
+        from .joins import checked_broadcast
+
+        inspected = inspected.join(checked_broadcast(policy.filter(F.col("scan")).select("root")), "root", "left_semi")
     text = windowed(F.col("text"), opts)
     cand = inspected.filter(F.col("kind") == "text").select("root", "path", text.alias("t")).filter(
         any_guard(F.col("t"))
