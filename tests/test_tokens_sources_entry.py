@@ -83,3 +83,17 @@ def test_token_line_counts_whole_document(spark, files_of):
         doc = render(f, mode, ranks_path=VOCAB).collect()[0]["document"]
         t = int(re.search(r"- Tokens \(o200k_base\): ([\d,]+)\n", doc).group(1).replace(",", ""))
         assert t == len(enc.encode_ordinary(doc))
+
+
+def test_filetree_splits_wide_directories(spark, tmp_path):
+    from treeloom.sources.filetree import FileTreeReader
+
+    root = tmp_path / "wide"
+    (root / "big").mkdir(parents=True)
+    for i in range(40):
+        (root / "big" / f"f{i:02d}.txt").write_text(str(i))
+    (root / "small.txt").write_text("s")
+    parts = FileTreeReader({"roots": f'["{root}"]', "target_partitions": "16"}).partitions()
+    assert len(parts) >= 16
+    got = scan_files(spark, [str(root)]).collect()
+    assert sorted("/".join(r["path"]) for r in got) == sorted(["big", "small.txt"] + [f"big/f{i:02d}.txt" for i in range(40)])

@@ -1,7 +1,8 @@
 """Directory trees as a Spark data source (op 1): ``spark.read.format("filetree")``.
 
-Partitions are the top-level entries of each root, read inside executors, so
-a walk of many roots (or one wide root) runs in parallel. Every entry arrives:
+Partitions are subtrees of each root (top-level entries, with the widest
+directories split further), read inside executors, so a walk of many roots, of
+one wide root, or of one huge directory runs in parallel. Every entry arrives:
 files, directories (also empty), dot-files, ``__init__.py``, symbolic links
 (listed, never followed while walking; reading one follows it, and a failure
 becomes the ``error`` column). Files above ``max_size`` carry only their first
@@ -9,7 +10,9 @@ becomes the ``error`` column). Files above ``max_size`` carry only their first
 executor mounts.
 
 Options: ``roots`` (JSON list of directories) and/or ``parent`` (every
-subdirectory is a root), ``max_size`` (bytes, default 1 MiB).
+subdirectory is a root), ``max_size`` (bytes, default 1 MiB),
+``target_partitions`` (default 64: wide directories are split until there are
+this many partitions).
 """
 
 from __future__ import annotations
@@ -29,9 +32,12 @@ SCHEMA = (
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, entry: str | None):
+    """A subtree to walk: ``rel`` below ``root``; ``self_only`` emits just that directory's row."""
+
+    def __init__(self, root: str, rel: list[str] | None, self_only: bool = False):
         self.root = root
-        self.entry = entry
+        self.rel = rel
+        self.self_only = self_only
 
 
 def _err(e: OSError) -> str:
@@ -72,9 +78,13 @@ class FileTreeReader(DataSourceReader):
         self.roots = json.loads(options.get("roots", "[]"))
         self.parent = options.get("parent")
         self.max_size = int(options.get("max_size", K.DEFAULT_MAX_SIZE))
+        self.target = int(options.get("target_partitions", "64"))
 
     def partitions(self):
-        parts = []
+        """Top-level entries of every root; then the widest directory partitions are split
+        one level at a time (a row-only partition for the directory, one per child) until
+        there are ``target_partitions`` — so one huge root or directory is walked by many
+        tasks. Planning lists at most ``target_partitions`` directories on the driver."""
         roots = list(self.roots)
         if self.parent:
             try:
@@ -82,21 +92,46 @@ class FileTreeReader(DataSourceReader):
                           if os.path.isdir(os.path.join(self.parent, d))]
             except OSError:
                 pass
+        parts: list[_Part] = []
         for r in roots:
             try:
                 entries = sorted(os.listdir(r))
             except OSError:
                 entries = []
-            parts.extend(_Part(r, e) for e in entries)
+            parts.extend(_Part(r, [e]) for e in entries)
+        listed = 0
+        while len(parts) < self.target and listed < self.target:
+            best, best_n, best_names = None, 1, None
+            for i, p in enumerate(parts):
+                if p.self_only:
+                    continue
+                full = os.path.join(p.root, *p.rel)
+                if os.path.islink(full) or not os.path.isdir(full):
+                    continue
+                try:
+                    names = sorted(os.listdir(full))
+                except OSError:
+                    continue
+                if len(names) > best_n:
+                    best, best_n, best_names = i, len(names), names
+                listed += 1
+                if listed >= self.target:
+                    break
+            if best is None:
+                break
+            p = parts[best]
+            parts[best:best + 1] = [_Part(p.root, p.rel, self_only=True)] + [_Part(p.root, p.rel + [n]) for n in best_names]
         return parts or [_Part("", None)]
 
     def read(self, partition: _Part):
-        if partition.entry is None:
+        if partition.rel is None:
             return iter(())
         name = os.path.basename(os.path.normpath(partition.root))
+        if partition.self_only:
+            return iter([(name, partition.rel, True, False, None, None, None)])
         return (
             (name, row[1], row[2], row[3], row[4], row[5], row[6])
-            for row in _walk(partition.root, [partition.entry], self.max_size)
+            for row in _walk(partition.root, partition.rel, self.max_size)
         )
 
 
