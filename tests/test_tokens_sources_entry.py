@@ -97,3 +97,23 @@ def test_filetree_splits_wide_directories(spark, tmp_path):
     assert len(parts) >= 16
     got = scan_files(spark, [str(root)]).collect()
     assert sorted("/".join(r["path"]) for r in got) == sorted(["big", "small.txt"] + [f"big/f{i:02d}.txt" for i in range(40)])
+
+
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no local vocabulary")
+def test_document_token_counts_all_modes(spark, files_of):
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from treeloom.operators.blueprint import blueprint_render
+    from treeloom.operators.render import document_token_counts, render
+    from treeloom.operators.snapshot import WalkOptions, walk
+
+    enc = tiktoken.Encoding("local50k", pat_str=O200K_PATTERN, mergeable_ranks=load_tiktoken_bpe(VOCAB), special_tokens={})
+    f = files_of({"p": {"README.md": "readme\n\n", "src/main.rs": "fn main() {}\n", "src/a/b.txt": "x\r\ny", "e": ""}})
+    raw = render(f, "raw").collect()[0]["document"]
+    assert document_token_counts(f, "raw", VOCAB).collect()[0]["tokens"] == len(enc.encode_ordinary(raw))
+    w = walk(f, WalkOptions())
+    bp = blueprint_render(w.files, w.nodes).collect()[0]["blueprint"]
+    assert document_token_counts(f, "reverse", VOCAB).collect()[0]["tokens"] == len(enc.encode_ordinary(bp))
+    md = render(f, "markdown", ranks_path=VOCAB).collect()[0]["document"]
+    assert document_token_counts(f, "markdown", VOCAB).collect()[0]["tokens"] == len(enc.encode_ordinary(md))

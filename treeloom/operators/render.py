@@ -382,3 +382,39 @@ def render_by_options(files: DataFrame, resolved: DataFrame, meta: DataFrame | N
         "root", F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("document"), "error"
     )
     return errors if out is None else out.unionByName(errors)
+
+
+def document_token_counts(files: DataFrame, mode: str, ranks_path: str, opts: RenderOptions | None = None,
+                          meta: DataFrame | None = None) -> DataFrame:
+    """The token count of each root's whole output (``--tokens``): (root, tokens).
+
+    markdown / structure: the header fixpoint (the count includes the header).
+    raw: units cut right before each '==== ' header (each block keeps the
+    separating newline that follows it). reverse: the blueprint's node blocks
+    (each starts right after a newline). Every cut lies on a pre-token
+    boundary, so summed unit counts equal the document's count; no document
+    string is built.
+    """
+    from .blueprint import blueprint_blocks
+    from .tokens import token_counts
+
+    opts = opts or RenderOptions()
+    if mode in ("markdown", "structure"):
+        docs = render(files, mode, opts, meta, ranks_path=ranks_path)
+        t = F.regexp_extract("document", r"- Tokens \(o200k_base\): ([0-9,]+)\n", 1)
+        return docs.select("root", F.regexp_replace(t, ",", "").cast("bigint").alias("tokens"))
+    w = walk(files, opts.walk)
+    if mode == "raw":
+        blocks = _file_rows(w.files, opts.content, "raw", False, opts.walk.max_size)
+        last = blocks.groupBy("root").agg(F.max("path").alias("last"))
+        units = blocks.join(last, "root").select(
+            "root", F.array_join("path", "/").alias("uid"),
+            F.concat("block", F.when(F.col("path") == F.col("last"), F.lit("")).otherwise(F.lit("\n"))).alias("text"),
+        )
+    else:
+        nodes = freeze(w.nodes)
+        units = blueprint_blocks(w.files, nodes, opts.content, opts.walk.max_size).select(
+            "root", F.array_join("path", "/").alias("uid"), F.col("block").alias("text")
+        )
+    per_unit = token_counts(units, ranks_path, "text", keys=("root", "uid"))
+    return per_unit.groupBy("root").agg(F.sum("tokens").cast("bigint").alias("tokens"))
