@@ -107,3 +107,13 @@ def test_render_by_options_matches_static_renders(spark, files_of):
     assert (got["c"]["mode"], got["c"]["document"]) == ("reverse", one("c", "reverse"))
     assert (got["d"]["mode"], got["d"]["document"]) == ("structure", one("d", "structure", max_size=20))
     assert got["e"]["document"] is None and "raw" in got["e"]["error"]
+
+
+def test_root_with_everything_excluded_still_rendered(spark, files_of):
+    f = files_of({"p": {"node_modules/x.js": "x", ".env": "y"}, "q": {"a.txt": "a"}})
+    got = {r["root"]: r["document"] for r in R.render(f, "structure").collect()}
+    assert got["p"] == ("# Project Statistics\n- Files: 0\n- Directories: 0\n- Total lines: 0\n- Total size: 0 bytes\n\n"
+                        "# Project Structure\n\n```\np/\n```\n")
+    assert "q/\n└── a.txt\n" in got["q"]
+    raw = {r["root"]: r["document"] for r in R.render(f, "raw").collect()}
+    assert raw["p"] == ""

@@ -104,8 +104,9 @@ def document_bounds(files: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _small_roots(files: DataFrame, nodes: DataFrame, max_bytes: int) -> DataFrame:
-    small = document_bounds(files, nodes).filter(F.col("bound") <= max_bytes).select("root", F.lit(True).alias("small"))
-    return checked_broadcast(small)
+    """(root, small) for every root with kept content: one row per root, broadcast after a count."""
+    flags = document_bounds(files, nodes).select("root", (F.col("bound") <= max_bytes).alias("small"))
+    return checked_broadcast(flags)
 
 
 def _tree_per_root(nodes: DataFrame, small: DataFrame) -> DataFrame:
@@ -178,8 +179,9 @@ def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None
     # the node table (paths only) feeds bounds, tree, marks and counts: compute it once
     w.nodes = freeze(w.nodes)
     small = _small_roots(w.files, w.nodes, opts.max_document_bytes)
-    roots = w.nodes.select("root").unionByName(w.files.select("root")).distinct()
-    rows = roots.join(small, "root", "left")
+    # every input root gets a document, also one whose files are all excluded (no bound: small)
+    roots = files.select("root").distinct()
+    rows = roots.join(small, "root", "left").select("root", F.coalesce(F.col("small"), F.lit(True)).alias("small"))
     if mode in ("markdown", "structure"):
         rows = rows.join(_dirs_per_root(w.nodes), "root", "left").join(_tree_per_root(w.nodes, small), "root", "left")
     if mode == "raw":
@@ -199,7 +201,8 @@ def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None
     if mode == "raw":
         doc = F.coalesce(F.col("body"), F.lit(""))
         return rows.select("root", F.when(assembled, doc).alias("document"), assembled.alias("assembled"))
-    structure = structure_section(F.col("tree"))
+    tree = F.coalesce(F.col("tree"), F.concat(paths.root_display_name("root"), F.lit("/\n")))
+    structure = structure_section(tree)
     contents = F.concat(F.lit("\n# File Contents\n"), F.coalesce(F.col("body"), F.lit("")))
     body = structure if mode == "structure" else F.concat(structure, contents)
     if ranks_path is None:
@@ -230,7 +233,7 @@ def _body_tokens(rows: DataFrame, blocks: DataFrame, mode: str, ranks_path: str)
     """
     from .tokens import token_counts
 
-    structure = structure_section(F.col("tree"))
+    structure = structure_section(F.coalesce(F.col("tree"), F.concat(paths.root_display_name("root"), F.lit("/\n"))))
     if mode == "structure":
         u0 = rows.select("root", F.lit("").alias("uid"), structure.alias("text"))
         units = u0
