@@ -117,3 +117,10 @@ def test_root_with_everything_excluded_still_rendered(spark, files_of):
     assert "q/\n└── a.txt\n" in got["q"]
     raw = {r["root"]: r["document"] for r in R.render(f, "raw").collect()}
     assert raw["p"] == ""
+
+
+def test_stats_report_roots_with_nothing_kept(spark, files_of):
+    f = files_of({"p": {"node_modules/x.js": "x"}, "q": {"a.txt": "a"}})
+    w = walk(f, WalkOptions())
+    got = {r["root"]: tuple(r)[1:] for r in stats.project_stats(inspect_files(w.files), w.nodes, roots=f).collect()}
+    assert got == {"p": (0, 0, 0, 0), "q": (1, 0, 1, 1)}

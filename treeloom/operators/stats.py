@@ -9,12 +9,14 @@ from ..functions import text as TX
 from .inspect import ContentOptions, windowed
 
 
-def project_stats(inspected: DataFrame, nodes: DataFrame, opts: ContentOptions | None = None) -> DataFrame:
+def project_stats(inspected: DataFrame, nodes: DataFrame, opts: ContentOptions | None = None,
+                  roots: DataFrame | None = None) -> DataFrame:
     """(root, files, dirs, lines, size).
 
     lines = lines of the windowed text of text files (markers count as lines);
     size = bytes of every kept file, binary and oversize ones too; dirs = kept
-    directories including empty ones. File rows and directory rows are unioned
+    directories including empty ones. ``roots`` (e.g. the input files' root
+    column) adds zero rows so that roots with nothing kept are reported too. File rows and directory rows are unioned
     and summed in a single aggregation keyed by root (map-side partial sums, so
     a hot root costs one row per task before the shuffle).
     """
@@ -33,8 +35,14 @@ def project_stats(inspected: DataFrame, nodes: DataFrame, opts: ContentOptions |
         F.lit(0).cast("bigint").alias("l"),
         F.lit(0).cast("bigint").alias("s"),
     )
+    parts = per_file.unionByName(per_dir)
+    if roots is not None:  # roots whose files were all excluded still report zeros
+        zero = F.lit(0).cast("bigint")
+        parts = parts.unionByName(
+            roots.select("root").distinct().select("root", zero.alias("f"), zero.alias("d"), zero.alias("l"), zero.alias("s"))
+        )
     return (
-        per_file.unionByName(per_dir)
+        parts
         .groupBy("root")
         .agg(
             F.sum("f").alias("files"),

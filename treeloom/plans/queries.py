@@ -209,7 +209,7 @@ def single_line(spark, sf):
 def project_stats(spark, sf):
     files = _doc_files(spark, sf)
     w = walk(files, WalkOptions())
-    return stats.project_stats(inspect_files(w.files), w.nodes)
+    return stats.project_stats(inspect_files(w.files), w.nodes, roots=files)
 
 
 
