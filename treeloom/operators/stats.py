@@ -39,7 +39,7 @@ def project_stats(inspected: DataFrame, nodes: DataFrame, opts: ContentOptions |
     if roots is not None:  # roots whose files were all excluded still report zeros
         zero = F.lit(0).cast("bigint")
         parts = parts.unionByName(
-            roots.select("root").distinct().select("root", zero.alias("f"), zero.alias("d"), zero.alias("l"), zero.alias("s"))
+            roots.select("root", zero.alias("f"), zero.alias("d"), zero.alias("l"), zero.alias("s"))  # collapses map-side
         )
     return (
         parts
