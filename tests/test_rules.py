@@ -86,3 +86,13 @@ def test_whitelist_rescues_hidden(spark, files_of):
     f = files_of({"r": {".gitignore": "!.github/\n!.keep\n", ".github/ci.yml": "x", ".keep": "", ".other": "x", "a.txt": "x"}})
     w = walk(f, WalkOptions())
     assert sorted("/".join(r["path"]) for r in w.files.collect()) == [".github/ci.yml", ".keep", "a.txt"]
+
+
+def test_reinclusion_below_ignored_dir_is_impossible(spark, files_of):
+    from treeloom.operators.snapshot import WalkOptions, walk
+
+    f = files_of({"r": {".gitignore": "gen/\n!gen/keep.txt\nlogs2/*\n!logs2/keep.txt\n",
+                        "gen/keep.txt": "x", "gen/drop.txt": "x", "logs2/keep.txt": "x", "logs2/drop.txt": "x"}})
+    w = walk(f, WalkOptions())
+    # an ignored directory is never entered; ignoring only its contents allows re-inclusion
+    assert sorted("/".join(r["path"]) for r in w.files.collect()) == ["logs2/keep.txt"]
