@@ -75,3 +75,20 @@ def test_utf16_edges(spark, files_of):
     assert got["lone.txt"]["kind"] == "binary"
     assert got["bom8.txt"]["text"] == "﻿hi"
     assert got["bad8.txt"]["kind"] == "binary"
+
+
+def test_multi_part_and_offset_signatures(spark, files_of):
+    got = _classify(spark, files_of, {
+        "a.webp.x": b"RIFF\x10\x00\x00\x00WEBPVP8 ",
+        "b.wav.x": b"RIFF\x10\x00\x00\x00WAVEfmt ",
+        "c.tar.x": b"\x00" * 257 + b"ustar\x0000",
+        "d.zip.x": b"PK\x03\x04\x14\x00",
+        "e.mp4.x": b"\x00\x00\x00\x18ftypisom\x00\x00",
+        "f.rtf.x": b"{\\rtf1 plain",
+    })
+    assert got["a.webp.x"]["meta"]["mime_type"] == "image/webp"
+    assert got["b.wav.x"]["meta"]["mime_type"] == "audio/x-wav"
+    assert got["c.tar.x"]["meta"]["mime_type"] == "application/x-tar"
+    assert got["d.zip.x"]["meta"]["mime_type"] == "application/zip"
+    assert got["e.mp4.x"]["meta"]["mime_type"] == "video/mp4"
+    assert got["f.rtf.x"]["kind"] == "text"

@@ -47,7 +47,6 @@ def looks_binary(prefix: Column) -> Column:
 
 
 _HEAD_BYTES = 16  # signatures at offsets below this are checked on the hex of the first 16 bytes
-_TAR_OFFSET = 257
 
 
 def _sql_lit(v) -> str:
@@ -59,44 +58,55 @@ def _sql_lit(v) -> str:
 _CACHE: dict[str, Column] = {}
 
 
-def _signature_table() -> Column:
-    """Constant array<struct<parts, mime, ext>>; parts = array<struct<src, pos, hex>>.
+def _signature_maps() -> tuple[dict[int, dict[str, int]], list[tuple[int, list]]]:
+    """Offset-0 single-part signatures by byte length -> {hex: first table index}; the rest listed."""
+    by_len: dict[int, dict[str, int]] = {}
+    others: list[tuple[int, list]] = []
+    for i, (_name, parts, _mime, _ext) in enumerate(K.SIGNATURES):
+        if len(parts) == 1 and parts[0][0] == 0:
+            hexbytes = parts[0][1].upper()
+            by_len.setdefault(len(hexbytes) // 2, {}).setdefault(hexbytes, i)
+        else:
+            others.append((i, parts))
+    return by_len, others
+
+
+def _signature_entries() -> Column:
+    """Constant array<struct<mime, ext>> in table order (one SQL literal, cached)."""
+    if "sig_entries" not in _CACHE:
+        items = ", ".join(f"named_struct('mime', {_sql_lit(m)}, 'ext', {_sql_lit(e)})" for _n, _p, m, e in K.SIGNATURES)
+        _CACHE["sig_entries"] = F.expr(f"array({items})")
+    return _CACHE["sig_entries"]
 
-    Written as one SQL literal (one round trip to the JVM, folded to a constant).
-    """
-    if "sig" not in _CACHE:
-        entries = []
-        for _name, parts, mime, ext in K.SIGNATURES:
-            ps = []
-            for offset, hexbytes in parts:
-                if offset + len(hexbytes) // 2 <= _HEAD_BYTES:
-                    src, pos = 0, 2 * offset + 1
-                else:
-                    src, pos = 1, 2 * (offset - _TAR_OFFSET) + 1
-                ps.append(f"named_struct('src', {src}, 'pos', {pos}, 'hex', {_sql_lit(hexbytes.upper())})")
-            entries.append(
-                f"named_struct('parts', array({', '.join(ps)}), 'mime', {_sql_lit(mime)}, 'ext', {_sql_lit(ext)})"
-            )
-        _CACHE["sig"] = F.expr("array(" + ", ".join(entries) + ")")
-    return _CACHE["sig"]
+
+def _signature_map(length: int, entries: dict[str, int]) -> Column:
+    key = f"sig_map_{length}"
+    if key not in _CACHE:
+        pairs = ", ".join(f"{_sql_lit(h)}, {i}" for h, i in entries.items())
+        _CACHE[key] = F.expr(f"map({pairs})")
+    return _CACHE[key]
 
 
 def signature(prefix: Column) -> Column:
-    """struct(mime, ext) of the first matching content signature, else null.
+    """struct(mime, ext) of the first matching content signature (table order), else null.
 
-    One higher-order ``filter`` over a constant table instead of a CASE chain,
-    so generated code stays small however many signatures there are.
+    Compiled expressions only: one literal-map lookup per magic length on the hex
+    of the first bytes, plain comparisons for the few multi-part / offset
+    signatures, and the earliest table index wins (``array_min`` skips nulls).
     """
     head = F.hex(F.substring(prefix, 1, _HEAD_BYTES))
-    tail = F.hex(F.substring(prefix, _TAR_OFFSET + 1, 8))
-
-    def part_ok(p):
-        src = F.when(p["src"] == 0, head).otherwise(tail)
-        return F.substr(src, p["pos"], F.length(p["hex"])) == p["hex"]
-
-    hits = F.filter(_signature_table(), lambda s: F.forall(s["parts"], part_ok))
-    first = F.try_element_at(hits, F.lit(1))
-    return F.when(first.isNotNull(), F.struct(first["mime"].alias("mime"), first["ext"].alias("ext")))
+    by_len, others = _signature_maps()
+    cands = [F.element_at(_signature_map(n, m), F.substr(head, F.lit(1), F.lit(2 * n))) for n, m in sorted(by_len.items())]
+    for i, parts in others:
+        cond = None
+        for offset, hexbytes in parts:
+            magic = bytes.fromhex(hexbytes)
+            c = F.substring(prefix, offset + 1, len(magic)) == F.lit(bytearray(magic))
+            cond = c if cond is None else cond & c
+        cands.append(F.when(cond, F.lit(i)))
+    idx = F.array_min(F.array(*cands))
+    entry = F.element_at(_signature_entries(), idx + 1)
+    return F.when(idx.isNotNull(), F.struct(entry["mime"].alias("mime"), entry["ext"].alias("ext")))
 
 
 def is_textual_mime(mime: Column) -> Column:
