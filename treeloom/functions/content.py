@@ -28,17 +28,24 @@ def has_utf16_bom(content: Column) -> Column:
     return (head == F.lit(_BOM_LE)) | (head == F.lit(_BOM_BE))
 
 
-def control_byte_count(prefix: Column) -> Column:
+def latin1(prefix: Column) -> Column:
+    """Bytes as a string with one char per byte."""
+    return F.decode(prefix, "ISO-8859-1")
+
+
+def control_byte_count(prefix: Column, chars: Column | None = None) -> Column:
     """Count of control bytes 01-08, 0B, 0E-1F, 7F (form feed, tab, CR, LF excluded)."""
-    chars = F.decode(prefix, "ISO-8859-1")  # one char per byte
+    chars = latin1(prefix) if chars is None else chars
     return F.length(chars) - F.length(F.regexp_replace(chars, F.lit(_CONTROL_CLASS), F.lit("")))
 
 
-def looks_binary(prefix: Column) -> Column:
-    """Empty or BOM -> no; any NUL -> yes; else >= 3 control bytes and more than 1 %."""
-    chars = F.decode(prefix, "ISO-8859-1")
+def looks_binary(prefix: Column, chars: Column | None = None) -> Column:
+    """Empty or BOM -> no; any NUL -> yes; else >= 3 control bytes and more than 1 %.
+
+    ``chars``: the prefix already decoded by ``latin1`` (pass a column to decode once)."""
+    chars = latin1(prefix) if chars is None else chars
     n = F.octet_length(prefix)
-    ctrl = control_byte_count(prefix)
+    ctrl = control_byte_count(prefix, chars)
     return (
         F.when((n == 0) | has_utf16_bom(prefix), F.lit(False))
         .when(F.instr(chars, "\u0000") > 0, F.lit(True))
@@ -118,8 +125,8 @@ def is_textual_mime(mime: Column) -> Column:
     )
 
 
-def has_binary_signature(prefix: Column) -> Column:
-    sig = signature(prefix)
+def has_binary_signature(prefix: Column, sig: Column | None = None) -> Column:
+    sig = signature(prefix) if sig is None else sig
     return F.coalesce(sig.isNotNull() & ~is_textual_mime(sig["mime"]), F.lit(False))
 
 
@@ -136,9 +143,9 @@ def _extension_map() -> Column:
     return _CACHE["ext"]
 
 
-def detect_metadata(name: Column, prefix: Column, size: Column) -> Column:
+def detect_metadata(name: Column, prefix: Column, size: Column, sig: Column | None = None) -> Column:
     """struct(size, mime_type, extension, detected_by): signature, else extension, else fallback."""
-    sig = signature(prefix)
+    sig = signature(prefix) if sig is None else sig
     ext = F.lower(file_extension(name))
     by_ext = F.element_at(_extension_map(), ext)
     return (

@@ -37,18 +37,40 @@ def inspect_files(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: b
     """
     df = files.filter(~F.col("is_dir"))
     text_mode = "text" in files.columns
-    kind, text, meta, limit = memo_columns(("inspect", max_size, utf16, text_mode),
-                                           lambda: _inspect_columns(max_size, utf16, text_mode))
-    df = df.withColumn("__kind", kind)
-    keep = [c for c in df.columns if c not in ("content", "text", "kind", "__kind")]
+    prefix, kind, text, meta, limit = memo_columns(("inspect", max_size, utf16, text_mode),
+                                                   lambda: _inspect_columns(max_size, utf16, text_mode))
+    # the 8 KiB detection prefix and its one-char-per-byte view are computed once per row
+    df = (
+        df.withColumn("__prefix", prefix)
+        .withColumn("__latin", C.latin1(F.col("__prefix")))
+        .withColumn("__sig", C.signature(F.col("__prefix")))
+    )
+    df = _once(df, kind, "__kind")
+    keep = [c for c in df.columns if c not in ("content", "text", "kind", "__kind", "__prefix", "__latin", "__sig")]
     return df.select(*keep, F.col("__kind").alias("kind"), text.alias("text"), meta.alias("meta"), limit.alias("limit"))
 
 
+def _once(df: DataFrame, expr, name: str) -> DataFrame:
+    """Add ``expr`` as column ``name`` through a one-row generator.
+
+    A later filter on ``name`` (e.g. kind = 'text') cannot be pushed below a
+    generator that produces it, so the expression is evaluated once per row —
+    pushed through a plain projection, the optimizer would substitute and
+    evaluate the whole classification twice (in the filter and the projection).
+    """
+    return df.select("*", F.inline(F.array(F.struct(expr.alias(name)))))
+
+
 def with_kind(files: DataFrame, max_size: int = K.DEFAULT_MAX_SIZE, utf16: bool = True) -> DataFrame:
     """files + ``kind`` only (all columns kept): row-wise, for selecting files by their class."""
     text_mode = "text" in files.columns
-    kind = memo_columns(("inspect", max_size, utf16, text_mode), lambda: _inspect_columns(max_size, utf16, text_mode))[0]
-    return files.withColumn("kind", kind)
+    prefix, kind = memo_columns(("inspect", max_size, utf16, text_mode), lambda: _inspect_columns(max_size, utf16, text_mode))[:2]
+    df = (
+        files.withColumn("__prefix", prefix)
+        .withColumn("__latin", C.latin1(F.col("__prefix")))
+        .withColumn("__sig", C.signature(F.col("__prefix")))
+    )
+    return _once(df, kind, "kind").drop("__prefix", "__latin", "__sig")
 
 
 def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
@@ -58,8 +80,9 @@ def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
     if text_mode:
         # table text: no UTF-16 BOM is possible in a string; encode only the detection prefix
         src = F.col("text")
-        prefix = F.substring(F.encode(F.substring(src, 1, K.DETECTION_BYTES), "UTF-8"), 1, K.DETECTION_BYTES)
-        binary_head = C.has_binary_signature(prefix) | C.looks_binary(prefix)
+        prefix_expr = F.substring(F.encode(F.substring(src, 1, K.DETECTION_BYTES), "UTF-8"), 1, K.DETECTION_BYTES)
+        prefix = F.col("__prefix")
+        binary_head = C.has_binary_signature(prefix, F.col("__sig")) | C.looks_binary(prefix, F.col("__latin"))
         kind = (
             F.when(F.col("error").isNotNull(), F.lit("error"))
             .when(oversize, F.lit("too_large"))
@@ -70,8 +93,9 @@ def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
         text = F.when(F.col("__kind") == "text", src)
     else:
         content = F.col("content")
-        prefix = C.detection_prefix(content)
-        binary_head = C.has_binary_signature(prefix) | C.looks_binary(prefix)
+        prefix_expr = C.detection_prefix(content)
+        prefix = F.col("__prefix")
+        binary_head = C.has_binary_signature(prefix, F.col("__sig")) | C.looks_binary(prefix, F.col("__latin"))
         bom = C.has_utf16_bom(content)
         as_string = content.cast("string")
         u16 = C.utf16_text(content) if utf16 else F.lit(None).cast("string")
@@ -86,10 +110,10 @@ def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
         text = F.when(F.col("__kind") == "text", F.when(bom & u16.isNotNull(), u16).otherwise(as_string))
     meta = F.when(
         F.col("__kind").isin("binary", "too_large"),
-        C.detect_metadata(F.element_at("path", -1), prefix, size),
+        C.detect_metadata(F.element_at("path", -1), prefix, size, F.col("__sig")),
     )
     limit = F.when(F.col("__kind") == "too_large", limit_c.cast("bigint"))
-    return kind, text, meta, limit
+    return prefix_expr, kind, text, meta, limit
 
 
 def _opt(v):
