@@ -3,8 +3,8 @@
 ``ordinal_within`` numbers rows inside a key by an order column, like
 ``row_number() over (partition by key order by ...)``, but a hot key (one root
 holding a third of all rows) is spread over many range partitions instead of
-one window task. ``ordered_concat`` is the ordered string aggregation used to
-assemble per-root documents, guarded by a byte limit.
+one window task. ``assemble`` is the ordered string aggregation used to
+build per-root documents, guarded by a byte limit.
 """
 
 from __future__ import annotations
@@ -48,12 +48,6 @@ def ordinal_within(df: DataFrame, key: str, order: str, out: str = "ordinal", pa
     )
 
 
-def ordered_concat(df: DataFrame, key: str, order: str, value: str, out: str, sep: str = "") -> DataFrame:
-    """(key, out): ``value`` concatenated in ``order`` per key (string aggregation, sort inside)."""
-    agg = F.expr(f"listagg({value}, '{_sql_str(sep)}') WITHIN GROUP (ORDER BY {order})")
-    return df.groupBy(key).agg(agg.alias(out))
-
-
 def _sql_str(s: str) -> str:
     return s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
 

@@ -445,9 +445,11 @@ def _blueprint_texts(spark, sf, with_duplicates=False):
         blocks = blocks.unionByName(
             blueprint_blocks(en, paths.path_closure(en), ContentOptions(head=1)).withColumn("part", F.lit(2))
         )
-    return blocks.groupBy(F.col("root").alias("blueprint_id")).agg(
-        F.expr("listagg(block, '') WITHIN GROUP (ORDER BY part, path)").alias("text")
-    )
+    from ..operators.ordering import assemble
+
+    ordered = blocks.select("root", F.struct("part", "path").alias("ord"), "block")
+    texts = assemble(ordered, "root", "ord", "block", "text", 256 * 1024 * 1024)
+    return texts.select(F.col("root").alias("blueprint_id"), "text")
 
 
 def blueprint_render(spark, sf):
