@@ -11,9 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm import byte_bpe, exact_dedup, quality
+from treeloom.llm import byte_bpe, exact_dedup, minhash, mixing, quality
 from treeloom.llm.common import prepare, table, written
-from treeloom.llm.queries import pre_token_pattern, vocabulary
+from treeloom.llm.queries import domain_of_source, mixture_weights, pre_token_pattern, vocabulary
+
+#: Share of the tokens that reach the mixing stage which it hands on.
+MIXED_SHARE = 0.9
+SEED = 17
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +32,18 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_documents(docs, exact_dedup.DigestIndex(spark))
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component (five-word shingles, likeness 0.8)."""
+    prepare(spark)
+    return minhash.keep_one(docs, words=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of a one-epoch mixture: repeats would undo the stages before."""
+    prepare(spark)
+    return mixing.take_mixture(docs, mixture_weights(), domain_of_source(), seed=SEED, share=MIXED_SHARE)
+
+
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each document, with the digest of their decoded bytes."""
     prepare(spark)
@@ -37,6 +53,8 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_stage),
     ("exact_dedup", exact_stage),
+    ("minhash", near_stage),
+    ("mixing", mixing_stage),
     ("byte_bpe", encode_stage),
 ]
 

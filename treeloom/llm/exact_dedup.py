@@ -26,7 +26,7 @@ from .common import partitions, prepare, text_or_empty, written
 # The bytes deleted before texts are compared: space, \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 # Groups of at least this many copies may be looked up by broadcast, and at most HOT_GROUPS of them.
-HOT_SIZE = 4096
+HOT_SIZE = 256
 HOT_GROUPS = 1000
 
 INDEX_SCHEMA = "digest string, keep_id bigint, n_chars bigint, group_size bigint, batch bigint"
