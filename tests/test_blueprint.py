@@ -12,49 +12,62 @@ def _render(spark, files_of, entries, **kw):
     return B.blueprint_render(w.files, w.nodes, **kw).collect()[0]["blueprint"]
 
 
-def test_render_goldens(spark, files_of):
-    assert _render(spark, files_of, {"README.md": "readme"}) == "README.md: readme\n"
-    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452")
-    assert _render(spark, files_of, {"image.data": png}).startswith(
-        "image.data: <binary file; MIME: image/png; detected by: content signature; size: 16 bytes")
-    got = _render(spark, files_of, {"src/a.txt": "x\ny\n", "src/e.txt": "", "top": "one"})
-    assert got == "src/\n  a.txt:|\n    x\n    y\n    \n  e.txt\ntop: one\n"
-    assert _render(spark, files_of, {"src/a.txt": "x\ny"}, no_content=True) == "src/\n  a.txt\n"
+def test_render_forms(spark, files_of):
+    assert _render(spark, files_of, {"title.txt": "one line"}) == "title.txt: one line\n"
+    jpeg = bytes.fromhex("FFD8FFE000104A46494600")
+    assert _render(spark, files_of, {"photo": jpeg}).startswith(
+        f"photo: <binary file; MIME: image/jpeg; detected by: content signature; size: {len(jpeg)} bytes")
+    got = _render(spark, files_of, {"lib/util/two.txt": "p\nq", "lib/util/three.txt": "p\nq\n", "lib/none": "", "z": "end"})
+    assert got == ("lib/\n  none\n  util/\n    three.txt:|\n      p\n      q\n      \n    two.txt:|\n      p\n      q\nz: end\n")
+    assert _render(spark, files_of, {"lib/two.txt": "p\nq"}, no_content=True) == "lib/\n  two.txt\n"
+
+
+def test_root_with_nothing_kept_has_an_empty_blueprint(spark, files_of):
+    f = files_of({"p": {"node_modules/x.js": "x"}, "q": {"a.txt": "a"}})
+    w = walk(f, WalkOptions())
+    got = {r["root"]: r["blueprint"] for r in B.blueprint_render(w.files, w.nodes, roots=f).collect()}
+    assert got == {"p": "", "q": "a.txt: a\n"}
 
 
 def test_parse_errors():
     for text, msg in [
-        ("\tsrc/", "Tabs"), (" a", "multiples of two"), ("a\n    b", "Unexpected indentation"),
-        (": x", "cannot be empty"), ("a/b", "Nested paths"),
+        ("x/\n\ty", "Tabs"), ("x/\n   y", "multiples of two"), ("x/\n    y", "Unexpected indentation on line 2"),
+        ("one\n  two", "Unexpected indentation on line 2"), ("x/\n  : v", "cannot be empty"), ("x/y/z: v", "Nested paths.*x/y/z"),
+        ("t:|\n  ok\n   odd", "multiples of two"),
     ]:
         with pytest.raises(B.BlueprintError, match=msg):
             B.parse_blueprint(text, lenient=False)
 
 
-def test_parse_strict_and_lenient_marker():
-    # strict: 'name: |' is a one-line file whose content is '|' ...
-    assert B.parse_blueprint("f: |", lenient=False)[0][2] == "|"
-    # ... so an indented body after it is an unexpected indentation
-    with pytest.raises(B.BlueprintError, match="Unexpected indentation"):
-        B.parse_blueprint("f: |\n  body\n", lenient=False)
-    assert B.parse_blueprint("f:|\n  body\n  more\n", lenient=False)[0][2] == "body\nmore"
-    lenient = B.parse_blueprint("f: |\n  body\n  more\n", lenient=True)
-    assert lenient[0][2] == "body\nmore"
+def test_spaced_marker_is_text_in_strict_mode_only():
+    text = "note: |\n  first\n  second\n"
+    assert [n[2] for n in B.parse_blueprint(text)] == ["first\nsecond"]
+    with pytest.raises(B.BlueprintError, match="line 2"):
+        B.parse_blueprint(text, lenient=False)
+    assert [n[2] for n in B.parse_blueprint("note: |\nnext", lenient=False)] == ["|", None]
+
+
+def test_parse_nesting_comments_and_bodies():
+    text = ("top/\n  # remark\n  in/\n    deep.cfg:|\n      k: v\n\n        more\n  url: http://host:80/x\n\nend/\r\n  e.txt:  padded \n")
+    got = [("/".join(p), d, c, n, chain) for p, d, c, n, chain in B.parse_blueprint(text)]
+    assert got == [
+        ("top", True, None, 1, []), ("top/in", True, None, 3, [1]), ("top/in/deep.cfg", False, "k: v\n\n  more", 4, [1, 3]),
+        ("top/url", False, "http://host:80/x", 8, [1]), ("end", True, None, 10, []), ("end/e.txt", False, "padded ", 11, [10]),
+    ]
 
 
-def test_parse_structure():
-    nodes = B.parse_blueprint("# c\nsrc/\n  main.rs: fn main() {}\n  lib/\n    x.txt:|\n      a\n      \n      b\nREADME.md\n")
-    got = [("/".join(p), d, c) for p, d, c, _ln, _ch in nodes]
-    assert got == [("src", True, None), ("src/main.rs", False, "fn main() {}"), ("src/lib", True, None),
-                   ("src/lib/x.txt", False, "a\n\nb"), ("README.md", False, None)]
+def test_null_text_is_an_error_row(spark):
+    df = spark.createDataFrame([("n", None), ("e", ""), ("k", "a\n")], "blueprint_id string, text string")
+    got = {(r["blueprint_id"], r["error"]) for r in B.blueprint_parse(df).collect()}
+    assert got == {("n", B.MSG_NULL), ("k", None)}
 
 
-def test_entries_last_wins(spark):
-    text = "a/\n  old.txt: 1\nb.txt: x\na/\n  new.txt: 2\nb.txt: y\n"
+def test_later_duplicates_replace_whole_subtrees(spark):
+    text = "k/\n  gone: 1\n  sub/\n    gone2: 2\nf: first\nk/\n  stays: 3\nf: second\n"
     df = spark.createDataFrame([("t", text)], "blueprint_id string, text string")
     e = B.blueprint_entries(B.blueprint_parse(df))
     got = sorted(("/".join(r["path"]), r["content"]) for r in e.collect())
-    assert got == [("a", None), ("a/new.txt", "2"), ("b.txt", "y")]
+    assert got == [("f", "second"), ("k", None), ("k/stays", "3")]
 
 
 def test_round_trip_property(spark, files_of):

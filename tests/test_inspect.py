@@ -6,43 +6,41 @@ def _classify(spark, files_of, entries, **kw):
     return {"/".join(r["path"]): r for r in df.collect()}
 
 
-def test_fixture_classification(spark, files_of):
-    s = "Hello, UTF-16! 👋"
+def test_kinds_types_and_markers(spark, files_of):
+    word = "Grüße 🌲 wide"
+    gif = b"GIF87a" + bytes(range(1, 7))
     got = _classify(spark, files_of, {
-        "image.data": bytes.fromhex("89504E470D0A1A0A0000000D49484452"),
-        "payload.bin": bytes.fromhex("0001020341"),
-        "output.log": b"\x1b[31merror\x1b[0m\n",
-        "misleading.txt": b"GIF89a\x01\x00",
-        "document.rtf": b"{\\rtf1\\ansi Hello from RTF}",
-        "utf16.txt": b"\xff\xfe" + s.encode("utf-16-le"),
-        "archive.custom.pdf": bytes.fromhex("FFFEFD"),
-        "unknown": bytes.fromhex("FFFEFD"),
-        "notes.png": b"plain text",
+        "logo": gif,
+        "table.dat": b"\x00\x05\x06\x07",
+        "colours.txt": b"\x1b[1mbold\x1b[0m done\n",
+        "paper.txt": b"%PDF-1.7\n\x01\x02\x03\x04",
+        "wide.csv": b"\xff\xfe" + word.encode("utf-16-le"),
+        "sheet.v2.png": bytes.fromhex("C0C1FE"),
+        "noext": bytes.fromhex("C0C1FE"),
+        "letter.gif": b"just words",
     })
-    png = got["image.data"]
-    assert (png["kind"], png["meta"]["size"], png["meta"]["mime_type"], png["meta"]["extension"], png["meta"]["detected_by"]) == (
-        "binary", 16, "image/png", "png", "content signature")
-    assert png["shown"] == ("[Binary file not shown; MIME: image/png; detected by: content signature; size: 16 bytes; "
-                            "detected extension: png]")
-    b = got["payload.bin"]["meta"]
-    assert (b["mime_type"], b["extension"], b["detected_by"]) == ("application/octet-stream", "bin", "file extension")
-    assert got["output.log"]["kind"] == "text" and got["output.log"]["text"] == "\x1b[31merror\x1b[0m\n"
-    assert got["misleading.txt"]["meta"]["mime_type"] == "image/gif"
-    assert got["document.rtf"]["kind"] == "text"
-    assert got["utf16.txt"]["text"] == s
-    pdf = got["archive.custom.pdf"]["meta"]
-    assert (pdf["size"], pdf["mime_type"], pdf["extension"], pdf["detected_by"]) == (3, "application/pdf", "pdf", "file extension")
-    u = got["unknown"]["meta"]
-    assert (u["mime_type"], u["extension"], u["detected_by"]) == ("application/octet-stream", None, "fallback")
-    assert got["notes.png"]["kind"] == "text"
+    logo = got["logo"]
+    assert (logo["kind"], logo["meta"]["size"], logo["meta"]["mime_type"], logo["meta"]["detected_by"]) == (
+        "binary", len(gif), "image/gif", "content signature")
+    assert logo["shown"] == ("[Binary file not shown; MIME: image/gif; detected by: content signature; "
+                             f"size: {len(gif)} bytes; detected extension: gif]")
+    assert got["table.dat"]["kind"] == "binary"
+    assert got["colours.txt"]["kind"] == "text" and got["colours.txt"]["text"].startswith("\x1b[1m")
+    assert got["paper.txt"]["meta"]["mime_type"] == "application/pdf"
+    assert got["wide.csv"]["text"] == word
+    by_name = got["sheet.v2.png"]["meta"]
+    assert (by_name["size"], by_name["mime_type"], by_name["detected_by"]) == (3, "image/png", "file extension")
+    assert (got["noext"]["meta"]["mime_type"], got["noext"]["meta"]["detected_by"]) == ("application/octet-stream", "fallback")
+    assert got["letter.gif"]["kind"] == "text"
 
 
-def test_oversize(spark, files_of):
-    got = _classify(spark, files_of, {"large.png": bytes.fromhex("89504E470D0A1A0A") + bytes(12)}, max_size=10)
-    r = got["large.png"]
-    assert r["kind"] == "too_large" and r["limit"] == 10
-    assert r["shown"].startswith("[File too large; MIME: image/png; detected by: content signature; size: 20 bytes")
-    assert r["shown"].endswith("; limit: 10 bytes]")
+def test_oversize_files_name_their_type_and_limit(spark, files_of):
+    body = b"PK\x03\x04" + bytes(30)
+    got = _classify(spark, files_of, {"bundle.zip": body, "fits.txt": b"x" * 16}, max_size=16)
+    row = got["bundle.zip"]
+    assert (row["kind"], row["limit"]) == ("too_large", 16) and got["fits.txt"]["kind"] == "text"
+    assert row["shown"].startswith("[File too large; MIME: application/zip; detected by: content signature; size: 34 bytes")
+    assert row["shown"].endswith("; limit: 16 bytes]")
 
 
 def test_control_bytes(spark, files_of):

@@ -4,17 +4,17 @@ from treeloom.operators.inspect import inspect_files
 from treeloom.operators.snapshot import WalkOptions, walk
 
 
-def test_project_stats_fixture(spark, files_of):
-    f = files_of({"p": {"README.md": "one\ntwo\n", "src/main.rs": "fn main() {}", "image.bin": b"\x00\x01\x02\x03"}})
-    w = walk(f, WalkOptions())
+def test_project_stats_count_text_lines_and_all_bytes(spark, files_of):
+    tree = {"a/b/one.py": "x = 1\ny = 2", "a/two.txt": "", "top.md": "# t\n\nend\n", "a/raw.bin": bytes([0, 9, 8])}
+    w = walk(files_of({"p": tree}), WalkOptions())
     r = stats.project_stats(inspect_files(w.files), w.nodes).collect()[0]
-    assert (r["files"], r["dirs"], r["lines"], r["size"]) == (3, 1, 3, 24)
+    assert (r["files"], r["dirs"], r["lines"], r["size"]) == (4, 2, 2 + 0 + 3, 11 + 0 + 9 + 3)
 
 
-def test_raw_golden(spark, files_of):
-    f = files_of({"p": {"README.md": "readme\n", "src/main.rs": "fn main() {}"}})
+def test_raw_ends_every_file_with_a_newline(spark, files_of):
+    f = files_of({"p": {"b.txt": "no newline", "a/x.txt": "1\n2\n", "c.txt": ""}})
     doc = R.render(f, "raw").collect()[0]["document"]
-    assert doc == "==== README.md ====\nreadme\n\n==== src/main.rs ====\nfn main() {}\n"
+    assert doc == "==== a/x.txt ====\n1\n2\n\n==== b.txt ====\nno newline\n\n==== c.txt ====\n\n"
 
 
 def test_markdown_and_structure(spark, files_of):
@@ -27,47 +27,61 @@ def test_markdown_and_structure(spark, files_of):
     assert st.startswith("# Project Statistics") and "example-project/" in st and "# File Contents" not in st
 
 
-def test_markers_and_guard(spark, files_of):
-    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452")
-    f = files_of({"p": {"image.data": png}})
+def test_markers_in_documents(spark, files_of):
+    f = files_of({"p": {"song.xyz": b"OggS" + bytes(12)}})
     md = R.render(f, "markdown").collect()[0]["document"]
-    assert ("[Binary file not shown; MIME: image/png; detected by: content signature; size: 16 bytes; "
-            "detected extension: png]") in md
-    big = R.render(f, "markdown", R.RenderOptions(max_document_bytes=10)).collect()[0]
-    assert big["document"] is None and big["assembled"] is False
+    assert "[Binary file not shown; MIME: " in md and "detected by: content signature; size: 16 bytes" in md
 
 
-def test_stats_header_text(spark):
+def test_stats_header_lines(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(1, 0, 1, 4, "main", "a" * 40, None)],
+    df = spark.createDataFrame([(1200, 35, 98765, 2048, None, "0f" * 20, "ssh://host/x")],
                                "f long, d long, l long, s long, b string, c string, r string")
-    h = df.select(R.stats_header(F.col("f"), F.col("d"), F.col("l"), F.col("s"), F.lit(25),
+    h = df.select(R.stats_header(F.col("f"), F.col("d"), F.col("l"), F.col("s"), F.lit(1000000),
                                  F.col("b"), F.col("c"), F.col("r"))).collect()[0][0]
-    assert h == ("# Project Statistics\n- Files: 1\n- Directories: 0\n- Total lines: 1\n- Total size: 4 bytes\n"
-                 "- Tokens (o200k_base): 25\n- Git branch: main\n- Git commit: " + "a" * 40 + "\n\n")
+    assert h.splitlines() == [
+        "# Project Statistics", "- Files: 1,200", "- Directories: 35", "- Total lines: 98,765",
+        "- Total size: 2.0 KB (2,048 bytes)", "- Tokens (o200k_base): 1,000,000", "- Git commit: " + "0f" * 20,
+        "- Git remote: ssh://host/x", "",
+    ]
 
 
-def test_large_roots_written_in_ordered_pieces(spark, files_of, tmp_path):
+def _read_in_part_order(target):
     import glob
 
     import pyarrow.parquet as pq
 
+    text, names = {}, {}
+    for part in sorted(glob.glob(f"{target}/part-*.parquet")):
+        for row in pq.read_table(part).to_pylist():
+            text[row["root"]] = text.get(row["root"], "") + row["text"]
+            names[row["root"]] = row["output"]
+    return text, names
+
+
+def test_snapshots_are_written_as_ordered_pieces(spark, files_of, tmp_path):
+    from treeloom.operators.blueprint import blueprint_render
+    from treeloom.operators.inspect import ContentOptions
     from treeloom.sources.sinks import write_snapshots
 
-    entries = {"README.md": "```\nx\n```\n", "src/a.rs": "fn a() {}", "src/b/c.txt": "one\ntwo\n", "z.bin": b"\x00\x01"}
-    f = files_of({"p": entries, "q": {"only.txt": "q"}})
-    for mode in ("markdown", "structure", "raw"):
-        whole = {r["root"]: r["document"] for r in R.render(f, mode).collect()}
+    hot = {f"d{i % 7}/f{i:03d}.txt": f"line {i}\n" * (i % 5) for i in range(60)}
+    f = files_of({"hot": hot, "q": {"only.txt": "q"}, "none": {"node_modules/x.js": "x"},
+                  "r": {"a.md": "```\nx\n```\n", "big.txt": "y" * 50, "z.bin": b"\x00\x01"}})
+    meta = spark.createDataFrame([("hot", "main", "a" * 40, None)], "root string, branch string, commit_hash string, remote_url string")
+    opts = R.RenderOptions(walk=WalkOptions(max_size=40), content=ContentOptions(head=2, max_chars=30))
+    for mode in ("markdown", "structure", "raw", "reverse"):
         target = str(tmp_path / mode)
-        write_snapshots(f, target, mode, R.RenderOptions(max_document_bytes=60), partitions=3)
-        parts = sorted(glob.glob(f"{target}/pieces/part-*.parquet"))
-        text = {}
-        for part in parts:
-            for row in pq.read_table(part).to_pylist():
-                text[row["root"]] = text.get(row["root"], "") + row["text"]
-        assert text == {"p": whole["p"], "q": whole["q"]} or text == {"p": whole["p"]}
-        assert text["p"] == whole["p"]
+        write_snapshots(f, target, mode, opts, None if mode == "reverse" else meta, partitions=9)
+        text, names = _read_in_part_order(target)
+        if mode == "reverse":
+            w = walk(f, opts.walk)
+            whole = {r["root"]: r["blueprint"] for r in blueprint_render(w.files, w.nodes, opts.content, 40, roots=f).collect()}
+        else:
+            whole = {r["root"]: r["document"] for r in R.render(f, mode, opts, meta).collect()}
+        assert text == whole and set(text) == {"hot", "q", "none", "r"}
+        assert names["hot"] == ("hot.tree" if mode == "reverse" else "hot.md")
+    assert "File too large" in R.render(f, "raw", opts).filter("root = 'r'").collect()[0]["document"]
 
 
 def test_render_by_options_matches_static_renders(spark, files_of):
@@ -124,3 +138,22 @@ def test_stats_report_roots_with_nothing_kept(spark, files_of):
     w = walk(f, WalkOptions())
     got = {r["root"]: tuple(r)[1:] for r in stats.project_stats(inspect_files(w.files), w.nodes, roots=f).collect()}
     assert got == {"p": (0, 0, 0, 0), "q": (1, 0, 1, 1)}
+
+
+def test_options_of_each_root_shape_its_walk(spark, files_of):
+    from treeloom.operators.options import resolve_options
+
+    from test_options_meta_secrets import _layers
+
+    body = {"a.txt": "a\n", "b.md": "b\n", ".hid": "h\n", "build/c.txt": "c\n"}
+    f = files_of({r: body for r in ("plain", "globs", "hidden", "every", "bad")})
+    rows = [
+        ("globs", "explicit", {"raw": True, "exclude": ["*.md"]}), ("hidden", "explicit", {"raw": True, "include_hidden": True}),
+        ("every", "local", {"raw": True, "all": True}), ("bad", "explicit", {"raw": True, "exclude": ["[abc"]}),
+    ]
+    got = {r["root"]: r for r in R.render_by_options(f, resolve_options(_layers(spark, rows))).collect()}
+    files = lambda r: [x[5:-5] for x in got[r]["document"].splitlines() if x.startswith("==== ")]
+    assert got["plain"]["mode"] == "markdown" and "## b.md" in got["plain"]["document"]
+    assert files("globs") == ["a.txt"] and files("hidden") == [".hid", "a.txt", "b.md"]
+    assert files("every") == [".hid", "a.txt", "b.md", "build/c.txt"]
+    assert got["bad"]["document"] is None and got["bad"]["error"]

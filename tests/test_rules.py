@@ -10,13 +10,13 @@ def _excluded(spark, rs, cases):
     return [r[0] for r in df.select(rs.excluded(F.col("path"), F.col("is_dir"))).collect()]
 
 
-def test_default_excludes_fixture(spark):
+def test_default_excludes_by_directory_name_and_suffix(spark):
     cases = [
-        ("frontend/node_modules/react/index.js", True), ("app/.next/cache", True), ("service/__pycache__", True),
-        ("debug.log", False), ("src/.env.production.local", False), ("Cargo.lock", False),
-        ("docs/archive.tar.gz", False), ("docs/target", False), ("src/main.rs", False),
+        ("site/node_modules/left/pad.js", True), ("site/.next", True), ("jobs/__pycache__/a.pyc", False),
+        ("run/server.log", False), (".env.local", False), ("web/Cargo.lock", False), ("old/backup.zip", False),
+        ("notes/target", False), ("lib/core.py", False), ("node_modules_notes.txt", False),
     ]
-    assert _excluded(spark, rules.DEFAULT_RULES, cases) == [True] * 7 + [False, False]
+    assert _excluded(spark, rules.DEFAULT_RULES, cases) == [True] * 7 + [False] * 3
 
 
 def test_globs(spark):
@@ -96,3 +96,20 @@ def test_reinclusion_below_ignored_dir_is_impossible(spark, files_of):
     w = walk(f, WalkOptions())
     # an ignored directory is never entered; ignoring only its contents allows re-inclusion
     assert sorted("/".join(r["path"]) for r in w.files.collect()) == ["logs2/keep.txt"]
+
+
+def test_ignore_files_beat_deeper_gitignore_files(spark, files_of):
+    from treeloom.operators.snapshot import WalkOptions, walk
+
+    f = files_of({"r": {".ignore": "!x.md\n", "sub/.gitignore": "x.md\ny.md\n", "sub/x.md": "x", "sub/y.md": "y"}})
+    assert sorted("/".join(r["path"]) for r in walk(f, WalkOptions()).files.collect()) == ["sub/x.md"]
+
+
+def test_invalid_mktreeignore_glob_is_an_error_of_its_root(spark, files_of):
+    from treeloom.operators.snapshot import WalkOptions, walk
+
+    f = files_of({"bad": {".mktreeignore": "*.tmp\n[abc\n", "a.txt": "x"}, "good": {".mktreeignore": "\u00a0*.tmp\u2003\n", "a.tmp": "x", "b.txt": "x"}})
+    w = walk(f, WalkOptions())
+    assert [(r["root"], "/".join(r["path"])) for r in w.files.collect()] == [("good", "b.txt")]
+    (error,) = w.errors.collect()
+    assert error["root"] == "bad" and "line 2: [abc" in error["error"]

@@ -54,3 +54,30 @@ def test_pick_template(spark):
     got = {r["req_id"]: (r["text"], r["error"]) for r in SC.pick_template(req, tpl).collect()}
     assert got["1"] == ("dotted", None) and got["2"] == ("exact", None) and got["3"] == ("builtin", None)
     assert got["4"][1] == "Template 'nope' was not found in t or built-in templates (python)"
+
+
+def test_files_and_directories_replace_each_other(spark, tmp_path):
+    target = str(tmp_path / "out")
+    os.makedirs(os.path.join(target, "r", "was_dir", "deep"))
+    for rel in ("was_file", "was_dir/deep/x", "stays"):
+        with open(os.path.join(target, "r", rel), "w") as fh:
+            fh.write("old")
+    wanted = _nodes(spark, [("r", "was_file", True, None), ("r", "was_file/new.txt", False, "n"), ("r", "was_dir", False, "now a file")])
+    wanted = wanted.repartition(3)
+    on_disk = scan_files(spark, [os.path.join(target, "r")]).select("root", "path", "is_dir")
+    events = SC.scaffold_write(SC.scaffold_plan(wanted, on_disk, force=True), target)
+    assert {("/".join(e["path"]), e["action"]) for e in events.collect()} == {
+        ("was_file", "create"), ("was_file/new.txt", "create"), ("was_dir", "overwrite")}
+    back = {"/".join(r["path"]): r["content"] and bytes(r["content"]) for r in scan_files(spark, [os.path.join(target, "r")]).collect()}
+    assert back == {"was_file": None, "was_file/new.txt": b"n", "was_dir": b"now a file", "stays": b"old"}
+    os.remove(os.path.join(target, "r", "stays"))
+    events.count()  # reading the events again writes nothing
+    assert not os.path.exists(os.path.join(target, "r", "stays"))
+
+
+def test_an_unsafe_name_leaves_the_target_untouched(spark, tmp_path):
+    target = str(tmp_path / "out")
+    plan = SC.scaffold_plan(_nodes(spark, [("r", "fine.txt", False, "x"), ("r", "../x", False, "no")]), _existing(spark, []))
+    with pytest.raises(SC.ScaffoldConflict, match="unsafe"):
+        SC.scaffold_write(plan, target)
+    assert not os.path.exists(target)

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from treeloom.operators import paths, rules
-from treeloom.operators.ordering import assemble, ordinal_within
+from treeloom.operators.ordering import concatenated, ordinal_within
 
 
 def test_ordinals_with_hot_key_across_partitions(spark):
@@ -29,9 +29,10 @@ def test_prune_join_equals_prefix_predicate(spark, files_of):
     assert sorted(r["path"] for r in pruned.collect()) == sorted(r["path"] for r in direct.collect())
 
 
-def test_guard_returns_null_not_a_partial_string(spark):
-    blocks = spark.createDataFrame([("big", i, "x" * 50) for i in range(10)] + [("small", 1, "ab"), ("small", 0, "cd")],
-                                   "root string, o int, b string")
-    got = {r["root"]: (r["bytes"], r["doc"]) for r in assemble(blocks, "root", "o", "b", "doc", max_bytes=100).collect()}
-    assert got["small"] == (4, "cdab")
-    assert got["big"] == (500, None)
+def test_pieces_join_in_order_for_every_root(spark):
+    pieces = spark.createDataFrame(
+        [("big", 1, [f"n{i:04d}"], f"{i};") for i in range(900, -1, -1)] + [("big", 0, [], "head;"), ("none", 0, [], ""),
+         ("s", 3, ["a", ""], "|"), ("s", 3, ["a"], "A"), ("s", 3, ["b"], "B"), ("s", 2, ["z"], "first ")],
+        "root string, seq int, path array<string>, text string")
+    got = {r["root"]: r["doc"] for r in concatenated(pieces, "doc").collect()}
+    assert got == {"big": "head;" + "".join(f"{i};" for i in range(901)), "none": "", "s": "first A|B"}

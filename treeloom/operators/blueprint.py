@@ -11,6 +11,7 @@ entries: duplicate siblings — the last one wins with its whole subtree.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,26 +86,25 @@ def blueprint_blocks(files: DataFrame, nodes: DataFrame, opts: ContentOptions |
     return dirs.unionByName(fl)
 
 
-def blueprint_render(files: DataFrame, nodes: DataFrame, opts: ContentOptions | None = None,
-                     max_size: int | None = None, no_content: bool = False,
-                     max_bytes: int = 256 * 1024 * 1024) -> DataFrame:
-    """(root, blueprint): blocks concatenated in preorder per root (roots under ``max_bytes``;
-    the bound comes from file sizes and node names — cheap columns)."""
-    from .ordering import assemble
-
+def blueprint_pieces(files: DataFrame, nodes: DataFrame, opts: ContentOptions | None = None,
+                     max_size: int | None = None, no_content: bool = False, roots: DataFrame | None = None) -> DataFrame:
+    """(root, seq, path, text): one piece per node, and an empty one for each of ``roots`` (the input's
+    roots), so a root with nothing kept is present."""
     blocks = blueprint_blocks(files, nodes, opts, max_size, no_content)
-    per_file = files.select("root", (F.coalesce(F.col("size"), F.lit(0)) * 2 + 64).cast("bigint").alias("b"))
-    per_node = nodes.select("root", (F.col("depth") * 2 + F.octet_length("name") + 16).cast("bigint").alias("b"))
-    bounds = per_file.unionByName(per_node).groupBy("root").agg(F.sum("b").alias("bytes"))
-    return assemble(blocks, "root", "path", "block", "blueprint", max_bytes, bounds=bounds).select("root", "blueprint")
+    pieces = blocks.select("root", F.lit(1).alias("seq"), "path", F.col("block").alias("text"))
+    if roots is None:
+        return pieces
+    none = F.array().cast("array<string>")
+    start = roots.select("root").distinct()
+    return pieces.unionByName(start.select("root", F.lit(0).alias("seq"), none.alias("path"), F.lit("").alias("text")))
 
 
-def default_output_name(root: Column, fallback: str = "snapshot") -> Column:
-    """'<root name>.tree', or '<fallback>.tree' when the name is empty, '.' or '..'
-    (the command-line tool uses its own name as the fallback; pass it here)."""
-    trimmed = F.regexp_replace(root, "/+$", "")
-    last = F.element_at(F.split(trimmed, "/"), -1)
-    return F.when(last.isin("", ".", "..") | last.isNull(), F.lit(fallback + ".tree")).otherwise(F.concat(last, F.lit(".tree")))
+def blueprint_render(files: DataFrame, nodes: DataFrame, opts: ContentOptions | None = None,
+                     max_size: int | None = None, no_content: bool = False, roots: DataFrame | None = None) -> DataFrame:
+    """(root, blueprint): the pieces of each root as one string."""
+    from .ordering import concatenated
+
+    return concatenated(blueprint_pieces(files, nodes, opts, max_size, no_content, roots), "blueprint")
 
 
 # ---------------------------------------------------------------------------
@@ -116,92 +116,101 @@ class BlueprintError(ValueError):
     pass
 
 
-def _indent_depth(line: str) -> int:
-    spaces = 0
-    for ch in line:
-        if ch == " ":
-            spaces += 1
-        elif ch == "\t":
-            raise BlueprintError("Tabs are not supported for indentation")
-        else:
-            break
-    if spaces % 2:
-        raise BlueprintError("Indentation must use multiples of two spaces")
-    return spaces // 2
-
-
-def _lines(text: str) -> list[str]:
-    parts = text.split("\n")
-    if text.endswith("\n"):
-        parts = parts[:-1]
-    if text == "":
-        return []
-    return [p[:-1] if p.endswith("\r") else p for p in parts]
-
-
-def _header(header: str, lenient: bool):
-    name, sep, value = header.partition(":")
-    if sep:
-        if value == "|" or (lenient and value.strip() == "|"):
-            raw, content, multi = name.strip(), None, True
-        else:
-            raw, content, multi = name.strip(), value.lstrip(), False
-    else:
-        raw, content, multi = header.strip(), None, False
-    if not raw:
-        raise BlueprintError("Tree entry names cannot be empty")
-    if "/" in raw and not raw.endswith("/"):
-        raise BlueprintError(f"Nested paths are not supported inside a single tree entry: {raw}")
-    is_dir = raw.endswith("/")
-    return raw.rstrip("/"), is_dir, content, multi
+# Messages of the blueprint format.
+MSG_TABS = "Tabs are not supported for indentation"
+MSG_ODD = "Indentation must use multiples of two spaces"
+MSG_DEEP = "Unexpected indentation on line {}"
+MSG_EMPTY = "Tree entry names cannot be empty"
+MSG_NESTED = "Nested paths are not supported inside a single tree entry: {}"
+MSG_NULL = "Blueprint text is null"
+
+_MARGIN = re.compile(r"[ \t]*")
+
+
+class _Line:
+    """One line with what its margin says; ``end`` is the first later line that is no deeper."""
+
+    __slots__ = ("body", "end", "level", "margin", "number", "raw", "skip")
+
+    def __init__(self, number: int, raw: str):
+        self.number, self.raw = number, raw
+        self.margin = _MARGIN.match(raw).group()
+        self.body = raw.strip()
+        self.skip = not self.body or self.body[0] == "#"
+        spaces = len(raw) - len(raw.lstrip(" "))
+        self.level = spaces // 2 if self.body else None
+        self.end = 0
+
+    def check_margin(self) -> None:
+        if "\t" in self.margin:
+            raise BlueprintError(MSG_TABS)
+        if len(self.margin) % 2:
+            raise BlueprintError(MSG_ODD)
+
+
+def _classified(text: str) -> list[_Line]:
+    """All lines with their levels and where their nested lines end (one sweep from the last line up)."""
+    pieces = text.split("\n")
+    if not pieces[-1]:
+        pieces.pop()
+    lines = [_Line(n, piece.removesuffix("\r")) for n, piece in enumerate(pieces, 1)]
+    later: list[int] = []  # positions of lines below, levels falling towards the top of the list
+    for at in range(len(lines) - 1, -1, -1):
+        line = lines[at]
+        if line.level is None:
+            continue
+        while later and lines[later[-1]].level > line.level:
+            later.pop()
+        line.end = later[-1] if later else len(lines)
+        later.append(at)
+    return lines
+
+
+def _entry(text: str, lenient: bool) -> tuple[str, bool, str | None, bool]:
+    """(name, is a directory, text on the line, text follows on deeper lines) of a header."""
+    name, colon, value = text.partition(":")
+    follows = bool(colon) and (value.strip() if lenient else value) == "|"
+    name = name.strip()
+    if not name:
+        raise BlueprintError(MSG_EMPTY)
+    is_dir = name.endswith("/")
+    if "/" in name and not is_dir:
+        raise BlueprintError(MSG_NESTED.format(name))
+    return name.rstrip("/"), is_dir, None if follows or not colon else value.lstrip(), follows
 
 
 def parse_blueprint(text: str, lenient: bool = True) -> list[tuple]:
     """-> [(path list, is_dir, content, line_no, parent_chain list)]; raises BlueprintError."""
-    lines = _lines(text)
-    out: list[tuple] = []
-    i = 0
-    # stack of (depth, name, line_no) of open directories
-    stack: list[tuple[int, str, int]] = []
-    while i < len(lines):
-        line = lines[i]
-        if line.strip() == "" or line.lstrip().startswith("#"):
-            i += 1
+    lines = _classified(text)
+    nodes: list[tuple] = []
+    inside: list[tuple[str, int]] = []  # the directories open above the current line, outermost first
+    at = 0
+    while at < len(lines):
+        line = lines[at]
+        at += 1
+        if line.skip:
             continue
-        depth = _indent_depth(line)
-        while stack and stack[-1][0] >= depth:
-            stack.pop()
-        expected = len(stack)
-        if depth > expected:
-            raise BlueprintError(f"Unexpected indentation on line {i + 1}")
-        name, is_dir, content, multi = _header(line.lstrip(), lenient)
-        line_no = i + 1
-        i += 1
-        if multi:
-            body = []
-            while i < len(lines):
-                cl = lines[i]
-                if cl.strip() == "":
-                    body.append("")
-                    i += 1
-                    continue
-                if lenient:  # content lines may start with tabs or odd spaces
-                    cdepth = (len(cl) - len(cl.lstrip(" "))) // 2
-                else:
-                    cdepth = _indent_depth(cl)
-                if cdepth <= depth:
-                    break
-                strip = min((depth + 1) * 2, len(cl))
-                body.append(cl[strip:])
-                i += 1
-            content = "\n".join(body)
-        path = [s[1] for s in stack] + [name]
-        chain = [s[2] for s in stack]
-        out.append((path, is_dir, content, line_no, chain))
+        line.check_margin()
+        del inside[line.level :]
+        if len(inside) < line.level:
+            raise BlueprintError(MSG_DEEP.format(line.number))
+        name, is_dir, content, follows = _entry(line.raw.lstrip(), lenient)
+        if follows:
+            if not lenient:  # the lines of the text, and the one that ends it, need proper margins
+                for other in lines[at : line.end + 1]:
+                    if other.body:
+                        other.check_margin()
+            margin = 2 * (line.level + 1)
+            content = "\n".join(other.raw[margin:] if other.body else "" for other in lines[at : line.end])
+            at = line.end
+        nodes.append(([*(n for n, _ in inside), name], is_dir, content, line.number, [n for _, n in inside]))
         if is_dir:
-            stack.append((depth, name, line_no))
-    return out
+            inside.append((name, line.number))
+    return nodes
+
 
+# Rows that a parsing task hands on at once.
+PARSED_SLICE = 4096
 
 PARSED_SCHEMA = T.StructType(
     [
@@ -217,18 +226,24 @@ PARSED_SCHEMA = T.StructType(
 
 
 def blueprint_parse(blueprints: DataFrame, lenient: bool = True) -> DataFrame:
-    """(blueprint_id, path, is_dir, content, line_no, chain, error) — one row per node, or one error row."""
+    """(blueprint_id, path, is_dir, content, line_no, chain, error) — one row per node, or one error row
+    (a null text is an error too). Parsed rows leave a task in slices of ``PARSED_SLICE``."""
+
+    def parsed(bid, text) -> list[tuple]:
+        try:
+            if text is None:
+                raise BlueprintError(MSG_NULL)
+            return [(bid, *node, None) for node in parse_blueprint(text, lenient)]
+        except BlueprintError as e:
+            return [(bid, None, None, None, None, None, str(e))]
 
     def parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [f.name for f in PARSED_SCHEMA.fields]
         for pdf in batches:
-            rows = []
             for bid, text in zip(pdf["blueprint_id"], pdf["text"]):
-                try:
-                    for path, is_dir, content, line_no, chain in parse_blueprint(text or "", lenient):
-                        rows.append((bid, path, is_dir, content, line_no, chain, None))
-                except BlueprintError as e:
-                    rows.append((bid, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=[f.name for f in PARSED_SCHEMA.fields])
+                rows = parsed(bid, text)
+                for start in range(0, len(rows), PARSED_SLICE):
+                    yield pd.DataFrame(rows[start : start + PARSED_SLICE], columns=columns)
 
     spark = blueprints.sparkSession
     ship_package(spark)

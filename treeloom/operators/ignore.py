@@ -7,9 +7,11 @@
 2. every node explodes its ancestor directories (root included) and equi-joins
    the rules on (root, dir); the node's path relative to that directory is
    matched with ``rlike``.
-3. the winning rule is the deepest directory, then ``.ignore`` over
-   ``.gitignore``, then the last line (``max_by``); a non-negated winner ignores
-   the node. ``.mktreeignore`` globs have no negation and always exclude.
+3. the winning rule comes from ``.ignore`` files (any level) over ``.gitignore``
+   files, then from the deepest directory, then from the last line (``max_by``);
+   a non-negated winner ignores the node. ``.gitignore`` files count whether or
+   not the root is a repository. ``.mktreeignore`` globs have no negation and
+   always exclude; a glob that is invalid makes the root an error (``Walk.errors``).
 4. ignored directories remove their whole subtree (prune).
 """
 
@@ -181,7 +183,7 @@ def mktree_rules(files: DataFrame) -> DataFrame:
     src = files.filter(
         ~F.col("is_dir") & (F.size("path") == 1) & (F.element_at("path", 1) == MKTREE_NAME)
     ).select("root", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("pos", "line"))
-    trimmed = F.regexp_replace(F.col("line"), r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace(F.col("line"), r"(?U)^\s+|\s+$", "")
     lines = src.select("root", (F.col("pos") + 1).alias("line_no"), trimmed.alias("pattern")).filter(
         (F.col("pattern") != "") & ~F.col("pattern").startswith("#")
     )
@@ -210,15 +212,10 @@ def git_winners(nodes: DataFrame, rules: DataFrame) -> DataFrame:
         F.expr("rel rlike regex") & (~F.col("dir_only") | F.col("is_dir"))
     )
     return hits.groupBy("root", "path").agg(
-        F.max_by("negated", F.struct(F.size("dir"), "source_priority", "line_no")).alias("negated")
+        F.max_by("negated", F.struct("source_priority", F.size("dir"), "line_no")).alias("negated")
     )
 
 
-def git_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(root, path) of nodes whose winning gitignore rule is not a negation."""
-    return git_winners(nodes, rules).filter(~F.col("negated")).select("root", "path")
-
-
 def mktree_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """(root, path) of nodes matched by their root's .mktreeignore globs (glob semantics of op 10)."""
     joined = nodes.select("root", "path", "is_dir").join(rules.select("root", "regex", "dir_only", "has_slash"), "root")
@@ -228,6 +225,13 @@ def mktree_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.filter(hit).select("root", "path").distinct()
 
 
+def mktree_errors(rules: DataFrame) -> DataFrame:
+    """(root, error) of roots whose .mktreeignore has an invalid glob; the first such line is named."""
+    bad = rules.filter(F.col("regex").isNull()).groupBy("root").agg(F.min(F.struct("line_no", "pattern")).alias("b"))
+    text = F.concat(F.lit(f"Invalid pattern in {MKTREE_NAME}, line "), F.col("b.line_no").cast("string"), F.lit(": "), F.col("b.pattern"))
+    return bad.select("root", text.alias("error"))
+
+
 def ignore_files_present(files: DataFrame) -> set[str]:
     """Which ignore-file kinds exist ('git', 'mktree'): one probe on the path columns only
     (content is pruned from the scan); at most three distinct names come back."""
@@ -253,6 +257,11 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool
     from .snapshot import Walk
 
     ship_package(files.sparkSession)
+    errors = None
+    if mktree:
+        mk_rules = freeze(mktree_rules(files))  # a few lines per root
+        errors = checked_broadcast(mktree_errors(mk_rules))
+        w = Walk(w.files.join(errors.select("root"), "root", "left_anti"), w.nodes.join(errors.select("root"), "root", "left_anti"))
     # nodes feed the rule join, the prune and the removed-file set: compute them once
     nodes = freeze(w.nodes)
     marked = nodes
@@ -263,7 +272,7 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool
         own_hidden = F.element_at("path", -1).startswith(".")
         excluded = F.coalesce(~F.col("negated"), own_hidden if hide else F.lit(False))
     if mktree:
-        mk = mktree_ignored(nodes, mktree_rules(files)).withColumn("mk", F.lit(True))
+        mk = mktree_ignored(nodes, mk_rules).withColumn("mk", F.lit(True))
         marked = marked.join(mk, ["root", "path"], "left")
         excluded = excluded | F.coalesce(F.col("mk"), F.lit(False))
     marked = marked.withColumn("excluded", excluded).select(*nodes.columns, "excluded")
@@ -272,4 +281,4 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool
         kept_nodes.select("root", "path"), ["root", "path"], "left_anti"
     )
     kept_files = w.files.join(checked_broadcast(removed), ["root", "path"], "left_anti")
-    return Walk(kept_files, kept_nodes)
+    return Walk(kept_files, kept_nodes, errors)

@@ -93,6 +93,8 @@ def _inspect_columns(max_size: int, utf16: bool, text_mode: bool):
         text = F.when(F.col("__kind") == "text", src)
     else:
         content = F.col("content")
+        # a source that kept only the first bytes of a file: never take them for the whole text
+        oversize = oversize | (F.octet_length(content) < size)
         prefix_expr = C.detection_prefix(content)
         prefix = F.col("__prefix")
         binary_head = C.has_binary_signature(prefix, F.col("__sig")) | C.looks_binary(prefix, F.col("__latin"))

@@ -25,39 +25,57 @@ ERR_FROM_END = "Config enables 'from_end' without setting 'max_chars'"
 ERR_RAW_STRUCTURE = "Config enables both 'raw' and 'structure'; choose only one output mode"
 
 
+FLAGS = ["from_end", "no_content", "tokens", "no_secret_scan", "include_hidden", "no_ignore", "all", "force", "dry_run"]
+
+
+def _merged(highest: str, prefix: str) -> list:
+    """Aggregates that merge the layers up to ``highest``: single fields, then the two groups as units."""
+    rank = F.when(F.col("rank") <= LAYER_RANK[highest], F.col("rank"))
+    out = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), rank)).alias(prefix + f) for f in SCALAR_FIELDS]
+    for group in (LINE_GROUP, MODE_GROUP):
+        given = F.col(group[0]).isNotNull()
+        for f in group[1:]:
+            given = given | F.col(f).isNotNull()
+        unit = F.struct(*[F.col(f) for f in group])
+        out.append(F.max_by(unit, F.when(given, rank)).alias(prefix + group[0] + "_group"))
+    return out
+
+
+def _error(prefix: str):
+    """What is wrong with merged options, null when nothing is."""
+    lines, modes = F.col(f"{prefix}head_group"), F.col(f"{prefix}structure_group")
+    return (
+        F.when(lines["head"].isNotNull() & lines["tail"].isNotNull(), F.lit(ERR_HEAD_TAIL))
+        .when(F.coalesce(F.col(f"{prefix}from_end"), F.lit(False)) & F.col(f"{prefix}max_chars").isNull(), F.lit(ERR_FROM_END))
+        .when(F.coalesce(modes["raw"] & modes["structure"], F.lit(False)), F.lit(ERR_RAW_STRUCTURE))
+    )
+
+
 def resolve_options(layers: DataFrame) -> DataFrame:
-    """One row per root: resolved fields + ``error`` (null when valid). One aggregation by root."""
+    """One row per root: resolved fields + ``error`` (null when valid). One aggregation by root.
+
+    The merged config files (all layers below the command line) must be valid on
+    their own: what the command line adds does not repair them.
+    """
     rank = F.create_map(*[x for k, v in LAYER_RANK.items() for x in (F.lit(k), F.lit(v))])
     df = layers.withColumn("rank", F.element_at(rank, F.col("layer")))
-    aggs = []
-    for f in SCALAR_FIELDS:
-        aggs.append(F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("rank"))).alias(f))
-    for group, name in ((LINE_GROUP, "lines"), (MODE_GROUP, "mode")):
-        any_set = None
-        for f in group:
-            c = F.col(f).isNotNull()
-            any_set = c if any_set is None else (any_set | c)
-        aggs.append(
-            F.max_by(F.struct(*[F.col(f) for f in group]), F.when(any_set, F.col("rank"))).alias(f"__{name}")
-        )
-    out = df.groupBy("root").agg(*aggs)
-    out = out.select(
+    merged = df.groupBy("root").agg(*_merged("explicit", "e_"), *_merged("global", "g_"))
+    scalar = lambda f: F.coalesce("e_" + f, F.lit(False)) if f in FLAGS else F.col("e_" + f)
+    return merged.select(
         "root",
-        *SCALAR_FIELDS,
-        *[F.col(f"__lines.{f}").alias(f) for f in LINE_GROUP],
-        *[F.coalesce(F.col(f"__mode.{f}"), F.lit(False)).alias(f) for f in MODE_GROUP],
+        *[scalar(f).alias(f) for f in SCALAR_FIELDS],
+        *[F.col(f"e_head_group.{f}").alias(f) for f in LINE_GROUP],
+        *[F.coalesce(F.col(f"e_structure_group.{f}"), F.lit(False)).alias(f) for f in MODE_GROUP],
+        F.coalesce(_error("g_"), _error("e_")).alias("error"),
     )
-    for f in ("from_end", "no_content", "tokens", "no_secret_scan", "include_hidden", "no_ignore", "all", "force", "dry_run"):
-        out = out.withColumn(f, F.coalesce(F.col(f), F.lit(False)))
-    error = (
-        F.when(F.col("head").isNotNull() & F.col("tail").isNotNull(), F.lit(ERR_HEAD_TAIL))
-        .when(F.col("from_end") & F.col("max_chars").isNull(), F.lit(ERR_FROM_END))
-        .when(F.col("raw") & F.col("structure"), F.lit(ERR_RAW_STRUCTURE))
-    )
-    return out.withColumn("error", error)
 
 
-def secret_scan_policy(resolved: DataFrame) -> DataFrame:
-    """Op 15: (root, scan) — content is scanned unless disabled or nothing is exported."""
-    skips_export = F.col("tokens") | F.col("structure") | (F.col("reverse") & F.col("no_content"))
+def secret_scan_policy(resolved: DataFrame, command: str = "copy") -> DataFrame:
+    """Op 15: (root, scan) — content is scanned unless disabled or nothing is exported.
+
+    ``command="reverse"``: the command that always writes a blueprint, so only a
+    token count or a blueprint without contents exports nothing.
+    """
+    bare = F.col("no_content") if command == "reverse" else F.col("structure") | (F.col("reverse") & F.col("no_content"))
+    skips_export = F.col("tokens") | bare
     return resolved.select("root", (~F.col("no_secret_scan") & ~skips_export).alias("scan"))

@@ -3,8 +3,7 @@
 ``ordinal_within`` numbers rows inside a key by an order column, like
 ``row_number() over (partition by key order by ...)``, but a hot key (one root
 holding a third of all rows) is spread over many range partitions instead of
-one window task. ``assemble`` is the ordered string aggregation used to
-build per-root documents, guarded by a byte limit.
+one window task. ``concatenated`` joins the ordered pieces of a text.
 """
 
 from __future__ import annotations
@@ -48,31 +47,21 @@ def ordinal_within(df: DataFrame, key: str, order: str, out: str = "ordinal", pa
     )
 
 
-def _sql_str(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+# Ordered pieces of a text per root: concatenated by (seq, path) they are the whole text.
+PIECES = ("root", "seq", "path", "text")
 
 
-def assemble(
-    blocks: DataFrame, key: str, order: str, value: str, out: str, max_bytes: int, sep: str = "",
-    bounds: DataFrame | None = None,
-) -> DataFrame:
-    """Ordered concatenation per key, only for keys whose bound stays under ``max_bytes``.
+def concatenated(pieces: DataFrame, out: str) -> DataFrame:
+    """(root, out): the pieces of each root as one string, in (seq, path) order.
 
-    Returns (key, bytes, out); ``out`` is null for keys above the guard (write
-    those from the blocks with ``sinks.write_blocks`` — range-partitioned, in
-    order — instead of building one huge string in one task). ``bounds``
-    (key, bytes) may be given from cheap columns; by default it is the block
-    bytes (one extra pass over the blocks' lengths). The set of small keys is
-    broadcast only after its size is measured, so blocks are not shuffled
-    before the aggregation; blocks of large keys enter it as nulls and are
-    never buffered.
+    The explicit last step for callers who want a string: it gathers a root's
+    text in one task. A text that cannot be one string is an error, never a null.
     """
-    from .joins import checked_broadcast
-
-    if bounds is None:
-        bounds = blocks.groupBy(key).agg(F.sum(F.octet_length(value)).cast("bigint").alias("bytes"))
-    small = checked_broadcast(bounds.filter(F.col("bytes") <= max_bytes).select(key, F.lit(True).alias("__small")))
-    sep_sql = _sql_str(sep)
-    agg = F.expr(f"listagg(CASE WHEN __small THEN {value} END, '{sep_sql}') WITHIN GROUP (ORDER BY {order})")
-    body = blocks.join(small, key, "left").groupBy(key).agg(agg.alias(out))
-    return bounds.join(body, key, "left")
+    whole = F.expr("listagg(text, '') WITHIN GROUP (ORDER BY struct(seq, path))")
+    size = F.sum(F.octet_length("text"))
+    joined = pieces.groupBy("root").agg(whole.alias("__whole"), size.alias("__size"))
+    lost = F.coalesce(F.col("__whole"), F.lit(""))
+    checked = F.when(F.octet_length(lost) == F.coalesce("__size", F.lit(0)), lost).otherwise(
+        F.raise_error(F.lit("the text of a root does not fit one string; use its pieces"))
+    )
+    return joined.select("root", checked.alias(out))

@@ -151,28 +151,23 @@ def root_display_name(root):
     return F.when(last.isin("", ".", "..") | last.isNull(), r).otherwise(last)
 
 
-DEFAULT_MAX_TREE_BYTES = 256 * 1024 * 1024
-
+def tree_pieces(nodes: DataFrame, with_root: bool = True) -> DataFrame:
+    """Op 37: (root, seq, path, text): the drawn tree, optionally headed by '<root name>/', line by line."""
+    from .joins import freeze
 
-def tree_bounds(nodes: DataFrame) -> DataFrame:
-    """(root, bytes): upper bound of the drawn tree from depth and name lengths."""
-    b = (F.col("depth") * 4 + F.octet_length("name") + 16).cast("bigint")
-    return nodes.groupBy("root").agg(F.sum(b).alias("bytes"))
+    nodes = freeze(nodes.select("root", "path", "is_dir", "name", "depth"))  # narrow
+    lines = tree_lines(nodes).select("root", F.lit(1).alias("seq"), "path", F.col("line").alias("text"))
+    if not with_root:
+        return lines
+    none = F.array().cast("array<string>")
+    head = nodes.select("root").distinct().select(
+        "root", F.lit(0).alias("seq"), none.alias("path"), F.concat(root_display_name("root"), F.lit("/\n")).alias("text")
+    )
+    return head.unionByName(lines)
 
 
-def draw_tree(nodes: DataFrame, with_root: bool = True, max_bytes: int = DEFAULT_MAX_TREE_BYTES) -> DataFrame:
-    """Op 37: (root, tree) — the drawn tree, optionally headed by '<root name>/'.
+def draw_tree(nodes: DataFrame, with_root: bool = True) -> DataFrame:
+    """Op 37: (root, tree), the pieces of the drawn tree as one string per root."""
+    from .ordering import concatenated
 
-    The per-root string is an ordered aggregation of the distributed lines,
-    built only for roots whose bound stays under ``max_bytes`` (null otherwise;
-    write ``tree_lines`` range-partitioned for those).
-    """
-    from .joins import freeze
-    from .ordering import assemble
-
-    nodes = freeze(nodes.select("root", "path", "is_dir", "name", "depth"))  # narrow; reused by lines and bounds
-    lines = tree_lines(nodes)
-    drawn = assemble(lines, "root", "path", "line", "tree", max_bytes, bounds=tree_bounds(nodes)).select("root", "tree")
-    if with_root:
-        drawn = drawn.withColumn("tree", F.concat(root_display_name("root"), F.lit("/\n"), F.col("tree")))
-    return drawn
+    return concatenated(tree_pieces(nodes, with_root), "tree")

@@ -1,17 +1,15 @@
 """Snapshot documents per root: Markdown, structure, raw (ops 38-42).
 
-Plan (one content scan):
-
-* per-file ``blocks`` (root, path, block, lines, size) are built row-wise;
-* a per-root byte bound is computed from cheap columns only (file sizes, path
-  lengths, node count) and decides which roots are assembled into one string;
-* one aggregation keyed by root yields both the statistics and the ordered body
-  (``listagg ... WITHIN GROUP (ORDER BY path)``); blocks of roots above the
-  bound enter it as nulls, so nothing unbounded is buffered — those roots are
-  written from the blocks by ``sources.sinks.write_blocks`` (range-partitioned,
-  in order) and come back here with a null document;
-* the drawn tree, directory counts and repository metadata are per-root rows
-  joined on root.
+The result for every root is its ordered pieces ``(root, seq, path, text)``:
+concatenated by (seq, path) they are the document. No string longer than one
+file's block is built, whatever the size of a root; pieces are written
+range-partitioned (``sources.sinks``). ``render`` joins them to one string per
+root as an explicit last step.
+
+* seq 0: statistics header and opening of the structure section (raw: empty),
+* seq 1: one line of the tree per node, seq 2: closing of the structure section,
+* seq 3: one block per file. The blank line between raw files is a piece of its
+  own whose path is the file's path and an empty name, so it sorts behind it.
 
 The token line of the statistics header needs an o200k_base rank table; without
 one the header has no token line (see ``operators.tokens``).
@@ -30,20 +28,14 @@ from ..session import memo_columns
 from . import paths
 from .inspect import ContentOptions, inspect_files, with_shown
 from .joins import checked_broadcast, freeze
+from .ordering import concatenated
 from .snapshot import WalkOptions, walk
 
-# Per-root bound (bytes) above which a document is not built as one string.
-DEFAULT_MAX_DOCUMENT_BYTES = 256 * 1024 * 1024
-# Bytes added per file / per node to the bound for headers, fences and connectors.
-FILE_OVERHEAD = 64
-NODE_OVERHEAD = 16
-
 
 @dataclass(frozen=True)
 class RenderOptions:
     walk: WalkOptions = WalkOptions()
     content: ContentOptions = ContentOptions()
-    max_document_bytes: int = DEFAULT_MAX_DOCUMENT_BYTES
 
 
 def _rel() -> Column:
@@ -74,64 +66,27 @@ def raw_block(rel: Column, shown: Column) -> Column:
 def stats_header(files: Column, dirs: Column, lines: Column, size: Column, tokens: Column | None = None,
                  branch: Column | None = None, commit: Column | None = None, remote: Column | None = None) -> Column:
     """'# Project Statistics' + five bullets (token line only with a token count) + git lines + blank line."""
-    parts = [
+    before, after = header_parts(files, dirs, lines, size, branch, commit, remote)
+    if tokens is None:
+        return F.concat(before, after)
+    return F.concat(before, F.lit("- Tokens (o200k_base): "), Q.format_count(tokens), F.lit("\n"), after)
+
+
+def header_parts(files: Column, dirs: Column, lines: Column, size: Column, branch: Column | None = None,
+                 commit: Column | None = None, remote: Column | None = None) -> tuple[Column, Column]:
+    """The statistics header before and after the place of its token line."""
+    before = F.concat(
         F.lit("# Project Statistics\n- Files: "), Q.format_count(files),
         F.lit("\n- Directories: "), Q.format_count(dirs),
         F.lit("\n- Total lines: "), Q.format_count(lines),
         F.lit("\n- Total size: "), Q.format_size(size), F.lit("\n"),
-    ]
-    if tokens is not None:
-        parts += [F.lit("- Tokens (o200k_base): "), Q.format_count(tokens), F.lit("\n")]
-    for label, c in (("Git branch", branch), ("Git commit", commit), ("Git remote", remote)):
-        if c is not None:
-            parts.append(F.coalesce(F.concat(F.lit(f"- {label}: "), c, F.lit("\n")), F.lit("")))
-    parts.append(F.lit("\n"))
-    return F.concat(*parts)
-
-
-def structure_section(tree: Column) -> Column:
-    fence = TX.fence(tree)
-    return F.concat(F.lit("# Project Structure\n\n"), fence, F.lit("\n"), tree, fence, F.lit("\n"))
-
-
-def document_bounds(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(root, bound): an upper bound of the document bytes from cheap columns only."""
-    per_file = files.select(
-        "root", (F.col("size") + F.octet_length(_rel()) * 2 + FILE_OVERHEAD).cast("bigint").alias("b")
-    )
-    per_node = nodes.select("root", (F.col("depth") * 4 + F.octet_length("name") + NODE_OVERHEAD).cast("bigint").alias("b"))
-    return per_file.unionByName(per_node).groupBy("root").agg(F.sum("b").alias("bound"))
-
-
-def _small_roots(files: DataFrame, nodes: DataFrame, max_bytes: int) -> DataFrame:
-    """(root, small) for every root with kept content: one row per root, broadcast after a count."""
-    flags = document_bounds(files, nodes).select("root", (F.col("bound") <= max_bytes).alias("small"))
-    return checked_broadcast(flags)
-
-
-def _tree_per_root(nodes: DataFrame, small: DataFrame) -> DataFrame:
-    lines = paths.tree_lines(nodes).join(small, "root", "left")
-    agg = F.expr("listagg(CASE WHEN small THEN line END, '') WITHIN GROUP (ORDER BY path)")
-    return lines.groupBy("root").agg(agg.alias("tree_body")).select(
-        "root", F.concat(paths.root_display_name("root"), F.lit("/\n"), F.col("tree_body")).alias("tree")
-    )
-
-
-def _dirs_per_root(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("root").agg(F.count_if(F.col("is_dir")).cast("bigint").alias("dirs"))
-
-
-def _file_agg(blocks: DataFrame, small: DataFrame, sep: str = "") -> DataFrame:
-    """One aggregation: ordered body (small roots only) + file statistics."""
-    b = blocks.join(small, "root", "left")
-    sep_sql = sep.replace("\n", "\\n")
-    body = F.expr(f"listagg(CASE WHEN small THEN block END, '{sep_sql}') WITHIN GROUP (ORDER BY path)")
-    return b.groupBy("root").agg(
-        body.alias("body"),
-        F.count("*").cast("bigint").alias("files"),
-        F.sum("lines").cast("bigint").alias("lines"),
-        F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size"),
     )
+    git = [
+        F.coalesce(F.concat(F.lit(f"- {label}: "), c, F.lit("\n")), F.lit(""))
+        for label, c in (("Git branch", branch), ("Git commit", commit), ("Git remote", remote))
+        if c is not None
+    ]
+    return before, F.concat(*git, F.lit("\n"))
 
 
 def _file_rows(files: DataFrame, opts: ContentOptions, mode: str, notebooks: bool, max_size=None) -> DataFrame:
@@ -164,97 +119,105 @@ def _meta_cols(meta: DataFrame | None):
     return F.col("branch"), F.col("commit_hash"), F.col("remote_url")
 
 
-def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None = None,
-           meta: DataFrame | None = None, notebooks: bool = True, ranks_path: str | None = None) -> DataFrame:
-    """(root, document, assembled) for mode in {markdown, structure, raw}.
+def render_pieces(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None = None,
+                  meta: DataFrame | None = None, notebooks: bool = True, ranks_path: str | None = None) -> DataFrame:
+    """(root, seq, path, text) of every input root, also one whose files are all excluded.
 
-    ``meta``: optional (root, branch, commit_hash, remote_url) from
-    ``operators.meta.attach_repo_meta``; roots without a row get no git lines.
-    ``ranks_path``: an o200k_base rank file on shared storage; with it the
-    statistics header carries the token line (op 41), whose count includes the
-    whole document, the line itself too.
+    ``mode`` in {markdown, structure, raw}. ``meta``: optional (root, branch,
+    commit_hash, remote_url) from ``operators.meta.attach_repo_meta``; roots
+    without a row get no git lines. ``ranks_path``: an o200k_base rank file; with
+    it the statistics header carries the token line (op 41), whose count includes
+    the whole document, the line itself too.
     """
     opts = opts or RenderOptions()
     w = walk(files, opts.walk)
-    # the node table (paths only) feeds bounds, tree, marks and counts: compute it once
-    w.nodes = freeze(w.nodes)
-    small = _small_roots(w.files, w.nodes, opts.max_document_bytes)
-    # every input root gets a document, also one whose files are all excluded (no bound: small)
     roots = files.select("root").distinct()
-    rows = roots.join(small, "root", "left").select("root", F.coalesce(F.col("small"), F.lit(True)).alias("small"))
-    if mode in ("markdown", "structure"):
-        rows = rows.join(_dirs_per_root(w.nodes), "root", "left").join(_tree_per_root(w.nodes, small), "root", "left")
+    none = F.array().cast("array<string>")
+    blocks = _file_rows(w.files, opts.content, "raw" if mode == "raw" else "markdown",
+                        notebooks and mode == "markdown", opts.walk.max_size)
+    contents = blocks.select("root", F.lit(3).alias("seq"), "path", F.col("block").alias("text"))
     if mode == "raw":
-        blocks = _file_rows(w.files, opts.content, "raw", False, opts.walk.max_size)
-        fa = _file_agg(blocks, small, sep="\n")
-    else:
-        blocks = _file_rows(w.files, opts.content, "markdown", notebooks and mode == "markdown", opts.walk.max_size)
-        fa = _file_agg(blocks, small)
-    rows = rows.join(fa, "root", "left")
+        # the blank line behind every file but the last: from the paths alone
+        names = w.files.select("root", "path")
+        last = names.groupBy("root").agg(F.max("path").alias("last"))
+        between = names.join(last, "root").filter(F.col("path") != F.col("last")).select(
+            "root", F.lit(3).alias("seq"), F.array_append("path", "").alias("path"), F.lit("\n").alias("text")
+        )
+        start = roots.select("root", F.lit(0).alias("seq"), none.alias("path"), F.lit("").alias("text"))
+        return start.unionByName(contents).unionByName(between)
+
+    nodes = freeze(w.nodes)  # paths only; feeds lines, counts and fence widths
+    lines = paths.tree_lines(nodes).select("root", F.lit(1).alias("seq"), "path", F.col("line").alias("text"))
+    file_stats = blocks.groupBy("root").agg(
+        F.count("*").cast("bigint").alias("files"), F.sum("lines").cast("bigint").alias("lines"),
+        F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size"),
+    )
+    node_stats = nodes.groupBy("root").agg(
+        F.count_if("is_dir").cast("bigint").alias("dirs"), F.max(_max_backtick_run(F.col("name"))).alias("run")
+    )
+    per_root = roots.join(node_stats, "root", "left").join(file_stats, "root", "left")
     if meta is not None:
-        rows = rows.join(meta.select("root", "branch", "commit_hash", "remote_url"), "root", "left")
+        per_root = per_root.join(meta.select("root", "branch", "commit_hash", "remote_url"), "root", "left")
+    title = F.concat(paths.root_display_name("root"), F.lit("/\n"))
+    widest = F.greatest(F.coalesce("run", F.lit(0)), _max_backtick_run(title))
+    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), widest + 1).cast("int"))
+    opening = F.concat(F.lit("# Project Structure\n\n"), fence, F.lit("\n"), title)
+    closing = F.concat(fence, F.lit("\n"), F.lit("\n# File Contents\n" if mode == "markdown" else ""))
+    close = per_root.select("root", F.lit(2).alias("seq"), none.alias("path"), closing.alias("text"))
     z = F.lit(0).cast("bigint")
-    files_c, dirs_c = F.coalesce("files", z), F.coalesce("dirs", z)
-    lines_c, size_c = F.coalesce("lines", z), F.coalesce("size", z)
-    b, c, r = _meta_cols(meta)
-    assembled = F.coalesce(F.col("small"), F.lit(False))
-    if mode == "raw":
-        doc = F.coalesce(F.col("body"), F.lit(""))
-        return rows.select("root", F.when(assembled, doc).alias("document"), assembled.alias("assembled"))
-    tree = F.coalesce(F.col("tree"), F.concat(paths.root_display_name("root"), F.lit("/\n")))
-    structure = structure_section(tree)
-    contents = F.concat(F.lit("\n# File Contents\n"), F.coalesce(F.col("body"), F.lit("")))
-    body = structure if mode == "structure" else F.concat(structure, contents)
-    if ranks_path is None:
-        header = stats_header(files_c, dirs_c, lines_c, size_c, None, b, c, r)
-        return rows.select("root", F.when(assembled, F.concat(header, body)).alias("document"), assembled.alias("assembled"))
-    from .tokens import header_fixpoint
-
-    body_tokens = _body_tokens(rows, blocks, mode, ranks_path)
-    rows = rows.join(body_tokens, "root", "left")
-    head = F.concat(
-        F.lit("# Project Statistics\n- Files: "), Q.format_count(files_c), F.lit("\n- Directories: "), Q.format_count(dirs_c),
-        F.lit("\n- Total lines: "), Q.format_count(lines_c), F.lit("\n- Total size: "), Q.format_size(size_c), F.lit("\n"),
-    )
-    tail = stats_header(F.lit(0), F.lit(0), F.lit(0), F.lit(0), None, b, c, r)
-    tail = F.regexp_replace(tail, "^(?s).*?- Total size: [^\n]*\n", "")
-    t = header_fixpoint(head, tail, F.coalesce(F.col("body_tokens"), z), ranks_path)
-    header = F.concat(head, F.lit("- Tokens (o200k_base): "), Q.format_count(t), F.lit("\n"), tail)
-    return rows.select("root", F.when(assembled, F.concat(header, body)).alias("document"), assembled.alias("assembled"))
+    counts = [F.coalesce(c, z) for c in ("files", "dirs", "lines", "size")]
+    git = _meta_cols(meta)
+    header = stats_header(*counts, None, *git)
+    if ranks_path is not None:
+        header, per_root = _header_with_tokens(per_root, counts, git, opening, lines, close, contents, mode, ranks_path)
+    head = per_root.select("root", F.lit(0).alias("seq"), none.alias("path"), F.concat(header, opening).alias("text"))
+    pieces = head.unionByName(lines).unionByName(close)
+    return pieces.unionByName(contents) if mode == "markdown" else pieces
+
+
+def render(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None = None,
+           meta: DataFrame | None = None, notebooks: bool = True, ranks_path: str | None = None) -> DataFrame:
+    """(root, document): the pieces of each root as one string.
 
+    For roots whose document fits one string of one task; one that cannot be a
+    string at all fails the query. Larger ones stay pieces.
+    """
+    return concatenated(render_pieces(files, mode, opts, meta, notebooks, ranks_path), "document")
 
-def _body_tokens(rows: DataFrame, blocks: DataFrame, mode: str, ranks_path: str) -> DataFrame:
-    """Tokens of everything after the header, summed over units cut right before each '## '.
 
-    Unit 0: the structure section (+ '\n# File Contents\n' and the first block's
-    leading newline); unit i: block i without its leading newline, plus the
-    next block's leading newline (none after the last block). Each cut lies on a
-    pre-token boundary, so the unit counts add up to the document's.
+def _header_with_tokens(per_root: DataFrame, counts: list, git: tuple, opening: Column, lines: DataFrame, close: DataFrame,
+                        contents: DataFrame, mode: str, ranks_path: str):
+    """The header column with its token line, and ``per_root`` with the tokens behind the header.
+
+    Tokens are summed over units that begin where a pre-token does: the opening,
+    every tree line, the closing (with the first block's leading newline) and
+    every block without its leading newline, which the block before it takes.
     """
-    from .tokens import token_counts
+    from .tokens import header_fixpoint, token_counts
 
-    structure = structure_section(F.coalesce(F.col("tree"), F.concat(paths.root_display_name("root"), F.lit("/\n"))))
-    if mode == "structure":
-        u0 = rows.select("root", F.lit("").alias("uid"), structure.alias("text"))
-        units = u0
-    else:
-        has_files = F.coalesce(F.col("files"), F.lit(0)) > 0
-        u0 = rows.select(
-            "root", F.lit("").alias("uid"),
-            F.concat(structure, F.lit("\n# File Contents\n"), F.when(has_files, F.lit("\n")).otherwise(F.lit(""))).alias("text"),
+    units = per_root.select("root", F.lit("0").alias("uid"), opening.alias("text")).unionByName(
+        lines.select("root", F.concat(F.lit("1"), F.array_join("path", "/")).alias("uid"), "text")
+    )
+    if mode == "markdown":
+        names = contents.select("root", "path")
+        last = names.groupBy("root").agg(F.max("path").alias("last"))
+        shifted = contents.join(last, "root").select(
+            "root", F.concat(F.lit("3"), F.array_join("path", "/")).alias("uid"),
+            F.concat(F.expr("substring(text, 2)"), F.when(F.col("path") == F.col("last"), F.lit("")).otherwise(F.lit("\n"))).alias("text"),
         )
-        last = blocks.groupBy("root").agg(F.max("path").alias("last_path"))
-        fb = blocks.join(last, "root").select(
-            "root",
-            F.array_join("path", "/").alias("uid"),
-            F.concat(
-                F.expr("substring(block, 2)"),
-                F.when(F.col("path") == F.col("last_path"), F.lit("")).otherwise(F.lit("\n")),
-            ).alias("text"),
+        close = close.join(last, "root", "left").select(
+            "root", F.concat("text", F.when(F.col("last").isNull(), F.lit("")).otherwise(F.lit("\n"))).alias("text")
         )
-        units = u0.unionByName(fb)
-    per_unit = token_counts(units, ranks_path, "text", keys=("root", "uid"))
-    return per_unit.groupBy("root").agg(F.sum("tokens").cast("bigint").alias("body_tokens"))
+        units = units.unionByName(shifted)
+    units = units.unionByName(close.select("root", F.lit("2").alias("uid"), "text"))
+    behind = token_counts(units, ranks_path, "text", keys=("root", "uid")).groupBy("root").agg(
+        F.sum("tokens").cast("bigint").alias("body_tokens")
+    )
+    per_root = per_root.join(behind, "root", "left")
+    before, after = header_parts(*counts, *git)
+    tokens = header_fixpoint(before, after, F.coalesce("body_tokens", F.lit(0)).cast("bigint"), ranks_path)
+    header = F.concat(before, F.lit("- Tokens (o200k_base): "), Q.format_count(tokens), F.lit("\n"), after)
+    return header, per_root
 
 
 def render_mode(raw: Column, reverse: Column, structure: Column) -> Column:
@@ -276,148 +239,114 @@ def _max_backtick_run(col: Column) -> Column:
     return F.coalesce(F.array_max(runs), F.lit(0))
 
 
-def render_parts(files: DataFrame, mode: str = "markdown", opts: RenderOptions | None = None,
-                 meta: DataFrame | None = None, notebooks: bool = True):
-    """(documents, pieces): assembled documents of roots under the bound, and for the
-    others the ordered pieces (root, seq, path, text) whose concatenation in
-    (seq, path) order is the document — head (statistics, structure opening),
-    tree lines, structure closing, file blocks. No string larger than one file's
-    block is ever built for those roots.
-    """
-    opts = opts or RenderOptions()
-    docs = render(files, mode, opts, meta, notebooks)
-    large = checked_broadcast(docs.filter(~F.col("assembled")).select("root"))
-    w = walk(files, opts.walk)
-    nodes = freeze(w.nodes.join(large, "root", "left_semi"))
-    lfiles = w.files.join(large, "root", "left_semi")
-    empty = F.array().cast("array<string>")
-    if mode == "raw":
-        blocks = _file_rows(lfiles, opts.content, "raw", False)
-        first = blocks.groupBy("root").agg(F.min("path").alias("first"))
-        pieces = blocks.join(first, "root").select(
-            "root", F.lit(3).alias("seq"), "path",
-            F.concat(F.when(F.col("path") == F.col("first"), F.lit("")).otherwise(F.lit("\n")), F.col("block")).alias("text"),
-        )
-        return docs, pieces
-    blocks = _file_rows(lfiles, opts.content, "markdown", notebooks and mode == "markdown")
-    stats_rows = (
-        blocks.groupBy("root").agg(
-            F.count("*").cast("bigint").alias("files"), F.sum("lines").cast("bigint").alias("lines"),
-            F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size"),
-        )
-    )
-    per_root = (
-        large.join(_dirs_per_root(nodes), "root", "left")
-        .join(stats_rows, "root", "left")
-        .join(nodes.groupBy("root").agg(F.max(_max_backtick_run(F.col("name"))).alias("run")), "root", "left")
-    )
-    if meta is not None:
-        per_root = per_root.join(meta.select("root", "branch", "commit_hash", "remote_url"), "root", "left")
-    z = F.lit(0).cast("bigint")
-    b, c, r = _meta_cols(meta)
-    header = stats_header(F.coalesce("files", z), F.coalesce("dirs", z), F.coalesce("lines", z), F.coalesce("size", z), None, b, c, r)
-    name_run = _max_backtick_run(paths.root_display_name("root"))
-    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.greatest(F.coalesce("run", F.lit(0)), name_run) + 1).cast("int"))
-    head = F.concat(header, F.lit("# Project Structure\n\n"), fence, F.lit("\n"), paths.root_display_name("root"), F.lit("/\n"))
-    close = F.concat(fence, F.lit("\n"), F.lit("\n# File Contents\n") if mode == "markdown" else F.lit(""))
-    pieces = (
-        per_root.select("root", F.lit(0).alias("seq"), empty.alias("path"), head.alias("text"))
-        .unionByName(paths.tree_lines(nodes).select("root", F.lit(1).alias("seq"), "path", F.col("line").alias("text")))
-        .unionByName(per_root.select("root", F.lit(2).alias("seq"), empty.alias("path"), close.alias("text")))
-    )
-    if mode == "markdown":
-        pieces = pieces.unionByName(blocks.select("root", F.lit(3).alias("seq"), "path", F.col("block").alias("text")))
-    return docs, pieces
-
-
-def render_by_options(files: DataFrame, resolved: DataFrame, meta: DataFrame | None = None,
-                      walk_opts: WalkOptions | None = None) -> DataFrame:
-    """Ops 42 + 50 end to end: every root rendered with its own resolved options.
+def render_pieces_by_options(files: DataFrame, resolved: DataFrame, meta: DataFrame | None = None,
+                             walk_opts: WalkOptions | None = None) -> DataFrame:
+    """Ops 42 + 50 end to end: (root, mode, error, seq, path, text), every root rendered with its own options.
 
-    ``resolved`` is ``options.resolve_options`` output. The options become
-    columns of each file row (a broadcast join, one row per root, size-checked);
-    roots are split by their mode (raw > reverse > structure > markdown) with a
-    filter per mode present and the results are unioned. Roots whose options
-    are invalid get no document and the error text. (root, mode, document, error).
+    ``resolved`` is ``options.resolve_options`` output; a root without a row gets
+    the defaults. Sizes and windows are columns of each file row (one row per
+    root, size-checked broadcast). What shapes the walk (mode, include_hidden,
+    no_ignore, all, no_content, exclude) is rendered once per distinct setting
+    present. A root whose options or patterns are invalid has one row with the
+    error and no text.
     """
-    from .blueprint import blueprint_render
-    from .options import secret_scan_policy  # noqa: F401  (same resolved rows drive the scan policy)
+    from .blueprint import blueprint_pieces
+    from .rules import GlobError, RuleSet
 
     walk_opts = walk_opts or WalkOptions()
-    mode = render_mode(F.col("raw"), F.col("reverse"), F.col("structure"))
-    opts = resolved.select(
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    mode = render_mode(flag("raw"), flag("reverse"), flag("structure"))
+    none = F.array().cast("array<string>")
+    opts = files.select("root").distinct().join(resolved, "root", "full").select(
         "root",
-        F.col("max_size").cast("bigint").alias("__max_size"),
+        F.coalesce(F.col("max_size").cast("bigint"), F.lit(walk_opts.max_size).cast("bigint")).alias("__max_size"),
         F.col("max_chars").cast("bigint").alias("__max_chars"),
         F.col("head").cast("bigint").alias("__head"),
         F.col("tail").cast("bigint").alias("__tail"),
-        F.col("from_end").alias("__from_end"),
-        F.col("no_content").alias("__no_content"),
-        mode.alias("__mode"),
-        F.coalesce(F.col("error"), F.when(mode.isNull(), F.lit(RAW_STRUCTURE_ERROR))).alias("error"),
+        flag("from_end").alias("__from_end"),
+        F.struct(
+            mode.alias("mode"),
+            (flag("include_hidden") | F.lit(walk_opts.include_hidden)).alias("include_hidden"),
+            (flag("no_ignore") | F.lit(walk_opts.no_ignore)).alias("no_ignore"),
+            (flag("all") | F.lit(walk_opts.all)).alias("all"),
+            (flag("no_content") & (mode == "reverse")).alias("no_content"),
+            F.concat(F.coalesce("exclude", none), F.array(*[F.lit(g) for g in walk_opts.exclude]).cast("array<string>")).alias("exclude"),
+        ).alias("__walk"),
+        F.coalesce(F.col("error"), F.when(mode.isNull(), F.lit(RAW_STRUCTURE_ERROR))).alias("__error"),
     )
-    valid = checked_broadcast(opts.filter(F.col("error").isNull()).drop("error"))
-    f = files.join(valid, "root")
-    copts = ContentOptions(max_chars="__max_chars", head="__head", tail="__tail", from_end="__from_end")
-    ropts = RenderOptions(walk=WalkOptions(**{**walk_opts.__dict__, "max_size": "__max_size"}), content=copts)
-    present = [r["__mode"] for r in valid.select("__mode").distinct().limit(4).collect()]
-    out = None
-    for m in ("markdown", "structure", "raw", "reverse"):
-        if m not in present:
+    opts = checked_broadcast(opts)
+    valid = opts.filter(F.col("__error").isNull()).drop("__error")
+    out = opts.filter(F.col("__error").isNotNull()).select(
+        "root", F.lit(None).cast("string").alias("mode"), F.col("__error").alias("error"), F.lit(0).alias("seq"),
+        none.alias("path"), F.lit(None).cast("string").alias("text"),
+    )
+    with_options = files.join(valid, "root")
+    content = ContentOptions(max_chars="__max_chars", head="__head", tail="__tail", from_end="__from_end")
+    for row in valid.select("__walk").distinct().collect():  # distinct settings, not roots
+        s = row["__walk"]
+        same = F.col("__walk").eqNullSafe(F.struct(
+            F.lit(s["mode"]).alias("mode"), F.lit(s["include_hidden"]).alias("include_hidden"),
+            F.lit(s["no_ignore"]).alias("no_ignore"), F.lit(s["all"]).alias("all"), F.lit(s["no_content"]).alias("no_content"),
+            F.array(*[F.lit(g) for g in s["exclude"]]).cast("array<string>").alias("exclude"),
+        ))
+        mine = with_options.filter(same).drop("__walk")
+        error = F.lit(None).cast("string")
+        try:
+            RuleSet.of(list(s["exclude"]))
+        except GlobError as e:
+            bad = mine.select("root").distinct()
+            part = bad.select("root", F.lit(0).alias("seq"), none.alias("path"), error.alias("text"))
+            out = out.unionByName(part.withColumn("mode", error).withColumn("error", F.lit(str(e))))
             continue
-        fm = f.filter(F.col("__mode") == m)
-        if m == "reverse":
-            w = walk(fm, ropts.walk)
-            names = fm.select("root", "__no_content").distinct()
-            full = blueprint_render(w.files, w.nodes, copts, max_size="__max_size")
-            bare = blueprint_render(w.files, w.nodes, copts, max_size="__max_size", no_content=True)
-            doc = (
-                full.withColumnRenamed("blueprint", "full")
-                .join(bare.withColumnRenamed("blueprint", "bare"), "root")
-                .join(names, "root")
-                .select("root", F.when(F.col("__no_content"), F.col("bare")).otherwise(F.col("full")).alias("document"))
-            )
+        w_opts = WalkOptions(include_hidden=s["include_hidden"], no_ignore=s["no_ignore"], all=s["all"],
+                             exclude=tuple(s["exclude"]), mktree_ignore=walk_opts.mktree_ignore, max_size="__max_size")
+        if s["mode"] == "reverse":
+            w = walk(mine, w_opts)
+            part = blueprint_pieces(w.files, w.nodes, content, max_size="__max_size", no_content=s["no_content"], roots=mine)
         else:
-            doc = render(fm, m, ropts, meta).select("root", "document")
-        part = doc.select("root", F.lit(m).alias("mode"), "document", F.lit(None).cast("string").alias("error"))
-        out = part if out is None else out.unionByName(part)
-    errors = opts.filter(F.col("error").isNotNull()).select(
-        "root", F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("document"), "error"
-    )
-    return errors if out is None else out.unionByName(errors)
+            part = render_pieces(mine, s["mode"], RenderOptions(walk=w_opts, content=content), meta)
+        out = out.unionByName(part.withColumn("mode", F.lit(s["mode"])).withColumn("error", error))
+    return out
+
+
+def render_by_options(files: DataFrame, resolved: DataFrame, meta: DataFrame | None = None,
+                      walk_opts: WalkOptions | None = None) -> DataFrame:
+    """(root, mode, document, error): the pieces of each root as one string; null with an error."""
+    pieces = render_pieces_by_options(files, resolved, meta, walk_opts)
+    good = pieces.filter(F.col("error").isNull())
+    modes = good.select("root", "mode").distinct()
+    documents = concatenated(good, "document").join(modes, "root")
+    errors = pieces.filter(F.col("error").isNotNull()).select("root", "mode", F.col("text").alias("document"), "error")
+    return documents.select("root", "mode", "document", F.lit(None).cast("string").alias("error")).unionByName(errors)
 
 
 def document_token_counts(files: DataFrame, mode: str, ranks_path: str, opts: RenderOptions | None = None,
                           meta: DataFrame | None = None) -> DataFrame:
     """The token count of each root's whole output (``--tokens``): (root, tokens).
 
-    markdown / structure: the header fixpoint (the count includes the header).
-    raw: units cut right before each '==== ' header (each block keeps the
-    separating newline that follows it). reverse: the blueprint's node blocks
-    (each starts right after a newline). Every cut lies on a pre-token
-    boundary, so summed unit counts equal the document's count; no document
-    string is built.
+    markdown / structure: the header's own count (it includes the header). raw
+    and reverse: summed over units that begin where a pre-token does (a file's
+    block with the blank line behind it; a node's block). No document string is
+    built.
     """
-    from .blueprint import blueprint_blocks
+    from .blueprint import blueprint_pieces
     from .tokens import token_counts
 
     opts = opts or RenderOptions()
     if mode in ("markdown", "structure"):
-        docs = render(files, mode, opts, meta, ranks_path=ranks_path)
-        t = F.regexp_extract("document", r"- Tokens \(o200k_base\): ([0-9,]+)\n", 1)
-        return docs.select("root", F.regexp_replace(t, ",", "").cast("bigint").alias("tokens"))
-    w = walk(files, opts.walk)
+        head = render_pieces(files, mode, opts, meta, ranks_path=ranks_path).filter("seq = 0")
+        t = F.regexp_extract("text", r"- Tokens \(o200k_base\): ([0-9,]+)\n", 1)
+        return head.select("root", F.regexp_replace(t, ",", "").cast("bigint").alias("tokens"))
     if mode == "raw":
-        blocks = _file_rows(w.files, opts.content, "raw", False, opts.walk.max_size)
-        last = blocks.groupBy("root").agg(F.max("path").alias("last"))
-        units = blocks.join(last, "root").select(
-            "root", F.array_join("path", "/").alias("uid"),
-            F.concat("block", F.when(F.col("path") == F.col("last"), F.lit("")).otherwise(F.lit("\n"))).alias("text"),
+        pieces = render_pieces(files, "raw", opts, meta)
+        # the separator's path is its file's path and an empty name
+        place = F.filter("path", lambda c: c != "")
+        one = pieces.groupBy("root", place.alias("place")).agg(
+            F.expr("listagg(text, '') WITHIN GROUP (ORDER BY path)").alias("text")  # a block and its separator
         )
     else:
-        nodes = freeze(w.nodes)
-        units = blueprint_blocks(w.files, nodes, opts.content, opts.walk.max_size).select(
-            "root", F.array_join("path", "/").alias("uid"), F.col("block").alias("text")
-        )
+        w = walk(files, opts.walk)
+        one = blueprint_pieces(w.files, freeze(w.nodes), opts.content, opts.walk.max_size, roots=files).withColumnRenamed("path", "place")
+    units = one.select("root", F.array_join("place", "/").alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
     per_unit = token_counts(units, ranks_path, "text", keys=("root", "uid"))
     return per_unit.groupBy("root").agg(F.sum("tokens").cast("bigint").alias("tokens"))

@@ -295,20 +295,3 @@ def _keep_predicate(path, is_dir, include_hidden, all_, exclude):
     if not (include_hidden or all_):
         keep = keep & ~is_hidden(path)
     return keep
-
-
-def root_ignore_rules(files: DataFrame, name: str = ".mktreeignore") -> DataFrame:
-    """Op 11: rules rows from each root's ignore file (trimmed lines, blanks and '#' skipped).
-
-    Returns (root, line_no, pattern). Globs are compiled per row with the same
-    translation as op 10 (see ``glob_regex_column``).
-    """
-    text = F.col("content").cast("string")
-    lines = files.filter((F.size("path") == 1) & (F.element_at("path", 1) == name) & ~F.col("is_dir")).select(
-        "root", F.posexplode(F.split(text, "\n")).alias("pos", "line")
-    )
-    # lines() also strips a trailing '\r'; trim() covers it.
-    return (
-        lines.select("root", (F.col("pos") + 1).alias("line_no"), F.trim(F.col("line")).alias("pattern"))
-        .filter((F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
-    )

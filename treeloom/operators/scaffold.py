@@ -56,9 +56,8 @@ def pick_template(requests: DataFrame, templates: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("text", "source"), "prio").alias("b"))
         .select("req_id", F.col("b.text").alias("text"), F.col("b.source").alias("source"))
     )
-    # the built-in catalogue is small and fixed (bounded read), used only for the error text
-    names = sorted(r["name"] for r in builtins.select("name").distinct().limit(10_000).collect())
-    listing = ", ".join(names) if names else "none"
+    # one aggregated text of all built-in names, for the error text
+    listing = builtins.agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("l")).first()["l"] or "none"
     err = F.concat(
         F.lit("Template '"), F.col("name"), F.lit("' was not found in "), F.col("dir"),
         F.lit(f" or built-in templates ({listing})"),
@@ -119,11 +118,11 @@ def scaffold_plan(wanted: DataFrame, existing: DataFrame, force: bool = False, d
 # ---------------------------------------------------------------------------
 
 
-def _safe_parts(parts) -> bool:
-    return bool(parts) and all(p not in ("", ".", "..") and "/" not in p and "\\" not in p for p in parts)
+def _unsafe(name: Column) -> Column:
+    return name.isNull() | name.isin("", ".", "..") | name.contains("/") | name.contains("\\")
 
 
-_WRITE_SCHEMA = T.StructType(
+_EVENT_SCHEMA = T.StructType(
     [
         T.StructField("root", T.StringType()),
         T.StructField("path", T.ArrayType(T.StringType())),
@@ -134,57 +133,76 @@ _WRITE_SCHEMA = T.StructType(
 )
 
 
-def scaffold_write(plan: DataFrame, target: str, dry_run: bool = False) -> DataFrame:
-    """Materialise a plan under ``target/<root>/``; returns the events (lazy).
-
-    The plan must carry no conflict (checked first, one small aggregate) and no
-    unsafe name ('..', '', absolute). Each task writes its own rows: directories
-    are created with their parents, so row order across tasks does not matter;
-    a file over a directory removes that directory first.
-    """
-    ship_package(plan.sparkSession)
-    bad = plan.filter(F.col("conflict")).limit(1).collect()
+def _refuse(plan: DataFrame) -> None:
+    """Raise for the first unsafe name or conflict of a plan, before anything is written."""
+    unsafe = _unsafe(F.col("root")) | F.coalesce(F.size("path") <= 0, F.lit(True)) | F.exists("path", _unsafe)
+    bad = plan.filter(unsafe | F.col("conflict")).select("root", "path", unsafe.alias("unsafe")).limit(1).collect()
     if bad:
-        r = bad[0]
-        raise ScaffoldConflict(f"{r['root']}/{'/'.join(r['path'])} already exists; use --force to overwrite")
+        where = f"{bad[0]['root']}/{'/'.join(bad[0]['path'] or [])}"
+        if bad[0]["unsafe"]:
+            raise ScaffoldConflict(f"unsafe path: {where}")
+        raise ScaffoldConflict(f"{where} already exists; use --force to overwrite")
+
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import shutil
+def _stage(rows: DataFrame, target: str, act) -> DataFrame:
+    """Run ``act(full path, content)`` once per row in the executors and keep the events.
 
+    The events are checkpointed at once: later reads of them write nothing again.
+    A task that is tried again repeats the same outcome.
+    """
+    from .joins import freeze
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            written = []
-            for root, path, is_dir, action, content in zip(
-                pdf["root"], pdf["path"], pdf["is_dir"], pdf["action"], pdf["content"]
-            ):
-                parts = list(path) if path is not None else []
-                if not _safe_parts([root] + parts):
-                    raise ScaffoldConflict(f"unsafe path: {root}/{'/'.join(parts)}")
-                full = os.path.join(target, root, *parts)
-                if dry_run:
-                    written.append(False)
-                    continue
-                if is_dir:
-                    if os.path.exists(full) and not os.path.isdir(full):
-                        os.remove(full)
-                    os.makedirs(full, exist_ok=True)
-                else:
-                    if os.path.isdir(full) and not os.path.islink(full):
-                        shutil.rmtree(full)
-                    os.makedirs(os.path.dirname(full), exist_ok=True)
-                    with open(full, "w", encoding="utf-8", newline="") as fh:
-                        fh.write(content or "")
-                written.append(True)
-            yield pd.DataFrame(
-                {
-                    "root": pdf["root"],
-                    "path": pdf["path"],
-                    "is_dir": pdf["is_dir"],
-                    "action": pdf["action"],
-                    "written": written,
-                }
-            )
+            for root, path, content in zip(pdf["root"], pdf["path"], pdf["content"]):
+                act(os.path.join(target, root, *path), content)
+            yield pdf[["root", "path", "is_dir", "action"]].assign(written=True)
+
+    return freeze(rows.mapInPandas(run, _EVENT_SCHEMA))
+
+
+def _clear_for_directory(full: str, content) -> None:
+    if os.path.lexists(full) and (os.path.islink(full) or not os.path.isdir(full)):
+        os.remove(full)
+
 
+def _clear_for_file(full: str, content) -> None:
+    import shutil
+
+    if os.path.isdir(full) and not os.path.islink(full):
+        shutil.rmtree(full, ignore_errors=True)
+
+
+def _make_directory(full: str, content) -> None:
+    os.makedirs(full, exist_ok=True)
+
+
+def _write_file(full: str, content) -> None:
+    os.makedirs(os.path.dirname(full), exist_ok=True)
+    with open(full, "w", encoding="utf-8", newline="") as fh:
+        fh.write(content or "")
+
+
+def scaffold_write(plan: DataFrame, target: str, dry_run: bool = False) -> DataFrame:
+    """Materialise a plan under ``target/<root>/``; returns the recorded events.
+
+    Names ('..', '', separators) and conflicts are checked for the whole plan
+    first, so a refused plan leaves the target untouched. Then three stages, each
+    finished before the next: what is in the way goes (a file where a directory
+    belongs, a directory where a file belongs), directories are made, files are
+    written.
+    """
+    ship_package(plan.sparkSession)
+    _refuse(plan)
     cols = plan.select("root", "path", "is_dir", "action", F.col("content").cast("string").alias("content"))
-    # directories first inside each task; parents are created on demand anyway
-    ordered = cols.sortWithinPartitions(F.col("is_dir").desc(), F.size("path"))
-    return ordered.mapInPandas(write, _WRITE_SCHEMA)
+    if dry_run:
+        return cols.select("root", "path", "is_dir", "action", F.lit(False).alias("written"))
+    if "replaces_dir" in plan.columns:
+        in_way = plan.filter(F.col("exists") & (F.col("replaces_dir") | (F.col("is_dir") & ~F.col("existing_is_dir"))))
+        in_way = in_way.select(*cols.columns)
+    else:
+        in_way = cols
+    _stage(in_way.filter("is_dir"), target, _clear_for_directory)
+    _stage(in_way.filter("NOT is_dir"), target, _clear_for_file)
+    made = _stage(cols.filter("is_dir"), target, _make_directory)
+    return made.unionByName(_stage(cols.filter("NOT is_dir"), target, _write_file))

@@ -112,28 +112,40 @@ def secret_findings(inspected: DataFrame, opts: ContentOptions | None = None,
     )
 
 
-def secret_report(findings: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """(root, findings, report): the warning text per root with findings, ordered by path, line, rule.
+def secret_report_pieces(findings: DataFrame) -> DataFrame:
+    """Op 35: (root, seq, path, text) of the warning text of each root with findings.
 
-    The findings rows are the primary output; the report string is assembled for
-    roots whose entries stay under ``max_bytes`` (null above it).
+    One piece per finding, ordered by path, line and rule (a piece's path is the
+    file's path, then line and rule number in sortable form), between the opening
+    and the closing line.
     """
-    from .ordering import assemble
-
-    entry = F.concat(F.lit("  "), F.array_join("path", "/"), F.lit(":"), F.col("line").cast("string"), F.lit(" \u2014 "), F.col("kind"), F.lit("\n"))
     from .joins import freeze
 
+    place = F.format_string("%012d %06d", F.col("line").cast("bigint"), F.col("rule").cast("bigint"))
+    entry = F.concat(F.lit("  "), F.array_join("path", "/"), F.lit(":"), F.col("line").cast("string"), F.lit(" \u2014 "), F.col("kind"), F.lit("\n"))
     # findings are few (bounded by the credentials present): materialise once, reuse for counts and text
-    rows = freeze(findings.select("root", F.struct("path", "line", "rule").alias("ord"), entry.alias("entry")))
-    counts = rows.groupBy("root").agg(
-        F.count("*").cast("bigint").alias("findings"), F.sum(F.octet_length("entry")).cast("bigint").alias("bytes")
+    rows = freeze(
+        findings.select("root", F.lit(1).alias("seq"), F.concat("path", F.array(F.lit(""), place)).alias("path"), entry.alias("text"))
     )
-    body = assemble(rows, "root", "ord", "entry", "body", max_bytes, bounds=counts.select("root", "bytes"))
-    agg = counts.join(body.select("root", "body"), "root")
+    n = F.col("findings")
+    counts = rows.groupBy("root").agg(F.count("*").alias("findings"))
+    none = F.array().cast("array<string>")
     head = F.concat(
-        F.lit("Warning: "), F.col("findings").cast("string"), F.lit(" potential secret"),
-        F.when(F.col("findings") == 1, F.lit("")).otherwise(F.lit("s")),
+        F.lit("Warning: "), n.cast("string"), F.lit(" potential secret"), F.when(n == 1, F.lit("")).otherwise(F.lit("s")),
         F.lit(" detected in content about to be exported:\n"),
     )
     tail = F.lit("Review the files or exclude them with --exclude. Use --no-secret-scan to disable this warning.\n")
-    return agg.select("root", "findings", F.concat(head, F.col("body"), tail).alias("report"))
+    return (
+        counts.select("root", F.lit(0).alias("seq"), none.alias("path"), head.alias("text"))
+        .unionByName(rows)
+        .unionByName(counts.select("root", F.lit(2).alias("seq"), none.alias("path"), tail.alias("text")))
+    )
+
+
+def secret_report(findings: DataFrame) -> DataFrame:
+    """(root, findings, report): the warning text of each root with findings as one string."""
+    from .ordering import concatenated
+
+    pieces = secret_report_pieces(findings)
+    counts = pieces.filter("seq = 1").groupBy("root").agg(F.count("*").cast("bigint").alias("findings"))
+    return counts.join(concatenated(pieces, "report"), "root")

@@ -25,6 +25,7 @@ class WalkOptions:
 class Walk:
     files: DataFrame  # kept file rows (with content)
     nodes: DataFrame  # kept nodes: (root, path, is_dir, name, depth)
+    errors: DataFrame | None = None  # (root, error) of roots whose ignore file is invalid; they keep nothing
 
 
 def walk(files: DataFrame, opts: WalkOptions | None = None) -> Walk:

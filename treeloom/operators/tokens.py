@@ -8,7 +8,7 @@ count is the sum over its pre-tokens. Plan:
 2. (file, pre-token) counts, then the *distinct* pre-tokens of the corpus
    (partial aggregation: a frequent pre-token costs one row per task);
 3. BPE runs only on the distinct pre-tokens, in ``mapInPandas``; each Python
-   worker loads the rank file once from shared storage;
+   worker parses the broadcast rank file once;
 4. token counts are joined back and summed per file (the join side is
    broadcast only after its size is measured).
 
@@ -19,10 +19,12 @@ reports pre-tokens under that name (never as tokens).
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,47 +58,80 @@ def pretoken_counts(texts: DataFrame, text_col: str = "text", keys=("root", "pat
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: one 'base64(token) rank' per line."""
-    ranks: dict[bytes, int] = {}
     with open(path, "rb") as fh:
-        for line in fh:
-            if line.strip():
-                tok, rank = line.split()
-                ranks[base64.b64decode(tok)] = int(rank)
-    return ranks
+        return parse_ranks(fh.read())
+
+
+def parse_ranks(raw: bytes) -> dict[bytes, int]:
+    pairs = (line.split() for line in raw.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
 def bpe_count(piece: bytes, ranks: dict[bytes, int]) -> int:
-    """Number of tokens of one pre-token under byte-pair merges by rank."""
-    if piece in ranks:
-        return 1
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, best_rank = -1, None
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best_rank is None or r < best_rank):
-                best, best_rank = i, r
-        if best < 0:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return len(parts)
+    """Number of tokens of one pre-token under byte-pair merges by rank, in O(n log n).
+
+    Pairs wait in a heap by (rank, position); parts are a doubly linked list, and
+    a pair that a merge has changed is skipped when it comes up.
+    """
+    n = len(piece)
+    if n < 2 or piece in ranks:
+        return min(n, 1)
+    end = list(range(1, n + 1))  # of the part that begins here; 0 once merged away
+    before = list(range(-1, n - 1))
+    heap: list[tuple[int, int, int, int]] = []
+
+    def offer(a: int) -> None:
+        b = end[a]
+        if b < n:
+            rank = ranks.get(piece[a : end[b]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, a, b, end[b]))
+
+    for a in range(n - 1):
+        offer(a)
+    parts = n
+    while heap:
+        _, a, b, stop = heapq.heappop(heap)
+        if end[a] != b or end[b] != stop:
+            continue
+        end[a], end[b] = stop, 0
+        if stop < n:
+            before[stop] = a
+        parts -= 1
+        offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    return parts
 
 
 _RANKS_CACHE: dict[str, dict[bytes, int]] = {}
 
 
+def _held_ranks(spark, ranks_path: str):
+    """The rank file's bytes (bounded by the vocabulary), read on the driver and broadcast."""
+    with open(ranks_path, "rb") as fh:
+        return spark.sparkContext.broadcast(fh.read())
+
+
+def _ranks_of(held) -> dict[bytes, int]:
+    """The parsed ranks, once per worker process and vocabulary."""
+    key = hashlib.sha256(held.value).hexdigest()
+    if key not in _RANKS_CACHE:
+        _RANKS_CACHE[key] = parse_ranks(held.value)
+    return _RANKS_CACHE[key]
+
+
 def token_counts(texts: DataFrame, ranks_path: str, text_col: str = "text", keys=("root", "path")) -> DataFrame:
-    """(keys..., tokens) with the rank file at ``ranks_path`` (visible to every executor)."""
+    """(keys..., tokens) with the rank file at ``ranks_path`` (read on the driver)."""
     ship_package(texts.sparkSession)
+    held = _held_ranks(texts.sparkSession, ranks_path)
     keys = list(keys)
     exploded = texts.select(*keys, F.explode(pretokens(F.col(text_col))).alias("pt"))
     per_text = exploded.groupBy(*keys, "pt").agg(F.count("*").alias("n"))
     distinct = per_text.select("pt").distinct()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks = _RANKS_CACHE.get(ranks_path)
-        if ranks is None:
-            ranks = _RANKS_CACHE.setdefault(ranks_path, load_ranks(ranks_path))
+        ranks = _ranks_of(held)
         for pdf in batches:
             yield pd.DataFrame(
                 {"pt": pdf["pt"], "tokens": [bpe_count(p.encode("utf-8"), ranks) for p in pdf["pt"]]}
@@ -120,20 +155,15 @@ def count_text(text: str, ranks: dict[bytes, int]) -> int:
     return sum(bpe_count(p.encode("utf-8"), ranks) for p in python_pretokens(text))
 
 
-def _ranks(path: str) -> dict[bytes, int]:
-    r = _RANKS_CACHE.get(path)
-    if r is None:
-        r = _RANKS_CACHE.setdefault(path, load_ranks(path))
-    return r
-
-
 def header_fixpoint(prefix: Column, suffix: Column, body_tokens: Column, ranks_path: str) -> Column:
     """Token count t with t = tokens(prefix + token line(t) + suffix) + body_tokens, iterated at most
     10 times from 0 (the header is small: one Arrow-batched call per root)."""
 
+    held = _held_ranks(SparkSession.getActiveSession(), ranks_path)
+
     @F.pandas_udf(T.LongType())
     def fix(pre: pd.Series, suf: pd.Series, body: pd.Series) -> pd.Series:
-        ranks = _ranks(ranks_path)
+        ranks = _ranks_of(held)
         out = []
         for p, s, b in zip(pre, suf, body):
             t = 0

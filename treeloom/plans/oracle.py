@@ -270,7 +270,7 @@ def _gitignore_sql() -> str:
         """hits AS (SELECT n.root, n.path, r.negated, len(r.dir) AS dl, r.prio, r.line_no FROM nodes n
   JOIN ign r ON len(r.dir) < len(n.path) AND n.path[1:len(r.dir)] = r.dir
   WHERE regexp_matches(array_to_string(n.path[len(r.dir) + 1:len(n.path)], '/'), r.regex) AND (NOT r.dir_only OR n.is_dir))""",
-        "win AS (SELECT root, path, arg_max(negated, (dl, prio, line_no)) AS negated FROM hits GROUP BY root, path)",
+        "win AS (SELECT root, path, arg_max(negated, (prio, dl, line_no)) AS negated FROM hits GROUP BY root, path)",
         "ignored AS (SELECT root, path FROM win WHERE NOT negated)",
     ]
     return S.with_views(*ctes) + """SELECT b.root, b.rel, b.is_dir FROM nodes b
@@ -431,9 +431,10 @@ FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
         "SELECT root, rel, is_dir, 'create' AS action, true AS written FROM wanted"
     )
     o["scan_files"] = S.with_views(DOC, S.closure_sql("doc_files", "nodes")) + """SELECT n.root, n.rel, n.is_dir, false AS is_symlink,
-  CASE WHEN n.is_dir THEN NULL ELSE CAST(octet_length(encode(f.text)) AS BIGINT) END AS size, CAST(NULL AS VARCHAR) AS error
+  CASE WHEN n.is_dir THEN NULL ELSE CAST(octet_length(encode(f.text)) AS BIGINT) END AS size, CAST(NULL AS VARCHAR) AS error,
+  sha256(f.text) AS content_sha256
 FROM nodes n LEFT JOIN doc_files f ON f.root = n.root AND f.path = n.path"""
-    o["write_snapshots"] = "SELECT root, CAST(octet_length(encode(document)) AS BIGINT) AS bytes FROM (" + _doc_sql("markdown") + ")"
+    o["write_snapshots"] = _doc_sql("markdown")
     o["normalize_inline"] = (
         "SELECT conv_id, turn, replace(replace(text, chr(10), '\\n'), '\\n', chr(10)) AS text FROM conversations"
     )

@@ -445,11 +445,10 @@ def _blueprint_texts(spark, sf, with_duplicates=False):
         blocks = blocks.unionByName(
             blueprint_blocks(en, paths.path_closure(en), ContentOptions(head=1)).withColumn("part", F.lit(2))
         )
-    from ..operators.ordering import assemble
+    from ..operators.ordering import concatenated
 
-    ordered = blocks.select("root", F.struct("part", "path").alias("ord"), "block")
-    texts = assemble(ordered, "root", "ord", "block", "text", 256 * 1024 * 1024)
-    return texts.select(F.col("root").alias("blueprint_id"), "text")
+    pieces = blocks.select("root", F.col("part").alias("seq"), "path", F.col("block").alias("text"))
+    return concatenated(pieces, "text").withColumnRenamed("root", "blueprint_id")
 
 
 def blueprint_render(spark, sf):
@@ -457,7 +456,7 @@ def blueprint_render(spark, sf):
 
     files = _doc_files(spark, sf)
     w = walk(files, WalkOptions())
-    return render_bp(w.files, w.nodes)
+    return render_bp(w.files, w.nodes, roots=files)
 
 
 def blueprint_parse(spark, sf):
@@ -596,20 +595,23 @@ def scan_files(spark, sf):
     """Op 1: the doc_files tree written to shared storage, walked back by the file-tree source."""
     from ..sources.filetree import scan_parent
 
-    target, events = _materialise_doc_tree(spark, sf)
-    events.write.format("noop").mode("overwrite").save()
+    target, _ = _materialise_doc_tree(spark, sf)
     f = scan_parent(spark, target)
-    return f.select("root", _rel(), "is_dir", "is_symlink", "size", F.col("error"))
+    sha = F.sha2("content", 256).alias("content_sha256")
+    return f.select("root", _rel(), "is_dir", "is_symlink", "size", F.col("error"), sha)
 
 
 def write_snapshots(spark, sf):
-    """Op 5: Markdown documents written one per root, read back whole."""
+    """Op 5: Markdown pieces of every root written in order, read back and compared whole."""
+    import uuid
+
+    from ..operators.ordering import concatenated
+    from ..session import ensure_checkpoint_dir
     from ..sources.sinks import write_snapshots as write
 
-    target = _posix_shared(spark, "snapshots")
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
     write(_doc_files(spark, sf), target, "markdown", meta=_meta(spark, sf))
-    back = spark.read.text(f"{target}/documents", wholetext=True)
-    return back.select("root", F.octet_length("value").cast("bigint").alias("bytes"))
+    return concatenated(spark.read.parquet(target), "document")
 
 
 def token_count(spark, sf):

@@ -1,8 +1,9 @@
 """Directory trees as a Spark data source (op 1): ``spark.read.format("filetree")``.
 
-Partitions are subtrees of each root (top-level entries, with the widest
-directories split further), read inside executors, so a walk of many roots, of
-one wide root, or of one huge directory runs in parallel. Every entry arrives:
+Partitions are groups of subtrees of each root (top-level entries, directories
+opened further when those are few), read inside executors, so a walk of many
+roots, of one wide root, or of one huge directory runs in parallel. The last name
+of a root is its key; two roots of the same name are refused. Every entry arrives:
 files, directories (also empty), dot-files, ``__init__.py``, symbolic links
 (listed, never followed while walking; reading one follows it, and a failure
 becomes the ``error`` column). Files above ``max_size`` carry only their first
@@ -11,8 +12,7 @@ executor mounts.
 
 Options: ``roots`` (JSON list of directories) and/or ``parent`` (every
 subdirectory is a root), ``max_size`` (bytes, default 1 MiB),
-``target_partitions`` (default 64: wide directories are split until there are
-this many partitions).
+``target_partitions`` (default 64; raise it with the size of the cluster).
 """
 
 from __future__ import annotations
@@ -32,12 +32,17 @@ SCHEMA = (
 
 
 class _Part(InputPartition):
-    """A subtree to walk: ``rel`` below ``root``; ``self_only`` emits just that directory's row."""
+    """Entries of one root: ``subtrees`` are walked, ``alone`` are directories that give only their own row."""
 
-    def __init__(self, root: str, rel: list[str] | None, self_only: bool = False):
+    def __init__(self, root: str, subtrees: list[list[str]], alone: list[list[str]] | None = None):
         self.root = root
-        self.rel = rel
-        self.self_only = self_only
+        self.subtrees = subtrees
+        self.alone = alone or []
+
+
+def _shown(name: str) -> str:
+    """A file name as text: bytes that are not UTF-8 become replacement characters."""
+    return os.fsencode(name).decode("utf-8", "replace")
 
 
 def _err(e: OSError) -> str:
@@ -45,32 +50,34 @@ def _err(e: OSError) -> str:
 
 
 def _file_row(root: str, parts: list[str], full: str, is_link: bool, max_size: int):
+    shown = [_shown(p) for p in parts]
+    size = None
     try:
-        st = os.stat(full)  # follows a link, like reading does
-    except OSError as e:
-        return (root, parts, False, is_link, None, None, _err(e))
-    try:
+        size = os.stat(full).st_size  # follows a link, like reading does
         with open(full, "rb") as fh:
-            data = fh.read(K.DETECTION_BYTES) if st.st_size > max_size else fh.read()
+            data = fh.read(K.DETECTION_BYTES) if size > max_size else fh.read()
     except OSError as e:
-        return (root, parts, False, is_link, st.st_size, None, _err(e))
-    return (root, parts, False, is_link, st.st_size, data, None)
-
-
-def _walk(root: str, rel: list[str], max_size: int) -> Iterator[tuple]:
-    full = os.path.join(root, *rel)
-    is_link = os.path.islink(full)
-    if os.path.isdir(full) and not is_link:
-        yield (root, rel, True, False, None, None, None)
+        return (root, shown, False, is_link, size, None, _err(e))
+    return (root, shown, False, is_link, size, data, None)
+
+
+def _walk(top: str, root: str, rel: list[str], max_size: int) -> Iterator[tuple]:
+    """Rows of an entry and all below it, one per path; open directories wait on a list, not on the call stack."""
+    waiting = [rel]
+    while waiting:
+        parts = waiting.pop()
+        full = os.path.join(top, *parts)
+        is_link = os.path.islink(full)
+        if is_link or not os.path.isdir(full):
+            yield _file_row(root, parts, full, is_link, max_size)
+            continue
+        error, names = None, []
         try:
-            names = sorted(os.listdir(full))
+            names = sorted(os.listdir(full), reverse=True)
         except OSError as e:
-            yield (root, rel, True, False, None, None, _err(e))
-            return
-        for n in names:
-            yield from _walk(root, rel + [n], max_size)
-    else:
-        yield _file_row(root, rel, full, is_link, max_size)
+            error = _err(e)
+        yield (root, [_shown(p) for p in parts], True, False, None, None, error)
+        waiting.extend([*parts, n] for n in names)
 
 
 class FileTreeReader(DataSourceReader):
@@ -81,58 +88,65 @@ class FileTreeReader(DataSourceReader):
         self.target = int(options.get("target_partitions", "64"))
 
     def partitions(self):
-        """Top-level entries of every root; then the widest directory partitions are split
-        one level at a time (a row-only partition for the directory, one per child) until
-        there are ``target_partitions`` — so one huge root or directory is walked by many
-        tasks. Planning lists at most ``target_partitions`` directories on the driver."""
+        """At most about ``target_partitions`` groups of entries, and at least one per root with entries.
+
+        The entries of every root, and of the widest directories when roots have
+        few entries, are listed here (names only) and dealt out in groups of
+        about equal number, so a flat directory of any width is a bounded number
+        of tasks.
+        """
         roots = list(self.roots)
         if self.parent:
-            try:
-                roots += [os.path.join(self.parent, d) for d in sorted(os.listdir(self.parent))
-                          if os.path.isdir(os.path.join(self.parent, d))]
-            except OSError:
-                pass
-        parts: list[_Part] = []
+            with os.scandir(self.parent) as entries:
+                roots += sorted(e.path for e in entries if e.is_dir())
+        names = [os.path.basename(os.path.normpath(r)) for r in roots]
+        twice = sorted({n for n in names if names.count(n) > 1})
+        if twice:
+            raise ValueError(f"roots of the same name cannot be told apart: {', '.join(twice)}")
+        subtrees: dict[str, list[list[str]]] = {}
+        alone: dict[str, list[list[str]]] = {}
         for r in roots:
             try:
-                entries = sorted(os.listdir(r))
+                subtrees[r] = [[n] for n in sorted(os.listdir(r))]
             except OSError:
-                entries = []
-            parts.extend(_Part(r, [e]) for e in entries)
-        listed = 0
-        while len(parts) < self.target and listed < self.target:
-            best, best_n, best_names = None, 1, None
-            for i, p in enumerate(parts):
-                if p.self_only:
-                    continue
-                full = os.path.join(p.root, *p.rel)
-                if os.path.islink(full) or not os.path.isdir(full):
-                    continue
-                try:
-                    names = sorted(os.listdir(full))
-                except OSError:
-                    continue
-                if len(names) > best_n:
-                    best, best_n, best_names = i, len(names), names
-                listed += 1
-                if listed >= self.target:
-                    break
-            if best is None:
-                break
-            p = parts[best]
-            parts[best:best + 1] = [_Part(p.root, p.rel, self_only=True)] + [_Part(p.root, p.rel + [n]) for n in best_names]
-        return parts or [_Part("", None)]
+                subtrees[r] = []
+        # open directories level by level until there are enough entries to deal out
+        opened = 0
+        grows = True
+        while grows and opened < self.target and sum(map(len, subtrees.values())) < self.target:
+            grows = False
+            for r in roots:
+                deeper: list[list[str]] = []
+                for rel in subtrees[r]:
+                    full = os.path.join(r, *rel)
+                    below = []
+                    if opened < self.target and os.path.isdir(full) and not os.path.islink(full):
+                        opened += 1
+                        try:
+                            below = sorted(os.listdir(full))
+                        except OSError:
+                            below = []
+                    if below:
+                        alone.setdefault(r, []).append(rel)
+                        deeper.extend([*rel, n] for n in below)
+                        grows = True
+                    else:
+                        deeper.append(rel)
+                subtrees[r] = deeper
+        size = max(1, -(-sum(map(len, subtrees.values())) // max(1, self.target)))
+        parts = []
+        for r in roots:
+            groups = [subtrees[r][i : i + size] for i in range(0, len(subtrees[r]), size)]
+            for i, group in enumerate(groups):
+                parts.append(_Part(r, group, alone.get(r) if i == 0 else None))
+        return parts or [_Part("", [])]
 
     def read(self, partition: _Part):
-        if partition.rel is None:
-            return iter(())
-        name = os.path.basename(os.path.normpath(partition.root))
-        if partition.self_only:
-            return iter([(name, partition.rel, True, False, None, None, None)])
-        return (
-            (name, row[1], row[2], row[3], row[4], row[5], row[6])
-            for row in _walk(partition.root, partition.rel, self.max_size)
-        )
+        name = _shown(os.path.basename(os.path.normpath(partition.root)))
+        for rel in partition.alone:
+            yield (name, [_shown(p) for p in rel], True, False, None, None, None)
+        for rel in partition.subtrees:
+            yield from _walk(partition.root, name, rel, self.max_size)
 
 
 class FileTreeDataSource(DataSource):

@@ -1,9 +1,8 @@
-"""Writing snapshots (op 5).
+"""Writing snapshots (op 5): the ordered pieces of every root.
 
-Documents small enough to be one string are written one file per root
-(``partitionBy('root')``). Roots above the document bound are written from
-their blocks: range-partitioned by (root, path) and sorted inside partitions,
-so a huge root is spread over many ordered part files instead of one task.
+Pieces are range-partitioned by (root, seq, path) and sorted inside partitions,
+so a huge root is spread over many tasks and part files; reading the part files
+in name order and concatenating ``text`` gives each root's document.
 """
 
 from __future__ import annotations
@@ -11,59 +10,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import PIECES
 
-def output_name(root_col: str = "root", suffix: str = ".md", fallback: str = "snapshot"):
-    """Per-root output file name '<root name><suffix>'; '<fallback><suffix>' for '', '.' or '..'."""
-    trimmed = F.regexp_replace(F.col(root_col), "/+$", "")
+
+def output_name(root: str = "root", suffix: str = ".md", fallback: str = "snapshot"):
+    """Per-root output name '<root name><suffix>'; '<fallback><suffix>' for '', '.' or '..'
+    (the command-line tool uses its own name as the fallback; pass it here)."""
+    trimmed = F.regexp_replace(F.col(root), "/+$", "")
     last = F.element_at(F.split(trimmed, "/"), -1)
     return F.when(last.isin("", ".", "..") | last.isNull(), F.lit(fallback + suffix)).otherwise(F.concat(last, F.lit(suffix)))
 
 
-def write_documents(docs: DataFrame, target: str, mode: str = "overwrite") -> None:
-    """(root, document) -> target/root=<root>/part-*.txt holding exactly the document.
-
-    Documents end with a newline (every mode renders one); the text sink appends
-    one after each row, so the final newline is cut before writing. Empty
-    documents produce no file.
-    """
-    body = F.expr("substring(document, 1, length(document) - 1)")
-    (
-        docs.filter(F.col("document").isNotNull() & F.col("document").endswith("\n"))
-        .select("root", body.alias("value"))
-        .repartition("root")
-        .write.mode(mode)
-        .partitionBy("root")
-        .text(target)
-    )
-
-
-def write_blocks(blocks: DataFrame, target: str, partitions: int | None = None, mode: str = "overwrite") -> None:
-    """(root, path, block) of large roots -> ordered part files (part order = document order)."""
-    n = partitions or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def write_pieces(pieces: DataFrame, target: str, suffix: str = ".md", partitions: int | None = None) -> None:
+    """(root, seq, path, text) -> ordered part files; ``output`` is the name of the root's document."""
+    n = partitions or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     (
-        blocks.repartitionByRange(n, "root", "path")
-        .sortWithinPartitions("root", "path")
-        .select("root", "path", "block")
-        .write.mode(mode)
+        pieces.select(*PIECES, output_name("root", suffix).alias("output"))
+        .repartitionByRange(n, "root", "seq", "path")
+        .sortWithinPartitions("root", "seq", "path")
+        .write.mode("overwrite")
         .parquet(target)
     )
 
 
 def write_snapshots(files: DataFrame, target: str, mode: str = "markdown", opts=None, meta=None,
                     partitions: int | None = None) -> None:
-    """Op 5 end to end: documents under the bound -> ``target/documents`` (one per root);
-    larger roots -> ``target/pieces`` as (root, seq, path, text) range-partitioned by
-    (root, seq, path) and sorted inside partitions: reading the part files in name
-    order and concatenating ``text`` gives each document, and a huge root is spread
-    over many tasks and files."""
-    from ..operators.render import render_parts
+    """Op 5 end to end for mode in {markdown, structure, raw, reverse}: one walk, one ordered write.
 
-    docs, pieces = render_parts(files, mode, opts, meta)
-    write_documents(docs.filter(F.col("assembled")), f"{target.rstrip('/')}/documents")
-    n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    (
-        pieces.repartitionByRange(n, "root", "seq", "path")
-        .sortWithinPartitions("root", "seq", "path")
-        .write.mode("overwrite")
-        .parquet(f"{target.rstrip('/')}/pieces")
-    )
+    ``reverse`` writes blueprints, whose output name ends in ``.tree``. A root
+    with nothing kept has its (empty) pieces too.
+    """
+    from ..operators.blueprint import blueprint_pieces
+    from ..operators.render import RenderOptions, render_pieces
+    from ..operators.snapshot import walk
+
+    if mode == "reverse":
+        opts = opts or RenderOptions()
+        w = walk(files, opts.walk)
+        pieces = blueprint_pieces(w.files, w.nodes, opts.content, opts.walk.max_size, roots=files)
+    else:
+        pieces = render_pieces(files, mode, opts, meta)
+    write_pieces(pieces, target, ".tree" if mode == "reverse" else ".md", partitions)
