@@ -259,7 +259,7 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool
     ship_package(files.sparkSession)
     errors = None
     if mktree:
-        mk_rules = freeze(mktree_rules(files))  # a few lines per root
+        mk_rules = checked_broadcast(mktree_rules(files))  # a few lines per root
         errors = checked_broadcast(mktree_errors(mk_rules))
         w = Walk(w.files.join(errors.select("root"), "root", "left_anti"), w.nodes.join(errors.select("root"), "root", "left_anti"))
     # nodes feed the rule join, the prune and the removed-file set: compute them once
@@ -267,7 +267,8 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool
     marked = nodes
     excluded = F.lit(False)
     if git:
-        win = git_winners(nodes, gitignore_rules(files))
+        # broadcast while the rules are small: then no node is shuffled to its (root, directory)
+        win = git_winners(nodes, checked_broadcast(gitignore_rules(files)))
         marked = marked.join(win, ["root", "path"], "left")
         own_hidden = F.element_at("path", -1).startswith(".")
         excluded = F.coalesce(~F.col("negated"), own_hidden if hide else F.lit(False))
@@ -276,7 +277,7 @@ def apply_ignore_files(files: DataFrame, w, mktree: bool, git: bool, hide: bool
         marked = marked.join(mk, ["root", "path"], "left")
         excluded = excluded | F.coalesce(F.col("mk"), F.lit(False))
     marked = marked.withColumn("excluded", excluded).select(*nodes.columns, "excluded")
-    kept_nodes = freeze(paths.prune_subtrees(marked).drop("excluded"))
+    kept_nodes = freeze(paths.prune_subtrees(marked, small=checked_broadcast).drop("excluded"))
     removed = nodes.filter(~F.col("is_dir")).select("root", "path").join(
         kept_nodes.select("root", "path"), ["root", "path"], "left_anti"
     )

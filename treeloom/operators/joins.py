@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# Rows above which a side is never broadcast; beyond it the join shuffles both sides.
-BROADCAST_MAX_ROWS = 2_000_000
+# Bytes (of the rows as JSON) above which a side is never broadcast; beyond it the join shuffles both sides.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Materialise ``small`` in the shared checkpoint folder, count it, broadcast it when bounded.
+def checked_broadcast(small: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Materialise ``small`` in the shared checkpoint folder, measure it, broadcast it when bounded.
 
-    The checkpoint keeps the count and the join on the same rows (no second
-    evaluation) and survives executor loss. Above ``max_rows`` the plain
+    The checkpoint keeps the measure and the join on the same rows (no second
+    evaluation) and survives executor loss. Above ``max_bytes`` the plain
     DataFrame is returned and Spark picks a shuffle join (AQE may still
     switch strategy at run time).
     """
-    ensure_checkpoint_dir(small.sparkSession)
-    frozen = small.checkpoint(eager=True)
-    return F.broadcast(frozen) if frozen.count() <= max_rows else frozen
+    frozen = freeze(small)
+    size = frozen.agg(F.sum(F.octet_length(F.to_json(F.struct(*frozen.columns))))).first()[0] or 0
+    return F.broadcast(frozen) if size <= max_bytes else frozen
 
 
 def freeze(df: DataFrame) -> DataFrame:

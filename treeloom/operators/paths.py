@@ -51,15 +51,18 @@ def rel_path(path_col="path"):
     return F.array_join(F.col(path_col) if isinstance(path_col, str) else path_col, "/")
 
 
-def prune_subtrees(nodes: DataFrame, excluded_col: str = "excluded") -> DataFrame:
+def prune_subtrees(nodes: DataFrame, excluded_col: str = "excluded", small=None) -> DataFrame:
     """Op 13: drop every node that is excluded or has an excluded ancestor.
 
     For rules known per row (hidden, globs) use ``rules.keep_predicate`` instead,
     it needs no join. This general form handles flags that come from joins
     (ignore files): excluded directories are equi-joined with each node's
-    exploded ancestors; the anti join removes the subtrees.
+    exploded ancestors; the anti join removes the subtrees. ``small``
+    (``joins.checked_broadcast``) may turn the excluded directories into a
+    broadcast side, so that a top directory's subtree is not one join key.
     """
     bad_dirs = nodes.filter(F.col(excluded_col) & F.col("is_dir")).select("root", F.col("path").alias("anc"))
+    bad_dirs = small(bad_dirs) if small else bad_dirs
     ancestors = nodes.filter(~F.col(excluded_col)).select(
         "root",
         "path",
