@@ -90,7 +90,7 @@ def test_word_encoder_equals_the_library():
     for _ in range(400):
         text = "".join(rng.choice(alphabet, rng.integers(0, 30)))
         want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode_texts([text])[0], "<u4").tolist() == want, repr(text)
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, repr(text)
 
 
 # --- secrets ---------------------------------------------------------------------

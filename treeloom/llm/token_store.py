@@ -133,9 +133,20 @@ class WordEncoder:
 
     REMEMBERED = 500_000
     LONGEST = 64
-    WORDS = re.compile(r"[^ \t-\r]+")
     LATIN = re.compile("[\x00-\u017f]*")
 
+    class Known(dict):
+        """Ids by word; a word not seen yet is learned, and remembered unless it is very long."""
+
+        def __init__(self, learn):
+            self.learn = learn
+
+        def __missing__(self, word: bytes) -> bytes:
+            ids = self.learn(word)
+            if len(word) <= WordEncoder.LONGEST:
+                self[word] = ids
+            return ids
+
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         import regex
@@ -148,7 +159,7 @@ class WordEncoder:
         self.chars = dict(enumerate(byte_characters()))
         pattern = self._pattern(json.loads(definition))
         self.parts = regex.compile(pattern).findall if pattern else None
-        self.known: dict[str, bytes] = {}
+        self.known = self.Known(self._learn)
         self.merged: dict[str, bytes] = {}
 
     @staticmethod
@@ -174,32 +185,21 @@ class WordEncoder:
             self.merged[part] = ids
         return ids
 
-    def _learn(self, words: list[str]) -> None:
-        latin = self.LATIN.fullmatch
-        for word in words:
-            if self.parts and len(word) <= self.LONGEST and "<|" not in word and latin(word):
-                low = word.lower() if word.isascii() else "".join(map(str.lower, word))
-                self.known[word] = b"".join(map(self._merge, self.parts(low)))
-            else:  # special tokens, other scripts, very long words, other definitions
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                self.known[word] = np.array(ids, "<u4").tobytes()
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def _learn(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8")
+        if self.parts and len(raw) <= self.LONGEST and "<|" not in word and self.LATIN.fullmatch(word):
+            return b"".join(map(self._merge, self.parts(word.lower())))
+        # special tokens, other scripts, very long words, other definitions
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
         if len(self.merged) > self.REMEMBERED:
             self.merged.clear()
-        known = self.known
-        split = [self.WORDS.findall(t) for t in texts]
-        missing = list({w for words in split for w in words if w not in known})
-        if missing:
-            self._learn(missing)
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in missing:
-            if len(w) > self.LONGEST:
-                del known[w]
-        return out
+        # bytes.split() parts at the ASCII blanks [ \t-\r] and nothing else
+        return b"".join(map(self.known.__getitem__, text.encode("utf-8").split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -242,17 +242,16 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int) -> N
 
         held = 0
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                rows = batch.iloc[at : at + 64]
-                for name, coded in zip(rows["doc_id"], encoder.encode_texts(list(rows["text"])), strict=True):
-                    names.append(None if name is None else int(name))
-                    ids.append(coded + end)
-                    held += len(coded) // 4 + 1
-                    if held >= SEGMENT:
-                        yield close()
-                        start, segment, held = start + held, segment + 1, 0
-                        ids.clear()
-                        names.clear()
+            for name, text in zip(batch["doc_id"], batch["text"], strict=True):
+                coded = encoder.encode(text) + end
+                names.append(None if name is None else int(name))
+                ids.append(coded)
+                held += len(coded) // 4
+                if held >= SEGMENT:
+                    yield close()
+                    start, segment, held = start + held, segment + 1, 0
+                    ids.clear()
+                    names.clear()
         if ids:
             yield close()
 
