@@ -138,10 +138,9 @@ def kept_documents(docs: DataFrame, index: DigestIndex, batch: int = 0) -> DataF
     """The documents of this batch that stay, with all their columns, one row per digest."""
     index.add(digest_table(docs), batch)
     winners = index.entries().where(F.col("batch") == batch).select(
-        F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")
+        F.col("digest").alias("__w"), F.col("keep_id").alias("__keep")
     )
     rows = docs.withColumn("__digest", text_digest(text_or_empty()))
-    mine = rows.join(winners.hint("merge"), "__digest").where(
-        F.col("doc_id").cast("bigint").eqNullSafe(F.col("__keep"))
-    )
-    return mine.dropDuplicates(["__digest"]).select(*docs.columns)
+    # joined on digest and id together: copies of one digest are not one join key
+    same = (rows["__digest"] == winners["__w"]) & rows["doc_id"].cast("bigint").eqNullSafe(winners["__keep"])
+    return rows.join(winners.hint("merge"), same).dropDuplicates(["__w", "__keep"]).select(*docs.columns)
