@@ -135,6 +135,23 @@ def test_random_keys_are_found_and_words_are_not(spark, docs_of):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == (0, 0, 0)
 
 
+def test_planted_keys_stay_found_when_the_corpus_is_repeated(spark, docs_of):
+    rng = np.random.default_rng(59)
+    alphabet = list(secret_scan.ENCODINGS["base62"])
+    words = "the file of a long story camelCaseIdentifierNumber2 com/acme/module-2024/index build-artifact-000000000001"
+    rows = [(i, f"{words} key {''.join(rng.choice(alphabet, 36))} end") for i in range(40)]
+    once = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs_of(rows)).collect()}
+    many = secret_scan.scan(docs_of([(i + 40 * n, t) for n in range(300) for i, t in rows])).collect()
+    assert sum("random" in s for s in once.values()) >= 38
+    assert all(r["spans"] == once[r["doc_id"] % 40] for r in many)
+
+
+def test_a_strongly_random_token_is_accepted_in_a_dirty_cell():
+    counts = np.zeros(secret_scan.EVIDENCE_STEPS * secret_scan.MOST_EVIDENCE + 2, np.int64)
+    counts[-1], counts[:8], counts[35 * secret_scan.EVIDENCE_STEPS] = 10**8, 10**6, 1
+    assert 2 < secret_scan.cutoffs({"base62/5": counts}, 0.05)["base62/5"] <= 35
+
+
 def test_secret_scan_edge_cases(edge_docs, no_docs):
     got = secret_scan.scan(edge_docs).collect()
     assert len(got) == len(EDGE) and all(r["spans"] == "" for r in got)

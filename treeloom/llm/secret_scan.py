@@ -8,11 +8,16 @@ test about the alphabet's middle, and the lag-one serial correlation. Fisher's
 method combines them to one p-value, uniform for random tokens and near zero for
 words, paths and names.
 
-False discoveries are controlled per encoding and length class over the whole
-corpus: random tokens spread evenly over [0, 1], so the upper half of a class's
-p-values tells how many random tokens it holds, and the lowest cut-off is taken
-at which what exceeds that expectation is at most ``rate`` of what is accepted.
-The counts behind it are one bounded table (encodings x length classes x bins).
+A token is random if the battery does not refute it (p of at least ``1 / BINS``)
+and its own characters refute ordinary text: the likelihood ratio of uniform
+draws to a model of ordinary text (neighbouring characters as in the corpus's
+other text, runs of one character class, repeats and counting up) is an e-value
+of the token alone. False discoveries are controlled per encoding and length
+class by the e-value form of Benjamini-Hochberg: the ``k`` tokens of ``n`` with
+the greatest ratios are accepted if each is at least ``n / (k * rate)``. Only the
+share ``k / n`` counts, so repeating a corpus changes nothing, and a ratio of
+``n / rate`` is accepted whatever else its class holds. The counts behind it are
+bounded tables (characters x characters, and encodings x length classes x bins).
 
 Defined cases: null text counts as empty and has no spans; positions are code
 points, end exclusive; equal spans of different kinds are all reported; a span of
@@ -62,6 +67,16 @@ _SETS = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
 # Lower ends of the length classes.
 LENGTHS = (16, 18, 20, 24, 28, 32, 40, 48, 64, 96, 128, 256)
 BINS = 100
+# Characters of tokens; the place after them stands for any other one.
+CHARACTERS = CAPITALS + LOWER + DIGITS + "+/_-"
+_CODES = np.full(128, len(CHARACTERS), np.int64)
+_CODES[[ord(c) for c in CHARACTERS]] = np.arange(len(CHARACTERS))
+_CLASS = np.repeat([0, 1, 2, 3], [26, 26, 10, 4])
+_CLASS_SIZE = np.array([26, 26, 10, 4])[_CLASS]
+# Shares of the model of ordinary text: pairs of the corpus, same class, same or next character, character seen before, any.
+PAIRS, SAME, STEP, SEEN, ANY = 0.5, 0.25, 0.1, 0.05, 0.1
+# Bins of the logarithm of the likelihood ratio: from 0, this many a unit, up to a greatest value.
+EVIDENCE_STEPS, MOST_EVIDENCE = 4, 80
 
 
 def fixed_spans(text: str) -> list[tuple[int, int, int]]:
@@ -142,47 +157,96 @@ def length_class(n: int) -> int:
     return int(np.searchsorted(LENGTHS, n, side="right")) - 1
 
 
-def candidates(text: str) -> list[tuple[int, int, str, float]]:
-    """``(start, end, encoding and length class, p)`` of every token with an inferred encoding."""
+def pair_counts(text: str) -> np.ndarray:
+    """Counts of neighbouring characters of a text outside the tokens that are tested."""
+    rest = CANDIDATE.sub(lambda m: " " if infer_encoding(m.group()) else m.group(), text)
+    codes = _CODES[np.minimum(np.frombuffer(rest.encode("ascii", "replace"), np.uint8), 127)]
+    size = len(CHARACTERS) + 1
+    return np.bincount(codes[:-1] * size + codes[1:], minlength=size * size) if len(codes) > 1 else np.zeros(size * size, np.int64)
+
+
+def ordinary_text(counts: np.ndarray) -> np.ndarray:
+    """Probabilities of a token's next character (column) after each one (row; the last row is a token's start)."""
+    n = len(CHARACTERS)
+    inside = counts.reshape(n + 1, n + 1)[:, :n].astype(float)
+    total = inside.sum(axis=1, keepdims=True)
+    pairs = np.where(total > 0, inside / np.maximum(total, 1), 1 / n)
+    out = PAIRS * pairs + ANY / n
+    out[:n] += SAME * (_CLASS[:, None] == _CLASS[None, :]) / _CLASS_SIZE
+    step = np.zeros((n, n))
+    step[np.arange(n), np.arange(n)] += 0.5
+    step[np.arange(n), (np.arange(n) + 1) % n] += 0.5
+    out[:n] += STEP * step
+    return out
+
+
+def evidence(token: str, encoding: str, model: np.ndarray) -> float:
+    """Logarithm of the likelihood ratio of uniform draws from the encoding's alphabet to ordinary text."""
+    codes = _CODES[np.frombuffer(token.encode("ascii"), np.uint8)]
+    n = len(codes)
+    before = np.concatenate(([len(CHARACTERS)], codes[:-1]))
+    seen = np.tril(codes[:, None] == codes[None, :], -1).sum(axis=1) / np.maximum(np.arange(n), 1)
+    likely = model[before, codes] + SEEN * seen
+    return float(-n * math.log(len(ENCODINGS[encoding])) - np.log(likely).sum())
+
+
+def candidates(text: str, model: np.ndarray) -> list[tuple[int, int, str, float, float]]:
+    """``(start, end, encoding and length class, p, evidence)`` of every token with an inferred encoding."""
     out = []
     for m in CANDIDATE.finditer(text):
         token = m.group()
         encoding = infer_encoding(token)
         if encoding:
             cell = f"{encoding}/{length_class(len(token))}"
-            out.append((m.start(), m.end(), cell, combined(battery(token, encoding))))
+            out.append((m.start(), m.end(), cell, combined(battery(token, encoding)), evidence(token, encoding, model)))
     return out
 
 
 def cutoffs(histogram: dict[str, np.ndarray], rate: float) -> dict[str, float]:
-    """Lowest p-value to accept in each cell; cells without enough random tokens accept none."""
+    """Least evidence to accept in each cell.
+
+    ``histogram`` has a cell's tokens by bins of evidence; its last place counts
+    those that the battery or the evidence itself (below 0) refutes.
+    """
     out = {}
     for cell, counts in histogram.items():
-        accepted = np.cumsum(counts[::-1])[::-1].astype(float)
-        random = 2 * accepted[BINS // 2]
-        expected = random * (1 - np.arange(BINS) / BINS)
-        false = np.maximum(0.0, accepted - expected)
-        good = [i for i in range(1, BINS // 2 + 1) if accepted[i] > 0 and false[i] <= rate * accepted[i]]
-        # ordinary tokens that reach the upper half thin out towards 1; random ones do not
-        upper, top = accepted[BINS // 2], accepted[3 * BINS // 4]
-        even = upper - 2 * top <= 3 * math.sqrt(upper)
-        if good and even:
-            out[cell] = good[0] / BINS
+        accepted = np.cumsum(counts[:-1][::-1])[::-1].astype(float)
+        edges = np.arange(len(accepted)) / EVIDENCE_STEPS
+        good = np.flatnonzero((accepted > 0) & (np.log(np.maximum(accepted, 1) * rate / counts.sum()) + edges >= 0))
+        if len(good):
+            out[cell] = float(edges[good[0]])
     return out
 
 
 def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random)`` of every document.
 
-    Texts are read once; what they yield (spans and candidates) is written and
-    reread, first for the corpus counts and then for the decisions.
+    Texts are read twice: for the counts of neighbouring characters, and for what
+    they yield (spans and candidates), which is written and reread, first for the
+    corpus counts and then for the decisions.
     """
     spark = prepare(docs.sparkSession)
+    narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
+    size = (len(CHARACTERS) + 1) ** 2
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for t in batch["text"]:
+                total += pair_counts(t)
+        there = np.flatnonzero(total)
+        yield pd.DataFrame({"pair": there, "n": total[there]})
+
+    pairs = np.zeros(size, np.int64)
+    # at most characters x characters rows
+    for row in narrow.select("text").mapInPandas(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[row["pair"]] = row["n"]
+    ordinary = spark.sparkContext.broadcast(ordinary_text(pairs))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fixed = [fixed_spans(t) for t in batch["text"]]
-            tokens = [candidates(t) for t in batch["text"]]
+            tokens = [candidates(t, ordinary.value) for t in batch["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
@@ -193,23 +257,26 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
                     "token_end": [[c[1] for c in t] for t in tokens],
                     "cell": [[c[2] for c in t] for t in tokens],
                     "p": [[c[3] for c in t] for t in tokens],
+                    "evidence": [[c[4] for c in t] for t in tokens],
                 }
             )
 
     schema = (
         "doc_id string, start array<bigint>, kind array<bigint>, end array<bigint>, "
-        "token_start array<bigint>, token_end array<bigint>, cell array<string>, p array<double>"
+        "token_start array<bigint>, token_end array<bigint>, cell array<string>, p array<double>, evidence array<double>"
     )
-    narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
     found = written(narrow.mapInPandas(find, schema), "secret_spans")
 
+    bins = EVIDENCE_STEPS * MOST_EVIDENCE + 1
+    place = F.least(F.floor(F.col("t.evidence") * EVIDENCE_STEPS), F.lit(bins - 1))
+    refuted = (F.col("t.p") < 1 / BINS) | (F.col("t.evidence") < 0)
     counts = (
-        found.select(F.explode(F.arrays_zip("cell", "p")).alias("t"))
-        .groupBy(F.col("t.cell").alias("cell"), F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).alias("bin"))
+        found.select(F.explode(F.arrays_zip("cell", "p", "evidence")).alias("t"))
+        .groupBy(F.col("t.cell").alias("cell"), F.when(refuted, bins).otherwise(place).alias("bin"))
         .count()
         .collect()  # at most encodings x length classes x bins rows
     )
-    histogram: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BINS, np.int64))
+    histogram: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(bins + 1, np.int64))
     for row in counts:
         histogram[row["cell"]][row["bin"]] += row["count"]
     least = spark.sparkContext.broadcast(cutoffs(dict(histogram), rate))
@@ -222,8 +289,8 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
                 fixed = list(zip(r.start, r.kind, r.end, strict=True))
                 random = [
                     (s, 3, e)
-                    for s, e, c, p in zip(r.token_start, r.token_end, r.cell, r.p, strict=True)
-                    if c in accept and p >= accept[c]
+                    for s, e, c, p, v in zip(r.token_start, r.token_end, r.cell, r.p, r.evidence, strict=True)
+                    if p >= 1 / BINS and c in accept and v >= accept[c]
                 ]
                 fresh = [x for x in random if not any(x[0] < e and s < x[2] for s, _, e in fixed)]
                 base = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in fixed)
