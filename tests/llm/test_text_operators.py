@@ -194,6 +194,21 @@ def test_fingerprint_edits_neighbours_and_edges(spark, docs_of, edge_docs, no_do
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"only this onl").hexdigest()
 
 
+def test_a_short_passage_is_seen_in_a_long_text(docs_of):
+    rng = np.random.default_rng(12)
+    words = lambda stem, n: list(rng.choice([f"{stem}{i}" for i in range(4000)], n))
+    passage = words("p", 60)
+    long = " ".join([*words("a", 9000), *passage, *words("a", 9000)])
+    rows = [(1, long), (2, " ".join([*words("b", 300), *passage, *words("b", 300)]))]
+    assert len(long) > 90_000
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs_of(rows)).collect()}
+    found = {i: dict(reversed([x.split("@") for x in r["fingerprint"].split(",")])) for i, r in got.items()}
+    common = found[1].keys() & found[2].keys()
+    assert len(common) >= 15 and {int(found[1][h]) - int(found[2][h]) for h in common} == {8700}
+    want = len(common) / len(found[1].keys() | found[2].keys())
+    assert got[1]["near_next"] == got[2]["near_next"] == want
+
+
 def test_anchors_are_context_free_and_chunks_change_nothing(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -6,11 +6,11 @@ not symbols. Of the windows of ``K`` symbols (k-mers) those are chosen whose lea
 hashed ``S``-symbol substring is the first or the last one. The choice depends on
 the k-mer alone, so equal passages choose the same anchors wherever they stand.
 
-The fingerprint is the ``KEEP`` least anchor hashes with the position (symbol
-number) where each first stands. Likeness of two fingerprints is the share of
-common hashes among the least hashes of both together (the bottom-k estimate of
-the anchors' Jaccard likeness); the shift is the median distance of the positions
-of common anchors, 0 for an edit in place.
+The fingerprint is every anchor with its position (symbol number), in the order
+of positions, so a text has the same density of anchors whatever its length.
+Likeness of two fingerprints is the Jaccard likeness of their sets of anchor
+hashes; the shift is the median distance of the first positions of common
+anchors, 0 for an edit in place.
 
 Texts are cut into overlapping pieces of ``CHUNK`` symbols before the windows are
 formed: the choice is context-free, so this changes nothing but bounds the
@@ -34,7 +34,8 @@ from .common import let, partitions, prepare, text_or_empty
 PIECE = 6
 K = 5
 S = 2
-KEEP = 64
+# Most anchors of a fingerprint (the first ones); None keeps every anchor.
+KEEP: int | None = None
 CHUNK = 1024
 SYMBOL = rf"[\p{{IsIdeographic}}\p{{IsHiragana}}\p{{IsKatakana}}]|[\p{{L}}\p{{M}}\p{{N}}]{{1,{PIECE}}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
 
@@ -69,16 +70,6 @@ def _window_min(values: Column, width: int) -> Column:
     return grow(values, 1)
 
 
-def _least(anchors: Column, keep: int) -> Column:
-    """The ``keep`` least hashes, each at its first position."""
-
-    def pick(ordered: Column) -> Column:
-        new = F.filter(ordered, lambda a, i: (i == 0) | (F.get(ordered, i - 1)["h"] != a["h"]))
-        return F.slice(new, 1, keep)
-
-    return let(F.array_sort(anchors), pick)
-
-
 def _chunk_anchors(hashes: Column, start: Column) -> Column:
     """Closed syncmers of one piece of symbol hashes that begins at symbol ``start``."""
     inner = K - S + 1
@@ -105,24 +96,20 @@ def _chunk_anchors(hashes: Column, start: Column) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """``array<struct<h, p>>``: the fingerprint's anchors of a text, by ascending hash."""
+    """``array<struct<h, p>>``: the anchors of a text, by ascending position."""
 
     def of(hashes: Column) -> Column:
         n = F.size(hashes)
         # windows of K symbols begin at 0 .. n-K; a piece owns CHUNK of these beginnings
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - K), F.lit(CHUNK))
         pieces = F.transform(
-            starts,
-            lambda s: let(
-                F.slice(hashes, s + 1, F.lit(CHUNK + K - 1)), lambda piece: _least(_chunk_anchors(piece, s), KEEP)
-            ),
+            starts, lambda s: let(F.slice(hashes, s + 1, F.lit(CHUNK + K - 1)), lambda piece: _chunk_anchors(piece, s))
         )
         short = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("p")))
-        return (
-            F.when(n == 0, F.array().cast(ANCHOR))
-            .when(n < K, _least(short, KEEP).cast(ANCHOR))
-            .otherwise(_least(F.flatten(pieces), KEEP).cast(ANCHOR))
+        found = (
+            F.when(n == 0, F.array().cast(ANCHOR)).when(n < K, short.cast(ANCHOR)).otherwise(F.flatten(pieces).cast(ANCHOR))
         )
+        return found if KEEP is None else F.slice(found, 1, KEEP)
 
     return let(F.transform(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(0)), lambda s: F.xxhash64(s)), of)
 
@@ -139,12 +126,11 @@ def _hashes(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes among the ``KEEP`` least of both fingerprints together."""
+    """Common hashes of both fingerprints as a share of all their hashes."""
 
     def over(x: Column, y: Column) -> Column:
-        union = F.slice(F.array_sort(F.array_union(x, y)), 1, KEEP)
         return let(
-            union, lambda u: F.size(F.array_intersect(u, F.array_intersect(x, y))) / F.greatest(F.size(u), F.lit(1))
+            F.size(F.array_intersect(x, y)), lambda n: n / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
         )
 
     alike = let(_hashes(a), lambda x: let(_hashes(b), lambda y: over(x, y)))
@@ -152,14 +138,27 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def shift(a: Column, b: Column) -> Column:
-    """Median distance of the positions of common anchors; null without any."""
+    """Median distance of the first positions of common anchors; null without any.
+
+    Both sides' anchors are sorted together by hash, side and position: the first
+    of each hash and side stay, and a common hash is then two neighbours.
+    """
+
+    def sided(found: Column, side: int) -> Column:
+        return F.transform(found, lambda x: F.struct(x["h"].alias("h"), F.lit(side).alias("side"), x["p"].alias("p")))
+
+    def firsts(every: Column) -> Column:
+        before = lambda i: F.get(every, i - 1)
+        return F.filter(every, lambda x, i: (i == 0) | (before(i)["h"] != x["h"]) | (before(i)["side"] != x["side"]))
 
-    def distances(positions: Column) -> Column:
-        common = F.filter(b, lambda y: F.map_contains_key(positions, y["h"]))
-        return F.transform(common, lambda y: y["p"] - F.element_at(positions, y["h"]))
+    def distances(first: Column) -> Column:
+        before = lambda i: F.get(first, i - 1)
+        apart = F.transform(first, lambda x, i: F.when((i > 0) & (before(i)["h"] == x["h"]), x["p"] - before(i)["p"]))
+        return F.filter(apart, lambda d: d.isNotNull())
 
-    found = let(F.map_from_arrays(_hashes(a), F.transform(a, lambda x: x["p"])), distances)
-    return let(F.array_sort(found), lambda d: F.get(d, F.floor((F.size(d) - 1) / 2).cast("int")))
+    every = F.sort_array(F.concat(sided(a, 0), sided(b, 1)))
+    found = let(every, lambda e: let(firsts(e), distances))
+    return let(F.sort_array(found), lambda d: F.get(d, F.floor((F.size(d) - 1) / 2).cast("int")))
 
 
 def dealt_in_ring(rows: DataFrame, buckets: int):
