@@ -179,6 +179,35 @@ def test_mixing_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and 0 < kept.count() < len(EDGE)
 
 
+def _without_ids():
+    """Texts without an id, and ids that different texts share."""
+    words = [f"u{i}" for i in range(50)]
+    text = lambda i: " ".join(words[(i * 7 + j * (i % 11 + 1)) % 50] for j in range(20)) + f" end{i}"
+    return [(None if i % 3 == 0 else i // 6, text(i)) for i in range(120)]
+
+
+def test_mixture_keeps_rows_without_or_with_shared_ids(docs_of):
+    rows = [*_without_ids(), (3, "copy"), (3, "copy"), (3, "copy")]
+    weights = {k: F.lit(1) for k in mixing.LEVELS}
+    docs = docs_of(rows)
+    whole = mixing.take_mixture(docs, weights, F.lit("d"), seed=1, share=1.0)
+    order = lambda found: sorted((r is None, r or 0, t) for r, t in found)
+    assert order((r["doc_id"], r["text"]) for r in whole.collect()) == order(rows)
+    total = sum(len(t.split()) for _, t in rows)
+    part = mixing.take_mixture(docs, weights, F.lit("d"), seed=1, share=0.5).collect()
+    tokens = sum(len(r["text"].split()) for r in part)
+    assert total // 2 <= tokens < total // 2 + 21
+    assert any(r["doc_id"] is None for r in part) and any(r["doc_id"] is not None for r in part)
+
+
+def test_keep_one_compares_rows_without_or_with_shared_ids(docs_of):
+    base = " ".join(f"n{i}" for i in range(60))
+    rows = [(None, base + " x"), (None, base + " y"), (7, base), (9, base + " z"), (9, "quite another text of the same id"), (None, "alone here without id")]
+    kept = minhash.keep_one(docs_of(rows), 2)
+    want = {(7, base), (9, "quite another text of the same id"), (None, "alone here without id")}
+    assert len(got := kept.collect()) == 3 and {(r["doc_id"], r["text"]) for r in got} == want
+
+
 # --- pipeline --------------------------------------------------------------------
 
 

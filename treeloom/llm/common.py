@@ -38,6 +38,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_key(*names: Column) -> Column:
+    """Digest of a row's doc_id (null or not), text and ``names``, never null: equal for copies only."""
+    text = F.md5(text_or_empty().cast("binary"))
+    parts = [F.col("doc_id").cast("bigint"), text, *names]
+    marked = F.to_json(F.struct(*[p.cast("string").alias(f"k{i}") for i, p in enumerate(parts)]))
+    return F.md5(marked.cast("binary"))
+
+
 def let(value: Column, body) -> Column:
     """``body`` over ``value`` evaluated once per row (a lambda variable, not a repeated expression)."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -12,7 +12,8 @@ weight. All budgets are integers and sum up exactly.
 
 Each leaf then takes whole epochs of its documents and, for the remainder, the
 prefix of the next epoch in that epoch's seeded order (documents while the tokens
-before them are below the remainder). Orders are hashes of seed, epoch and doc_id,
+before them are below the remainder). Orders are hashes of seed, epoch and doc_id
+(in ``take_mixture`` of the row's key where there is no doc_id),
 so prefixes are computed by hash ranges: tokens are summed per leaf and range,
 ranges are accumulated, and only rows of one range are ordered together. A leaf
 with a third of all rows is spread over ``16 ** DIGITS`` ranges.
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, text_or_empty, written
+from .common import prepare, row_key, text_or_empty, written
 
 LEVELS = ("domain", "lang", "source")
 # Hex digits of the order that make up a range.
@@ -116,15 +117,27 @@ def mix(docs: DataFrame, budget: int | None, weights: dict[str, Column], domain:
     One row per document and epoch taken. The budget is ``budget`` tokens, or
     ``share`` (in thousandths kept whole) of the tokens there are.
     """
+    return _mixture(docs, budget, weights, domain, seed, max_epochs, share, keyed=False)
+
+
+def _leaf(domain: Column) -> list[Column]:
+    return [_name(domain), _name(F.col("lang")), _name(F.col("source"))]
+
+
+def _name(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def _mixture(docs: DataFrame, budget: int | None, weights: dict[str, Column], domain: Column, seed: int, max_epochs: int, share: float | None, keyed: bool) -> DataFrame:
+    """``mix``; if ``keyed``, with each row's ``row_key``, and rows without doc_id ordered by that key."""
     prepare(docs.sparkSession)
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        name(domain).alias("domain"),
-        name(F.col("lang")).alias("lang"),
-        name(F.col("source")).alias("source"),
+        *[c.alias(level) for c, level in zip(_leaf(domain), LEVELS, strict=True)],
         token_count(text_or_empty()).alias("n_tokens"),
+        *([row_key(*_leaf(domain)).alias("row_key")] if keyed else []),
     )
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.col("row_key")) if keyed else F.col("doc_id")
     rows = written(rows, "tokens")
     supply = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
     if budget is None:
@@ -140,20 +153,20 @@ def mix(docs: DataFrame, budget: int | None, weights: dict[str, Column], domain:
         (F.col("budget") % F.col("supply")).alias("rest"),
     )
     taken = rows.join(F.broadcast(plan) if few else plan, list(LEVELS))
-    every = ["doc_id", *LEVELS, "epoch", "order_key", "n_tokens", "leaf_supply", "leaf_budget"]
+    every = ["doc_id", *LEVELS, "epoch", "order_key", "n_tokens", "leaf_supply", "leaf_budget", *(["row_key"] if keyed else [])]
 
     whole = taken.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0, whole - 1)")))
-    whole = whole.withColumn("order_key", epoch_order(seed, F.col("epoch"), F.col("doc_id"))).select(*every)
+    whole = whole.withColumn("order_key", epoch_order(seed, F.col("epoch"), identity)).select(*every)
 
     part = taken.where("rest > 0").withColumn("epoch", F.col("whole"))
-    part = part.withColumn("order_key", epoch_order(seed, F.col("epoch"), F.col("doc_id")))
+    part = part.withColumn("order_key", epoch_order(seed, F.col("epoch"), identity))
     part = part.withColumn("range", F.substring("order_key", 1, DIGITS))
     sums = part.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("bound"))
     so_far = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # at most 16 ** DIGITS rows a leaf
     reached = sums.withColumn("start", F.coalesce(F.sum("tokens").over(so_far), F.lit(0))).where("start < bound")
     reached = written(reached.select(*LEVELS, "range", "start"), "ranges")
-    inside = Window.partitionBy(*LEVELS, "range").orderBy("order_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*LEVELS, "range").orderBy("order_key", "n_tokens", *(["row_key"] if keyed else [])).rowsBetween(Window.unboundedPreceding, -1)
     near = part.join(reached, [*LEVELS, "range"])
     before = F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     prefix = near.withColumn("tokens_before", before).where("tokens_before < rest").select(*every)
@@ -163,8 +176,12 @@ def mix(docs: DataFrame, budget: int | None, weights: dict[str, Column], domain:
 def take_mixture(docs: DataFrame, weights: dict[str, Column], domain: Column, seed: int, share: float) -> DataFrame:
     """The documents of a one-epoch mixture, all columns unchanged.
 
-    The ids taken are joined back through a shuffle of both sides: neither is small.
+    Rows are joined back by a key of doc_id (null too), text and leaf, through a
+    shuffle of both sides: neither is small. Of the copies of one key as many are
+    returned as the mixture holds.
     """
-    ids = mix(docs, None, weights, domain, seed=seed, max_epochs=1, share=share)
-    ids = written(ids.select(F.col("doc_id").alias("__taken")).distinct(), "taken")
-    return docs.join(ids, F.col("doc_id").cast("bigint") == F.col("__taken"), "left_semi")
+    taken = _mixture(docs, None, weights, domain, seed, 1, share, keyed=True)
+    taken = written(taken.groupBy(F.col("row_key").alias("__row_key")).agg(F.count(F.lit(1)).alias("__taken")), "taken")
+    rows = docs.withColumn("__row_key", row_key(*_leaf(domain))).join(taken, "__row_key")
+    copy = F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key"))
+    return rows.withColumn("__copy", copy).where("__copy <= __taken").select(*docs.columns)
