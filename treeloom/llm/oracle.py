@@ -129,5 +129,70 @@ FROM res r LEFT JOIN facts f ON f.conv_id = r.conv_id AND f.call_id = r.call_id
 """
 
 
+def _field(value: str) -> str:
+    text = f"({value})::VARCHAR"
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode({text})) || ':' || {text} END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _tree(nodes: str) -> str:
+    """All nodes above ``nodes(key, level, pos, digest, n)``; n is the number of nodes on the level."""
+    return f"""
+  SELECT * FROM {nodes}
+  UNION ALL
+  SELECT key, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM t_
+  WHERE n > 1 GROUP BY key, level, pos // 2, n"""
+
+
+# CRC-32 of the decimal digits of doc_id: nine steps a digit, the first takes the digit in, eight shift a bit out
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda d: [ord(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END), 4294967295::BIGINT)"""
+
+OP11 = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS key, {_leaf("n_chars")} AS leaf,
+         CASE WHEN {_CRC} % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf("n_chars::HUGEINT + 1")} END AS tampered
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY key) AS n FROM rows_
+), base AS (SELECT key, 0 AS level, pos, leaf AS digest, n FROM placed
+), low AS ({_tree("base").replace("t_", "low")}
+), tops AS (
+  SELECT '' AS key, 0 AS level, row_number() OVER (ORDER BY key) - 1 AS pos, digest, count(*) OVER () AS n, key AS lang_key
+  FROM low WHERE n = 1
+), top_base AS (SELECT key, level, pos, digest, n FROM tops
+), high AS ({_tree("top_base").replace("t_", "high")}
+), way AS (
+  SELECT p.key, p.pos AS leaf_pos, s.level AS step, s.pos AS own, b.digest AS beside
+  FROM placed p JOIN low s ON s.key = p.key AND s.pos = p.pos // (1::BIGINT << s.level) AND s.n > 1
+  LEFT JOIN low b ON b.key = s.key AND b.level = s.level AND b.pos = xor(s.pos, 1)
+  UNION ALL
+  SELECT p.key, p.pos, 100 + s.level, s.pos, b.digest
+  FROM placed p JOIN tops t ON t.lang_key = p.key
+  JOIN high s ON s.pos = t.pos // (1::BIGINT << s.level) AND s.n > 1
+  LEFT JOIN high b ON b.level = s.level AND b.pos = xor(s.pos, 1)
+), steps AS (
+  SELECT key, leaf_pos, row_number() OVER (PARTITION BY key, leaf_pos ORDER BY step) AS nth, own, beside FROM way
+), proof AS (
+  SELECT key, leaf_pos, sha256(coalesce(string_agg(beside, '' ORDER BY nth), '')) AS proof_sha256 FROM steps GROUP BY ALL
+), fold AS (
+  SELECT key, pos, 0 AS done, coalesce(tampered, leaf) AS digest FROM placed
+  UNION ALL
+  SELECT f.key, f.pos, done + 1,
+         sha256(CASE WHEN s.own % 2 = 1 THEN coalesce(beside, '') ELSE '' END || digest || CASE WHEN s.own % 2 = 0 THEN coalesce(beside, '') ELSE '' END)
+  FROM fold f JOIN steps s ON s.key = f.key AND s.leaf_pos = f.pos AND s.nth = f.done + 1
+), ends AS (SELECT key, pos, max_by(digest, done) AS folded_root FROM fold GROUP BY ALL)
+SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+       folded_root = r.digest AS verified
+FROM placed p JOIN ends e ON e.key = p.key AND e.pos = p.pos JOIN tops t ON t.lang_key = p.key
+LEFT JOIN proof f ON f.key = p.key AND f.leaf_pos = p.pos, (SELECT digest FROM high WHERE n = 1) r
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op9_mixing": OP9, "op10_chat": OP10}
+    return {"op4_exact_dedup": OP4, "op9_mixing": OP9, "op10_chat": OP10, "op11_merkle": OP11}

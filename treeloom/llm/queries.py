@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, fingerprint, minhash, mixing, quality, secret_scan, token_store, toxicity
+from . import byte_bpe, chat, exact_dedup, fingerprint, merkle, minhash, mixing, quality, secret_scan, token_store, toxicity
 from .common import prepare, table
 
 
@@ -159,10 +159,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(said, derived_calls(said), derived_results(said), schemas)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, each with its proof and what the proof gives after tampering."""
+    prepare(spark)
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("lang", "segment")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprint, op2_secret_scan, op3_minhash, op4_exact_dedup, op5_quality, op6_byte_bpe, op7_token_store,
-        op8_toxicity, op9_mixing, op10_chat,
+        op8_toxicity, op9_mixing, op10_chat, op11_merkle,
     )
 }
