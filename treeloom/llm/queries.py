@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, fingerprint, merkle, minhash, mixing, quality, secret_scan, token_store, toxicity
+from . import alignment, byte_bpe, chat, exact_dedup, fingerprint, merkle, minhash, mixing, quality, secret_scan, token_store, toxicity
 from .common import prepare, table
 
 
@@ -165,10 +165,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).drop("lang", "segment")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in two vocabularies, aligned by byte ends and counted over the corpus."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment_counts(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprint, op2_secret_scan, op3_minhash, op4_exact_dedup, op5_quality, op6_byte_bpe, op7_token_store,
-        op8_toxicity, op9_mixing, op10_chat, op11_merkle,
+        op8_toxicity, op9_mixing, op10_chat, op11_merkle, op13_alignment,
     )
 }
