@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, byte_bpe, chat, exact_dedup, fingerprint, merkle, minhash, mixing, quality, secret_scan, token_store, toxicity
+from . import alignment, byte_bpe, chat, exact_dedup, fingerprint, merkle, minhash, mixing, quality, secret_scan, token_store, toxicity, vector_search
 from .common import prepare, table
 
 
@@ -165,6 +165,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).drop("lang", "segment")
 
 
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th one, through balanced posting lists."""
+    prepare(spark)
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in two vocabularies, aligned by byte ends and counted over the corpus."""
     prepare(spark)
@@ -176,6 +182,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprint, op2_secret_scan, op3_minhash, op4_exact_dedup, op5_quality, op6_byte_bpe, op7_token_store,
-        op8_toxicity, op9_mixing, op10_chat, op11_merkle, op13_alignment,
+        op8_toxicity, op9_mixing, op10_chat, op11_merkle, op12_vector_search, op13_alignment,
     )
 }
