@@ -47,43 +47,68 @@ def test_stats_header_lines(spark):
     ]
 
 
-def _read_in_part_order(target):
+def _documents_of(index, target):
+    """Each root's document: its files joined in name order, as the index places them."""
     import glob
-
-    import pyarrow.parquet as pq
-
-    text, names = {}, {}
-    for part in sorted(glob.glob(f"{target}/part-*.parquet")):
-        for row in pq.read_table(part).to_pylist():
-            text[row["root"]] = text.get(row["root"], "") + row["text"]
-            names[row["root"]] = row["output"]
-    return text, names
-
-
-def test_snapshots_are_written_as_ordered_pieces(spark, files_of, tmp_path):
+    import os
+
+    text = {}
+    for row in sorted(index.collect(), key=lambda r: (r["root"], r["offset"] or 0)):
+        text.setdefault((row["root"], row["output"]), "")
+        if row["file"] is not None:
+            (path,) = glob.glob(f"{target}/snapshot=*/{row['file']}") if "~" in row["output"] else [
+                os.path.join(target, f"snapshot={row['output']}", row["file"])]
+            body = open(path, newline="", encoding="utf-8").read()
+            key = (row["root"], row["output"])
+            assert len(text[key].encode()) == row["offset"] and len(body.encode()) == row["size"]
+            text[key] += body
+    return text
+
+
+def test_snapshots_are_written_as_addressable_documents(spark, files_of, tmp_path):
     from treeloom.operators.blueprint import blueprint_render
     from treeloom.operators.inspect import ContentOptions
-    from treeloom.sources.sinks import write_snapshots
+    from treeloom.sources.sinks import read_ranges, write_snapshots
 
-    hot = {f"d{i % 7}/f{i:03d}.txt": f"line {i}\n" * (i % 5) for i in range(60)}
+    hot = {f"d{i % 7}/f{i:03d}.txt": f"line {i} \u00e9\U0001f332\n" * (i % 5) for i in range(60)}
     f = files_of({"hot": hot, "q": {"only.txt": "q"}, "none": {"node_modules/x.js": "x"},
                   "r": {"a.md": "```\nx\n```\n", "big.txt": "y" * 50, "z.bin": b"\x00\x01"}})
     meta = spark.createDataFrame([("hot", "main", "a" * 40, None)], "root string, branch string, commit_hash string, remote_url string")
     opts = R.RenderOptions(walk=WalkOptions(max_size=40), content=ContentOptions(head=2, max_chars=30))
     for mode in ("markdown", "structure", "raw", "reverse"):
         target = str(tmp_path / mode)
-        write_snapshots(f, target, mode, opts, None if mode == "reverse" else meta, partitions=9)
-        text, names = _read_in_part_order(target)
+        index = write_snapshots(f, target, mode, opts, None if mode == "reverse" else meta, partitions=9)
         if mode == "reverse":
             w = walk(f, opts.walk)
             whole = {r["root"]: r["blueprint"] for r in blueprint_render(w.files, w.nodes, opts.content, 40, roots=f).collect()}
         else:
             whole = {r["root"]: r["document"] for r in R.render(f, mode, opts, meta).collect()}
-        assert text == whole and set(text) == {"hot", "q", "none", "r"}
-        assert names["hot"] == ("hot.tree" if mode == "reverse" else "hot.md")
+        suffix = ".tree" if mode == "reverse" else ".md"
+        assert _documents_of(index, target) == {(root, root + suffix): text for root, text in whole.items()}
+        assert set(whole) == {"hot", "q", "none", "r"}
+        size = {root: len(text.encode()) for root, text in whole.items()}
+        assert index.filter("root = 'hot'").count() > 3  # a hot root is spread over files
+        asked = [(root, at, n) for root in whole for at, n in ((0, size[root]), (3, 11), (size[root] // 2, 200), (size[root], 5), (1, 0))]
+        asked += [("unknown", 0, 9), ("hot", 3, 11)]
+        got = read_ranges(spark, target, spark.createDataFrame(asked, "root string, start bigint, length bigint")).collect()
+        want = {(root, at, n): whole[root].encode()[at : at + n] for root, at, n in asked if root in whole}
+        assert {(r["root"], r["start"], r["length"]): bytes(r["content"]) for r in got} == want and len(got) == len(want)
     assert "File too large" in R.render(f, "raw", opts).filter("root = 'r'").collect()[0]["document"]
 
 
+def test_roots_that_share_an_output_name_have_their_own_documents(spark, files_of, tmp_path):
+    from treeloom.sources.sinks import read_ranges, write_snapshots
+
+    f = files_of({"x/app": {"a.txt": "first"}, "y/app": {"a.txt": "second"}, "z/a b+c%": {"a.txt": "third"}, ".": {"a.txt": "dot"}})
+    target = str(tmp_path / "t")
+    names = {r["root"]: r["output"] for r in write_snapshots(f, target, "raw").collect()}
+    assert names["z/a b+c%"] == "a b+c%.md" and names["."] == "snapshot.md"
+    assert names["x/app"] != names["y/app"] and all(names[r].startswith("app.md~") for r in ("x/app", "y/app"))
+    ranges = spark.createDataFrame([(r, 18, 99) for r in names], "root string, start bigint, length bigint")
+    got = {r["root"]: bytes(r["content"]) for r in read_ranges(spark, target, ranges).collect()}
+    assert got == {"x/app": b"first\n", "y/app": b"second\n", "z/a b+c%": b"third\n", ".": b"dot\n"}
+
+
 def test_render_by_options_matches_static_renders(spark, files_of):
     from treeloom.operators.blueprint import blueprint_render
     from treeloom.operators.inspect import ContentOptions

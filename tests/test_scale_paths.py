@@ -36,3 +36,14 @@ def test_pieces_join_in_order_for_every_root(spark):
         "root string, seq int, path array<string>, text string")
     got = {r["root"]: r["doc"] for r in concatenated(pieces, "doc").collect()}
     assert got == {"big": "head;" + "".join(f"{i};" for i in range(901)), "none": "", "s": "first A|B"}
+
+
+def test_prefix_sums_with_a_hot_key(spark):
+    from treeloom.operators.ordering import prefix_sums
+
+    rows = [("hot", i % 3, [f"p{i:05d}"], i % 17) for i in range(4000)] + [(f"r{j}", 0, [f"x{k}"], k) for j in range(25) for k in range(9)]
+    df = spark.createDataFrame(rows, "root string, seq int, path array<string>, length bigint").repartition(5)
+    got = prefix_sums(df, "root", ["seq", "path"], "length", "start", partitions=13)
+    w = Window.partitionBy("root").orderBy("seq", "path").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("start", F.coalesce(F.sum("length").over(w), F.lit(0)))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

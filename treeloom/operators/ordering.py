@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .joins import freeze, stored
 
 
 def _partitions(df: DataFrame) -> int:
@@ -47,6 +48,37 @@ def ordinal_within(df: DataFrame, key: str, order: str, out: str = "ordinal", pa
     )
 
 
+def prefix_sums(df: DataFrame, key: str, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of the same ``key`` that ``order`` puts before.
+
+    Meant for narrow rows. They are range-partitioned by (key, order) and frozen with
+    their partition's number; sums inside a partition and the running sums of the
+    partitions' totals (one row per partition and key) add up to the result, so a
+    hot key is spread over many partitions.
+    """
+    n = partitions or _partitions(df)
+    ranged = freeze(df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.sum(value).over(before(Window.partitionBy(key, "__pid").orderBy(*order)))
+    totals = ranged.groupBy(key, "__pid").agg(F.sum(value).alias("__total"))
+    earlier = F.sum("__total").over(before(Window.partitionBy(key).orderBy("__pid")))
+    offsets = totals.select(key, "__pid", F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+    summed = ranged.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(offsets, [key, "__pid"])
+    return summed.withColumn(out, (F.col("__inside") + F.col("__earlier")).cast("bigint")).drop("__pid", "__inside", "__earlier")
+
+
+def with_starts(pieces: DataFrame, at_rest: bool = False) -> DataFrame:
+    """Pieces with ``start`` and ``length``: where each stands in its root's document, in bytes of UTF-8.
+
+    The pieces are written once unless they are ``at_rest`` (cheap to read again);
+    the sums see no text.
+    """
+    rows = pieces.select(*PIECES, F.octet_length("text").cast("bigint").alias("length"))
+    rows = rows if at_rest else stored(rows, "pieces")
+    starts = prefix_sums(rows.select("root", "seq", "path", "length"), "root", ["seq", "path"], "length", "start")
+    return rows.join(starts.drop("length"), ["root", "seq", "path"])
+
+
 # Ordered pieces of a text per root: concatenated by (seq, path) they are the whole text.
 PIECES = ("root", "seq", "path", "text")
 

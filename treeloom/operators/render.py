@@ -27,7 +27,7 @@ from ..functions import text as TX
 from ..session import memo_columns
 from . import paths
 from .inspect import ContentOptions, inspect_files, with_shown
-from .joins import checked_broadcast, freeze
+from .joins import checked_broadcast, freeze, stored
 from .ordering import concatenated
 from .snapshot import WalkOptions, walk
 
@@ -135,7 +135,11 @@ def render_pieces(files: DataFrame, mode: str = "markdown", opts: RenderOptions
     none = F.array().cast("array<string>")
     blocks = _file_rows(w.files, opts.content, "raw" if mode == "raw" else "markdown",
                         notebooks and mode == "markdown", opts.walk.max_size)
-    contents = blocks.select("root", F.lit(3).alias("seq"), "path", F.col("block").alias("text"))
+    # each content is inspected once: blocks, line counts and sizes are read back by what uses them
+    blocks = stored(blocks.drop("block") if mode == "structure" else blocks, "blocks")
+    contents = None
+    if mode != "structure":  # which has no file blocks
+        contents = blocks.select("root", F.lit(3).alias("seq"), "path", F.col("block").alias("text"))
     if mode == "raw":
         # the blank line behind every file but the last: from the paths alone
         names = w.files.select("root", "path")

@@ -189,6 +189,16 @@ def tree_ctes(nodes: str = "nodes") -> list[str]:
     ]
 
 
+def _placed(pieces: str) -> str:
+    """Rows of ``pieces(root, seq, path, text)`` with the byte where each begins in its root's text."""
+    return f"""SELECT root, CAST(seq AS INTEGER) AS seq, array_to_string(path, '/') AS rel, text,
+  CAST(coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY root ORDER BY seq, path
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({pieces})"""
+
+
+NO_PATH = "[]::VARCHAR[]"
+
+
 def _header_expr() -> str:
     fc = S.format_count
     return (
@@ -215,21 +225,26 @@ def _stats_cte() -> str:
 def _doc_sql(mode: str) -> str:
     ctes = _shown_insp_ctes() + tree_ctes("nodes") + meta_ctes() + [_stats_cte()]
     fence_t = S.fence("t.tree")
-    structure = f"'# Project Structure' || {NLc} || {NLc} || {fence_t} || {NLc} || t.tree || {fence_t} || {NLc}"
     fs = S.fence("shown")
     md_block = f"{NLc} || '## ' || rel || {NLc} || {NLc} || {fs} || {NLc} || shown || {NLc} || {fs} || {NLc}"
     raw_block = f"'==== ' || rel || ' ====' || {NLc} || shown || CASE WHEN ends_with(shown, {NLc}) THEN '' ELSE {NLc} END"
     if mode == "raw":
-        ctes.append(f"body AS (SELECT root, string_agg({raw_block}, {NLc} ORDER BY path) AS body FROM shown GROUP BY root)")
-        doc = "coalesce(b.body, '')"
+        between = (
+            f"SELECT root, 3, list_append(path, ''), {NLc} FROM (SELECT root, path, max(path) OVER (PARTITION BY root) AS last FROM shown) "
+            "WHERE path <> last"
+        )
+        pieces = f"""SELECT root, 0 AS seq, {NO_PATH} AS path, '' AS text FROM st
+UNION ALL SELECT root, 3, path, {raw_block} FROM shown UNION ALL {between}"""
     else:
-        ctes.append(f"body AS (SELECT root, string_agg({md_block}, '' ORDER BY path) AS body FROM shown GROUP BY root)")
-        if mode == "structure":
-            doc = f"{_header_expr()} || {structure}"
-        else:
-            doc = f"{_header_expr()} || {structure} || {NLc} || '# File Contents' || {NLc} || coalesce(b.body, '')"
-    return S.with_views(*ctes) + f"""SELECT st.root, {doc} AS document
-FROM st LEFT JOIN meta USING (root) LEFT JOIN trees t ON t.root = st.root LEFT JOIN body b ON b.root = st.root"""
+        opening = f"'# Project Structure' || {NLc} || {NLc} || {fence_t} || {NLc} || {display_name('st.root')} || '/' || {NLc}"
+        closing = f"{fence_t} || {NLc}" + (f" || {NLc} || '# File Contents' || {NLc}" if mode == "markdown" else "")
+        pieces = f"""SELECT st.root, 0 AS seq, {NO_PATH} AS path, {_header_expr()} || {opening} AS text
+FROM st LEFT JOIN meta USING (root) LEFT JOIN trees t ON t.root = st.root
+UNION ALL SELECT root, 1, path, line FROM tlines
+UNION ALL SELECT st.root, 2, {NO_PATH}, {closing} FROM st LEFT JOIN trees t ON t.root = st.root"""
+        if mode == "markdown":
+            pieces += f"\nUNION ALL SELECT root, 3, path, {md_block} FROM shown"
+    return S.with_views(*ctes) + _placed(pieces)
 
 
 def _secret_lines_ctes() -> list[str]:
@@ -379,14 +394,22 @@ def sql2() -> dict[str, str]:
     o["root_ignore_file"] = S.with_views(*kept_doc_ctes(exclude=_mktree_patterns())) + "SELECT root, rel, is_dir FROM nodes"
     o["secret_findings"] = S.with_views(*_secret_lines_ctes(), _secret_hits()) + "SELECT root, rel, line, kind FROM hits"
     entry = f"'  ' || rel || ':' || CAST(line AS VARCHAR) || ' — ' || kind || {NLc}"
-    o["secret_report"] = S.with_views(*_secret_lines_ctes(), _secret_hits()) + f"""SELECT root, findings,
-  'Warning: ' || CAST(findings AS VARCHAR) || ' potential secret' || CASE WHEN findings = 1 THEN '' ELSE 's' END
-  || ' detected in content about to be exported:' || {NLc} || body
-  || 'Review the files or exclude them with --exclude. Use --no-secret-scan to disable this warning.' || {NLc} AS report
-FROM (SELECT root, CAST(count(*) AS BIGINT) AS findings, string_agg({entry}, '' ORDER BY path, line, rule) AS body
-      FROM hits GROUP BY root)"""
+    head = (
+        "'Warning: ' || CAST(count(*) AS VARCHAR) || ' potential secret' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END "
+        f"|| ' detected in content about to be exported:' || {NLc}"
+    )
+    tail = f"'Review the files or exclude them with --exclude. Use --no-secret-scan to disable this warning.' || {NLc}"
+    place = "lpad(CAST(line AS VARCHAR), 12, '0') || ' ' || lpad(CAST(rule AS VARCHAR), 6, '0')"
+    o["secret_report"] = S.with_views(*_secret_lines_ctes(), _secret_hits()) + _placed(
+        f"""SELECT root, 0 AS seq, {NO_PATH} AS path, {head} AS text FROM hits GROUP BY root
+UNION ALL SELECT root, 1, list_concat(path, ['', {place}]), {entry} FROM hits
+UNION ALL SELECT DISTINCT root, 2, {NO_PATH}, {tail} FROM hits"""
+    )
     o["attach_repo_meta"] = S.with_views(*meta_ctes()) + "SELECT root, branch, commit_hash, remote_url FROM meta"
-    o["draw_tree"] = S.with_views(PAGE, S.closure_sql("page_files", "nodes"), *tree_ctes("nodes")) + "SELECT root, tree FROM trees"
+    o["draw_tree"] = S.with_views(PAGE, S.closure_sql("page_files", "nodes"), *tree_ctes("nodes")) + _placed(
+        f"""SELECT root, 0 AS seq, {NO_PATH} AS path, {display_name()} || '/' || {NLc} AS text FROM (SELECT DISTINCT root FROM nodes)
+UNION ALL SELECT root, 1, path, line FROM tlines"""
+    )
     o["render_structure"] = _doc_sql("structure")
     o["render_markdown"] = _doc_sql("markdown")
     o["render_raw"] = _doc_sql("raw")
@@ -417,9 +440,11 @@ FROM (SELECT root, CAST(count(*) AS BIGINT) AS findings, string_agg({entry}, ''
     )
     o["notebook_language"] = S.with_views(nb[0]) + "SELECT DISTINCT root, rel, lang AS language FROM cells"
     bp_dir = f"repeat('  ', len(path) - 1) || path[len(path)] || '/' || {NLc}"
-    o["blueprint_render"] = S.with_views(*kept_doc_ctes(), _insp("kept")) + f"""SELECT root, string_agg(block, '' ORDER BY path) AS blueprint FROM (
-  SELECT root, path, {bp_dir} AS block FROM nodes WHERE is_dir
-  UNION ALL SELECT root, path, {_blueprint_file_block("repeat('  ', len(path) - 1)", 'name')} FROM insp) GROUP BY root"""
+    o["blueprint_render"] = S.with_views(*kept_doc_ctes(), _insp("kept")) + _placed(
+        f"""SELECT DISTINCT root, 0 AS seq, {NO_PATH} AS path, '' AS text FROM doc_files
+UNION ALL SELECT root, 1, path, {bp_dir} FROM nodes WHERE is_dir
+UNION ALL SELECT root, 1, path, {_blueprint_file_block("repeat('  ', len(path) - 1)", 'name')} FROM insp"""
+    )
     o["blueprint_parse"] = S.with_views(*_lossless_ctes()) + """SELECT n.root AS blueprint_id, n.rel, n.is_dir,
   CASE WHEN n.is_dir THEN NULL ELSE nullif(f.text, '') END AS content, CAST(NULL AS VARCHAR) AS error
 FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
@@ -434,7 +459,7 @@ FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
   CASE WHEN n.is_dir THEN NULL ELSE CAST(octet_length(encode(f.text)) AS BIGINT) END AS size, CAST(NULL AS VARCHAR) AS error,
   sha256(f.text) AS content_sha256
 FROM nodes n LEFT JOIN doc_files f ON f.root = n.root AND f.path = n.path"""
-    o["write_snapshots"] = _doc_sql("markdown")
+    o["write_snapshots"] = f"SELECT {display_name()} || '.md' AS output, * FROM ({_doc_sql('markdown')})"
     o["normalize_inline"] = (
         "SELECT conv_id, turn, replace(replace(text, chr(10), '\\n'), '\\n', chr(10)) AS text FROM conversations"
     )

@@ -262,11 +262,18 @@ def secret_findings(spark, sf):
     return f.select("root", _rel(), "line", "kind")
 
 
+def _placed(pieces, at_rest=False):
+    """Pieces of every root's text with the byte where each begins: no root is gathered."""
+    from ..operators.ordering import with_starts
+
+    return with_starts(pieces, at_rest).select("root", "seq", _rel(), "start", "text")
+
+
 def secret_report(spark, sf):
     from ..operators.secrets import secret_findings as find
-    from ..operators.secrets import secret_report as report
+    from ..operators.secrets import secret_report_pieces as report
 
-    return report(find(inspect_files(tables.secret_docs(spark, sf))))
+    return _placed(report(find(inspect_files(tables.secret_docs(spark, sf)))))
 
 
 # --- repository metadata ---------------------------------------------------------
@@ -286,13 +293,13 @@ def attach_repo_meta(spark, sf):
 
 
 def draw_tree(spark, sf):
-    return paths.draw_tree(_page_closure(spark, sf))
+    return _placed(paths.tree_pieces(_page_closure(spark, sf)))
 
 
 def _render(spark, sf, mode):
-    from ..operators.render import render
+    from ..operators.render import render_pieces
 
-    return render(_doc_files(spark, sf), mode, meta=_meta(spark, sf)).select("root", "document")
+    return _placed(render_pieces(_doc_files(spark, sf), mode, meta=_meta(spark, sf)), at_rest=True)
 
 
 def render_structure(spark, sf):
@@ -452,11 +459,9 @@ def _blueprint_texts(spark, sf, with_duplicates=False):
 
 
 def blueprint_render(spark, sf):
-    from ..operators.blueprint import blueprint_render as render_bp
+    from ..sources.sinks import snapshot_pieces
 
-    files = _doc_files(spark, sf)
-    w = walk(files, WalkOptions())
-    return render_bp(w.files, w.nodes, roots=files)
+    return _placed(snapshot_pieces(_doc_files(spark, sf), "reverse")[0])
 
 
 def blueprint_parse(spark, sf):
@@ -602,16 +607,22 @@ def scan_files(spark, sf):
 
 
 def write_snapshots(spark, sf):
-    """Op 5: Markdown pieces of every root written in order, read back and compared whole."""
+    """Op 5: Markdown documents of every root written, then every piece read back by its byte range."""
     import uuid
 
-    from ..operators.ordering import concatenated
+    from ..operators.joins import freeze
+    from ..operators.ordering import with_starts
     from ..session import ensure_checkpoint_dir
-    from ..sources.sinks import write_snapshots as write
+    from ..sources.sinks import read_ranges, snapshot_pieces, write_pieces
 
+    files = _doc_files(spark, sf)
+    pieces = snapshot_pieces(files, "markdown", meta=_meta(spark, sf))[0]
     target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
-    write(_doc_files(spark, sf), target, "markdown", meta=_meta(spark, sf))
-    return concatenated(spark.read.parquet(target), "document")
+    index = write_pieces(pieces, target, roots=files)
+    pieces = freeze(with_starts(pieces, at_rest=True).drop("text"))
+    read = read_ranges(spark, target, pieces).select("root", "start", "length", F.col("content").cast("string").alias("text"))
+    names = index.select("root", "output").distinct()
+    return pieces.join(read, ["root", "start", "length"]).join(names, "root").select("root", "output", "seq", _rel(), "start", "text")
 
 
 def token_count(spark, sf):
