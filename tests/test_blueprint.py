@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeloom.operators import blueprint as B
+from treeloom.operators import blueprint_parse as BP
 from treeloom.operators import paths
 from treeloom.operators.snapshot import WalkOptions, walk
 
@@ -58,14 +59,14 @@ def test_parse_nesting_comments_and_bodies():
 
 def test_null_text_is_an_error_row(spark):
     df = spark.createDataFrame([("n", None), ("e", ""), ("k", "a\n")], "blueprint_id string, text string")
-    got = {(r["blueprint_id"], r["error"]) for r in B.blueprint_parse(df).collect()}
+    got = {(r["blueprint_id"], r["error"]) for r in BP.blueprint_parse(df).collect()}
     assert got == {("n", B.MSG_NULL), ("k", None)}
 
 
 def test_later_duplicates_replace_whole_subtrees(spark):
     text = "k/\n  gone: 1\n  sub/\n    gone2: 2\nf: first\nk/\n  stays: 3\nf: second\n"
     df = spark.createDataFrame([("t", text)], "blueprint_id string, text string")
-    e = B.blueprint_entries(B.blueprint_parse(df))
+    e = B.blueprint_entries(BP.blueprint_parse(df))
     got = sorted(("/".join(r["path"]), r["content"]) for r in e.collect())
     assert got == [("f", "second"), ("k", None), ("k/stays", "3")]
 
@@ -75,5 +76,55 @@ def test_round_trip_property(spark, files_of):
     f = files_of({"p": entries})
     nodes = paths.path_closure(f)
     text = B.blueprint_render(f, nodes).select(F.col("root").alias("blueprint_id"), F.col("blueprint").alias("text"))
-    parsed = {"/".join(r["path"]): r["content"] for r in B.blueprint_parse(text).collect() if not r["is_dir"]}
+    parsed = {"/".join(r["path"]): r["content"] for r in BP.blueprint_parse(text).collect() if not r["is_dir"]}
     assert parsed == {k: (v if v else None) for k, v in entries.items()}
+
+
+def _random_blueprint(rng):
+    """Lines of all kinds, some with bad margins, deep jumps, empty or nested names."""
+    out, level = [], 0
+    for _ in range(rng.randrange(0, 40)):
+        deeper = bool(out) and out[-1].endswith(("/", "|")) or rng.random() < 0.02
+        level = max(0, level + (1 if deeper and rng.random() < 0.9 else rng.choice((-2, -1, 0, 0, 0))))
+        pad = "  " * level
+        out.append(rng.choice((
+            f"{pad}dir{rng.randrange(3)}/", f"{pad}dir{rng.randrange(3)}/", f"{pad}file{rng.randrange(4)}", f"{pad}file: one line",
+            f"{pad}text:|", f"{pad}text: |", "", "   ", f"{pad}# comment", f"{pad}  body line\r", f"{pad}t\u00e9xt \U0001f332: x",
+        )))
+        if rng.random() < 0.01:
+            out.append(rng.choice(("\tbad", " odd", "a/b", ":", f"{pad}      deep", f"{pad} # odd comment")))
+    return "\n".join(out) + rng.choice(("", "\n"))
+
+
+def test_parsing_pieces_cut_anywhere_equals_parsing_the_text(spark):
+    import random
+
+    rng = random.Random(48)
+    texts = {f"t{i}": _random_blueprint(rng) for i in range(120)}
+    texts |= {"empty": "", "one": "file", "long": "text:|\n" + "".join(f"  line {i}\n" for i in range(400)) + "after: x\n",
+              "nested": "".join("  " * i + f"d{i}/\n" for i in range(30)) + "  " * 30 + "leaf:|\n" + "  " * 31 + "body"}
+    rows = []
+    for key, text in texts.items():
+        seq = at = 0
+        while at < len(text):
+            n = rng.choice((1, 2, 5, 17, 60))
+            rows.append((key, seq, [str(seq % 3)], text[at : at + n]))
+            seq, at = seq + 1, at + n
+    rows += [("null", 0, ["a"], "file\n"), ("null", 1, ["a"], None), (None, 0, ["a"], "no id\n")]
+    pieces = spark.createDataFrame(rows, "blueprint_id string, seq int, path array<string>, text string").repartition(5)
+    for lenient, chunk in ((True, 30), (False, 30), (True, 1 << 20)):
+        want = set()
+        for key, text in texts.items():
+            try:
+                for path, is_dir, content, line, chain in B.parse_blueprint(text, lenient):
+                    want.add((key, tuple(path), is_dir, content, line, tuple(chain), None))
+            except B.BlueprintError as e:
+                want.add((key, None, None, None, None, None, str(e)))
+        want |= {("null", None, None, None, None, None, B.MSG_NULL), (None, ("no id",), False, None, 1, (), None)}
+        got = [
+            (r["blueprint_id"], r["path"] and tuple(r["path"]), r["is_dir"], r["content"], r["line_no"],
+             None if r["chain"] is None else tuple(r["chain"]), r["error"])
+            for r in BP.parse_pieces(pieces, ("seq", "path"), lenient, chunk).collect()
+        ]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert sum(1 for w in want if w[-1]) > 20 and sum(1 for w in want if w[3]) > 50

@@ -371,11 +371,25 @@ def _blueprint_file_block(indent: str, name: str) -> str:
     )
 
 
-def _lossless_ctes() -> list[str]:
-    return [DOC, _insp("doc_files"),
-            "lossless AS (SELECT d.* FROM doc_files d JOIN insp i ON i.root = d.root AND i.path = d.path "
-            "WHERE i.kind = 'text' AND NOT contains(d.text, chr(13)))",
-            S.closure_sql("lossless", "lnodes")]
+def _parsed_content(text: str = "text") -> str:
+    """What parsing gives back of a rendered file: its lines without CR, blank ones emptied, or its marker."""
+    lines = f"string_split({text}, {NLc})[1:len(string_split({text}, {NLc})) - CASE WHEN ends_with({text}, {NLc}) THEN 1 ELSE 0 END]"
+    line = "regexp_replace(l, '\\r\\z', '')"
+    kept = f"array_to_string([CASE WHEN regexp_matches({line}, '^\\s*$') THEN '' ELSE {line} END for l in {lines}], {NLc})"
+    meta = S.format_metadata("mime_type", "detected_by", "size", "extension")
+    return (
+        f"CASE WHEN kind = 'text' AND {text} = '' THEN NULL WHEN kind = 'text' AND {S.single_line(text)} THEN {text} "
+        f"WHEN kind = 'text' THEN {kept} || CASE WHEN ends_with({text}, {NLc}) THEN {NLc} ELSE '' END "
+        f"WHEN kind = 'binary' THEN '<binary file; ' || {meta} || '>' "
+        f"ELSE '<file too large; ' || {meta} || '; limit: ' || {S.format_bytes('lim')} || '>' END"
+    )
+
+
+def _parsed_sql(text: str, columns: str) -> str:
+    ctes = [DOC, _insp(), S.closure_sql("doc_files", "nodes"), f"shown AS (SELECT * REPLACE ({text} AS text) FROM insp)",
+            f"content AS (SELECT root, path, {_parsed_content()} AS content FROM shown)"]
+    return S.with_views(*ctes) + f"""SELECT n.root AS blueprint_id, n.rel, n.is_dir, c.content{columns}
+FROM nodes n LEFT JOIN content c ON c.root = n.root AND c.path = n.path"""
 
 
 def _existing_ctes() -> list[str]:
@@ -445,12 +459,9 @@ UNION ALL SELECT root, 1, path, line FROM tlines"""
 UNION ALL SELECT root, 1, path, {bp_dir} FROM nodes WHERE is_dir
 UNION ALL SELECT root, 1, path, {_blueprint_file_block("repeat('  ', len(path) - 1)", 'name')} FROM insp"""
     )
-    o["blueprint_parse"] = S.with_views(*_lossless_ctes()) + """SELECT n.root AS blueprint_id, n.rel, n.is_dir,
-  CASE WHEN n.is_dir THEN NULL ELSE nullif(f.text, '') END AS content, CAST(NULL AS VARCHAR) AS error
-FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
-    o["blueprint_entries"] = S.with_views(*_lossless_ctes()) + f"""SELECT n.root AS blueprint_id, n.rel, n.is_dir,
-  CASE WHEN n.is_dir THEN NULL ELSE nullif(CASE WHEN n.path[1] = 'en' THEN {S.head_lines('f.text', 1)} ELSE f.text END, '') END AS content
-FROM lnodes n LEFT JOIN lossless f ON f.root = n.root AND f.path = n.path"""
+    o["blueprint_parse"] = _parsed_sql("text", ", CAST(NULL AS VARCHAR) AS error")
+    cut = f"CASE WHEN kind = 'text' AND path[1] = 'en' THEN {S.head_lines('text', 1)} ELSE text END"
+    o["blueprint_entries"] = _parsed_sql(cut, "")
     o["pick_template"] = _pick_template_sql()
     o["scaffold_write"] = S.with_views(DOC, S.closure_sql("doc_files", "wanted")) + (
         "SELECT root, rel, is_dir, 'create' AS action, true AS written FROM wanted"

@@ -430,32 +430,17 @@ def notebook_language(spark, sf):
 # --- blueprints ---------------------------------------------------------------------------
 
 
-def _lossless(spark, sf):
-    """doc_files whose text survives a render/parse round trip: text files (not binary) without CR.
-
-    Chosen by content, not by id: inspection decides binary, and a carriage
-    return is dropped by the line-based format."""
-    from ..operators.inspect import with_kind
+def _blueprint_pieces(spark, sf, with_duplicates=False):
+    """Blueprints of all doc_files as ordered pieces; with duplicates, the entries of ``en`` follow again, cut to one line."""
+    from ..operators.blueprint import blueprint_pieces
 
     files = _doc_files(spark, sf)
-    return with_kind(files).filter((F.col("kind") == "text") & ~F.col("text").contains("\r")).drop("kind")
-
-
-def _blueprint_texts(spark, sf, with_duplicates=False):
-    from ..operators.blueprint import blueprint_blocks
-
-    files = _lossless(spark, sf)
-    nodes = paths.path_closure(files)
-    blocks = blueprint_blocks(files, nodes).withColumn("part", F.lit(1))
+    pieces = blueprint_pieces(files, paths.path_closure(files))
     if with_duplicates:
         en = files.filter(F.element_at("path", 1) == "en")
-        blocks = blocks.unionByName(
-            blueprint_blocks(en, paths.path_closure(en), ContentOptions(head=1)).withColumn("part", F.lit(2))
-        )
-    from ..operators.ordering import concatenated
-
-    pieces = blocks.select("root", F.col("part").alias("seq"), "path", F.col("block").alias("text"))
-    return concatenated(pieces, "text").withColumnRenamed("root", "blueprint_id")
+        again = blueprint_pieces(en, paths.path_closure(en), ContentOptions(head=1))
+        pieces = pieces.unionByName(again.withColumn("seq", F.lit(2)))
+    return pieces.withColumnRenamed("root", "blueprint_id")
 
 
 def blueprint_render(spark, sf):
@@ -465,17 +450,17 @@ def blueprint_render(spark, sf):
 
 
 def blueprint_parse(spark, sf):
-    from ..operators.blueprint import blueprint_parse as parse
+    from ..operators.blueprint_parse import parse_pieces
 
-    p = parse(_blueprint_texts(spark, sf))
+    p = parse_pieces(_blueprint_pieces(spark, sf))
     return p.select("blueprint_id", _rel(), "is_dir", "content", "error")
 
 
 def blueprint_entries(spark, sf):
     from ..operators.blueprint import blueprint_entries as entries
-    from ..operators.blueprint import blueprint_parse as parse
+    from ..operators.blueprint_parse import parse_pieces
 
-    e = entries(parse(_blueprint_texts(spark, sf, with_duplicates=True)))
+    e = entries(parse_pieces(_blueprint_pieces(spark, sf, with_duplicates=True)))
     return e.select("blueprint_id", _rel(), "is_dir", "content")
 
 
