@@ -12,9 +12,10 @@ Likeness of two fingerprints is the Jaccard likeness of their sets of anchor
 hashes; the shift is the median distance of the first positions of common
 anchors, 0 for an edit in place.
 
-Texts are cut into overlapping pieces of ``CHUNK`` symbols before the windows are
-formed: the choice is context-free, so this changes nothing but bounds the
-arrays a row needs at once.
+An edited text shares all symbols up to the last blank before the place of the
+edit with the text itself. As the choice is context-free, the windows that end
+there are taken over, and only the seam and the new tail are looked at again;
+likeness and shift use the common part in the same way.
 
 Defined cases: null text counts as empty and has the empty fingerprint; a text of
 fewer than ``K`` symbols has each symbol as an anchor; two empty
@@ -34,131 +35,94 @@ from .common import let, partitions, prepare, text_or_empty
 PIECE = 6
 K = 5
 S = 2
-# Most anchors of a fingerprint (the first ones); None keeps every anchor.
-KEEP: int | None = None
-CHUNK = 1024
 SYMBOL = rf"[\p{{IsIdeographic}}\p{{IsHiragana}}\p{{IsKatakana}}]|[\p{{L}}\p{{M}}\p{{N}}]{{1,{PIECE}}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
 
-ANCHOR = "array<struct<h:bigint,p:int>>"
 
-
-def _combined(hashes: Column, width: int) -> Column:
-    """Hash of every ``width`` neighbouring hashes: each round joins the next one to what is there."""
-    if width == 1:
-        return hashes
-    out = hashes
-    for i in range(1, width):
-        later = F.slice(hashes, F.lit(i + 1), F.greatest(F.lit(0), F.size(hashes) - i))
-        out = F.zip_with(F.slice(out, F.lit(1), F.greatest(F.lit(0), F.size(hashes) - i)), later, lambda a, b: F.xxhash64(a, b))
-    return out
-
-
-def _window_min(values: Column, width: int) -> Column:
-    """Least of every ``width`` neighbours, by doubling."""
-
-    def grow(current: Column, have: int) -> Column:
-        if have == width:
-            return current
-        step = min(have, width - have)
-
-        def widen(c: Column) -> Column:
-            size = F.greatest(F.lit(0), F.size(c) - step)
-            return F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, F.lit(step + 1), size), lambda a, b: F.least(a, b))
-
-        return let(widen(current), lambda w: grow(w, have + step)) if have + step < width else widen(current)
-
-    return grow(values, 1)
+def symbols(text: Column) -> Column:
+    """Hashes of a text's symbols in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(0)), lambda s: F.xxhash64(s))
 
 
-def _chunk_anchors(hashes: Column, start: Column) -> Column:
-    """Closed syncmers of one piece of symbol hashes that begins at symbol ``start``."""
-    inner = K - S + 1
-
-    def choose(smers: Column) -> Column:
-        size = F.greatest(F.lit(0), F.size(smers) - (inner - 1))
-        ends = F.zip_with(
-            F.slice(smers, F.lit(1), size), F.slice(smers, F.lit(inner), size), lambda a, b: F.least(a, b)
-        )
-        closed = F.zip_with(_window_min(smers, inner), ends, lambda low, end: low == end)
-        return let(
-            _combined(hashes, K),
-            lambda kmers: F.filter(
-                F.zip_with(
-                    closed,
-                    F.transform(kmers, lambda h, i: F.struct(h.alias("h"), (start + i).cast("int").alias("p"))),
-                    lambda chosen, anchor: F.when(chosen, anchor),
-                ),
-                lambda a: a.isNotNull(),
-            ),
-        )
+def _hash_of(hashes: Column, i: Column, width: int) -> Column:
+    """Hash of the ``width`` symbols from ``i`` on: each step joins the next one to what is there."""
+    out = F.get(hashes, i)
+    for step in range(1, width):
+        out = F.xxhash64(out, F.get(hashes, i + step))
+    return out
 
-    return let(_combined(hashes, S), choose)
 
+def anchor_places(hashes: Column) -> Column:
+    """Where the chosen windows of ``K`` symbols begin; every symbol of a shorter sequence."""
+    n, inner = F.size(hashes), K - S
 
-def anchors(text: Column) -> Column:
-    """``array<struct<h, p>>``: the anchors of a text, by ascending position."""
+    def closed(smers: Column, i: Column) -> Column:
+        ends = F.least(F.get(smers, i), F.get(smers, i + inner))
+        return ends <= F.least(*[F.get(smers, i + step) for step in range(1, inner)])
 
-    def of(hashes: Column) -> Column:
-        n = F.size(hashes)
-        # windows of K symbols begin at 0 .. n-K; a piece owns CHUNK of these beginnings
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - K), F.lit(CHUNK))
-        pieces = F.transform(
-            starts, lambda s: let(F.slice(hashes, s + 1, F.lit(CHUNK + K - 1)), lambda piece: _chunk_anchors(piece, s))
-        )
-        short = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("p")))
-        found = (
-            F.when(n == 0, F.array().cast(ANCHOR)).when(n < K, short.cast(ANCHOR)).otherwise(F.flatten(pieces).cast(ANCHOR))
-        )
-        return found if KEEP is None else F.slice(found, 1, KEEP)
+    def chosen(smers: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), n - K), lambda i: closed(smers, i))
 
-    return let(F.transform(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(0)), lambda s: F.xxhash64(s)), of)
+    smers = F.transform(F.sequence(F.lit(0), F.greatest(n - S, F.lit(0))), lambda i: _hash_of(hashes, i, S))
+    short = F.transform(hashes, lambda _, i: i)
+    return F.when(n < K, short).otherwise(let(smers, chosen))
 
 
-def fingerprint_text(found: Column) -> Column:
-    """``hash@position`` of every anchor, hash as sixteen hex digits, joined by commas."""
-    return F.array_join(
-        F.transform(found, lambda a: F.concat(F.lpad(F.lower(F.hex(a["h"])), 16, "0"), F.lit("@"), a["p"].cast("string"))), ","
-    )
+def anchor_hashes(hashes: Column, places: Column) -> Column:
+    whole = F.transform(places, lambda i: _hash_of(hashes, i, K))
+    return F.when(F.size(hashes) < K, hashes).otherwise(whole)
 
 
-def _hashes(found: Column) -> Column:
-    return F.transform(found, lambda a: a["h"])
+def tokens(found: Column, places: Column) -> Column:
+    """``HASH@position`` of every anchor, hash as sixteen hex digits."""
+    return F.zip_with(found, places, lambda h, p: F.concat(F.lpad(F.hex(h), 16, "0"), F.lit("@"), p.cast("string")))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Common hashes of both fingerprints as a share of all their hashes."""
+def fingerprint_text(parts: Column) -> Column:
+    return F.lower(F.array_join(parts, ","))
 
-    def over(x: Column, y: Column) -> Column:
-        return let(
-            F.size(F.array_intersect(x, y)), lambda n: n / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
-        )
 
-    alike = let(_hashes(a), lambda x: let(_hashes(b), lambda y: over(x, y)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(alike.cast("double"))
+def likeness(own: Column, other: Column, both: Column) -> Column:
+    """Common hashes as a share of all, from the sizes of both sets and of their union."""
+    return F.when(both == 0, F.lit(1.0)).otherwise((own + other - both).cast("double") / both)
 
 
-def shift(a: Column, b: Column) -> Column:
+def shift(head: Column, zeros: Column, tail: Column, tail_at: Column, new: Column, new_at: Column) -> Column:
     """Median distance of the first positions of common anchors; null without any.
 
-    Both sides' anchors are sorted together by hash, side and position: the first
-    of each hash and side stay, and a common hash is then two neighbours.
+    Hashes of the common ``head`` (``zeros`` different ones) keep their places. Those
+    of the old and the new tail are sorted together by hash, side and position, with
+    the head's hashes among them as a side before both: the first of each hash and
+    side stays, and a hash common to the tails alone is two neighbours.
     """
 
-    def sided(found: Column, side: int) -> Column:
-        return F.transform(found, lambda x: F.struct(x["h"].alias("h"), F.lit(side).alias("side"), x["p"].alias("p")))
+    def sided(hashes: Column, places: Column, side: int) -> Column:
+        return F.zip_with(hashes, places, lambda h, p: F.struct(h.alias("h"), F.lit(side).alias("side"), p.alias("p")))
 
     def firsts(every: Column) -> Column:
         before = lambda i: F.get(every, i - 1)
         return F.filter(every, lambda x, i: (i == 0) | (before(i)["h"] != x["h"]) | (before(i)["side"] != x["side"]))
 
     def distances(first: Column) -> Column:
-        before = lambda i: F.get(first, i - 1)
-        apart = F.transform(first, lambda x, i: F.when((i > 0) & (before(i)["h"] == x["h"]), x["p"] - before(i)["p"]))
-        return F.filter(apart, lambda d: d.isNotNull())
-
-    every = F.sort_array(F.concat(sided(a, 0), sided(b, 1)))
+        def apart(x: Column, i: Column) -> Column:
+            old, kept = F.get(first, i - 1), F.get(first, i - 2)
+            alone = (i < 2) | (kept["h"] != x["h"])
+            common = (i > 0) & (x["side"] == 2) & (old["side"] == 1) & (old["h"] == x["h"])
+            return F.when(common & alone, x["p"] - old["p"])
+
+        return F.filter(F.transform(first, apart), lambda d: d.isNotNull())
+
+    def middle(d: Column) -> Column:
+        at = F.floor((zeros + F.size(d) - 1) / 2).cast("int")
+        below = F.size(F.filter(d, lambda x: x < 0))
+        return F.when(at < below, F.get(d, at)).when(at < below + zeros, F.lit(0)).otherwise(F.get(d, at - zeros))
+
+    in_head = F.transform(
+        F.array_intersect(F.array_union(tail, new), head),
+        lambda h: F.struct(h.alias("h"), F.lit(0).alias("side"), F.lit(0).alias("p")),
+    )
+    every = F.sort_array(F.concat(in_head, sided(tail, tail_at, 1), sided(new, new_at, 2)))
     found = let(every, lambda e: let(firsts(e), distances))
-    return let(F.sort_array(found), lambda d: F.get(d, F.floor((F.size(d) - 1) / 2).cast("int")))
+    return let(F.sort_array(found), lambda d: F.when(zeros + F.size(d) > 0, middle(d)))
 
 
 def dealt_in_ring(rows: DataFrame, buckets: int):
@@ -225,24 +189,59 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     buckets = 4 * partitions(spark)
     dealt, window = dealt_in_ring(rows, buckets)
-    marked = dealt.repartition(partitions(spark), "b").withColumn("anchors", anchors(F.col("text")))
     n = F.length("text")
-    k = F.floor(n / 4).cast("int")
+    marked = (
+        dealt.repartition(partitions(spark), "b")
+        .withColumn("n", n)
+        .withColumn("k", F.floor(F.col("n") / 4).cast("int"))
+        # the head ends with the last blank before the place of the edit (without one it is empty)
+        .withColumn("stays", F.substr("text", F.lit(1), F.col("n") - F.col("k")))
+        .withColumn("seam", F.substring_index("stays", " ", -1))
+        .withColumn("cut", F.col("n") - F.col("k") - F.length("seam"))
+        .withColumn("head", symbols(F.substr("text", F.lit(1), F.col("cut"))))
+        .withColumn("whole", F.concat("head", symbols(F.substr("text", F.col("cut") + 1, F.col("n")))))
+        .withColumn("at", anchor_places(F.col("whole")))
+        .withColumn("found", anchor_hashes(F.col("whole"), F.col("at")))
+        .withColumn("distinct", F.size(F.array_distinct("found")))
+        .withColumn("m", F.size("head"))
+        .withColumn("joint", F.slice("head", F.greatest(F.col("m") - (K - 2), F.lit(1)), F.lit(K - 1)))
+        .drop("head", "whole")
+    )
     follow = (
-        marked.withColumn("n_chars", n.cast("bigint"))
-        .withColumn("next_text", F.lead("text").over(window))
-        .withColumn("next_anchors", F.lead("anchors").over(window))
+        marked.withColumn("next_text", F.lead("text").over(window))
+        .withColumn("next_found", F.lead("found").over(window))
+        .withColumn("next_distinct", F.lead("distinct").over(window))
         .where(~F.col("tail"))
     )
-    edited = F.concat(F.substr("text", F.lit(1), n - k), F.substr("next_text", F.lit(1), k))
-    out = follow.withColumn("edited", edited).withColumn("edited_anchors", anchors(F.col("edited")))
+    # windows that begin up to m - K lie in the head; the next ones begin with its last K - 1 symbols
+    kept = F.size(F.filter("at", lambda p: p <= F.col("m") - K))
+    kept = F.when(F.col("m") >= K, kept).otherwise(0)
+    out = (
+        follow.withColumn("begins", F.substr("next_text", F.lit(1), F.col("k")))
+        .withColumn("edited", F.concat("stays", "begins"))
+        .withColumn("fresh", F.concat("joint", symbols(F.concat("seam", "begins"))))
+        # behind a head of K symbols fewer than K symbols make no window
+        .withColumn("fresh", F.when((F.col("m") >= K) & (F.size("fresh") < K), F.slice("fresh", 1, 0)).otherwise(F.col("fresh")))
+        .withColumn("fresh_at", anchor_places(F.col("fresh")))
+        .withColumn("new", anchor_hashes(F.col("fresh"), F.col("fresh_at")))
+        .withColumn("new_at", F.transform("fresh_at", lambda i: i + F.greatest(F.lit(0), F.col("m") - (K - 1))))
+        .withColumn("kept", kept)
+        .withColumn("held", F.array_distinct(F.slice("found", F.lit(1), F.col("kept"))))
+        .withColumn("edited_distinct", F.size(F.array_union("held", "new")))
+        .withColumn("tokens", tokens(F.col("found"), F.col("at")))
+    )
+    from_kept = lambda c: F.slice(c, F.col("kept") + 1, F.size(c))
     return out.select(
         "doc_id",
-        "n_chars",
+        F.col("n").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint_text(F.col("anchors")).alias("fingerprint"),
-        fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
-        shift(F.col("anchors"), F.col("edited_anchors")).cast("bigint").alias("edited_shift"),
+        fingerprint_text(F.col("tokens")).alias("fingerprint"),
+        fingerprint_text(
+            F.concat(F.slice("tokens", F.lit(1), F.col("kept")), tokens(F.col("new"), F.col("new_at")))
+        ).alias("edited_fingerprint"),
+        likeness(F.col("distinct"), F.col("edited_distinct"), F.size(F.array_union("found", "new"))).alias("near_edited"),
+        likeness(F.col("distinct"), F.col("next_distinct"), F.size(F.array_union("found", "next_found"))).alias("near_next"),
+        shift(F.col("held"), F.size("held"), from_kept("found"), from_kept("at"), F.col("new"), F.col("new_at"))
+        .cast("bigint")
+        .alias("edited_shift"),
     )
