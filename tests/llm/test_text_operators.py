@@ -167,6 +167,72 @@ def test_battery_is_uniform_for_random_tokens():
     assert secret_scan.combined(secret_scan.battery("a1" * 20, "base62")) < 1e-6
 
 
+def _brute_scan(rows, rate=0.05):
+    """The scan over a few documents, each step written out: pairs, ratios, discovery control, spans."""
+    S = secret_scan
+    texts = [t or "" for _, t in rows]
+    model = S.ordinary_text(sum(S.pair_counts(t) for t in texts))
+    place = {c: i for i, c in enumerate(S.CHARACTERS)}
+    found = []
+    for n, text in enumerate(texts):
+        for m in S.CANDIDATE.finditer(text):
+            encoding = S.infer_encoding(m.group())
+            if encoding is None:
+                continue
+            ratio = S.battery_evidence(S.combined(S.battery(m.group(), encoding)))
+            for i, c in enumerate(m.group()):
+                row = place[m.group()[i - 1]] if i else len(place)
+                likely = model[row, place[c]] + S.SEEN * m.group()[:i].count(c) / max(i, 1)
+                ratio -= math.log(len(S.ENCODINGS[encoding]) * likely)
+            found.append((n, m.start(), m.end(), (encoding, S.length_class(len(m.group()))), ratio))
+    cells = {}
+    for f in found:
+        cells.setdefault(f[3], []).append(min(math.floor(f[4] * S.EVIDENCE_STEPS) / S.EVIDENCE_STEPS, S.MOST_EVIDENCE))
+    accepted = set()
+    for cell, ratios in cells.items():
+        good = [r for r in set(ratios) if r >= 0 and sum(x >= r for x in ratios) * rate * math.exp(r) >= len(ratios)]
+        accepted |= {f[:3] for f in found if f[3] == cell and good and f[4] >= min(good)}
+    out = []
+    for n, (i, _) in enumerate(rows):
+        fixed = S.fixed_spans(texts[n])
+        random = [(s, 3, e) for m, s, e in sorted(accepted) if m == n]
+        fresh = [x for x in random if not any(x[0] < e and s < x[2] for s, _, e in fixed)]
+        out.append((i, ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in sorted(fixed + fresh)), len(random)))
+    return out
+
+
+def test_scan_equals_a_brute_force(docs_of, edge_docs):
+    rng = np.random.default_rng(11)
+    key = lambda n, a: "".join(rng.choice(list(a), n))
+    rows = []
+    for i in range(60):
+        words = ["the", "a1b2c3", "section/of/path12", "user_name_2024", "ordinary", "version-1-of-the-file", f"id{i}"]
+        body = list(rng.choice(words, 60))
+        if i % 3 == 0:
+            body.insert(20, key(int(rng.integers(20, 60)), secret_scan.ENCODINGS["base62"]))
+        if i % 7 == 0:
+            body.insert(5, "token=" + key(24, secret_scan.ENCODINGS["base62"]))
+        if i % 10 == 0:
+            body.insert(9, key(40, secret_scan.ENCODINGS["hex"]))
+        rows.append((i, " ".join(body)))
+    rows += [(100, None), (101, ""), (102, "AKIA" + key(16, secret_scan.ENCODINGS["BASE36"])), (102, "repeated id")]
+    got = [(r["doc_id"], r["spans"], r["n_random"]) for r in secret_scan.scan(docs_of(rows)).collect()]
+    want = _brute_scan(rows)
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(n for _, _, n in want) >= 15
+
+
+def test_scan_of_very_long_tokens(docs_of):
+    import time
+
+    rng = np.random.default_rng(1)
+    random = "".join(rng.choice(list(secret_scan.ENCODINGS["base64"]), 1_000_000))
+    rows = [(1, "z1" * 100_000), (2, random), (3, "plain words " * 500), (4, "token: " + random[:200_000])]
+    began = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs_of(rows)).collect()}
+    assert time.time() - began < 120
+    assert got[1]["spans"] == "" and got[2]["n_random"] == 1 and got[3]["spans"] == "" and got[4]["n_assign"] == 1
+
+
 # --- fingerprints ----------------------------------------------------------------
 
 
@@ -209,27 +275,65 @@ def test_a_short_passage_is_seen_in_a_long_text(docs_of):
     assert got[1]["near_next"] == got[2]["near_next"] == want
 
 
-def test_anchors_are_context_free_and_chunks_change_nothing(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    rng = np.random.default_rng(9)
-    text = " ".join(rng.choice([f"w{i}" for i in range(500)], 3000))
-    df = spark.createDataFrame([(text, "intro here , " + text)], "a string, b string")
-    monkeypatch.setattr(fingerprint, "KEEP", 10**6)
-    whole = df.select(fingerprint.anchors(F.col("a")).alias("a"), fingerprint.anchors(F.col("b")).alias("b")).first()
-    a, b = ({(x["h"]) for x in whole[c]} for c in "ab")
-    assert a <= b and len(b - a) <= 4  # the same anchors, and a few over the seam
-    monkeypatch.setattr(fingerprint, "CHUNK", 37)
-    cut = df.select(fingerprint.anchors(F.col("a")).alias("a")).first()["a"]
-    assert cut == whole["a"]
-    # by definition: among the k-mers' inner hashes the least is the first or the last
-    monkeypatch.setattr(fingerprint, "CHUNK", 1024)
-    hashes = df.select(F.transform(F.split("a", " "), lambda s: F.xxhash64(s)).alias("h")).first()["h"]
-    pairs = spark.createDataFrame([(x, y) for x, y in zip(hashes, hashes[1:])], "x bigint, y bigint").select(F.xxhash64("x", "y")).collect()
-    smers = [r[0] for r in pairs]
-    inner = fingerprint.K - fingerprint.S + 1
-    closed = {i for i in range(len(hashes) - fingerprint.K + 1) if min(smers[i : i + inner]) in (smers[i], smers[i + inner - 1])}
-    assert {x["p"] for x in whole["a"]} <= closed and len(closed) >= len(whole["a"])
+def _hash(*longs):
+    """Spark's xxhash64 of a string or of bigints, each seeded by the hash before it."""
+    import xxhash
+
+    seed = 42
+    for x in longs:
+        raw = x.encode() if isinstance(x, str) else (x & (2**64 - 1)).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def _anchors(text):
+    """Every closed syncmer by definition: {position: hash}."""
+    import regex
+
+    hashes = [_hash(s) for s in regex.findall(
+        r"[\p{Ideographic}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}\p{N}]{1,6}|[^\s\p{L}\p{M}\p{N}]", text)]
+    k, s = fingerprint.K, fingerprint.S
+    if len(hashes) < k:
+        return dict(enumerate(hashes))
+    out = {}
+    for i in range(len(hashes) - k + 1):
+        inner = [_hash(*hashes[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            whole = hashes[i]
+            for h in hashes[i + 1 : i + k]:
+                whole = _hash(whole, h)
+            out[i] = whole
+    return out
+
+
+def _alike(a, b):
+    a, b = set(a.values()), set(b.values())
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _shift(a, b):
+    first = lambda x: {h: p for p, h in sorted(x.items(), reverse=True)}
+    a, b = first(a), first(b)
+    apart = sorted(b[h] - a[h] for h in a.keys() & b.keys())
+    return apart[(len(apart) - 1) // 2] if apart else None
+
+
+def test_fingerprints_equal_a_brute_force(docs_of):
+    rng = np.random.default_rng(7)
+    words = ["a", "bb", "ccc", "stretched", ",", ".", "\u00e9t\u00e9", "\u4f8b\u3048", "12", "x" * 14, "\n", "  "]
+    rows = [(i, "".join(w + " " * int(rng.integers(0, 2)) for w in rng.choice(words, rng.integers(0, 120)))) for i in range(60)]
+    rows += [(60 + i, " ".join("abcdefgh"[: i + 1])) for i in range(8)] + [(80, ""), (81, "z" * 90), (82, "a b c d e f g      "), (83, None)]
+    rows += [(84, " ".join(["same words here again"] * 30)), (85, " ".join(["same words here again"] * 31))]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs_of(rows)).collect()}
+    for n, (i, text) in enumerate(rows):
+        text, after = text or "", rows[(n + 1) % len(rows)][1] or ""
+        k = len(text) // 4
+        edited = text[: len(text) - k] + after[:k]
+        a, b, r = _anchors(text), _anchors(edited), got[i]
+        shown = lambda x: ",".join(f"{h & (2**64 - 1):016x}@{p}" for p, h in sorted(x.items()))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(a), shown(b)), i
+        assert r["near_edited"] == pytest.approx(_alike(a, b)) and r["near_next"] == pytest.approx(_alike(a, _anchors(after)))
+        assert r["edited_shift"] == _shift(a, b), i
 
 
 # --- classifiers -----------------------------------------------------------------

@@ -17,7 +17,8 @@ so are missing required, undeclared and wrongly typed parameters and values
 outside an enumeration (``errors`` names each, sorted). Of several results of a
 call the first turn counts, of several calls of one identifier the first turn,
 the others get the status 'repeated'; results without a call have the status
-'orphan'. A null identifier links with nothing. A predecessor that does not exist
+'orphan'. A null identifier links with nothing; rows with a null conv_id are one
+more conversation. A predecessor that does not exist
 is an error and does not hold a call back. Null texts are JSON null. Extra columns
 are ignored, empty tables give no rows.
 """
@@ -137,6 +138,12 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 MAX_SCHEMA_ROWS = 10_000
+NO_CONVERSATION = "0"
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with conv_id as a text that is never null, so that rows without one meet in joins too."""
+    return rows.withColumn("conv_id", F.coalesce(F.concat(F.lit("1"), F.col("conv_id").cast("string")), F.lit(NO_CONVERSATION)))
 
 
 def _first(rows: DataFrame, values: list[str]) -> DataFrame:
@@ -157,6 +164,8 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     repeated. ``json`` is the canonical JSON of the row.
     """
     prepare(messages.sparkSession)
+    kind = messages.schema["conv_id"].dataType
+    messages, calls, results = (_keyed(rows) for rows in (messages, calls, results))
     calls = written(calls.select("conv_id", "turn", "call_id", "name", "arguments"), "calls")
     results = written(results.select("conv_id", "turn", "call_id", "content"), "results")
     first = written(_first(calls, ["name", "arguments"]), "first_calls")
@@ -228,4 +237,5 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
         "conv_id", "turn", F.lit(0).alias("part"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("call_id"),
         F.lit("ok").alias("status"), message_json.alias("json"),
     )
-    return said.unionByName(shaped).unionByName(answered)
+    own = F.when(F.col("conv_id") != NO_CONVERSATION, F.expr("substring(conv_id, 2)")).cast(kind)
+    return said.unionByName(shaped).unionByName(answered).withColumn("conv_id", own)

@@ -81,7 +81,7 @@ OP10 = r"""
 WITH RECURSIVE k AS (
   SELECT conv_id, turn, 'c' || conv_id || '_' || turn AS call_id, (conv_id + turn) % 6 AS kind,
          ['search', 'fetch', 'calculate', 'translate', 'erase'][(conv_id * 7 + turn) % 5 + 1] AS name,
-         to_json(left(coalesce(text, ''), 24))::VARCHAR AS query, length(coalesce(text, '')) % 50 AS lim,
+         to_json(coalesce(text, ''))::VARCHAR AS query, length(coalesce(text, '')) % 50 AS lim,
          CASE WHEN (conv_id + turn) % 6 = 4 THEN turn + 2 WHEN turn >= 3 THEN turn - 2 END AS pred
   FROM conversations WHERE role = 'assistant'
 ), has AS (

@@ -132,7 +132,7 @@ def derived_calls(conversations: DataFrame) -> DataFrame:
     limit = (F.length(F.coalesce("text", F.lit(""))) % 50).cast("string")
     before = F.when(kind == 4, call(F.col("turn") + 2)).when(F.col("turn") >= 3, call(F.col("turn") - 2))
     arguments = F.concat(
-        F.lit('{ "query" : '), chat.quoted(F.substring(F.coalesce("text", F.lit("")), 1, 24)),
+        F.lit('{ "query" : '), chat.quoted(F.coalesce("text", F.lit(""))),
         F.when(kind == 0, F.concat(F.lit(', "limit": "'), limit, F.lit('"')))
         .when(kind == 1, F.lit("")).otherwise(F.concat(F.lit(', "limit": '), limit)),
         F.when(kind == 2, F.lit(', "debug": [1, {"b": null, "a": true}]')).otherwise(F.lit("")),

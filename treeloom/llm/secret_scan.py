@@ -8,11 +8,13 @@ test about the alphabet's middle, and the lag-one serial correlation. Fisher's
 method combines them to one p-value, uniform for random tokens and near zero for
 words, paths and names.
 
-A token is random if the battery does not refute it (p of at least ``1 / BINS``)
-and its own characters refute ordinary text: the likelihood ratio of uniform
+Two likelihood ratios of random draws to ordinary text are multiplied to an
+e-value of the token alone. The battery's is ``p ** (1 - KAPPA) / KAPPA``: its
+p-value is uniform for random tokens, and for ordinary text heaped up near zero
+(density ``KAPPA * p ** (KAPPA - 1)``). The other is that of the characters, uniform
 draws to a model of ordinary text (neighbouring characters as in the corpus's
-other text, runs of one character class, repeats and counting up) is an e-value
-of the token alone. False discoveries are controlled per encoding and length
+other text, runs of one character class, repeats and counting up). So a small p
+asks for more evidence and refuses nothing by itself. False discoveries are controlled per encoding and length
 class by the e-value form of Benjamini-Hochberg: the ``k`` tokens of ``n`` with
 the greatest ratios are accepted if each is at least ``n / (k * rate)``. Only the
 share ``k / n`` counts, so repeating a corpus changes nothing, and a ratio of
@@ -66,7 +68,8 @@ _VALUES = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in EN
 _SETS = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
 # Lower ends of the length classes.
 LENGTHS = (16, 18, 20, 24, 28, 32, 40, 48, 64, 96, 128, 256)
-BINS = 100
+# Exponent of the battery's p-value under ordinary text.
+KAPPA = 0.5
 # Characters of tokens; the place after them stands for any other one.
 CHARACTERS = CAPITALS + LOWER + DIGITS + "+/_-"
 _CODES = np.full(128, len(CHARACTERS), np.int64)
@@ -185,20 +188,30 @@ def evidence(token: str, encoding: str, model: np.ndarray) -> float:
     codes = _CODES[np.frombuffer(token.encode("ascii"), np.uint8)]
     n = len(codes)
     before = np.concatenate(([len(CHARACTERS)], codes[:-1]))
-    seen = np.tril(codes[:, None] == codes[None, :], -1).sum(axis=1) / np.maximum(np.arange(n), 1)
-    likely = model[before, codes] + SEEN * seen
+    # how often each character stands before its place: its rank among the equal ones
+    order = np.argsort(codes, kind="stable")
+    first = np.searchsorted(codes[order], codes[order])
+    seen = np.empty(n)
+    seen[order] = np.arange(n) - first
+    likely = model[before, codes] + SEEN * seen / np.maximum(np.arange(n), 1)
     return float(-n * math.log(len(ENCODINGS[encoding])) - np.log(likely).sum())
 
 
-def candidates(text: str, model: np.ndarray) -> list[tuple[int, int, str, float, float]]:
-    """``(start, end, encoding and length class, p, evidence)`` of every token with an inferred encoding."""
+def battery_evidence(p: float) -> float:
+    """Logarithm of the battery's likelihood ratio of random draws to ordinary text."""
+    return (1 - KAPPA) * math.log(max(p, 1e-300)) - math.log(KAPPA)
+
+
+def candidates(text: str, model: np.ndarray) -> list[tuple[int, int, str, float]]:
+    """``(start, end, encoding and length class, evidence)`` of every token with an inferred encoding."""
     out = []
     for m in CANDIDATE.finditer(text):
         token = m.group()
         encoding = infer_encoding(token)
         if encoding:
             cell = f"{encoding}/{length_class(len(token))}"
-            out.append((m.start(), m.end(), cell, combined(battery(token, encoding)), evidence(token, encoding, model)))
+            both = battery_evidence(combined(battery(token, encoding))) + evidence(token, encoding, model)
+            out.append((m.start(), m.end(), cell, both))
     return out
 
 
@@ -206,7 +219,7 @@ def cutoffs(histogram: dict[str, np.ndarray], rate: float) -> dict[str, float]:
     """Least evidence to accept in each cell.
 
     ``histogram`` has a cell's tokens by bins of evidence; its last place counts
-    those that the battery or the evidence itself (below 0) refutes.
+    those that speak for ordinary text (evidence below 0).
     """
     out = {}
     for cell, counts in histogram.items():
@@ -218,6 +231,18 @@ def cutoffs(histogram: dict[str, np.ndarray], rate: float) -> dict[str, float]:
     return out
 
 
+def apart(tokens: list[tuple], fixed: list[tuple]) -> list[tuple]:
+    """The tokens that no fixed span overlaps; both ascend by start, tokens do not overlap each other."""
+    out, at, reach = [], 0, -1
+    for start, kind, end in tokens:
+        while at < len(fixed) and fixed[at][0] < end:
+            reach = max(reach, fixed[at][2])
+            at += 1
+        if reach <= start:
+            out.append((start, kind, end))
+    return out
+
+
 def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random)`` of every document.
 
@@ -256,22 +281,21 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
                     "token_start": [[c[0] for c in t] for t in tokens],
                     "token_end": [[c[1] for c in t] for t in tokens],
                     "cell": [[c[2] for c in t] for t in tokens],
-                    "p": [[c[3] for c in t] for t in tokens],
-                    "evidence": [[c[4] for c in t] for t in tokens],
+                    "evidence": [[c[3] for c in t] for t in tokens],
                 }
             )
 
     schema = (
         "doc_id string, start array<bigint>, kind array<bigint>, end array<bigint>, "
-        "token_start array<bigint>, token_end array<bigint>, cell array<string>, p array<double>, evidence array<double>"
+        "token_start array<bigint>, token_end array<bigint>, cell array<string>, evidence array<double>"
     )
     found = written(narrow.mapInPandas(find, schema), "secret_spans")
 
     bins = EVIDENCE_STEPS * MOST_EVIDENCE + 1
     place = F.least(F.floor(F.col("t.evidence") * EVIDENCE_STEPS), F.lit(bins - 1))
-    refuted = (F.col("t.p") < 1 / BINS) | (F.col("t.evidence") < 0)
+    refuted = F.col("t.evidence") < 0
     counts = (
-        found.select(F.explode(F.arrays_zip("cell", "p", "evidence")).alias("t"))
+        found.select(F.explode(F.arrays_zip("cell", "evidence")).alias("t"))
         .groupBy(F.col("t.cell").alias("cell"), F.when(refuted, bins).otherwise(place).alias("bin"))
         .count()
         .collect()  # at most encodings x length classes x bins rows
@@ -289,10 +313,10 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
                 fixed = list(zip(r.start, r.kind, r.end, strict=True))
                 random = [
                     (s, 3, e)
-                    for s, e, c, p, v in zip(r.token_start, r.token_end, r.cell, r.p, r.evidence, strict=True)
-                    if p >= 1 / BINS and c in accept and v >= accept[c]
+                    for s, e, c, v in zip(r.token_start, r.token_end, r.cell, r.evidence, strict=True)
+                    if c in accept and v >= accept[c]
                 ]
-                fresh = [x for x in random if not any(x[0] < e and s < x[2] for s, _, e in fixed)]
+                fresh = apart(random, fixed)
                 base = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in fixed)
                 every = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(fixed + fresh))
                 kinds = [k for _, k, _ in fixed]
