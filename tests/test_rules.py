@@ -113,3 +113,34 @@ def test_invalid_mktreeignore_glob_is_an_error_of_its_root(spark, files_of):
     assert [(r["root"], "/".join(r["path"])) for r in w.files.collect()] == [("good", "b.txt")]
     (error,) = w.errors.collect()
     assert error["root"] == "bad" and "line 2: [abc" in error["error"]
+
+
+def test_rule_index_loses_no_match(spark):
+    import random
+    import re
+
+    from treeloom.operators import ignore
+
+    rng = random.Random(12)
+    names = ["a", "b.txt", "c.tar.gz", ".env", "x.y", "ab", "a.b", "b", "*.txt", "[q]"]
+    parts = [*names, "*", "**", "*.txt", "a*", "?b", "*.gz", "[ab].txt", "x.*", "*.", "\\*.txt", "*r.gz", "b?txt"]
+    patterns = {"/".join(rng.choice(parts) for _ in range(rng.choice((1, 1, 1, 2, 3)))) for _ in range(150)}
+    patterns |= {"/" + p for p in sorted(patterns)[:20]} | {p + "/" for p in sorted(patterns)[20:40]} | {"!" + p for p in sorted(patterns)[40:60]}
+    paths_ = {tuple(rng.choice(names) for _ in range(rng.choice((1, 2, 3, 4)))) for _ in range(200)}
+    nodes = spark.createDataFrame([("r", list(p), len(p) % 2 == 0) for p in sorted(paths_)], "root string, path array<string>, is_dir boolean")
+    lines = sorted(patterns)
+    rows = [("r", [".gitignore"], "\n".join(lines)), ("r", ["a", ".ignore"], "\n".join(lines[::-1])), ("r", ["a", "b", ".gitignore"], "*.gz\n!ab\n")]
+    from treeloom.sources.tables import files_from_table
+
+    files = files_from_table(spark.createDataFrame(rows, "root string, path array<string>, text string"))
+    got = {tuple(r["path"]): r["negated"] for r in ignore.git_winners(nodes, ignore.gitignore_rules(files)).collect()}
+    want = {}
+    for _, where, text in rows:
+        for n, line in enumerate(text.split("\n"), 1):
+            rule = ignore.parse_gitignore_line(line)
+            for p in sorted(paths_) if rule else ():
+                d = where[:-1]
+                if len(p) > len(d) and list(p[: len(d)]) == d and re.search(rule[0], "/".join(p[len(d) :])) and (not rule[2] or len(p) % 2 == 0):
+                    place = (2 if where[-1] == ".ignore" else 1, len(d), n)
+                    want[p] = max(want.get(p, ((0, 0, 0), None)), (place, rule[1]))
+    assert got == {p: w[1] for p, w in want.items()} and len(got) > 100

@@ -4,9 +4,10 @@
    the root's ``.mktreeignore`` become rows (root, dir, source, line_no, regex,
    negated, dir_only). Line -> regex is a small Arrow-batched helper over the
    (tiny) rules table only.
-2. every node explodes its ancestor directories (root included) and equi-joins
-   the rules on (root, dir); the node's path relative to that directory is
-   matched with ``rlike``.
+2. rules are indexed by what the last name of a match is certain to have (the
+   whole name, an extension, nothing); a node meets the rules of the ancestor
+   directories that hold any by (root, dir, index key), and only then is its
+   path relative to that directory matched with ``rlike``.
 3. the winning rule comes from ``.ignore`` files (any level) over ``.gitignore``
    files, then from the deepest directory, then from the last line (``max_by``);
    a non-negated winner ignores the node. ``.gitignore`` files count whether or
@@ -20,7 +21,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,10 +172,11 @@ def gitignore_rules(files: DataFrame) -> DataFrame:
         F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("pos", "line"),
     )
     compiled = src.select(
-        "root", "dir", "source_priority", (F.col("pos") + 1).alias("line_no"), _compile_gitignore("line").alias("r")
+        "root", "dir", "source_priority", (F.col("pos") + 1).alias("line_no"), _compile_gitignore("line").alias("r"),
+        rule_key(F.regexp_replace(F.regexp_replace("line", "[ \r]+$", ""), "^!", "")).alias("index"),
     )
     return compiled.filter(F.col("r").isNotNull() & F.col("r.regex").isNotNull()).select(
-        "root", "dir", "source_priority", "line_no", "r.regex", "r.negated", "r.dir_only"
+        "root", "dir", "source_priority", "line_no", "r.regex", "r.negated", "r.dir_only", "index"
     )
 
 
@@ -194,34 +196,81 @@ def mktree_rules(files: DataFrame) -> DataFrame:
         _compile_mktree(F.regexp_replace("pattern", "/+$", "")).alias("regex"),
         F.col("pattern").endswith("/").alias("dir_only"),
         F.regexp_replace("pattern", "/+$", "").contains("/").alias("has_slash"),
+        rule_key(F.col("pattern")).alias("index"),
     )
 
 
+# ---------------------------------------------------------------------------
+# rule index
+# ---------------------------------------------------------------------------
+
+# Copies of each rule and shares of the nodes that a shuffle join deals a hot key to.
+SALTS = 16
+
+
+def rule_key(pattern: Column) -> Column:
+    """(by, key): what the last name of every path that a pattern matches is certain to have.
+
+    ``name``: the whole name (no wildcard behind the last slash); ``extension``: what
+    follows the last dot (the wildcards are followed by a text with a dot);
+    ``any``: nothing is certain.
+    """
+    bare = F.regexp_replace(F.regexp_replace(pattern, "/+$", ""), "^/", "")
+    literal = F.regexp_extract(bare, r"([^*?\[\]\\]*)$", 1)  # behind the last wildcard or escape
+    last = F.substring_index(literal, "/", -1)
+    extension = F.substring_index(last, ".", -1)
+    whole = (F.length(literal) == F.length(bare)) | literal.contains("/")
+    by = F.when(whole, "name").when(last.contains(".") & (extension != ""), "extension").otherwise("any")
+    return F.struct(by.alias("by"), F.when(whole, last).when(by == "extension", extension).otherwise("").alias("key"))
+
+
+def node_keys() -> Column:
+    """The index keys under which a node's rules stand."""
+    name = F.element_at("path", -1)
+    entry = lambda by, key: F.struct(F.lit(by).alias("by"), key.alias("key"))
+    return F.array(entry("name", name), entry("extension", F.substring_index(name, ".", -1)), entry("any", F.lit("")))
+
+
+def _indexed(nodes: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
+    """Nodes joined with the rules that their index keys allow; ``rules`` carry ``index``.
+
+    A hash join on (on, by, key); the salts split a key that many nodes share (rules
+    for any name) when both sides are shuffled.
+    """
+    salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("by", F.col("index.by"))
+    salted = salted.withColumn("key", F.col("index.key")).drop("index")
+    held = nodes.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).select("*", F.inline(node_keys()))
+    return held.join(salted, [*on, "by", "key", "salt"])
+
+
 def git_winners(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(root, path, negated) of the winning gitignore rule of every matched node (op 12)."""
+    """(root, path, negated) of the winning gitignore rule of every matched node (op 12).
+
+    Only ancestors that hold rules are looked at (their table is broadcast while
+    small), and a regex only runs where the rule index allows a match.
+    """
+    from .joins import checked_broadcast
+
+    ruled = checked_broadcast(rules.select("root", "dir").distinct())
     cand = nodes.select(
         "root", "path", "is_dir", F.explode(F.sequence(F.lit(0), F.size("path") - 1)).alias("k")
-    ).select(
-        "root",
-        "path",
-        "is_dir",
-        F.slice("path", 1, F.col("k")).alias("dir"),
-        F.array_join(F.slice("path", F.col("k") + 1, F.size("path")), "/").alias("rel"),
-    )
-    hits = cand.join(rules, ["root", "dir"]).filter(
-        F.expr("rel rlike regex") & (~F.col("dir_only") | F.col("is_dir"))
-    )
+    ).select("root", "path", "is_dir", F.slice("path", 1, F.col("k")).alias("dir")).join(ruled, ["root", "dir"], "left_semi")
+    rel = F.array_join(F.slice("path", F.size("dir") + 1, F.size("path")), "/")
+    hits = _indexed(cand, rules, ["root", "dir"]).filter(F.regexp_like(rel, F.col("regex")) & (~F.col("dir_only") | F.col("is_dir")))
     return hits.groupBy("root", "path").agg(
         F.max_by("negated", F.struct("source_priority", F.size("dir"), "line_no")).alias("negated")
     )
 
 
 def mktree_ignored(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(root, path) of nodes matched by their root's .mktreeignore globs (glob semantics of op 10)."""
-    joined = nodes.select("root", "path", "is_dir").join(rules.select("root", "regex", "dir_only", "has_slash"), "root")
+    """(root, path) of nodes matched by their root's .mktreeignore globs (glob semantics of op 10).
+
+    A component matches where a node's own name does: the subtree below goes with it.
+    """
+    joined = _indexed(nodes.select("root", "path", "is_dir"), rules.select("root", "regex", "dir_only", "has_slash", "index"), ["root"])
     full = F.expr("array_join(path, '/') rlike regex")
-    comp = F.expr("exists(path, c -> c rlike regex)") & ~F.col("has_slash")
-    hit = (~F.col("dir_only") | F.col("is_dir")) & (full | comp)
+    own = F.expr("element_at(path, -1) rlike regex") & ~F.col("has_slash")
+    hit = (~F.col("dir_only") | F.col("is_dir")) & (full | own)
     return joined.filter(hit).select("root", "path").distinct()
 
 

