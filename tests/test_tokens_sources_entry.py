@@ -49,6 +49,45 @@ def test_distributed_bpe_matches_tiktoken(spark):
         assert got[(r["root"], tuple(r["path"]))] == len(enc.encode_ordinary(r["text"]))
 
 
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no local vocabulary")
+def test_token_dictionary_encodes_each_pretoken_once(spark, tmp_path):
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from treeloom.operators.tokens import TokenDictionary, pretokens
+
+    import public_tokenizers
+
+    pattern = public_tokenizers.PATTERN
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(VOCAB), special_tokens={})
+    docs = tables.doc_files(spark, SF001).select("root", "path", "text")
+    more = spark.createDataFrame([("x", ["u"], "n\u00e9w p\u00efeces \U0001f44b  don't\r\n\n  x"), ("x", ["empty"], "")], "root string, path array<string>, text string")
+    memory = TokenDictionary(spark, VOCAB, pattern, str(tmp_path / "d"))
+    sizes = []
+    for rows in (docs, docs, docs.unionByName(more), more):
+        got = {(r["root"], tuple(r["path"])): r["tokens"] for r in token_counts(rows, VOCAB, dictionary=memory).collect()}
+        assert got == {(r["root"], tuple(r["path"])): len(enc.encode_ordinary(r["text"])) for r in rows.collect()}
+        sizes.append(spark.read.parquet(memory.path).count())
+    assert sizes[0] == sizes[1] < sizes[2] == sizes[3]  # a corpus seen before encodes nothing
+    assert spark.read.parquet(memory.path).select("pt").distinct().count() == sizes[-1]
+    again = TokenDictionary(spark, VOCAB, pattern, str(tmp_path / "d"))
+    assert again.path == memory.path and again.learn(docs.select(F.explode(pretokens(F.col("text"), again.pattern)).alias("pt")).distinct()) == 0
+
+
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no local vocabulary")
+def test_registered_token_count_equals_tiktoken(spark):
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    import public_tokenizers
+    from treeloom.plans import queries
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(VOCAB), special_tokens={})
+    text = {(r["root"], "/".join(r["path"])): r["text"] for r in tables.doc_files(spark, SF001).collect()}
+    got = queries.token_count(spark, SF001).collect()
+    assert len(got) > 100 and all(r["tokens"] == len(enc.encode_ordinary(text[r["root"], r["rel"]])) for r in got)
+
+
 def test_filetree_source(spark, tmp_path):
     root = tmp_path / "proj"
     (root / "src").mkdir(parents=True)

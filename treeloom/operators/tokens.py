@@ -12,8 +12,12 @@ count is the sum over its pre-tokens. Plan:
 4. token counts are joined back and summed per file (the join side is
    broadcast only after its size is measured).
 
-The o200k_base rank file is not shipped; without one, ``pretoken_counts``
-reports pre-tokens under that name (never as tokens).
+With a ``TokenDictionary`` step 3 meets a written table (pre-token, tokens) first,
+by an anti-join, and only pre-tokens that no corpus has had before are encoded
+and appended.
+
+The o200k_base rank file is not shipped; any rank file with its pattern may be
+given. ``pretoken_counts`` reports pre-tokens under that name (never as tokens).
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
-from .joins import checked_broadcast
+from ..session import ensure_checkpoint_dir, ship_package
+from .joins import checked_broadcast, freeze, stored
 
 # The o200k_base pre-tokenization pattern (public), as alternatives in order.
 O200K_PATTERN = "|".join(
@@ -46,6 +50,11 @@ O200K_PATTERN = "|".join(
 JAVA_PATTERN = "(?U)" + O200K_PATTERN
 
 
+def java_pattern(pattern: str) -> str:
+    """A tokenizer's pre-token pattern for Java, where classes are Unicode's only when asked."""
+    return "(?U)" + pattern
+
+
 def pretokens(text: Column, pattern: str = JAVA_PATTERN) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 0)
 
@@ -121,14 +130,8 @@ def _ranks_of(held) -> dict[bytes, int]:
     return _RANKS_CACHE[key]
 
 
-def token_counts(texts: DataFrame, ranks_path: str, text_col: str = "text", keys=("root", "path")) -> DataFrame:
-    """(keys..., tokens) with the rank file at ``ranks_path`` (read on the driver)."""
-    ship_package(texts.sparkSession)
-    held = _held_ranks(texts.sparkSession, ranks_path)
-    keys = list(keys)
-    exploded = texts.select(*keys, F.explode(pretokens(F.col(text_col))).alias("pt"))
-    per_text = exploded.groupBy(*keys, "pt").agg(F.count("*").alias("n"))
-    distinct = per_text.select("pt").distinct()
+def _encoder(held):
+    schema = T.StructType([T.StructField("pt", T.StringType()), T.StructField("tokens", T.LongType())])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = _ranks_of(held)
@@ -137,8 +140,65 @@ def token_counts(texts: DataFrame, ranks_path: str, text_col: str = "text", keys
                 {"pt": pdf["pt"], "tokens": [bpe_count(p.encode("utf-8"), ranks) for p in pdf["pt"]]}
             )
 
-    schema = T.StructType([T.StructField("pt", T.StringType()), T.StructField("tokens", T.LongType())])
-    encoded = checked_broadcast(distinct.mapInPandas(encode, schema))
+    return encode, schema
+
+
+class TokenDictionary:
+    """Token counts of all pre-tokens met so far, as Parquet in shared storage; one per rank file and pattern.
+
+    Appends are committed by Spark as a whole, so a failed job leaves the table as
+    it was. Two jobs that append at once may both add a pre-token, with the same
+    count: readers take each pre-token once.
+    """
+
+    SCHEMA = "pt string, tokens bigint"
+
+    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str = O200K_PATTERN, folder: str | None = None):
+        ship_package(spark)
+        self.spark, self.pattern = spark, java_pattern(pattern)
+        self._held = _held_ranks(spark, ranks_path)
+        digest = hashlib.sha256(self._held.value + pattern.encode()).hexdigest()[:16]
+        base = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/treeloom-token-dictionary"
+        self.path = f"{base}/{digest}"
+        if not self._exists():
+            spark.createDataFrame([], self.SCHEMA).write.mode("ignore").parquet(self.path)
+
+    def _exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def table(self) -> DataFrame:
+        """(pt, tokens), each pre-token once."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return rows.groupBy("pt").agg(F.max("tokens").alias("tokens"))
+
+    def learn(self, distinct: DataFrame) -> int:
+        """Encode and append the pre-tokens of ``distinct(pt)`` that are not in the table; returns their number."""
+        new = freeze(distinct.join(self.table(), "pt", "left_anti"))
+        n = new.count()
+        if n:
+            encode, schema = _encoder(self._held)
+            new.mapInPandas(encode, schema).write.mode("append").parquet(self.path)
+        return n
+
+
+def token_counts(texts: DataFrame, ranks_path: str, text_col: str = "text", keys=("root", "path"),
+                 dictionary: TokenDictionary | None = None) -> DataFrame:
+    """(keys..., tokens) with the rank file at ``ranks_path`` (read on the driver).
+
+    A ``dictionary`` (of the same rank file) brings its own pattern and remembers what is encoded here.
+    """
+    ship_package(texts.sparkSession)
+    keys = list(keys)
+    found = pretokens(F.col(text_col), dictionary.pattern if dictionary else JAVA_PATTERN)
+    per_text = texts.select(*keys, F.explode(found).alias("pt")).groupBy(*keys, "pt").agg(F.count("*").alias("n"))
+    if dictionary is None:
+        encode, schema = _encoder(_held_ranks(texts.sparkSession, ranks_path))
+        encoded = checked_broadcast(per_text.select("pt").distinct().mapInPandas(encode, schema))
+    else:
+        per_text = stored(per_text, "pretokens")
+        dictionary.learn(per_text.select("pt").distinct())
+        encoded = dictionary.table()
     texts_keys = texts.select(*keys)
     summed = per_text.join(encoded, "pt").groupBy(*keys).agg(F.sum(F.col("n") * F.col("tokens")).cast("bigint").alias("tokens"))
     # texts without any pre-token have 0 tokens

@@ -630,12 +630,21 @@ def write_snapshots(spark, sf):
     return pieces.join(read, ["root", "start", "length"]).join(names, "root").select("root", "output", "seq", _rel(), "start", "text")
 
 
+def public_ranks():
+    """Path and pre-token pattern of an installed public rank file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def token_count(spark, sf):
-    """Op 33 without a rank file: pre-tokens per file (the o200k_base vocabulary is not shipped)."""
-    from ..operators.tokens import pretoken_counts
+    """Op 33 with a public rank file: tokens of every text file; pre-tokens met before are not encoded again."""
+    from ..operators.tokens import TokenDictionary, token_counts
 
+    ranks, pattern = public_ranks()
     i = _doc_inspected(spark, sf).filter(F.col("kind") == "text")
-    return pretoken_counts(i).select("root", _rel(), "pretokens")
+    counts = token_counts(i, ranks, dictionary=TokenDictionary(spark, ranks, pattern))
+    return counts.select("root", _rel(), "tokens")
 
 
 QUERIES = {
