@@ -81,3 +81,66 @@ def test_an_unsafe_name_leaves_the_target_untouched(spark, tmp_path):
     with pytest.raises(SC.ScaffoldConflict, match="unsafe"):
         SC.scaffold_write(plan, target)
     assert not os.path.exists(target)
+
+
+def _tree(top):
+    found = {}
+    for folder, names, files in os.walk(top):
+        for n in names:
+            found[os.path.relpath(os.path.join(folder, n), top)] = None
+        for n in files:
+            with open(os.path.join(folder, n), "rb") as fh:
+                found[os.path.relpath(os.path.join(folder, n), top)] = fh.read()
+    return found
+
+
+def _old_target(tmp_path):
+    target = str(tmp_path / "out")
+    os.makedirs(os.path.join(target, "r", "was_dir", "deep"))
+    for rel in ("was_file", "was_dir/deep/x", "stays", "changed"):
+        with open(os.path.join(target, "r", rel), "w") as fh:
+            fh.write("old " + rel)
+    return target
+
+
+def test_a_failing_task_leaves_the_target_as_it_was(spark, tmp_path):
+    target = _old_target(tmp_path)
+    before = _tree(target)
+    wanted = _nodes(spark, [
+        ("r", "was_file", True, None), ("r", "was_file/new.txt", False, "n"), ("r", "was_dir", False, "now a file"), ("r", "changed", False, "new"),
+        ("r", "fresh", True, None), ("r", "fresh/in", True, None), ("r", "fresh/in/f", False, "f"), ("q", "other", False, "o"),
+        ("r", "n" * 300, False, "its name is too long for the file system")]).repartition(4)
+    on_disk = scan_files(spark, [os.path.join(target, "r")]).select("root", "path", "is_dir")
+    with pytest.raises(Exception, match="too long"):
+        SC.scaffold_write(SC.scaffold_plan(wanted, on_disk, force=True), target)
+    assert _tree(target) == before
+
+
+def test_a_failing_commit_is_undone(spark, tmp_path):
+    target = _old_target(tmp_path)
+    wanted = _nodes(spark, [
+        ("r", "was_file", True, None), ("r", "was_file/new.txt", False, "n"), ("r", "was_dir", False, "now a file"), ("r", "changed", False, "new"),
+        ("r", "fresh", True, None), ("r", "fresh/in", True, None), ("r", "fresh/in/f", False, "f"), ("q", "other", False, "o"),
+        ("r", "appears", False, "x")]).repartition(4)
+    on_disk = scan_files(spark, [os.path.join(target, "r")]).select("root", "path", "is_dir")
+    plan = SC.scaffold_plan(wanted, on_disk, force=True)
+    plan = spark.createDataFrame(plan.collect(), plan.schema)
+    os.makedirs(os.path.join(target, "r", "appears", "full"))  # a directory that the plan knows nothing of
+    before = _tree(target)
+    with pytest.raises(Exception, match="in the place of a file"):
+        SC.scaffold_write(plan, target)
+    assert _tree(target) == before
+    os.rmdir(os.path.join(target, "r", "appears", "full"))
+    os.rmdir(os.path.join(target, "r", "appears"))
+    SC.scaffold_write(plan, target)
+    after = _tree(target)
+    assert after["r/was_dir"] == b"now a file" and after["r/changed"] == b"new" and after["r/was_file/new.txt"] == b"n"
+    assert after["q/other"] == b"o" and after["r/stays"] == b"old stays" and not any(".scaffold" in p for p in after)
+
+
+def test_a_failed_write_into_a_new_target_leaves_none(spark, tmp_path):
+    target = str(tmp_path / "none")
+    plan = SC.scaffold_plan(_nodes(spark, [("r", "a", False, "x"), ("r", "n" * 300, False, "y")]), _existing(spark, []))
+    with pytest.raises(Exception, match="too long"):
+        SC.scaffold_write(plan, target)
+    assert not os.path.exists(target)

@@ -8,7 +8,10 @@ on shared storage, many roots in parallel, directories first.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -144,8 +147,8 @@ def _refuse(plan: DataFrame) -> None:
         raise ScaffoldConflict(f"{where} already exists; use --force to overwrite")
 
 
-def _stage(rows: DataFrame, target: str, act) -> DataFrame:
-    """Run ``act(full path, content)`` once per row in the executors and keep the events.
+def _stage(rows: DataFrame, act) -> DataFrame:
+    """Run ``act(root, path, content)`` once per row in the executors and keep the events.
 
     The events are checkpointed at once: later reads of them write nothing again.
     A task that is tried again repeats the same outcome.
@@ -155,54 +158,168 @@ def _stage(rows: DataFrame, target: str, act) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for root, path, content in zip(pdf["root"], pdf["path"], pdf["content"]):
-                act(os.path.join(target, root, *path), content)
+                act(root, [*path], content)
             yield pdf[["root", "path", "is_dir", "action"]].assign(written=True)
 
     return freeze(rows.mapInPandas(run, _EVENT_SCHEMA))
 
 
-def _clear_for_directory(full: str, content) -> None:
-    if os.path.lexists(full) and (os.path.islink(full) or not os.path.isdir(full)):
-        os.remove(full)
-
-
-def _clear_for_file(full: str, content) -> None:
-    import shutil
-
-    if os.path.isdir(full) and not os.path.islink(full):
-        shutil.rmtree(full, ignore_errors=True)
-
-
-def _make_directory(full: str, content) -> None:
-    os.makedirs(full, exist_ok=True)
+class _Places:
+    """Where a write keeps what it has not finished: new files, what it replaced, and which directories it made.
 
+    Everything stands in one folder below the target, so each step is a rename
+    inside one file system, and what was done can be told from what is there.
+    """
 
-def _write_file(full: str, content) -> None:
-    os.makedirs(os.path.dirname(full), exist_ok=True)
-    with open(full, "w", encoding="utf-8", newline="") as fh:
-        fh.write(content or "")
+    def __init__(self, target: str, work: str):
+        self.target, self.work = target, work
+
+    def at(self, root: str, path: list[str]) -> str:
+        return os.path.join(self.target, root, *path)
+
+    def new(self, root: str, path: list[str]) -> str:
+        return os.path.join(self.work, "new", root, *path)
+
+    def _key(self, kind: str, root: str, path: list[str]) -> str:
+        digest = hashlib.sha256("/".join([root, *path]).encode()).hexdigest()
+        return os.path.join(self.work, kind, digest[:2], digest)
+
+    def prepare(self, root: str, path: list[str], content) -> None:
+        """The new file, outside of its place."""
+        full = self.new(root, path)
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        with open(full, "w", encoding="utf-8", newline="") as fh:
+            fh.write(content or "")
+
+    def _set_aside(self, root: str, path: list[str]) -> None:
+        old = self._key("old", root, path)
+        os.makedirs(os.path.dirname(old), exist_ok=True)
+        if not os.path.lexists(old):
+            os.rename(self.at(root, path), old)
+
+    def clear(self, root: str, path: list[str], is_dir: bool) -> None:
+        """What is in the way of a directory or a file is set aside."""
+        full = self.at(root, path)
+        folder = os.path.isdir(full) and not os.path.islink(full)
+        if os.path.lexists(full) and folder != is_dir:
+            self._set_aside(root, path)
+
+    def make(self, root: str, path: list[str]) -> None:
+        """A directory and those above it; each one made is noted first."""
+        for depth in range(len(path) + 1):
+            full = self.at(root, path[:depth])
+            if not os.path.isdir(full):
+                note = self._key("made", root, path[:depth])
+                os.makedirs(os.path.dirname(note), exist_ok=True)
+                with open(note, "w"):
+                    pass
+                os.makedirs(self.target, exist_ok=True)
+                try:
+                    os.mkdir(full)
+                except FileExistsError:  # another task made it, or something else is in its place
+                    if not os.path.isdir(full):
+                        raise
+
+    def put(self, root: str, path: list[str]) -> None:
+        """The new file to its place; a file there is set aside, anything else is an error."""
+        self.make(root, path[:-1])
+        full, new = self.at(root, path), self.new(root, path)
+        if not os.path.lexists(new):
+            return  # an earlier try of this task has put it there
+        if os.path.lexists(full):
+            if os.path.isdir(full) and not os.path.islink(full):
+                raise IsADirectoryError(f"a directory is in the place of a file: {full}")
+            self._set_aside(root, path)
+        os.rename(new, full)
+
+    def take_back(self, root: str, path: list[str]) -> None:
+        """A new file that was put in its place goes."""
+        full = self.at(root, path)
+        if not os.path.lexists(self.new(root, path)) and os.path.isfile(full):
+            os.remove(full)
+
+    def unmake(self, root: str, path: list[str]) -> None:
+        """A directory that was made goes, unless others have put something there."""
+        if os.path.exists(self._key("made", root, path)):
+            try:
+                os.rmdir(self.at(root, path))
+            except OSError:
+                pass
+
+    def restore(self, root: str, path: list[str]) -> None:
+        old = self._key("old", root, path)
+        if os.path.lexists(old) and not os.path.lexists(self.at(root, path)):
+            os.rename(old, self.at(root, path))
+
+    def forget(self, folder: str) -> None:
+        full = os.path.join(self.work, folder)
+        if os.path.isdir(full):
+            shutil.rmtree(full)
+
+
+def _undo(rows: DataFrame, places: _Places) -> None:
+    """The target as it was: new files go, then directories made (deepest first), then what was set aside returns."""
+    _stage(rows.filter("NOT is_dir"), lambda root, path, _: places.take_back(root, path))
+    above = F.explode(F.sequence(F.lit(0), F.size("path") - F.when(F.col("is_dir"), 0).otherwise(1))).alias("depth")
+    made = rows.select("root", "path", above).select("root", F.slice("path", F.lit(1), F.col("depth")).alias("path")).distinct()
+    made = made.select("*", F.lit(True).alias("is_dir"), F.lit("undo").alias("action"), F.lit(None).cast("string").alias("content"))
+    deepest = made.agg(F.max(F.size("path"))).first()[0]
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        _stage(made.filter(F.size("path") == depth), lambda root, path, _: places.unmake(root, path))
+    _stage(rows, lambda root, path, _: places.restore(root, path))
 
 
 def scaffold_write(plan: DataFrame, target: str, dry_run: bool = False) -> DataFrame:
     """Materialise a plan under ``target/<root>/``; returns the recorded events.
 
     Names ('..', '', separators) and conflicts are checked for the whole plan
-    first, so a refused plan leaves the target untouched. Then three stages, each
-    finished before the next: what is in the way goes (a file where a directory
-    belongs, a directory where a file belongs), directories are made, files are
-    written.
+    first, so a refused plan leaves the target untouched. New files are written
+    beside their places, then put there by renames in finished stages: what is in
+    the way is set aside (a file where a directory belongs, a directory where a file
+    belongs), directories are made, files are put. A stage that fails has all of
+    them undone before the error is raised, so the target is as it was.
     """
     ship_package(plan.sparkSession)
     _refuse(plan)
     cols = plan.select("root", "path", "is_dir", "action", F.col("content").cast("string").alias("content"))
     if dry_run:
         return cols.select("root", "path", "is_dir", "action", F.lit(False).alias("written"))
+    existed = os.path.isdir(target)
+    work = os.path.join(target, f".scaffold-{uuid.uuid4().hex}")
+    places = _Places(target, work)
+    names = cols.withColumn("content", F.lit(None).cast("string"))
+    in_way = names
     if "replaces_dir" in plan.columns:
-        in_way = plan.filter(F.col("exists") & (F.col("replaces_dir") | (F.col("is_dir") & ~F.col("existing_is_dir"))))
-        in_way = in_way.select(*cols.columns)
-    else:
-        in_way = cols
-    _stage(in_way.filter("is_dir"), target, _clear_for_directory)
-    _stage(in_way.filter("NOT is_dir"), target, _clear_for_file)
-    made = _stage(cols.filter("is_dir"), target, _make_directory)
-    return made.unionByName(_stage(cols.filter("NOT is_dir"), target, _write_file))
+        kept = plan.filter(F.col("exists") & (F.col("replaces_dir") | (F.col("is_dir") & ~F.col("existing_is_dir"))))
+        in_way = kept.select("root", "path", "is_dir", "action", F.lit(None).cast("string").alias("content"))
+    try:
+        _stage(cols.filter("NOT is_dir"), places.prepare)
+        try:
+            _stage(in_way.filter("is_dir"), lambda root, path, _: places.clear(root, path, True))
+            _stage(in_way.filter("NOT is_dir"), lambda root, path, _: places.clear(root, path, False))
+            made = _stage(names.filter("is_dir"), lambda root, path, _: places.make(root, path))
+            events = made.unionByName(_stage(names.filter("NOT is_dir"), lambda root, path, _: places.put(root, path)))
+        except BaseException:
+            _undo(names, places)
+            raise
+    except BaseException:
+        _clean(plan, places)
+        if not existed and os.path.isdir(target) and not os.listdir(target):
+            os.rmdir(target)
+        raise
+    _clean(plan, places)
+    return events
+
+
+def _clean(plan: DataFrame, places: _Places) -> None:
+    """Remove the working folder: its many parts in the executors, the empty rest here."""
+    parts = plan.select(F.concat(F.lit("new/"), F.col("root")).alias("folder")).distinct()
+    digits = "0123456789abcdef"
+    kinds = plan.sparkSession.createDataFrame([(f"{k}/{a}{b}",) for k in ("old", "made") for a in digits for b in digits], "folder string")
+    rows = parts.unionByName(kinds).select(
+        "folder", F.lit("").alias("root"), F.array("folder").alias("path"), F.lit(True).alias("is_dir"),
+        F.lit("clean").alias("action"), F.lit(None).cast("string").alias("content"),
+    )
+    _stage(rows, lambda root, path, _: places.forget(path[0]))
+    if os.path.isdir(places.work):
+        shutil.rmtree(places.work)
