@@ -390,16 +390,76 @@ def test_block_max_search_is_exact():
     rng = np.random.default_rng(6)
 
     def unit():
-        terms = rng.choice(60, rng.integers(1, 12), replace=False)
-        w = rng.random(len(terms)) + 0.05
-        return {int(t): float(x) for t, x in zip(terms, w / np.sqrt((w**2).sum()))}
+        ids = np.sort(rng.choice(60, rng.integers(1, 12), replace=False))
+        w = rng.random(len(ids)) + 0.05
+        return ids, w / np.sqrt((w**2).sum())
 
     rows = [unit() for _ in range(700)]
-    index = toxicity.BlockMaxIndex(rows, 60, block=16)
-    for _ in range(60):
-        q = unit()
-        every = sorted((sum(w * r.get(t, 0.0) for t, w in q.items()) for r in rows), reverse=True)[:15]
-        assert np.allclose([s for s, _ in index.search(q, 15)], [s for s in every if s > 0])
+    rows += rows[:40]  # ties
+    dense = np.zeros((len(rows), 60))
+    for i, (ids, w) in enumerate(rows):
+        dense[i, ids] = w.astype(np.float32)
+    index = toxicity.BlockMaxIndex(
+        np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]),
+        np.concatenate([r[1] for r in rows]), 60, len(rows), block=16)
+    for n in range(80):
+        ids, w = unit() if n % 2 else rows[n]
+        cosines = dense[:, ids] @ w
+        if n % 4 == 0:
+            cosines[n] = 0
+        want = [i for i in np.lexsort((np.arange(len(rows)), -cosines.round(9)))[:15] if cosines[i] > 0]
+        got = index.search(ids, w, 15, n if n % 4 == 0 else -1)
+        assert np.allclose([s for s, _ in got], cosines[want]) and {i for _, i in got if i >= 700} <= set(range(700, 740))
+        assert len(got) == len(want)
+
+
+def test_toxicity_neighbours_equal_a_brute_force(spark, docs_of):
+    """Whole documents: every term of the examples, frequencies over all documents, exact cosines."""
+    rng = np.random.default_rng(15)
+    words = [f"w{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(160):
+        body = " ".join(rng.choice(words, rng.integers(1, 60)))
+        bad = int(i % 9 == 0)
+        rows.append((i, body + (" scumbag" if bad else "") + (" tellingword" if i in (9, 27, 90, 99, 130) else "")))
+        if i < 120:
+            labels.append((i, bad))
+    model, vectors = toxicity.train(docs_of(rows), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    counted = {i: toxicity.terms(t) for i, t in rows}
+    df = {}
+    for c in counted.values():
+        for t in c:
+            df[t] = df.get(t, 0) + 1
+    used = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    share = sum(used.values()) / len(used)
+    ex_df = {}
+    for i, y in used.items():
+        for t in counted[i]:
+            a, b = ex_df.get(t, (0, 0))
+            ex_df[t] = (a + 1, b + y)
+
+    def vector(i):
+        out = {}
+        for t, tf in counted[i].items():
+            if t in ex_df:
+                n, bad = ex_df[t]
+                p = bad / n
+                e = n * sum(x * math.log(x / y) for x, y in ((p, share), (1 - p, 1 - share)) if x > 0)
+                g = toxicity.FLOOR + (1 - toxicity.FLOOR) * e / (e + toxicity.HALF)
+                out[t] = (1 + math.log(tf)) * (math.log((len(rows) + 1) / (df[t] + 1)) + 1) * g
+        norm = math.sqrt(sum(w * w for w in out.values()))
+        return {t: w / norm for t, w in out.items()}
+
+    every = {i: vector(i) for i in used}
+    told = {int(r["doc_id"]): r for r in vectors.collect()}
+    assert len(told) == len(rows)
+    for i, _ in rows:
+        q = vector(i)
+        want = sorted((sum(w * v.get(t, 0.0) for t, w in q.items()) for v in every.values()), reverse=True)[: toxicity.NEIGHBOURS]
+        near = model.votes(np.array(told[i]["ids"], np.int64), np.array(told[i]["tf"], np.int32))[1]
+        assert np.allclose([s for s, _ in near], [w for w in want if w > 0], atol=1e-6), i
+        if i in (9, 27, 90, 99, 130):  # a term of a few examples still finds them
+            assert {9, 27, 90, 99} & used.keys() - {i} <= {model.ids[j] for _, j in near}
 
 
 def test_additive_model_learns_an_interaction():

@@ -1,27 +1,34 @@
 """Toxicity by the nearest labelled examples (operator 8).
 
-Terms are lower-cased words and five-letter word beginnings. From a bounded
-sample of labelled documents the terms that go with the label are chosen (their
-share of label 1 would come about by chance with odds below one in a million, by
-the Chernoff bound); examples and documents are TF-IDF vectors over them. Examples lie in
-blocks; the inverted index holds, per term, its postings and its greatest weight
-in each block. A search adds up the block maxima to an upper bound of every
-block's cosines and opens blocks in descending order until the bound can no
-longer beat the k-th best cosine: the k nearest examples are exact. Their votes,
-weighted by cosine and by how many labelled documents an example stands for, are
-calibrated on leave-one-out votes of the examples (monotone regression). The
-nearest examples are the evidence.
+Terms are lower-cased words and five-letter word beginnings, known by a 64-bit
+hash. The vocabulary is every term of a bounded sample of labelled documents;
+document frequencies, and so the inverse ones, come from all documents. A term's
+weight also rises smoothly with what the sample's labels say about it: with the
+nats of evidence ``e`` that its share of label 1 differs from the whole share, it
+is multiplied by ``FLOOR + (1 - FLOOR) * e / (e + HALF)``, so no term is left out.
+
+Examples lie in blocks; the inverted index holds, per term, its postings and its
+greatest weight in each block. A search adds up the block maxima to an upper bound
+of every block's cosines and opens blocks until no other bound reaches the k-th
+best cosine: the k nearest examples are exact. Their votes, weighted by cosine and
+by how many labelled documents an example stands for, are calibrated on
+leave-one-out votes of the examples (monotone regression). The nearest examples
+are the evidence.
+
+Documents are read once: their known terms are written, counted for the
+frequencies, and searched from there.
 
 Documented bounds: ``MAX_TOXIC`` and ``MAX_CLEAN`` examples (in the order of a
-hash of doc_id), ``MAX_TERMS`` terms, ``MAX_CALIBRATION`` examples to calibrate on. Every
-document is scored over its whole text.
+hash of doc_id). The index is bounded by their texts, and broadcast. Every document
+is scored over its whole text.
 
 Defined cases: null and empty texts have no terms and get the score of documents
-without terms, as has any document without a chosen term; null labels are
+without terms, as has any document without a known term; null labels are
 ignored, of several labels of a document the greatest counts; without labels of
 both classes the score is the smoothed share of label 1. Of equally near examples
-those in the block opened first count. A null doc_id is neither held out nor an
-example. Extra columns are ignored.
+those of smaller number count. Of several rows of one doc_id the least text is the
+example. A null doc_id is neither held out nor an example. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,13 +45,13 @@ from pyspark.sql import functions as F
 from .common import prepare, text_or_empty, written
 from .quality import held_out
 
-MAX_TOXIC, MAX_CLEAN = 3000, 6000
-MAX_TERMS = 3000
-MAX_CALIBRATION = 3000
-# Natural logarithm of the odds against chance that a term's share of label 1 must have.
-LEAST_EVIDENCE = 13.8
+MAX_TOXIC, MAX_CLEAN = 3000, 3000
+# Of a term's weight, the part that labels don't change, and the nats of evidence that give half of the rest.
+FLOOR, HALF = 0.02, 8.0
 PREFIX = 5
 BLOCK = 64
+# Blocks opened before the bounds of the others are compared.
+FIRST = 8
 NEIGHBOURS = 15
 PRIOR = 0.5
 
@@ -61,81 +68,107 @@ def terms(text: str) -> Counter:
     return out
 
 
+def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Terms' hashes (as signed 64-bit integers) and their counts."""
+    import xxhash
+
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
+    return keys, np.fromiter(counts.values(), np.int32, len(counts))
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and the ranges' lengths."""
+    sizes = ends - starts
+    skipped = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - skipped, sizes), sizes
+
+
 class BlockMaxIndex:
-    """Exact top-k cosine search over unit vectors given as sparse rows."""
-
-    def __init__(self, rows: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(rows), block
-        self.n_blocks = -(-len(rows) // block)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, row in enumerate(rows):
-            for t, w in row.items():
-                postings[t].append((i, w))
-        self.docs = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.blocks, self.starts, self.maxima = [], [], []
-        for docs, weights in zip(self.docs, self.weights, strict=True):
-            owner, first = np.unique(docs // block, return_index=True)
-            self.blocks.append(owner)
-            self.starts.append(np.append(first, len(docs)))
-            self.maxima.append(np.maximum.reduceat(weights, first) if len(docs) else weights)
-
-    def bounds(self, query: dict[int, float]) -> np.ndarray:
-        """Upper bound of the cosines of each block."""
-        out = np.zeros(self.n_blocks)
-        for t, w in query.items():
-            out[self.blocks[t]] += w * self.maxima[t]
-        return out
-
-    def search(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k greatest cosines above zero, descending; ``without`` leaves one example out."""
-        bounds = self.bounds(query)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] <= best[-1][0]:
+    """Exact top-k cosine search over unit vectors given as postings (term, example, weight)."""
+
+    def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, n_terms: int, n: int, block: int = BLOCK):
+        order = np.lexsort((example, term))
+        term, example = term[order], example[order]
+        self.n, self.block, self.n_blocks = n, block, -(-n // block)
+        self.docs, self.weights = example.astype(np.int32), weight[order].astype(np.float32)
+        run = term.astype(np.int64) * max(self.n_blocks, 1) + example // block  # a term's postings in one block
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+        self.starts = np.append(first, len(run)).astype(np.int32)
+        self.blocks = (example[first] // block).astype(np.int32)
+        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+        self.runs = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+
+    def search(self, ids: np.ndarray, query: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The k greatest cosines above zero, descending, ties to the smaller number; ``without`` leaves one example out."""
+        runs, sizes = _ranges(self.runs[ids], self.runs[ids + 1])
+        q, blocks = np.repeat(query, sizes), self.blocks[runs]
+        # a little above the sum, whose rounding may differ from that of the cosines
+        bounds = np.bincount(blocks, q * self.maxima[runs], self.n_blocks) * (1 + 1e-6)
+        closed, scores, least = bounds > 0, np.zeros(self.n), 0.0
+        wanted = np.zeros(self.n_blocks, bool)
+        wanted[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        while True:
+            wanted &= closed & (bounds >= least)
+            if not wanted.any():
                 break
-            scores = np.zeros(self.block)
-            for t, w in query.items():
-                at = np.searchsorted(self.blocks[t], b)
-                if at < len(self.blocks[t]) and self.blocks[t][at] == b:
-                    part = slice(self.starts[t][at], self.starts[t][at + 1])
-                    scores[self.docs[t][part] - b * self.block] += w * self.weights[t][part]
-            floor = best[-1][0] if len(best) == k else 0.0
-            fresh = [(float(scores[i]), int(b * self.block + i)) for i in np.flatnonzero(scores > floor)]
-            best = sorted(best + [x for x in fresh if x[1] != without], key=lambda x: -x[0])[:k]
-        return best
+            picked = wanted[blocks]
+            at, counts = _ranges(self.starts[runs[picked]], self.starts[runs[picked] + 1])
+            scores += np.bincount(self.docs[at], np.repeat(q[picked], counts) * self.weights[at], self.n)
+            if without >= 0:
+                scores[without] = 0.0
+            closed &= ~wanted
+            if (scores > 0).sum() >= k:
+                least = np.partition(scores, self.n - k)[self.n - k]
+            wanted = closed.copy()
+        found = np.flatnonzero(scores >= max(least, 1e-300))
+        best = found[np.lexsort((found, -scores[found]))][:k]
+        return [(float(scores[i]), int(i)) for i in best]
 
 
 class NearestExamples:
-    """Vocabulary, index, votes and calibration; small enough to be broadcast."""
+    """Vocabulary, index, votes and calibration; bounded by the sample, so it is broadcast."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, base: float):
-        self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
-        self.idf, self.base = idf, base
+    def __init__(self, vocabulary: np.ndarray, base: float):
+        self.vocabulary, self.base = vocabulary, base
+        self.factor = np.zeros(len(vocabulary))
         self.index: BlockMaxIndex | None = None
-        self.labels = np.zeros(0)
-        self.stands_for = np.zeros(0)
+        self.labels = self.stands_for = np.zeros(0)
         self.ids: list[int] = []
         self.steps = (np.array([base]), np.array([base]))
 
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        """Unit TF-IDF vector (logarithmic term frequency) over the vocabulary."""
-        known = self.vocabulary
-        row = {known[t]: (1 + np.log(c)) * self.idf[known[t]] for t, c in counts.items() if t in known}
-        norm = float(np.sqrt(sum(w * w for w in row.values())))
-        return {t: float(w / norm) for t, w in sorted(row.items())} if norm else {}
-
-    def add_examples(self, rows: list[dict[int, float]], labels, ids, stands_for) -> None:
-        """Examples of one label that share their weightiest term lie next to each other."""
-        top = [max(r, key=r.get) if r else -1 for r in rows]
-        order = sorted((i for i in range(len(rows)) if rows[i]), key=lambda i: (labels[i], top[i], ids[i]))
-        self.index = BlockMaxIndex([rows[i] for i in order], len(self.vocabulary))
+    def known(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the terms that the vocabulary has."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        at = np.minimum(np.searchsorted(self.vocabulary, keys), len(self.vocabulary) - 1)
+        there = self.vocabulary[at] == keys
+        return at[there], tf[there]
+
+    def vector(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """Unit TF-IDF vector (logarithmic term frequency)."""
+        weights = (1 + np.log(tf)) * self.factor[ids]
+        return weights / np.sqrt((weights * weights).sum()) if len(weights) else weights
+
+    def add_examples(self, rows: list[tuple[np.ndarray, np.ndarray]], labels, ids, stands_for, frequency: np.ndarray) -> None:
+        """Examples of one label that share their weightiest term lie next to each other.
+
+        A term that no other document has can't add to any cosine: it counts in its
+        example's length and needs no posting.
+        """
+        vectors = [self.vector(*row) for row in rows]
+        top = [int(row[0][np.argmax(v)]) if len(v) else -1 for row, v in zip(rows, vectors)]
+        order = sorted((i for i in range(len(rows)) if len(vectors[i])), key=lambda i: (labels[i], top[i], ids[i]))
+        term = np.concatenate([rows[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i] for i in order]) if order else np.zeros(0)
+        example = np.repeat(np.arange(len(order)), [len(vectors[i]) for i in order])
+        met = frequency[term] > 1
+        self.index = BlockMaxIndex(term[met], example[met], weight[met], len(self.vocabulary), len(order))
         self.labels = np.array([labels[i] for i in order], float)
         self.stands_for = np.array([stands_for[i] for i in order], float)
         self.ids = [int(ids[i]) for i in order]
 
-    def votes(self, vector: dict[int, float], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.search(vector, NEIGHBOURS, without) if vector and self.index and self.index.n else []
+    def votes(self, ids: np.ndarray, tf: np.ndarray, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.search(ids, self.vector(ids, tf), NEIGHBOURS, without) if len(ids) and self.index and self.index.n else []
         weight = sum(s * self.stands_for[i] for s, i in near)
         toxic = sum(s * self.stands_for[i] * self.labels[i] for s, i in near)
         return (toxic + PRIOR * self.base) / (weight + PRIOR), near
@@ -153,8 +186,8 @@ class NearestExamples:
         y = np.array([(p[1] + self.base) / (p[0] + 1) for p in pools])
         self.steps = (x, np.maximum.accumulate(y))
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[float, int]]]:
-        raw, near = self.votes(self.vector(counts))
+    def score(self, ids: np.ndarray, tf: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+        raw, near = self.votes(ids, tf)
         return float(np.interp(raw, *self.steps)), near
 
 
@@ -169,76 +202,81 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame,
     by_hash = lambda y, n: one.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = by_hash(1, MAX_TOXIC).unionByName(by_hash(0, MAX_CLEAN))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id"), total
+    found = texts.join(F.broadcast(chosen), "doc_id")  # MAX_TOXIC + MAX_CLEAN rows
+    return found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")), total
+
+
+def evidence(df: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Nats by which each term's share of label 1 in the sample differs from ``share``."""
+    own = toxic / df
+    part = lambda p, q: np.where(p > 0, p * np.log(np.maximum(p, 1e-300) / q), 0.0)
+    return df * (part(own, share) + part(1 - own, 1 - share))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> NearestExamples:
-    """Choose terms on the sample with Spark, then index the examples' few chosen terms."""
-    prepare(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[NearestExamples, DataFrame]:
+    """The model, and ``(doc_id, held_out, ids, tf)``: the written known terms of every document."""
+    spark = prepare(docs.sparkSession)
     sample, total = _sample(docs, labels, label)
     base = (total.get(1, 0) + 1) / (sum(total.values()) + 2)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [terms(t) for t in batch["text"]]
+            found = [hashed(terms(t)) for t in batch["text"]]
             yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"], "label": batch["label"],
-                    "term": [list(c) for c in found], "tf": [list(c.values()) for c in found],
-                }
-            )
+                {"doc_id": batch["doc_id"], "label": batch["label"], "key": [k for k, _ in found], "tf": [c for _, c in found]}
+            )
 
-    rows = written(
-        sample.mapInPandas(count, "doc_id bigint, label int, term array<string>, tf array<int>"), "toxicity_examples"
-    )
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    examples = written(sample.mapInPandas(count, "doc_id bigint, label int, key array<bigint>, tf array<int>"), "toxicity_examples")
+    sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return NearestExamples([], np.zeros(0), base)
-    n = float(n1 + n0)
-    share, b = F.col("toxic") / F.col("df"), n1 / n
-    part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
-    evidence = F.col("df") * (part(share, F.lit(b)) + part(1 - share, F.lit(1 - b)))
-    chosen = (
-        rows.select("label", F.explode("term").alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("toxic"))
-        .withColumn("evidence", evidence)
-        .where(F.col("evidence") >= LEAST_EVIDENCE)
-        .orderBy(F.desc("evidence"), "term")
-        .limit(MAX_TERMS)
-        .toPandas()
-        .sort_values("term")
-    )
-    model = NearestExamples(list(chosen["term"]), np.log((n + 1) / (chosen["df"].to_numpy(float) + 1)) + 1, base)
-    held = docs.sparkSession.sparkContext.broadcast(set(chosen["term"]))
-
-    def restrict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    told = (
+        examples.select("label", F.explode("key").alias("key")).groupBy("key")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("toxic")).orderBy("key").toArrow()
+    )
+    keys, df, toxic = (told.column(c).to_numpy() for c in ("key", "df", "toxic"))
+    model = NearestExamples(keys if n1 and n0 else keys[:0], base)
+    words = spark.sparkContext.broadcast(model)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known = held.value
-            kept = [
-                [(t, int(c)) for t, c in zip(ts, cs, strict=True) if t in known]
-                for ts, cs in zip(batch["term"], batch["tf"], strict=True)
-            ]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"], "label": batch["label"],
-                    "term": [[t for t, _ in k] for k in kept], "tf": [[c for _, c in k] for k in kept],
-                }
-            )
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                found = [words.value.known(*hashed(terms(t))) for t in part["text"]]
+                yield pd.DataFrame(
+                    {"doc_id": part["doc_id"], "held_out": part["held_out"], "ids": [i for i, _ in found], "tf": [c for _, c in found]}
+                )
 
-    small = rows.mapInPandas(restrict, rows.schema).toPandas()
-    small = small.drop_duplicates("doc_id").sort_values("doc_id")
-    vectors = [model.vector(dict(zip(t, c, strict=True))) for t, c in zip(small["term"], small["tf"], strict=True)]
-    y = small["label"].to_numpy(int)
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text")
+    )
+    vectors = written(rows.mapInPandas(encode, "doc_id string, held_out boolean, ids array<int>, tf array<int>"), "toxicity_terms")
+    if not n1 or not n0:
+        return model, vectors
+    # a row for each term of the vocabulary at most
+    seen = vectors.select(F.explode("ids").alias("id")).groupBy("id").count().toArrow()
+    frequency = np.zeros(len(keys), np.int64)
+    frequency[seen.column("id").to_numpy()] = seen.column("count").to_numpy()
+    factor = evidence(df.astype(float), toxic.astype(float), n1 / (n1 + n0))
+    model.factor = (np.log((vectors.count() + 1) / (frequency + 1)) + 1) * (FLOOR + (1 - FLOOR) * factor / (factor + HALF))
+    held = examples.orderBy("doc_id").toArrow()
+    y, ids = held.column("label").to_numpy(), held.column("doc_id").to_pylist()
+    known = [model.known(k.values.to_numpy(), c.values.to_numpy()) for k, c in zip(held.column("key"), held.column("tf"))]
     stands = np.where(y == 1, total.get(1, 0) / n1, total.get(0, 0) / n0)
-    model.add_examples(vectors, list(y), list(small["doc_id"]), list(stands))
+    model.add_examples(known, y.tolist(), ids, stands.tolist(), frequency)
     place = {doc: i for i, doc in enumerate(model.ids)}
-    step = max(1, -(-len(vectors) // MAX_CALIBRATION))
-    picked = range(0, len(vectors), step)
-    raw = [model.votes(vectors[i], place.get(int(small["doc_id"].iloc[i]), -1))[0] for i in picked]
-    model.calibrate(np.array(raw), y[list(picked)].astype(float), stands[list(picked)])
-    return model
+    told = spark.sparkContext.broadcast((model, place))
+
+    def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nearest, place = told.value
+        for batch in batches:
+            found = [nearest.known(k, c) for k, c in zip(batch["key"], batch["tf"])]
+            votes = [nearest.votes(i, c, place.get(doc, -1))[0] for doc, (i, c) in zip(batch["doc_id"], found)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "raw": votes})
+
+    spread = examples.select("doc_id", "key", "tf").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    raw = dict(map(tuple, spread.mapInPandas(leave_out, "doc_id bigint, raw double").collect()))  # a row for each example
+    model.calibrate(np.array([raw[i] for i in ids]), y.astype(float), stands)
+    return model, vectors
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
@@ -246,13 +284,13 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
 
     ``evidence`` names the five nearest examples as ``doc_id:cosine``.
     """
-    model = train(docs, labels, label)
+    model, vectors = train(docs, labels, label)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nearest = held.value
         for batch in batches:
-            found = [nearest.score(terms(t)) for t in batch["text"]]
+            found = [nearest.score(i, c) for i, c in zip(batch["ids"], batch["tf"])]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [s for s, _ in found],
@@ -261,8 +299,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
                 }
             )
 
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text")
-    )
-    out = rows.mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int, evidence string")
+    out = vectors.mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int, evidence string")
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
