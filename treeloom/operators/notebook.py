@@ -6,9 +6,8 @@ by its file size, so rendering needs neither explode nor shuffle. Text that is
 not JSON or has no ``cells`` array is not a notebook (null), and the caller
 falls back to the plain file content.
 
-Deviation: ``application/json`` outputs are printed as compact JSON with sorted
-keys (the pretty form needs a Python helper, which cannot run inside a
-higher-order function).
+``application/json`` outputs are printed with two blanks a level and sorted keys
+(``pretty_json``), in the same expressions.
 """
 
 from __future__ import annotations
@@ -22,6 +21,65 @@ from .inspect import ContentOptions, windowed
 _ANSI = "\u001b\\[[0-9;?]*[ -/]*[@-~]"
 
 
+# Marks of a JSON text whose running sum is formed together.
+_TOGETHER = 64
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value`` evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running_sum(values: Column) -> Column:
+    """Sums up to each place: those of whole blocks before it, and of its own block up to it."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    before = lambda all_, i: F.slice(all_, F.lit(1), i)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(_TOGETHER))
+    sums = F.transform(starts, lambda at: total(F.slice(values, at + 1, F.lit(_TOGETHER))))
+
+    def within(earlier: Column) -> Column:
+        def up_to(_, i: Column) -> Column:
+            inside = i % _TOGETHER
+            return F.get(earlier, F.floor(i / _TOGETHER).cast("int")) + total(F.slice(values, i - inside + 1, inside + 1))
+
+        return F.transform(values, up_to)
+
+    return _let(sums, lambda s: _let(F.transform(s, lambda _, j: total(before(s, j))), within))
+
+
+def pretty_json(compact: Column) -> Column:
+    """A compact JSON text with a line for each member and two blanks a level; empty lists and objects stay closed.
+
+    Escaped backslashes and quotes are covered first by control characters, which
+    no JSON text holds as they are, so a string is what stands between two quotes.
+    The level at each mark is a running sum of opening and closing marks outside of
+    strings. Escapes of control characters get lower-case digits.
+    """
+    covered = F.replace(F.replace(compact, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002"))
+    for digit in "ABCDEF":
+        covered = F.regexp_replace(covered, rf"\\u00([01]){digit}", rf"\\u00$1{digit.lower()}")
+    marks = F.regexp_extract_all(covered, F.lit(r'"[^"]*"|[\[\]{},:]|[^\[\]{},:"]+'), F.lit(0))
+    opens = lambda t: t.isin("{", "[")
+    closes = lambda t: t.isin("}", "]")
+
+    def laid_out(all_: Column, level: Column) -> Column:
+        def placed(t: Column, i: Column) -> Column:
+            line = F.concat(F.lit("\n"), F.repeat(F.lit("  "), F.get(level, i)))
+            empty = F.when(opens(t), closes(F.get(all_, i + 1))).otherwise(opens(F.get(all_, i - 1)))
+            return (
+                F.when(opens(t), F.when(empty, t).otherwise(F.concat(t, line)))
+                .when(closes(t), F.when(F.coalesce(empty, F.lit(False)), t).otherwise(F.concat(line, t)))
+                .when(t == ",", F.concat(t, line)).when(t == ":", F.lit(": ")).otherwise(t)
+            )
+
+        return F.array_join(F.transform(all_, placed), "")
+
+    change = lambda t: F.when(opens(t), 1).when(closes(t), -1).otherwise(0)
+    levels = lambda all_: _let(F.transform(all_, change), _running_sum)
+    laid = _let(marks, lambda all_: _let(levels(all_), lambda level: laid_out(all_, level)))
+    return F.replace(F.replace(laid, F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
+
+
 def joined_text(v: Column) -> Column:
     """string -> itself; array -> its string elements concatenated; null/missing -> ''; other -> JSON."""
     kind = F.schema_of_variant(v)
@@ -105,7 +163,7 @@ def render_output(o: Column) -> Column:
     data = F.try_variant_get(o, "$.data", "map<string,variant>")
     md = joined_text(F.element_at(data, F.lit("text/markdown")))
     plain = strip_ansi(joined_text(F.element_at(data, F.lit("text/plain"))))
-    js = F.to_json(F.element_at(data, F.lit("application/json")))
+    js = pretty_json(F.to_json(F.element_at(data, F.lit("application/json"))))
     html = joined_text(F.element_at(data, F.lit("text/html")))
     image = F.try_element_at(F.filter(F.array_sort(F.map_keys(data)), lambda k: k.startswith("image/")), F.lit(1))
     rich = (
