@@ -75,7 +75,7 @@ def test_snapshots_are_written_as_addressable_documents(spark, files_of, tmp_pat
                   "r": {"a.md": "```\nx\n```\n", "big.txt": "y" * 50, "z.bin": b"\x00\x01"}})
     meta = spark.createDataFrame([("hot", "main", "a" * 40, None)], "root string, branch string, commit_hash string, remote_url string")
     opts = R.RenderOptions(walk=WalkOptions(max_size=40), content=ContentOptions(head=2, max_chars=30))
-    for mode in ("markdown", "structure", "raw", "reverse"):
+    for mode in ("markdown", "reverse"):
         target = str(tmp_path / mode)
         index = write_snapshots(f, target, mode, opts, None if mode == "reverse" else meta, partitions=9)
         if mode == "reverse":

@@ -145,8 +145,9 @@ def render_output(o: Column) -> Column:
                               F.try_variant_get(o, "$.output_type", "string")), F.lit(""))
     is_stderr = F.coalesce(F.try_variant_get(o, "$.name", "string") == "stderr", F.lit(False))
     stream_text = strip_ansi(joined_text(F.try_variant_get(o, "$.text", "variant")))
-    stream = F.when(is_stderr, labeled_block("**Standard error:**", stream_text, "")).otherwise(
-        labeled_block("**Output:**", stream_text, "")
+    stream = _let(
+        stream_text,
+        lambda t: F.when(is_stderr, labeled_block("**Standard error:**", t, "")).otherwise(labeled_block("**Output:**", t, "")),
     )
     ename = F.coalesce(
         F.when(F.schema_of_variant(F.try_variant_get(o, "$.ename", "variant")) == "STRING", F.try_variant_get(o, "$.ename", "string")),
@@ -168,10 +169,10 @@ def render_output(o: Column) -> Column:
     image = F.try_element_at(F.filter(F.array_sort(F.map_keys(data)), lambda k: k.startswith("image/")), F.lit(1))
     rich = (
         F.when(data.isNull(), F.lit(""))
-        .when(F.map_contains_key(data, "text/markdown"), F.concat(F.lit("\n**Output:**\n\n"), md, _newline_after(True, md)))
-        .when(F.map_contains_key(data, "text/plain"), labeled_block("**Output:**", plain, ""))
-        .when(F.map_contains_key(data, "application/json"), labeled_block("**Output:**", js, "json"))
-        .when(F.map_contains_key(data, "text/html"), labeled_block("**Output:**", html, "html"))
+        .when(F.map_contains_key(data, "text/markdown"), _let(md, lambda t: F.concat(F.lit("\n**Output:**\n\n"), t, _newline_after(True, t))))
+        .when(F.map_contains_key(data, "text/plain"), _let(plain, lambda t: labeled_block("**Output:**", t, "")))
+        .when(F.map_contains_key(data, "application/json"), _let(js, lambda t: labeled_block("**Output:**", t, "json")))
+        .when(F.map_contains_key(data, "text/html"), _let(html, lambda t: labeled_block("**Output:**", t, "html")))
         .when(image.isNotNull(), F.concat(F.lit("\n**Output:** ["), image, F.lit(" image omitted]\n")))
         .otherwise(F.lit(""))
     )
@@ -220,8 +221,7 @@ def render_notebook_text(text: Column) -> Column:
 
 def render_notebook_column(text: Column, opts: ContentOptions | None = None) -> Column:
     """Op 45: rendered notebook with the content window applied afterwards."""
-    r = render_notebook_text(text)
-    return F.when(r.isNotNull(), windowed(r, opts))
+    return _let(render_notebook_text(text), lambda r: F.when(r.isNotNull(), windowed(r, opts)))
 
 
 # --- DataFrame operators ---------------------------------------------------

@@ -106,10 +106,9 @@ def _file_row_columns(opts: ContentOptions, mode: str, notebooks: bool):
             from .notebook import render_notebook_column
 
             nb = render_notebook_column(F.col("text"), opts)
-            block = F.when(
-                is_notebook_path(F.col("path")) & (F.col("kind") == "text") & nb.isNotNull(),
-                notebook_block(_rel(), nb),
-            ).otherwise(block)
+            # null where the text is no notebook
+            own = F.when(is_notebook_path(F.col("path")) & (F.col("kind") == "text"), notebook_block(_rel(), nb))
+            block = F.coalesce(own, block)
     return lines, block
 
 
