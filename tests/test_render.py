@@ -104,7 +104,7 @@ def test_roots_that_share_an_output_name_have_their_own_documents(spark, files_o
     names = {r["root"]: r["output"] for r in write_snapshots(f, target, "raw").collect()}
     assert names["z/a b+c%"] == "a b+c%.md" and names["."] == "snapshot.md"
     assert names["x/app"] != names["y/app"] and all(names[r].startswith("app.md~") for r in ("x/app", "y/app"))
-    ranges = spark.createDataFrame([(r, 18, 99) for r in names], "root string, start bigint, length bigint")
+    ranges = spark.createDataFrame([(r, 16, 99) for r in names], "root string, start bigint, length bigint")
     got = {r["root"]: bytes(r["content"]) for r in read_ranges(spark, target, ranges).collect()}
     assert got == {"x/app": b"first\n", "y/app": b"second\n", "z/a b+c%": b"third\n", ".": b"dot\n"}
 
