@@ -1,3 +1,4 @@
+import pickle
 import hashlib
 import math
 import re
@@ -413,6 +414,42 @@ def test_block_max_search_is_exact():
         assert len(got) == len(want)
 
 
+def test_many_searches_at_once_equal_single_ones_and_terms_are_hashed_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        ids = rng.permutation(np.concatenate([rng.choice(8, 5, replace=False), 8 + rng.choice(500, 6, replace=False)]))  # some common, some rare
+        w = rng.random(len(ids)) + 0.05
+        rows.append((ids, w / np.sqrt((w**2).sum())))
+    rows += rows[:1] * 60  # more copies than are asked for
+    example = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    index = toxicity.ExactIndex(np.concatenate([r[0] for r in rows]), example, np.concatenate([r[1] for r in rows]), 508, len(rows), block=7)
+    dense = np.zeros((len(rows), 508), np.float32)
+    for i, (ids, w) in enumerate(rows):
+        dense[i, ids] = w
+    left_out = [i if i % 3 else -1 for i in range(len(rows))]
+    together = pickle.loads(pickle.dumps(index)).search_all(rows, 15, left_out)
+    for i, (ids, w) in enumerate(rows):
+        cosines = np.zeros(len(rows))
+        for t, x in zip(ids, w):  # in the query's order
+            cosines += x * dense[:, t].astype(float)
+        if left_out[i] >= 0:
+            cosines[i] = 0
+        want = [(cosines[j], j) for j in np.lexsort((np.arange(len(rows)), -cosines))[:15] if cosines[j] > 0]
+        assert together[i] == want == index.search(ids, w, 15, left_out[i])
+
+    text = "Some words, SOME other words beginning beginnings begin and, somewhat, ^begi beginning"
+    for keep in (slice(0, None, 2), slice(1, None, 2), slice(None), slice(0, 0)):
+        counts = toxicity.terms(text)
+        model = toxicity.NearestExamples(np.sort(toxicity.hashed(counts)[0])[keep], 0.5)
+        want = model.known(*toxicity.hashed(counts))
+        with monkeypatch.context() as m:
+            for _ in range(2):
+                assert all(np.array_equal(x, y) for x, y in zip(model.numbered(text), want, strict=True))
+                m.setattr(toxicity, "hashed_terms", None)  # all words are known now
+        assert not len(model.numbered("")[0]) and not len(model.numbered("unheard, of")[1])
+
+
 def test_toxicity_neighbours_equal_a_brute_force(spark, docs_of):
     """Whole documents: every term of the examples, frequencies over all documents, exact cosines."""
     rng = np.random.default_rng(15)

@@ -7,13 +7,13 @@ weight also rises smoothly with what the sample's labels say about it: with the
 nats of evidence ``e`` that its share of label 1 differs from the whole share, it
 is multiplied by ``FLOOR + (1 - FLOOR) * e / (e + HALF)``, so no term is left out.
 
-Examples lie in blocks; the inverted index holds, per term, its postings and its
-greatest weight in each block. A search adds up the block maxima to an upper bound
-of every block's cosines and opens blocks until no other bound reaches the k-th
-best cosine: the k nearest examples are exact. Their votes, weighted by cosine and
-by how many labelled documents an example stands for, are calibrated on
-leave-one-out votes of the examples (monotone regression). The nearest examples
-are the evidence.
+A search adds up all postings of a document's terms in single precision: those of
+common terms as a matrix product for many documents at once, the others by an
+inverted index. Examples that come within the rounding error of the k-th best get
+their cosines in double precision: the k nearest examples are exact. Their votes,
+weighted by cosine and by how many labelled documents an example stands for, are
+calibrated on leave-one-out votes of the examples (monotone regression). The
+nearest examples are the evidence.
 
 Documents are read once: their known terms are written, counted for the
 frequencies, and searched from there.
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,9 +49,12 @@ MAX_TOXIC, MAX_CLEAN = 3000, 3000
 # Of a term's weight, the part that labels don't change, and the nats of evidence that give half of the rest.
 FLOOR, HALF = 0.02, 8.0
 PREFIX = 5
+# Documents searched together.
 BLOCK = 64
-# Blocks opened before the bounds of the others are compared.
-FIRST = 8
+# Terms that at least one in so many examples has are common; of them, the most that lie in a matrix.
+COMMON, DENSE = 15, 2048
+# Words whose numbers a worker remembers.
+REMEMBERED = 300_000
 NEIGHBOURS = 15
 PRIOR = 0.5
 
@@ -70,10 +73,13 @@ def terms(text: str) -> Counter:
 
 def hashed(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     """Terms' hashes (as signed 64-bit integers) and their counts."""
+    return hashed_terms(counts), np.fromiter(counts.values(), np.int32, len(counts))
+
+
+def hashed_terms(found: Collection[str]) -> np.ndarray:
     import xxhash
 
-    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-    return keys, np.fromiter(counts.values(), np.int32, len(counts))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).view(np.int64)
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,46 +89,89 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(sizes.sum()) + np.repeat(starts - skipped, sizes), sizes
 
 
-class BlockMaxIndex:
-    """Exact top-k cosine search over unit vectors given as postings (term, example, weight)."""
+class ExactIndex:
+    """Exact top-k cosine search over unit vectors given as postings (term, example, weight), ``block`` queries at a time."""
 
     def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, n_terms: int, n: int, block: int = BLOCK):
         order = np.lexsort((example, term))
-        term, example = term[order], example[order]
-        self.n, self.block, self.n_blocks = n, block, -(-n // block)
-        self.docs, self.weights = example.astype(np.int32), weight[order].astype(np.float32)
-        run = term.astype(np.int64) * max(self.n_blocks, 1) + example // block  # a term's postings in one block
-        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
-        self.starts = np.append(first, len(run)).astype(np.int32)
-        self.blocks = (example[first] // block).astype(np.int32)
-        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else self.weights
-        self.runs = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+        self.n, self.block = n, block
+        self.docs, self.weights = example[order].astype(np.int32), weight[order].astype(np.float32)
+        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self._made = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": None}
+
+    def _tables(self) -> tuple:
+        """Made once in each worker: the common terms' columns and weights, and all postings by example."""
+        if self._made is None:
+            held = np.diff(self.starts)
+            common = np.argsort(-held, kind="stable")[:DENSE]
+            common = common[held[common] >= max(1, self.n // COMMON)]
+            column = np.full(len(held), -1, np.int32)
+            column[common] = np.arange(len(common))
+            dense = np.zeros((len(common), self.n), np.float32)
+            at, sizes = _ranges(self.starts[common], self.starts[common + 1])
+            dense[np.repeat(np.arange(len(common)), sizes), self.docs[at]] = self.weights[at]
+            order = np.argsort(self.docs, kind="stable")
+            own = np.searchsorted(self.docs[order], np.arange(self.n + 1))
+            terms = np.repeat(np.arange(len(held), dtype=np.int32), held)[order]
+            both = np.stack([self.docs, self.weights.view(np.int32)], axis=1).view(np.int64).ravel()  # in one array, cut once
+            self._made = column, dense, own, terms, self.weights[order], np.full(len(held), -1, np.int32), both
+        return self._made
 
     def search(self, ids: np.ndarray, query: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k greatest cosines above zero, descending, ties to the smaller number; ``without`` leaves one example out."""
-        runs, sizes = _ranges(self.runs[ids], self.runs[ids + 1])
-        q, blocks = np.repeat(query, sizes), self.blocks[runs]
-        # a little above the sum, whose rounding may differ from that of the cosines
-        bounds = np.bincount(blocks, q * self.maxima[runs], self.n_blocks) * (1 + 1e-6)
-        closed, scores, least = bounds > 0, np.zeros(self.n), 0.0
-        wanted = np.zeros(self.n_blocks, bool)
-        wanted[np.argsort(-bounds, kind="stable")[:FIRST]] = True
-        while True:
-            wanted &= closed & (bounds >= least)
-            if not wanted.any():
-                break
-            picked = wanted[blocks]
-            at, counts = _ranges(self.starts[runs[picked]], self.starts[runs[picked] + 1])
-            scores += np.bincount(self.docs[at], np.repeat(q[picked], counts) * self.weights[at], self.n)
-            if without >= 0:
-                scores[without] = 0.0
-            closed &= ~wanted
-            if (scores > 0).sum() >= k:
-                least = np.partition(scores, self.n - k)[self.n - k]
-            wanted = closed.copy()
-        found = np.flatnonzero(scores >= max(least, 1e-300))
-        best = found[np.lexsort((found, -scores[found]))][:k]
-        return [(float(scores[i]), int(i)) for i in best]
+        return self.search_all([(ids, query)], k, [without])[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """``search`` of each query."""
+        without = without or [-1] * len(queries)
+        return [
+            found for at in range(0, len(queries), self.block)
+            for found in self._search_block(queries[at : at + self.block], k, without[at : at + self.block])
+        ]
+
+    def _search_block(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+        column, dense, *_, both = self._tables()
+        product = np.zeros((len(queries), len(dense)), np.float32)
+        for row, (ids, query) in zip(product, queries):
+            at = column[ids]
+            row[at[at >= 0]] = query[at >= 0]
+        nearly = product @ dense
+        out = []
+        for row, (ids, query), left_out in zip(nearly, queries, without):
+            rare = column[ids] < 0
+            starts, ends = self.starts[ids[rare]], self.starts[ids[rare] + 1]
+            if len(starts):
+                met = np.concatenate([both[a:b] for a, b in zip(starts.tolist(), ends.tolist())]).view(np.int32)
+                row += np.bincount(met[::2], np.repeat(query[rare], ends - starts) * met.view(np.float32)[1::2], self.n)
+            if left_out >= 0:
+                row[left_out] = 0.0
+            least = 0.0
+            if k < self.n:
+                # sums in single precision are off by less than half of this, as all products add up to 1 at most
+                least = np.partition(row, self.n - k)[self.n - k] - (len(ids) + 8) * 2.0**-22
+            near = np.flatnonzero((row > 0) & (row >= least))
+            scores = self._cosines(ids, query, near)
+            best = np.lexsort((near, -scores))[:k]
+            out.append([(float(scores[i]), int(near[i])) for i in best])
+        return out
+
+    def _cosines(self, ids: np.ndarray, query: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """Cosines with ``examples`` in double precision, added up in the query's order."""
+        _, _, own, terms, weights, place, _ = self._tables()
+        at, sizes = _ranges(own[examples], own[examples + 1])
+        place[ids] = np.arange(len(ids))
+        places = place[terms[at]]
+        place[ids] = -1
+        shared = np.flatnonzero(places >= 0)
+        shared = shared[np.argsort(places[shared], kind="stable")]
+        which = np.repeat(np.arange(len(examples)), sizes)
+        return np.bincount(which[shared], query[places[shared]] * weights[at[shared]], len(examples))
+
+
+BlockMaxIndex = ExactIndex  # the name it had
 
 
 class NearestExamples:
@@ -135,6 +184,32 @@ class NearestExamples:
         self.labels = self.stands_for = np.zeros(0)
         self.ids: list[int] = []
         self.steps = (np.array([base]), np.array([base]))
+        self.numbers: dict[str, int] = {}
+
+    def numbered(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """``known`` of the hashes of a text's terms; a word met before needs no hash, nor does its beginning."""
+        words = Counter(WORD.findall(text.lower()))
+        pairs = [*map(self.numbers.get, words)]
+        if None in pairs:
+            new = [w for w, n in zip(words, pairs) if n is None]
+            begun = ["^" + w[:PREFIX] if len(w) > PREFIX else "" for w in new]
+            both = np.full(2 * len(new), -1, np.int64)
+            at, where = self.known(hashed_terms(new + begun), np.arange(2 * len(new)))
+            both[where] = at
+            both[len(new) :][[not x for x in begun]] = -1
+            if len(self.numbers) + len(new) > REMEMBERED:
+                self.numbers.clear()
+            told = dict(zip(new, (both[: len(new)] << 32 | both[len(new) :] + 1).tolist()))
+            self.numbers.update(told)
+            pairs = [told[w] if n is None else n for w, n in zip(words, pairs)]
+        numbers, counts = np.array(pairs, np.int64), np.fromiter(words.values(), np.int64, len(words))
+        ids, begun = numbers >> 32, (numbers & 0xFFFFFFFF) - 1
+        distinct, first, which = np.unique(begun, return_index=True, return_inverse=True)
+        sums = np.bincount(which, counts, len(distinct)).astype(np.int64)
+        order = np.argsort(first)
+        ids, counts = np.concatenate([ids, distinct[order]]), np.concatenate([counts, sums[order]])
+        there = ids >= 0
+        return ids[there], counts[there].astype(np.int32)
 
     def known(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of the terms that the vocabulary has."""
@@ -162,16 +237,31 @@ class NearestExamples:
         weight = np.concatenate([vectors[i] for i in order]) if order else np.zeros(0)
         example = np.repeat(np.arange(len(order)), [len(vectors[i]) for i in order])
         met = frequency[term] > 1
-        self.index = BlockMaxIndex(term[met], example[met], weight[met], len(self.vocabulary), len(order))
+        self.index = ExactIndex(term[met], example[met], weight[met], len(self.vocabulary), len(order))
         self.labels = np.array([labels[i] for i in order], float)
         self.stands_for = np.array([stands_for[i] for i in order], float)
         self.ids = [int(ids[i]) for i in order]
 
     def votes(self, ids: np.ndarray, tf: np.ndarray, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.search(ids, self.vector(ids, tf), NEIGHBOURS, without) if len(ids) and self.index and self.index.n else []
-        weight = sum(s * self.stands_for[i] for s, i in near)
-        toxic = sum(s * self.stands_for[i] * self.labels[i] for s, i in near)
-        return (toxic + PRIOR * self.base) / (weight + PRIOR), near
+        return self.votes_all([(ids, tf)], [without])[0]
+
+    def votes_all(
+        self, rows: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None
+    ) -> list[tuple[float, list[tuple[float, int]]]]:
+        """The share of label 1 among each row's nearest examples, and these."""
+        found: list[list[tuple[float, int]]] = [[] for _ in rows]
+        if self.index and self.index.n:
+            some = [i for i, (ids, _) in enumerate(rows) if len(ids)]
+            queries = [(rows[i][0], self.vector(*rows[i])) for i in some]
+            left_out = [without[i] for i in some] if without else None
+            for i, near in zip(some, self.index.search_all(queries, NEIGHBOURS, left_out)):
+                found[i] = near
+        out = []
+        for near in found:
+            weight = sum(s * self.stands_for[i] for s, i in near)
+            toxic = sum(s * self.stands_for[i] * self.labels[i] for s, i in near)
+            out.append(((toxic + PRIOR * self.base) / (weight + PRIOR), near))
+        return out
 
     def calibrate(self, raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Monotone (pool-adjacent-violators) regression of the labels on the raw votes."""
@@ -186,9 +276,8 @@ class NearestExamples:
         y = np.array([(p[1] + self.base) / (p[0] + 1) for p in pools])
         self.steps = (x, np.maximum.accumulate(y))
 
-    def score(self, ids: np.ndarray, tf: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        raw, near = self.votes(ids, tf)
-        return float(np.interp(raw, *self.steps)), near
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        return [(float(np.interp(raw, *self.steps)), near) for raw, near in self.votes_all(rows)]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, dict[int, int]]:
@@ -241,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Nea
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                found = [words.value.known(*hashed(terms(t))) for t in part["text"]]
+                found = [words.value.numbered(t) for t in part["text"]]
                 yield pd.DataFrame(
                     {"doc_id": part["doc_id"], "held_out": part["held_out"], "ids": [i for i, _ in found], "tf": [c for _, c in found]}
                 )
@@ -270,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Nea
         nearest, place = told.value
         for batch in batches:
             found = [nearest.known(k, c) for k, c in zip(batch["key"], batch["tf"])]
-            votes = [nearest.votes(i, c, place.get(doc, -1))[0] for doc, (i, c) in zip(batch["doc_id"], found)]
+            votes = [v for v, _ in nearest.votes_all(found, [place.get(doc, -1) for doc in batch["doc_id"]])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "raw": votes})
 
     spread = examples.select("doc_id", "key", "tf").repartition(spark.sparkContext.defaultParallelism, "doc_id")
@@ -290,7 +379,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nearest = held.value
         for batch in batches:
-            found = [nearest.score(i, c) for i, c in zip(batch["ids"], batch["tf"])]
+            found = nearest.scores([*zip(batch["ids"], batch["tf"])])
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [s for s, _ in found],
