@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -200,3 +201,40 @@ def test_filetree_names_and_truncated_content(spark, tmp_path):
     assert set(got) == {"long.txt", "caf\ufffd.txt"}
     # the scan kept 8 KiB of it: never a whole text
     assert got["long.txt"]["kind"] == "too_large" and got["long.txt"]["text"] is None
+
+
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no local vocabulary")
+@pytest.mark.parametrize("bound", [0, 300, 1 << 20])
+def test_token_counts_with_few_pretokens_broadcast(spark, bound):
+    from treeloom.operators.tokens import bpe_count, load_ranks, python_pretokens
+
+    ranks = load_ranks(VOCAB)
+    texts = ["the cat and the dog and the cat", "rare words, the cat", "", None, "the the the\n\n x1", "more: the dog"]
+    keyed = [("r", [f"f{i}"], t) for i, t in enumerate(texts)] + [("r", ["f0"], "a second row of the key"), (None, ["n"], "the cat")]
+    rows = spark.createDataFrame(keyed, "root string, path array<string>, text string")
+    got = sorted((r["root"] or "", r["path"][0], r["tokens"]) for r in token_counts(rows, VOCAB, common_bytes=bound).collect())
+    own = lambda t: sum(bpe_count(p.encode(), ranks) for p in python_pretokens(t or ""))
+    both = {}
+    for root, path, t in keyed:
+        both[root, path[0]] = both.get((root, path[0]), 0) + own(t)
+    # rows of one key share their sum; a null key meets nothing
+    assert got == sorted((root or "", path[0], both[root, path[0]] if root else 0) for root, path, _ in keyed)
+
+
+def test_file_tree_batches_are_bounded(tmp_path, monkeypatch):
+    from treeloom.sources import filetree
+
+    monkeypatch.setattr(filetree, "BATCH_BYTES", 10_000)
+    (tmp_path / "r" / "d").mkdir(parents=True)
+    sizes = {f"f{i}": i % 3000 for i in range(1300)} | {"big": 50_000}
+    for name, n in sizes.items():
+        (tmp_path / "r" / "d" / name).write_bytes(b"x" * n)
+    for i in range(1300):
+        (tmp_path / "r" / f"empty{i}").write_bytes(b"")
+    reader = filetree.FileTreeReader({"roots": json.dumps([str(tmp_path / "r")]), "target_partitions": "1"})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert all(b.num_rows <= filetree.BATCH_ROWS for b in batches)
+    held = [[len(c or b"") for c in b.column("content").to_pylist()] for b in batches]
+    assert all(sum(h[:-1]) < 10_000 for h in held)
+    found = {r["path"][-1]: r["size"] for b in batches for r in b.to_pylist() if not r["is_dir"]}
+    assert found == sizes | {f"empty{i}": 0 for i in range(1300)} and sum(b.num_rows for b in batches) == len(found) + 1

@@ -14,7 +14,7 @@ import shutil
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,13 +155,16 @@ def _stage(rows: DataFrame, act) -> DataFrame:
     """
     from .joins import freeze
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for root, path, content in zip(pdf["root"], pdf["path"], pdf["content"]):
-                act(root, [*path], content)
-            yield pdf[["root", "path", "is_dir", "action"]].assign(written=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for root, path, content in zip(*(whole.column(c) for c in ("root", "path", "content"))):
+                act(root.as_py(), path.as_py(), content.as_py())  # one file's text at a time
+            yield pa.RecordBatch.from_arrays(
+                [*(whole.column(c) for c in names), pa.array([True] * whole.num_rows, pa.bool_())], names=[*names, "written"]
+            )
 
-    return freeze(rows.mapInPandas(run, _EVENT_SCHEMA))
+    names = ["root", "path", "is_dir", "action"]
+    return freeze(rows.mapInArrow(run, _EVENT_SCHEMA))
 
 
 class _Places:

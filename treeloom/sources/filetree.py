@@ -30,6 +30,10 @@ SCHEMA = (
     "root string, path array<string>, is_dir boolean, is_symlink boolean, size bigint, content binary, error string"
 )
 
+# A worker holds so many rows, or so many bytes of content, before it hands them on.
+BATCH_ROWS = 512
+BATCH_BYTES = 4 * 1024 * 1024
+
 
 class _Part(InputPartition):
     """Entries of one root: ``subtrees`` are walked, ``alone`` are directories that give only their own row."""
@@ -80,6 +84,12 @@ def _walk(top: str, root: str, rel: list[str], max_size: int) -> Iterator[tuple]
         waiting.extend([*parts, n] for n in names)
 
 
+def _batch(pa, rows: list[tuple]):
+    types = [pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.string()]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows), types)], names=names)
+
+
 class FileTreeReader(DataSourceReader):
     def __init__(self, options):
         self.roots = json.loads(options.get("roots", "[]"))
@@ -142,6 +152,20 @@ class FileTreeReader(DataSourceReader):
         return parts or [_Part("", [])]
 
     def read(self, partition: _Part):
+        """Arrow batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes of content (one file at least)."""
+        import pyarrow as pa
+
+        rows, held = [], 0
+        for row in self._rows(partition):
+            rows.append(row)
+            held += len(row[5] or b"")
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield _batch(pa, rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(pa, rows)
+
+    def _rows(self, partition: _Part) -> Iterator[tuple]:
         name = _shown(os.path.basename(os.path.normpath(partition.root)))
         for rel in partition.alone:
             yield (name, [_shown(p) for p in rel], True, False, None, None, None)
