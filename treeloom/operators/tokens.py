@@ -5,12 +5,13 @@ count is the sum over its pre-tokens. Plan:
 
 1. ``regexp_extract_all`` splits every text into pre-tokens (JVM, Unicode
    classes via ``(?U)``);
-2. (file, pre-token) counts, then the *distinct* pre-tokens of the corpus
-   (partial aggregation: a frequent pre-token costs one row per task);
+2. the texts' pre-tokens are written once, and the *distinct* ones of the corpus
+   are counted (partial aggregation: a frequent pre-token costs one row per task);
 3. BPE runs only on the distinct pre-tokens, in ``mapInPandas``; each Python
    worker parses the broadcast rank file once;
-4. token counts are joined back and summed per file (the join side is
-   broadcast only after its size is measured).
+4. token counts meet the texts' pre-tokens where these lie: those of frequent
+   pre-tokens are broadcast (``COMMON_BYTES`` of them, measured), and only
+   occurrences of the others are shuffled, with a row number for their text.
 
 With a ``TokenDictionary`` step 3 meets a written table (pre-token, tokens) first,
 by an anti-join, and only pre-tokens that no corpus has had before are encoded
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, ship_package
-from .joins import checked_broadcast, freeze, stored
+from .joins import freeze, stored
 
 # The o200k_base pre-tokenization pattern (public), as alternatives in order.
 O200K_PATTERN = "|".join(
@@ -48,6 +49,8 @@ O200K_PATTERN = "|".join(
     ]
 )
 JAVA_PATTERN = "(?U)" + O200K_PATTERN
+# Bytes of the frequent pre-tokens that are broadcast with their counts.
+COMMON_BYTES = 16 * 1024 * 1024
 
 
 def java_pattern(pattern: str) -> str:
@@ -130,15 +133,13 @@ def _ranks_of(held) -> dict[bytes, int]:
     return _RANKS_CACHE[key]
 
 
-def _encoder(held):
-    schema = T.StructType([T.StructField("pt", T.StringType()), T.StructField("tokens", T.LongType())])
+def _encoder(held, columns: str = "pt string"):
+    schema = f"{columns}, tokens bigint"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = _ranks_of(held)
         for pdf in batches:
-            yield pd.DataFrame(
-                {"pt": pdf["pt"], "tokens": [bpe_count(p.encode("utf-8"), ranks) for p in pdf["pt"]]}
-            )
+            yield pdf.assign(tokens=[bpe_count(p.encode("utf-8"), ranks) for p in pdf["pt"]])
 
     return encode, schema
 
@@ -183,7 +184,7 @@ class TokenDictionary:
 
 
 def token_counts(texts: DataFrame, ranks_path: str, text_col: str = "text", keys=("root", "path"),
-                 dictionary: TokenDictionary | None = None) -> DataFrame:
+                 dictionary: TokenDictionary | None = None, common_bytes: int = COMMON_BYTES) -> DataFrame:
     """(keys..., tokens) with the rank file at ``ranks_path`` (read on the driver).
 
     A ``dictionary`` (of the same rank file) brings its own pattern and remembers what is encoded here.
@@ -191,18 +192,40 @@ def token_counts(texts: DataFrame, ranks_path: str, text_col: str = "text", keys
     ship_package(texts.sparkSession)
     keys = list(keys)
     found = pretokens(F.col(text_col), dictionary.pattern if dictionary else JAVA_PATTERN)
-    per_text = texts.select(*keys, F.explode(found).alias("pt")).groupBy(*keys, "pt").agg(F.count("*").alias("n"))
+    rows = stored(texts.select(F.monotonically_increasing_id().alias("__row"), *keys, found.alias("pts")), "pretokens")
+    seen = stored(rows.select(F.explode("pts").alias("pt")).groupBy("pt").agg(F.count("*").alias("n")), "seen")
     if dictionary is None:
-        encode, schema = _encoder(_held_ranks(texts.sparkSession, ranks_path))
-        encoded = checked_broadcast(per_text.select("pt").distinct().mapInPandas(encode, schema))
+        encode, schema = _encoder(_held_ranks(texts.sparkSession, ranks_path), "pt string, n bigint")
+        known = stored(seen.mapInPandas(encode, schema), "known")
     else:
-        per_text = stored(per_text, "pretokens")
-        dictionary.learn(per_text.select("pt").distinct())
-        encoded = dictionary.table()
-    texts_keys = texts.select(*keys)
-    summed = per_text.join(encoded, "pt").groupBy(*keys).agg(F.sum(F.col("n") * F.col("tokens")).cast("bigint").alias("tokens"))
+        dictionary.learn(seen.select("pt"))
+        known = stored(seen.join(dictionary.table(), "pt"), "known")
+    each = rows.select("__row", F.explode("pts").alias("pt"))
+    summed = _summed(each, known, common_bytes).join(rows.select("__row", *keys), "__row")
+    summed = summed.groupBy(*keys).agg(F.sum("tokens").cast("bigint").alias("tokens"))
     # texts without any pre-token have 0 tokens
-    return texts_keys.join(summed, keys, "left").select(*keys, F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+    return rows.select(*keys).join(summed, keys, "left").select(*keys, F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+
+
+def _summed(each: DataFrame, known: DataFrame, common_bytes: int) -> DataFrame:
+    """(__row, tokens): summed over each(__row, pt) by known(pt, n, tokens), of which the most frequent are broadcast."""
+    # pre-tokens by the number of binary digits of their count: 64 rows at most
+    digits = F.length(F.bin("n"))
+    size = F.sum(F.octet_length("pt") + F.lit(16))
+    sizes = {r["digits"]: r["size"] for r in known.groupBy(digits.alias("digits")).agg(size.alias("size")).collect()}
+    least, total = 65, 0
+    for d in sorted(sizes, reverse=True):
+        total += sizes[d]
+        if total > common_bytes:
+            break
+        least = d
+    common = F.broadcast(known.where(digits >= least).select("pt", "tokens"))
+    sums = lambda rows: rows.groupBy("__row").agg(F.sum("tokens").alias("tokens"))
+    here = sums(each.join(common, "pt"))
+    if total <= common_bytes:
+        return here
+    rare = known.where(digits < least).select("pt", "tokens")
+    return sums(here.unionByName(each.join(common, "pt", "left_anti").join(rare, "pt").select("__row", "tokens")))
 
 
 def python_pretokens(text: str) -> list[str]:
