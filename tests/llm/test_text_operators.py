@@ -450,6 +450,30 @@ def test_many_searches_at_once_equal_single_ones_and_terms_are_hashed_once(monke
         assert not len(model.numbered("")[0]) and not len(model.numbered("unheard, of")[1])
 
 
+def test_toxicity_looks_up_the_new_words_of_many_texts_at_once(monkeypatch):
+    """One call hashes what a batch adds; each text's terms and their order are those of the pattern."""
+    every = "".join(chr(i) + ("x" if i % 3 else " ") for i in range(0x30000) if not 0xD800 <= i < 0xE000)
+    texts = [
+        "", "Plain words, PLAIN beginnings begin_beginning\x1f\x00tab\tend", "Ünïcode wörds \u2014 wörds\u00a0\u3000und\u0301 Anfänge anfängt \u4e2d\u6587",
+        "İstanbul ß straße STRASSE \u00b2 \u0661\u0662 \u2028 _a-b", "unseen thing", "plain words", every[:400], every,
+    ]
+    for t in texts:
+        assert toxicity.words_of(t) == toxicity.WORD.findall(t.lower())
+    keys = np.unique(np.concatenate([toxicity.hashed(toxicity.terms(t))[0] for t in texts if "unseen" not in t]))
+    want = [toxicity.NearestExamples(keys, 0.5).known(*toxicity.hashed(toxicity.terms(t))) for t in texts]
+    hashed, calls = toxicity.hashed_terms, []
+    monkeypatch.setattr(toxicity, "hashed_terms", lambda found: calls.append(len(found)) or hashed(found))
+    for remembered in (toxicity.REMEMBERED, 5):
+        monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+        model = toxicity.NearestExamples(keys, 0.5)
+        for again in range(3):
+            calls.clear()
+            got = model.numbered_all(texts)
+            assert len(calls) == (0 if again else 1)
+            assert all(np.array_equal(x, y) for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True))
+        assert len(model.numbered_all(["other words", "words other new"])) == 2 and len(calls) == 1
+
+
 def test_toxicity_neighbours_equal_a_brute_force(spark, docs_of):
     """Whole documents: every term of the examples, frequencies over all documents, exact cosines."""
     rng = np.random.default_rng(15)

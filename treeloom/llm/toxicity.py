@@ -39,6 +39,7 @@ from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,20 +51,39 @@ MAX_TOXIC, MAX_CLEAN = 3000, 3000
 FLOOR, HALF = 0.02, 8.0
 PREFIX = 5
 # Documents searched together.
-BLOCK = 64
+BLOCK = 256
 # Terms that at least one in so many examples has are common; of them, the most that lie in a matrix.
 COMMON, DENSE = 15, 2048
+# Texts whose new words are looked up together.
+TOGETHER = 64
 # Words whose numbers a worker remembers.
 REMEMBERED = 300_000
 NEIGHBOURS = 15
 PRIOR = 0.5
 
 WORD = re.compile(r"\w+")
+# What is no part of a word becomes a space.
+ASCII_MARKS = {i: " " for i in range(128) if not WORD.match(chr(i))}
+# Texts with more kinds of marks than these are cut by the pattern.
+MARKS = 48
+
+
+def words_of(text: str) -> list[str]:
+    """What ``WORD`` finds in the lower-cased text, in its order."""
+    text = text.lower()
+    if text.isascii():
+        return text.translate(ASCII_MARKS).split()
+    marks = [c for c in set(text) if not (c.isalnum() or c == "_")]
+    if len(marks) > MARKS:
+        return WORD.findall(text)
+    for c in marks:
+        text = text.replace(c, " ")
+    return text.split()
 
 
 def terms(text: str) -> Counter:
     """Counts of words and word beginnings (marked by a leading ``^``) of a whole text."""
-    words = Counter(WORD.findall(text.lower()))
+    words = Counter(words_of(text))
     out = Counter(words)
     for w, c in words.items():
         if len(w) > PREFIX:
@@ -95,8 +115,8 @@ class ExactIndex:
     def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, n_terms: int, n: int, block: int = BLOCK):
         order = np.lexsort((example, term))
         self.n, self.block = n, block
-        self.docs, self.weights = example[order].astype(np.int32), weight[order].astype(np.float32)
-        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.docs, self.weights = example[order].astype(np.int32, copy=False), weight[order].astype(np.float32, copy=False)
+        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1, dtype=term.dtype))
         self._made = None
 
     def __getstate__(self) -> dict:
@@ -135,17 +155,19 @@ class ExactIndex:
     def _search_block(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
         column, dense, *_, both = self._tables()
         product = np.zeros((len(queries), len(dense)), np.float32)
+        rest = []
         for row, (ids, query) in zip(product, queries):
-            at = column[ids]
-            row[at[at >= 0]] = query[at >= 0]
+            at = column.take(ids)
+            common, rare = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            row[at.take(common)] = query.take(common)
+            rest.append((ids.take(rare), query.take(rare)))
         nearly = product @ dense
         out = []
-        for row, (ids, query), left_out in zip(nearly, queries, without):
-            rare = column[ids] < 0
-            starts, ends = self.starts[ids[rare]], self.starts[ids[rare] + 1]
-            if len(starts):
-                met = np.concatenate([both[a:b] for a, b in zip(starts.tolist(), ends.tolist())]).view(np.int32)
-                row += np.bincount(met[::2], np.repeat(query[rare], ends - starts) * met.view(np.float32)[1::2], self.n)
+        for row, (ids, query), (rare, shares), left_out in zip(nearly, queries, rest, without):
+            if len(rare):
+                at, sizes = _ranges(self.starts.take(rare), self.starts.take(rare + 1))
+                met = both.take(at).view(np.int32)
+                row += np.bincount(met[::2], np.repeat(shares, sizes) * met.view(np.float32)[1::2], self.n)
             if left_out >= 0:
                 row[left_out] = 0.0
             least = 0.0
@@ -161,14 +183,18 @@ class ExactIndex:
     def _cosines(self, ids: np.ndarray, query: np.ndarray, examples: np.ndarray) -> np.ndarray:
         """Cosines with ``examples`` in double precision, added up in the query's order."""
         _, _, own, terms, weights, place, _ = self._tables()
-        at, sizes = _ranges(own[examples], own[examples + 1])
+        if not len(examples):
+            return np.zeros(0)
+        spans = [*zip(own[examples].tolist(), own[examples + 1].tolist())]
         place[ids] = np.arange(len(ids))
-        places = place[terms[at]]
+        places = place.take(np.concatenate([terms[a:b] for a, b in spans]))
         place[ids] = -1
         shared = np.flatnonzero(places >= 0)
-        shared = shared[np.argsort(places[shared], kind="stable")]
-        which = np.repeat(np.arange(len(examples)), sizes)
-        return np.bincount(which[shared], query[places[shared]] * weights[at[shared]], len(examples))
+        # numbers of two bytes are sorted by radix
+        shared = shared.take(np.argsort(places.take(shared).astype(np.min_scalar_type(len(ids))), kind="stable"))
+        which = np.repeat(np.arange(len(examples)), [b - a for a, b in spans])
+        held = np.concatenate([weights[a:b] for a, b in spans])
+        return np.bincount(which.take(shared), query.take(places.take(shared)) * held.take(shared), len(examples))
 
 
 BlockMaxIndex = ExactIndex  # the name it had
@@ -185,31 +211,46 @@ class NearestExamples:
         self.ids: list[int] = []
         self.steps = (np.array([base]), np.array([base]))
         self.numbers: dict[str, int] = {}
+        self._first: np.ndarray | None = None
 
     def numbered(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """``known`` of the hashes of a text's terms; a word met before needs no hash, nor does its beginning."""
-        words = Counter(WORD.findall(text.lower()))
-        pairs = [*map(self.numbers.get, words)]
-        if None in pairs:
-            new = [w for w, n in zip(words, pairs) if n is None]
-            begun = ["^" + w[:PREFIX] if len(w) > PREFIX else "" for w in new]
-            both = np.full(2 * len(new), -1, np.int64)
-            at, where = self.known(hashed_terms(new + begun), np.arange(2 * len(new)))
+        """``known`` of the hashes of a text's terms."""
+        return self.numbered_all([text])[0]
+
+    def numbered_all(self, texts: Collection[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``numbered`` of each text; a word met before needs no hash, nor does its beginning, and new ones are looked up together."""
+        counted = [Counter(words_of(t)) for t in texts]
+        pairs = [[*map(self.numbers.get, words)] for words in counted]
+        new = [*{w: None for words, told in zip(counted, pairs) if None in told for w, n in zip(words, told) if n is None}]
+        if new:
+            begun = [i for i, w in enumerate(new) if len(w) > PREFIX]
+            keys = hashed_terms(new + ["^" + new[i][:PREFIX] for i in begun])
+            order = np.argsort(keys)  # looked up in ascending order
+            at, where = self.known(keys[order], order)
+            both = np.full(len(keys), -1, np.int64)
             both[where] = at
-            both[len(new) :][[not x for x in begun]] = -1
+            starts = np.full(len(new), -1, np.int64)
+            starts[begun] = both[len(new) :]
+            told = dict(zip(new, (both[: len(new)] << 32 | starts + 1).tolist()))
+            pairs = [[told[w] if n is None else n for w, n in zip(words, was)] if None in was else was for words, was in zip(counted, pairs)]
             if len(self.numbers) + len(new) > REMEMBERED:
                 self.numbers.clear()
-            told = dict(zip(new, (both[: len(new)] << 32 | both[len(new) :] + 1).tolist()))
             self.numbers.update(told)
-            pairs = [told[w] if n is None else n for w, n in zip(words, pairs)]
-        numbers, counts = np.array(pairs, np.int64), np.fromiter(words.values(), np.int64, len(words))
+        return [self._counted(np.array(told, np.int64), words) for told, words in zip(pairs, counted)]
+
+    def _counted(self, numbers: np.ndarray, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Known words, then known beginnings, each in the order in which they come first."""
+        counts = np.fromiter(words.values(), np.int32, len(words))
         ids, begun = numbers >> 32, (numbers & 0xFFFFFFFF) - 1
-        distinct, first, which = np.unique(begun, return_index=True, return_inverse=True)
-        sums = np.bincount(which, counts, len(distinct)).astype(np.int64)
-        order = np.argsort(first)
-        ids, counts = np.concatenate([ids, distinct[order]]), np.concatenate([counts, sums[order]])
-        there = ids >= 0
-        return ids[there], counts[there].astype(np.int32)
+        there, with_start = np.flatnonzero(ids >= 0), np.flatnonzero(begun >= 0)
+        begun = begun.take(with_start)
+        if self._first is None:
+            self._first = np.zeros(len(self.vocabulary), np.int32)
+        self._first[begun[::-1]] = np.arange(len(begun) - 1, -1, -1)  # of equal ones, the last assigned stays
+        first = self._first.take(begun) if len(begun) else begun
+        sums = np.bincount(first, counts.take(with_start), len(begun)).astype(np.int32)
+        own = np.flatnonzero(first == np.arange(len(begun)))
+        return np.concatenate([ids.take(there), begun.take(own)]), np.concatenate([counts.take(there), sums.take(own)])
 
     def known(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of the terms that the vocabulary has."""
@@ -230,14 +271,17 @@ class NearestExamples:
         A term that no other document has can't add to any cosine: it counts in its
         example's length and needs no posting.
         """
-        vectors = [self.vector(*row) for row in rows]
-        top = [int(row[0][np.argmax(v)]) if len(v) else -1 for row, v in zip(rows, vectors)]
-        order = sorted((i for i in range(len(rows)) if len(vectors[i])), key=lambda i: (labels[i], top[i], ids[i]))
-        term = np.concatenate([rows[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i] for i in order]) if order else np.zeros(0)
-        example = np.repeat(np.arange(len(order)), [len(vectors[i]) for i in order])
-        met = frequency[term] > 1
-        self.index = ExactIndex(term[met], example[met], weight[met], len(self.vocabulary), len(order))
+        top, met = [], []
+        for row in rows:
+            v, elsewhere = self.vector(*row), frequency[row[0]] > 1
+            top.append(int(row[0][np.argmax(v)]) if len(v) else -1)
+            met.append((row[0][elsewhere].astype(np.int32), v[elsewhere].astype(np.float32)))
+        order = sorted((i for i in range(len(rows)) if len(rows[i][0])), key=lambda i: (labels[i], top[i], ids[i]))
+        term = np.concatenate([np.zeros(0, np.int32), *(met[i][0] for i in order)])
+        weight = np.concatenate([np.zeros(0, np.float32), *(met[i][1] for i in order)])
+        example = np.repeat(np.arange(len(order), dtype=np.int32), [len(met[i][0]) for i in order])
+        del met
+        self.index = ExactIndex(term, example, weight, len(self.vocabulary), len(order))
         self.labels = np.array([labels[i] for i in order], float)
         self.stands_for = np.array([stands_for[i] for i in order], float)
         self.ids = [int(ids[i]) for i in order]
@@ -326,19 +370,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Nea
     model = NearestExamples(keys if n1 and n0 else keys[:0], base)
     words = spark.sparkContext.broadcast(model)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                found = [words.value.numbered(t) for t in part["text"]]
-                yield pd.DataFrame(
-                    {"doc_id": part["doc_id"], "held_out": part["held_out"], "ids": [i for i, _ in found], "tf": [c for _, c in found]}
-                )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                found = [x for i in range(0, len(texts), TOGETHER) for x in words.value.numbered_all(texts[i : i + TOGETHER])]
+                ends = pa.array(np.cumsum([0, *(len(i) for i, _ in found)]), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *lists], ["doc_id", "held_out", "ids", "tf"])
 
     rows = docs.select(
         F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), held_out().alias("held_out"), text_or_empty().alias("text")
     )
-    vectors = written(rows.mapInPandas(encode, "doc_id string, held_out boolean, ids array<int>, tf array<int>"), "toxicity_terms")
+    vectors = written(rows.mapInArrow(encode, "doc_id string, held_out boolean, ids array<int>, tf array<int>"), "toxicity_terms")
     if not n1 or not n0:
         return model, vectors
     # a row for each term of the vocabulary at most
@@ -349,7 +394,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Nea
     model.factor = (np.log((vectors.count() + 1) / (frequency + 1)) + 1) * (FLOOR + (1 - FLOOR) * factor / (factor + HALF))
     held = examples.orderBy("doc_id").toArrow()
     y, ids = held.column("label").to_numpy(), held.column("doc_id").to_pylist()
-    known = [model.known(k.values.to_numpy(), c.values.to_numpy()) for k, c in zip(held.column("key"), held.column("tf"))]
+    known = []
+    for k, c in zip(held.column("key"), held.column("tf")):
+        at, tf = model.known(k.values.to_numpy(), c.values.to_numpy())
+        known.append((at.astype(np.int32), tf))
+    del held
     stands = np.where(y == 1, total.get(1, 0) / n1, total.get(0, 0) / n0)
     model.add_examples(known, y.tolist(), ids, stands.tolist(), frequency)
     place = {doc: i for i, doc in enumerate(model.ids)}
@@ -364,6 +413,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Nea
 
     spread = examples.select("doc_id", "key", "tf").repartition(spark.sparkContext.defaultParallelism, "doc_id")
     raw = dict(map(tuple, spread.mapInPandas(leave_out, "doc_id bigint, raw double").collect()))  # a row for each example
+    told.unpersist()
     model.calibrate(np.array([raw[i] for i in ids]), y.astype(float), stands)
     return model, vectors
 
