@@ -121,3 +121,24 @@ def test_known_words_are_not_encoded_again_and_give_what_whole_texts_give():
     aligner.align("one two three")
     aligner.shared = None  # nothing is encoded now
     assert aligner.align("three one two one")[0] == other.whole("three one two one")[0]
+
+
+def test_every_text_is_encoded_by_both_tokenizers():
+    aligner, other = (alignment.Aligner(open(A, "rb").read(), open(B, "rb").read()) for _ in range(2))
+    aligner.align("one two three")
+    seen, encoded, b = [[], []], aligner.encoded, aligner.b
+
+    class Noted:
+        def encode(self, text, **how):
+            seen[1].append(text)
+            return b.encode(text, **how)
+
+    aligner.encoded = lambda text: (seen[0].append(text), encoded(text))[1]
+    aligner.b = Noted()
+    texts = ["three one two one", None, "one", " ends with blanks \n ", "a ▁ that is not given back", "one", "", "  two 日本 three" * 2000, "one two three"]
+    got = aligner.align_all(texts)
+    assert seen[0] == seen[1] == [t for t in texts if t]
+    for text, one in zip(texts, got):
+        want = (text and other.whole(text)) or (0, 0, 0, "", np.zeros(0, np.int64))
+        assert one[:4] == want[:4] and np.array_equal(one[4], want[4])
+    assert [g[0] > 0 for g in got] == [True, False, True, True, False, True, False, True, True]
