@@ -68,6 +68,20 @@ def test_long_lists_are_compared_in_blocks(docs_of, monkeypatch):
     assert len({c for _, c in want.values()}) > 10 and max(map(len, [[i for i in want if want[i][1] == c] for _, c in want.values()])) > 20
 
 
+def test_frequent_values_come_last_however_many_they_are(docs_of, monkeypatch):
+    def none(*_):
+        raise AssertionError("documents that share only frequent values are compared in blocks")
+
+    monkeypatch.setattr(minhash, "LIST", 6)
+    monkeypatch.setattr(minhash, "MAX_FREQUENT", 1)
+    monkeypatch.setattr(minhash, "_pool_links", none)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{j}" for j in range(60))])) for i in range(40)]
+    rows += [(40 + i, t + " tail") for i, t in rows[:9]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs_of(rows), 2).collect()}
+    assert got == _components(rows, 2) and got[48][1] == 8 and got[39][1] == 39
+
+
 def test_near_duplicate_edges(edge_docs, no_docs):
     got = minhash.near_duplicates(edge_docs, 2).collect()
     assert len(got) == len(EDGE)
